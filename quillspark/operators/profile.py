@@ -218,6 +218,42 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     frame = df.sparkSession.range(bins).select(F.col("id").alias("bin")).crossJoin(F.broadcast(edges))
     return (frame.join(counted, "bin", "left")
                  .select(F.lit(column).alias("column"), "bin",
-                         F.round(F.col("lo") + F.col("bin") * w, 4).alias("lower"),
-                         F.round(F.col("lo") + (F.col("bin") + 1) * w, 4).alias("upper"),
+                         F.round(F.col("lo") + F.col("bin") * w, 2).alias("lower"),
+                         F.round(F.col("lo") + (F.col("bin") + 1) * w, 2).alias("upper"),
                          F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+
+
+PANDAS_DTYPES = {"LongType": "int64", "IntegerType": "int32", "ShortType": "int16", "ByteType": "int8",
+                 "DoubleType": "float64", "FloatType": "float32", "StringType": "object", "BooleanType": "bool",
+                 "TimestampType": "datetime64[ns]", "TimestampNTZType": "datetime64[ns]", "DateType": "object"}
+
+
+def dtype_profile(df: DataFrame, top: int = 5) -> list[dict]:
+    """Per column: dtype name; numeric min/max/mean/sum/std; text distinct count and top values."""
+    from .infer import distinct_counts
+    fields = df.schema.fields
+    kinds = {f.name: PANDAS_DTYPES.get(type(f.dataType).__name__, "object") for f in fields}
+    num = [f.name for f in fields if kinds[f.name].startswith(("int", "float"))]
+    txt = [f.name for f in fields if kinds[f.name] == "object"]
+    aggs = []
+    for i, c in enumerate(num):
+        v = F.col(c).cast("double")
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"m{i}"),
+                 F.sum(v).alias(f"s{i}"), F.stddev_samp(v).alias(f"sd{i}")]
+    r = df.agg(*aggs).collect()[0] if aggs else None
+    dist = distinct_counts(df, txt)
+    out = []
+    for f in fields:
+        c = f.name
+        rec = {"column": c, "type": kinds[c], "min": None, "max": None, "mean": None, "sum": None, "std": None,
+               "unique_count": None, "top_values": None}
+        if c in num:
+            i = num.index(c)
+            sd = r[f"sd{i}"]
+            rec.update(min=r[f"mn{i}"], max=r[f"mx{i}"], mean=r[f"m{i}"], sum=r[f"s{i}"],
+                       std=sd if sd is not None and sd == sd else 0.0)
+        elif c in txt:
+            tops = categorical_top(df, c, top).collect()
+            rec.update(unique_count=dist[c], top_values=", ".join(f"{x['value']}:{x['count']}" for x in tops))
+        out.append(rec)
+    return out
