@@ -23,6 +23,19 @@ DATE_FORMATS = [
     "d-M-yyyy",
 ]
 
+# Shape of each layout.  A parse is only attempted when the text has the
+# layout's shape: failing parses are exception-driven inside the JVM and
+# cost far more than a regex test.
+DATE_SHAPES = [
+    r"^\d{4}-\d{1,2}-\d{1,2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+    r"^\d{1,2}-\d{1,2}-\d{4}$",
+    r"^\d{1,2}-\d{1,2}-\d{4}$",
+]
+
 # The same layouts for DuckDB ``strptime`` (used by the SQL oracle only).
 DUCKDB_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
                   "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y"]
@@ -38,7 +51,11 @@ def parse_date(c: Column | str, dtype=None) -> Column:
     if dtype is not None and _is_native(dtype):
         return col.cast("timestamp")
     s = col.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    return F.coalesce(*[_try(s, i) for i in range(len(DATE_FORMATS))])
+
+
+def _try(s: Column, i: int) -> Column:
+    return F.when(s.rlike(DATE_SHAPES[i]), F.try_to_timestamp(s, F.lit(DATE_FORMATS[i])))
 
 
 def format_index(c: Column | str, dtype=None) -> Column:
@@ -49,7 +66,7 @@ def format_index(c: Column | str, dtype=None) -> Column:
     s = col.cast("string")
     expr = None
     for i in reversed(range(len(DATE_FORMATS))):
-        hit = F.try_to_timestamp(s, F.lit(DATE_FORMATS[i])).isNotNull()
+        hit = _try(s, i).isNotNull()
         expr = F.when(hit, F.lit(i)) if expr is None else F.when(hit, F.lit(i)).otherwise(expr)
     return expr
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +48,18 @@ def select_kth(data: DataFrame, targets: list[tuple[int, int]], *, gid: str = "g
                         w.alias("_w"))
                 .filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_w") > 0)))
     gids = sorted({g for g, _ in targets})
-    stats = {r["_g"]: r for r in base.filter(F.col("_g").isin(gids))
-             .groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                F.sum("_w").alias("n")).collect()}
+    # Every pass scans the same narrow (group, value, weight) rows: materialise
+    # them once so the passes never recompute the caller's upstream plan.
+    base = base.filter(F.col("_g").isin(gids)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select(base, targets, gids, buckets, small, max_passes)
+    finally:
+        base.unpersist()
+
+
+def _select(base: DataFrame, targets, gids, buckets, small, max_passes):
+    stats = {r["_g"]: r for r in base.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+                                                         F.sum("_w").alias("n")).collect()}
     ts: list[_Target] = []
     for i, (g, k) in enumerate(targets):
         t = _Target(i, g, int(k))
@@ -61,7 +71,7 @@ def select_kth(data: DataFrame, targets: list[tuple[int, int]], *, gid: str = "g
             if t.lo == t.hi:
                 t.value, t.done = t.lo, True
         ts.append(t)
-    spark = data.sparkSession
+    spark = base.sparkSession
     schema = T.StructType([T.StructField("_tid", T.LongType()), T.StructField("_tg", T.LongType()),
                            T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
     for _ in range(max_passes):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucket_of, rank_cuts
+from ..functions.ranking import bucket_of, rank_cuts_many
 
 # Fixed values that must equal the reference: segment descriptions.
 SEGMENT_DESCRIPTIONS = {
@@ -51,9 +51,10 @@ def rfm_table(df: DataFrame, date: str, amount: str, customer: str) -> DataFrame
         return per.limit(0).select("customer_id", "recency", "frequency", "monetary",
                                    F.lit(0).alias("r_score"), F.lit(0).alias("f_score"),
                                    F.lit(0).alias("m_score"), F.lit("").alias("segment"))
-    rq = bucket_of("recency", "customer_id", rank_cuts(per, "recency", "customer_id", n))
-    fq = bucket_of("frequency", "customer_id", rank_cuts(per, "frequency", "customer_id", n))
-    mq = bucket_of("monetary", "customer_id", rank_cuts(per, "monetary", "customer_id", n))
+    cuts = rank_cuts_many(per, ["recency", "frequency", "monetary"], "customer_id", n)
+    rq = bucket_of("recency", "customer_id", cuts["recency"])
+    fq = bucket_of("frequency", "customer_id", cuts["frequency"])
+    mq = bucket_of("monetary", "customer_id", cuts["monetary"])
     scored = per.select("customer_id", "recency", "frequency", "monetary",
                         (5 - rq).alias("r_score"), fq.alias("f_score"), mq.alias("m_score"))
     r, f = F.col("r_score"), F.col("f_score")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DATE_FORMATS, format_index, parse_date
+from ..functions.dates import DATE_FORMATS, format_index
 from .infer import _num
 from .isoforest import isolation_counts
 from .outliers import outlier_stats
@@ -28,17 +28,24 @@ DUPLICATES = "Duplicate records"
 def column_quality(df: DataFrame, schema: list[dict]) -> dict:
     """{column: {n, nulls, nonnull, parsed, fmt: [counts per layout]}} in one aggregate."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    # Parse each cell once in a projection; the aggregate only counts.
+    proj = [F.col(s["column"]).isNull().alias(f"isnull{i}") for i, s in enumerate(schema)]
     for i, s in enumerate(schema):
         c, t = s["column"], s["type"]
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"null{i}")]
         if t == "date":
-            fi = format_index(c, dtypes[c])
-            aggs += [F.count(parse_date(c, dtypes[c])).alias(f"ok{i}")]
-            aggs += [F.count_if(fi == k).alias(f"f{i}_{k}") for k in range(len(DATE_FORMATS))]
+            proj.append(format_index(c, dtypes[c]).alias(f"fi{i}"))
+        elif t == "numeric":
+            proj.append(_num(c, dtypes[c]).alias(f"num{i}"))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, s in enumerate(schema):
+        t = s["type"]
+        aggs += [F.count_if(F.col(f"isnull{i}")).alias(f"null{i}")]
+        if t == "date":
+            aggs += [F.count(F.col(f"fi{i}")).alias(f"ok{i}")]
+            aggs += [F.count_if(F.col(f"fi{i}") == k).alias(f"f{i}_{k}") for k in range(len(DATE_FORMATS))]
         elif t == "numeric":
-            aggs += [F.count(_num(c, dtypes[c])).alias(f"ok{i}")]
-    r = df.agg(*aggs).collect()[0].asDict()
+            aggs += [F.count(F.col(f"num{i}")).alias(f"ok{i}")]
+    r = df.select(*proj).agg(*aggs).collect()[0].asDict()
     out = {}
     for i, s in enumerate(schema):
         rec = {"n": r["__n"], "nulls": r[f"null{i}"], "nonnull": r["__n"] - r[f"null{i}"],

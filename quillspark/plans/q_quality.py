@@ -10,6 +10,7 @@ the exact checks run with it switched off; ``isolation_forest`` and
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..config import NULL_PLACEHOLDERS, load_config
@@ -50,8 +51,10 @@ std AS (SELECT * FROM rep WHERE NOT ({_allnull}))"""
 
 
 def _prep(spark, sf, forest: bool = False):
+    """Config and the standardised upload, persisted: every phase scans it
+    (the reference pipeline also keeps it in memory between phases)."""
     cfg = load_config({"outlier": {"isolation_forest": forest}})
-    std = ST.standardize(raw_upload(spark, sf))
+    std = ST.standardize(raw_upload(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
     return cfg, std
 
 
