@@ -351,8 +351,8 @@ def _clean_sql(distinct: bool = True) -> str:
     for c in UPLOAD_COLUMNS:
         t = TYPES[c]
         if t == "numeric":
-            sel.append(f"round(coalesce(try_cast({c} AS DOUBLE), (SELECT quantile_cont(try_cast({c} AS DOUBLE), 0.5) "
-                       f"FROM std)), 2) AS {c}")
+            sel.append(f"coalesce(try_cast({c} AS DOUBLE), (SELECT quantile_cont(try_cast({c} AS DOUBLE), 0.5) "
+                       f"FROM std)) AS {c}")
         elif t == "date":
             sel.append(f"strftime({duckdb_parse(c)}, '%Y-%m-%d %H:%M:%S') AS {c}")
         elif t == "categorical":
@@ -375,8 +375,6 @@ def _present(df):
         t = TYPES[c]
         if t == "date":
             out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c))
-        elif t == "numeric":
-            out.append(F.round(c, 2).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -465,7 +463,7 @@ def q_dedupe_strict(spark, sf):
           AS skewness FROM cleaned""" for c in NUMERIC))
 def q_numeric_profile(spark, sf):
     cfg, _, cleaned, _, _ = _cleaned(spark, sf)
-    cleaned = cleaned.select(*[F.round(c, 2).alias(c) for c in NUMERIC])
+    cleaned = cleaned.select(*NUMERIC)
     rows = [(p["column"], round(p["min"], 4), round(p["max"], 4), round(p["mean"], 4), round(p["median"], 4),
              None if p["std"] is None else round(p["std"], 4),
              None if p["skewness"] is None else round(p["skewness"], 4))
@@ -497,7 +495,7 @@ def q_topk_share(spark, sf):
     from ..functions.selection import select_kth
     rows = []
     for c in NUMERIC:
-        v = cleaned.select(F.round(c, 2).alias("v")).filter(F.col("v").isNotNull())
+        v = cleaned.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
         agg = v.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("tot")).collect()[0]
         n, tot = agg["n"], agg["tot"]
         k = max(1, int(n * cfg["analysis"]["top_k_contribution_pct"] / 100))
@@ -529,7 +527,7 @@ def _numeric_notes_sql():
 SELECT "column", CASE WHEN n1 = '' THEN dflt ELSE n1 END AS notes FROM nt""")
 def q_numeric_notes(spark, sf):
     cfg, _, cleaned, _, _ = _cleaned(spark, sf)
-    cleaned = cleaned.select(*[F.round(c, 2).alias(c) for c in NUMERIC])
+    cleaned = cleaned.select(*NUMERIC)
     rows = [(p["column"], p["notes"]) for p in PR.numeric_profiles(cleaned, NUMERIC, cfg)]
     return spark.createDataFrame(rows, "column string, notes string")
 

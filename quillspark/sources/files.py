@@ -12,12 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of every file under ``path``, zero-length files included.
+
+    Spark's file sources skip empty files, so the listing goes through the
+    Hadoop FileSystem of the session (metadata only, as Spark's own file
+    index does).  Without a JVM gateway (Spark Connect) it falls back to the
+    ``binaryFile`` source, which misses empty files.
+    """
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        it = fs.listFiles(root, True)
+        rows = []
+        while it.hasNext():
+            st = it.next()
+            name = st.getPath().getName()
+            if not name.startswith((".", "_")):
+                rows.append((st.getPath().toString(), int(st.getLen())))
+        return spark.createDataFrame(rows, "path string, length long")
+    except Exception:  # pragma: no cover - Spark Connect
+        return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def file_gate(spark: SparkSession, path: str, allowed: list[str], max_bytes: int) -> DataFrame:
     """``(file_name, length, ok, error)`` per file; file contents are never read.
 
     Checks in the reference's order: too big, empty, extension.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = list_files(spark, path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
     mb = F.col("length") / (1024 * 1024)
