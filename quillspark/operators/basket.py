@@ -10,6 +10,8 @@ and summed with a ``groupBy``.  Only candidate items are indexed: the top M
 items by support.  Any pair with an item outside the candidates has support
 <= t (the best excluded item's support), so the top-k pairs are exact once
 the k-th candidate pair beats t; otherwise M grows (exact, no cap).
+The basket frame is persisted for the passes; it is released with the
+session (the returned frame still reads it).
 """
 
 from __future__ import annotations
@@ -58,36 +60,46 @@ def _pair_counts(n_items: int):
     return run
 
 
-def _qualifying(df: DataFrame, order: str, item: str) -> DataFrame:
+def baskets(df: DataFrame, order: str, item: str) -> DataFrame:
+    """Qualifying baskets ``(o, items)``: >= 2 raw rows, items made unique.
+
+    (order, item) multiplicities first (map-side combine collapses repeats),
+    then one ``groupBy(order)``: a basket's list is bounded by the number of
+    distinct items it holds, never by its raw row count.
+    """
     t = (df.select(F.col(order).alias("o"), F.col(item).cast("string").alias("i"))
            .filter(F.col("o").isNotNull() & F.col("i").isNotNull()))
-    sizes = t.groupBy("o").agg(F.count(F.lit(1)).alias("n_raw")).filter(F.col("n_raw") >= 2).select("o")
-    return t.distinct().join(sizes, "o", "left_semi"), sizes
+    return (t.groupBy("o", "i").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("o").agg(F.sum("c").alias("n_raw"), F.collect_list("i").alias("items"))
+             .filter(F.col("n_raw") >= 2).select("o", "items"))
 
 
 def basket_rules(df: DataFrame, order: str, item: str, top: int = 15, min_baskets: int = 10,
                  first_candidates: int = 256) -> DataFrame:
     """``(antecedent, consequent, support, confidence, lift)`` for the top pairs with lift > 1."""
     spark = df.sparkSession
-    bi, sizes = _qualifying(df, order, item)
-    bi = bi.persist(StorageLevel.MEMORY_AND_DISK)
-    n_baskets = sizes.count()
-    items = bi.groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
+    bk = baskets(df, order, item).persist(StorageLevel.MEMORY_AND_DISK)
+    n_baskets = bk.count()
     empty = spark.createDataFrame([], "antecedent string, consequent string, support long, "
                                       "confidence double, lift double")
     if n_baskets < min_baskets:
+        bk.unpersist()
         return empty
+    items = bk.select(F.explode("items").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
     m = first_candidates
     while True:
         head = items.orderBy(F.col("supp").desc(), F.col("i")).limit(m + 1).collect()
         cut = head[m]["supp"] if len(head) > m else -1
         cand_rows = head[:m]
+        names = [r["i"] for r in cand_rows]
         cand = spark.createDataFrame([(j, r["i"], r["supp"]) for j, r in enumerate(cand_rows)],
                                      "idx long, i string, supp long")
-        baskets = (bi.join(F.broadcast(cand.select("idx", "i")), "i")
-                     .groupBy("o").agg(F.collect_list("idx").alias("items")))
-        pairs = (baskets.mapInPandas(_pair_counts(len(cand_rows)), "a long, b long, cnt long")
-                        .groupBy("a", "b").agg(F.sum("cnt").alias("support")))
+        # candidate index = position in a literal array (no join); others dropped
+        lit_names = F.array(*[F.lit(x) for x in names])
+        idx = F.filter(F.transform("items", lambda x: F.array_position(lit_names, x) - 1), lambda j: j >= 0)
+        pairs = (bk.select(idx.alias("items")).filter(F.size("items") >= 2)
+                   .mapInPandas(_pair_counts(len(cand_rows)), "a long, b long, cnt long")
+                   .groupBy("a", "b").agg(F.sum("cnt").alias("support")))
         ca = cand.select(F.col("idx").alias("a"), F.col("i").alias("ia"), F.col("supp").alias("sa"))
         cb = cand.select(F.col("idx").alias("b"), F.col("i").alias("ib"), F.col("supp").alias("sb"))
         named = (pairs.join(F.broadcast(ca), "a").join(F.broadcast(cb), "b")
@@ -105,11 +117,10 @@ def basket_rules(df: DataFrame, order: str, item: str, top: int = 15, min_basket
         m *= 4
     conf = F.col("support") / F.col("supp_a")
     lift = conf / (F.col("supp_b") / F.lit(float(n_baskets)))
-    out = (best.filter(lift > 1.0)
-               .select(F.col("A").alias("antecedent"), F.col("B").alias("consequent"),
-                       F.col("support").cast("long").alias("support"),
-                       F.round(conf, 2).alias("confidence"), F.round(lift, 2).alias("lift")))
-    return out
+    return (best.filter(lift > 1.0)
+                .select(F.col("A").alias("antecedent"), F.col("B").alias("consequent"),
+                        F.col("support").cast("long").alias("support"),
+                        F.round(conf, 2).alias("confidence"), F.round(lift, 2).alias("lift")))
 
 
 def basket_bands(rules: DataFrame) -> DataFrame:

@@ -51,19 +51,28 @@ def kpis(df: DataFrame, amount: str | None = None, order_id: str | None = None,
 def _gate(monthly: DataFrame, min_months: int, min_rows: int = 0) -> DataFrame:
     """Keep the monthly frame only if it has enough months / rows.
 
-    The counts come from a 1-row aggregate broadcast back (proven size 1).
+    ``monthly`` holds one row per month, so an unpartitioned window over it
+    is bounded by the number of months; crossing with a separate aggregate
+    would instead evaluate the whole upstream plan a second time.
     """
-    stats = monthly.agg(F.count(F.lit(1)).alias("_months"), F.sum("_rows").alias("_rows_total"))
-    return (monthly.crossJoin(F.broadcast(stats))
+    from pyspark.sql import Window
+    w = Window.partitionBy()
+    return (monthly.withColumn("_months", F.count(F.lit(1)).over(w))
+                   .withColumn("_rows_total", F.sum("_rows").over(w))
                    .filter((F.col("_months") >= min_months) & (F.col("_rows_total") >= min_rows))
                    .drop("_months", "_rows_total", "_rows"))
 
 
-def orders_over_time(df: DataFrame, date: str, min_rows: int = 3, min_months: int = 2) -> DataFrame:
-    """Monthly row counts ``(x, y)``; empty unless >= 3 dated rows and >= 2 months."""
-    monthly = (df.select(date).filter(F.col(date).isNotNull())
+def orders_over_time(df: DataFrame, date: str, min_rows: int = 3, min_months: int = 2,
+                     weight: str | None = None) -> DataFrame:
+    """Monthly row counts ``(x, y)``; empty unless >= 3 dated rows and >= 2 months.
+
+    ``weight`` names a per-row multiplicity column (pre-aggregated input).
+    """
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    monthly = (df.select(date, *([weight] if weight else [])).filter(F.col(date).isNotNull())
                  .groupBy(_month(date).alias("x"))
-                 .agg(F.count(F.lit(1)).alias("y"))
+                 .agg(n.alias("y"))
                  .withColumn("_rows", F.col("y")))
     return _gate(monthly, min_months, min_rows).select("x", "y")
 
@@ -81,23 +90,29 @@ def top_groups(df: DataFrame, key: str, value: str | None, n: int | None,
     """``(id, value)`` per key, descending, first ``n``.
 
     With ``pie_max`` a ``chart`` column says pie when the total number of
-    groups (counted before the limit, on a 1-row frame) is <= pie_max.
+    groups is <= pie_max.  That is decided on the ``max(n, pie_max + 1)``
+    largest groups (a bounded TakeOrderedAndProject), so the grouped frame
+    is computed once and never gathered whole.
     """
+    from pyspark.sql import Window
     if agg == "count":
         vexpr = F.count(F.lit(1)).alias("value")
     else:
         vexpr = F.round(F.sum(value), 2).alias("value")
     grouped = df.groupBy(F.col(key).cast("string").alias("id")).agg(vexpr)
-    out = grouped.orderBy(F.col("value").desc(), F.col("id").asc_nulls_last())
+    order = [F.col("value").desc(), F.col("id").asc_nulls_last()]
+    if pie_max is None:
+        out = grouped.orderBy(*order)
+        return out.limit(n) if n is not None else out
+    head = grouped.orderBy(*order).limit(max(n or 0, pie_max + 1))
+    w = Window.partitionBy()
+    out = (head.withColumn("_groups", F.count(F.lit(1)).over(w))
+               .withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+               .withColumn("chart", F.when(F.col("_groups") <= pie_max, F.lit("pie_chart"))
+                                     .otherwise(F.lit("bar_chart"))))
     if n is not None:
-        out = out.limit(n)
-    if pie_max is not None:
-        n_groups = grouped.agg(F.count(F.lit(1)).alias("_groups"))  # exactly one row
-        out = (out.crossJoin(F.broadcast(n_groups))
-                  .withColumn("chart", F.when(F.col("_groups") <= pie_max, F.lit("pie_chart"))
-                                        .otherwise(F.lit("bar_chart")))
-                  .drop("_groups"))
-    return out
+        out = out.filter(F.col("_rank") <= n)
+    return out.drop("_groups", "_rank")
 
 
 def sales_by_category(df, category, amount):
@@ -106,10 +121,14 @@ def sales_by_category(df, category, amount):
 
 def count_by_category(df, category, max_distinct: int = 12):
     """Counts per category, top 9, only when the category has <= 12 values."""
+    from pyspark.sql import Window
     grouped = df.groupBy(F.col(category).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("value"))
-    n_groups = grouped.agg(F.count(F.lit(1)).alias("_groups"))
-    return (grouped.crossJoin(F.broadcast(n_groups)).filter(F.col("_groups") <= max_distinct)
-                   .drop("_groups").orderBy(F.col("value").desc(), F.col("id")).limit(9))
+    order = [F.col("value").desc(), F.col("id").asc_nulls_last()]
+    head = grouped.orderBy(*order).limit(max_distinct + 1)
+    return (head.withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
+                .withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+                .filter((F.col("_groups") <= max_distinct) & (F.col("_rank") <= 9))
+                .drop("_groups", "_rank"))
 
 
 def sales_by_region(df, country, amount):
@@ -149,13 +168,13 @@ def slope_change(series: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
                                 F.lit(0.0)), 2).alias("pct_change"))
 
 
-def share_of_total(grouped: DataFrame, value: str = "value") -> DataFrame:
-    """value / total * 100 (1 decimal) on an already grouped frame.
+def share_of_total(chart: DataFrame, value: str = "value") -> DataFrame:
+    """value / total * 100 (1 decimal) over the rows of a chart (pie widget).
 
-    The total is a 1-row aggregate broadcast back, not an unpartitioned window.
+    ``chart`` is an already limited top-N frame (a handful of slices), so the
+    total is an unpartitioned window over those rows.
     """
-    total = grouped.agg(F.sum(value).alias("_total"))
-    return (grouped.crossJoin(F.broadcast(total))
-                   .withColumn("share_pct", F.round(F.coalesce(F.try_divide(F.col(value) * 100.0, F.col("_total")),
-                                                               F.lit(0.0)), 1))
-                   .drop("_total"))
+    from pyspark.sql import Window
+    total = F.sum(value).over(Window.partitionBy())
+    return chart.withColumn("share_pct", F.round(F.coalesce(F.try_divide(F.col(value) * 100.0, total),
+                                                            F.lit(0.0)), 1))

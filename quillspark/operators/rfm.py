@@ -29,15 +29,20 @@ def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def rfm_table(df: DataFrame, date: str, amount: str, customer: str) -> DataFrame:
-    """One row per customer with R/F/M values, scores and segment."""
+def rfm_table(df: DataFrame, date: str, amount: str, customer: str, weight: str | None = None) -> DataFrame:
+    """One row per customer with R/F/M values, scores and segment.
+
+    ``weight`` names a row-multiplicity column when the input is already
+    aggregated (e.g. one row per order carrying its line count).
+    """
     base = (df.select(F.col(date).alias("_d"), F.col(customer).alias("customer_id"),
-                      F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("_a"))
+                      F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("_a"),
+                      (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_w"))
               .filter(F.col("_d").isNotNull()))
     now = base.agg(F.max(_micros("_d")).alias("_now"))          # one row
     per = (base.filter(F.col("customer_id").isNotNull())
                .groupBy("customer_id")
-               .agg(F.max(_micros("_d")).alias("_last"), F.count(F.lit(1)).alias("frequency"),
+               .agg(F.max(_micros("_d")).alias("_last"), F.sum("_w").alias("frequency"),
                     F.sum("_a").alias("monetary"))
                .crossJoin(F.broadcast(now))
                .select("customer_id",

@@ -9,7 +9,7 @@ from ..operators import basket as BK
 from ..operators import forecast as FC
 from ..operators import rfm as RFM
 from ..operators import risk as RK
-from ..sources.tables import sales_view, sales_view_sql, table
+from ..sources.tables import order_sales, sales_view, sales_view_sql, table
 from .registry import register
 
 S = sales_view_sql
@@ -35,7 +35,7 @@ _QUAD = "(n * T2 - S2 * T0) / (n * S4 - S2 * S2)"
 SELECT 'Sales Forecast' AS series, 'Next 3 Months' AS period, step, round(value, 2) AS value FROM p
 """)
 def q_forecast_3m(spark, sf):
-    return FC.forecast_3m(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount")
+    return FC.forecast_3m(order_sales(spark, sf, ["order_date"]), "order_date", "amount")
 
 
 @register("forecast_horizon", _FIT.format(yexpr="coalesce(sum(coalesce(amount, 0)), 0)", aexpr=_QUAD,
@@ -44,21 +44,21 @@ SELECT month, round(value, 2) AS forecast_value,
        (SELECT round(sum(round(value, 2)), 2) FROM p) AS total_predicted FROM p
 """)
 def q_forecast_horizon(spark, sf):
-    return FC.forecast_horizon(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount", 12)
+    return FC.forecast_horizon(order_sales(spark, sf, ["order_date"]), "order_date", "amount", 12)
 
 
 @register("forecast_linear", _FIT.format(yexpr="sum(amount)", aexpr="0.0", steps=3, min_n=2) + """
 SELECT step, month, round(value, 2) AS value FROM p
 """)
 def q_forecast_linear(spark, sf):
-    return FC.forecast_linear(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount")
+    return FC.forecast_linear(order_sales(spark, sf, ["order_date"]), "order_date", "amount")
 
 
 @register("forecast_rows", _FIT.format(yexpr="sum(amount)", aexpr=_QUAD, steps=3, min_n=3) + """
 SELECT 'Month ' || CAST(step AS VARCHAR) AS x, round(round(value, 2), 2) AS y FROM p
 """)
 def q_forecast_rows(spark, sf):
-    fc = FC.forecast_3m(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount")
+    fc = FC.forecast_3m(order_sales(spark, sf, ["order_date"]), "order_date", "amount")
     return FC.forecast_rows(FC.forecast_values(fc))
 
 
@@ -89,8 +89,8 @@ seg AS (SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 THEN 'Champions'
 SELECT customer_id, recency, frequency, round(monetary, 2) AS monetary, r_score, f_score, m_score, segment FROM seg
 """)
 def q_rfm_customers(spark, sf):
-    c = RFM.rfm_table(sales_view(spark, sf, ["order_date", "amount", "customer_id"]),
-                      "order_date", "amount", "customer_id")
+    c = RFM.rfm_table(order_sales(spark, sf, ["order_date", "customer_id"]),
+                      "order_date", "amount", "customer_id", weight="lines")
     return c.withColumn("monetary", F.round("monetary", 2))
 
 
@@ -104,8 +104,8 @@ SELECT segment, count(*) AS count, round(avg(monetary), 2) AS avg_monetary,
 FROM seg GROUP BY segment
 """)
 def q_rfm_segments(spark, sf):
-    c = RFM.rfm_table(sales_view(spark, sf, ["order_date", "amount", "customer_id"]),
-                      "order_date", "amount", "customer_id")
+    c = RFM.rfm_table(order_sales(spark, sf, ["order_date", "customer_id"]),
+                      "order_date", "amount", "customer_id", weight="lines")
     return RFM.rfm_segments(c)
 
 

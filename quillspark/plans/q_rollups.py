@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kpis as K
-from ..sources.tables import sales_view, sales_view_sql
+from ..sources.tables import order_sales, sales_view, sales_view_sql
 from .registry import register
 
 S = sales_view_sql
@@ -32,7 +32,7 @@ WITH m AS (SELECT strftime(order_date, '%Y-%m') AS x, count(*) AS y
 SELECT x, y FROM m WHERE (SELECT count(*) FROM m) >= 2 AND (SELECT sum(y) FROM m) >= 3
 """)
 def q_orders_over_time(spark, sf):
-    return K.orders_over_time(sales_view(spark, sf, ["order_date"]), "order_date")
+    return K.orders_over_time(order_sales(spark, sf, ["order_date"]), "order_date", weight="lines")
 
 
 @register("revenue_over_time", f"""
@@ -41,7 +41,7 @@ WITH m AS (SELECT strftime(order_date, '%Y-%m') AS x, round(sum(amount), 2) AS y
 SELECT x, y FROM m WHERE (SELECT count(*) FROM m) >= 2
 """)
 def q_revenue_over_time(spark, sf):
-    return K.revenue_over_time(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount")
+    return K.revenue_over_time(order_sales(spark, sf, ["order_date"]), "order_date", "amount")
 
 
 @register("sales_by_category", f"""
@@ -98,7 +98,7 @@ SELECT round(coalesce(sum(amount), 0), 2) AS total FROM {S(['order_date', 'amoun
 WHERE order_date >= TIMESTAMP '1996-01-01' AND order_date <= TIMESTAMP '1996-12-31'
 """)
 def q_period_total(spark, sf):
-    return K.period_total(sales_view(spark, sf, ["order_date", "amount"]), "order_date", "amount",
+    return K.period_total(order_sales(spark, sf, ["order_date"]), "order_date", "amount",
                           "1996-01-01", "1996-12-31")
 
 
@@ -110,16 +110,18 @@ SELECT first_x, last_x, round(fy, 2) AS first_y, round(ly, 2) AS last_y,
        round(coalesce((ly - fy) * 100.0 / nullif(fy, 0), 0), 2) AS pct_change FROM e
 """)
 def q_slope_change(spark, sf):
-    df = sales_view(spark, sf, ["order_date", "amount"]).filter(F.col("order_date").isNotNull())
+    df = order_sales(spark, sf, ["order_date"]).filter(F.col("order_date").isNotNull())
     monthly = df.groupBy(F.date_format("order_date", "yyyy-MM").alias("x")).agg(F.sum("amount").alias("y"))
     return K.slope_change(monthly)
 
 
 @register("share_of_total", f"""
 WITH g AS (SELECT CAST(category AS VARCHAR) AS id, round(sum(amount), 2) AS value
-           FROM {S(['category', 'amount'])} GROUP BY 1)
-SELECT id, value, round(coalesce(value * 100.0 / nullif((SELECT sum(value) FROM g), 0), 0), 1) AS share_pct FROM g
+           FROM {S(['category', 'amount'])} GROUP BY 1),
+t AS (SELECT id, value, CASE WHEN (SELECT count(*) FROM g) <= 12 THEN 'pie_chart' ELSE 'bar_chart' END AS chart
+      FROM g ORDER BY value DESC, id LIMIT 9)
+SELECT id, value, chart, round(coalesce(value * 100.0 / nullif((SELECT sum(value) FROM t), 0), 0), 1) AS share_pct FROM t
 """)
 def q_share_of_total(spark, sf):
-    grouped = K.top_groups(sales_view(spark, sf, ["category", "amount"]), "category", "amount", None)
-    return K.share_of_total(grouped)
+    chart = K.sales_by_category(sales_view(spark, sf, ["category", "amount"]), "category", "amount")
+    return K.share_of_total(chart)
