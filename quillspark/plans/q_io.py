@@ -127,3 +127,15 @@ def q_insights(spark, sf):
         one = frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("orders_over_time_stream", """
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS x, count(*) AS y FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
+SELECT x, y FROM m WHERE (SELECT count(*) FROM m) >= 2 AND (SELECT sum(y) FROM m) >= 3""")
+def q_orders_over_time_stream(spark, sf):
+    from ..streaming.rollups import monthly_counts_stream, read_monthly
+    run = uuid.uuid4().hex
+    sink, ckpt = scratch_path(spark, f"stream/{run}/out"), scratch_path(spark, f"stream/{run}/checkpoint")
+    q = monthly_counts_stream(spark, sf, "o_orderdate", sink, ckpt, glob="orders.parquet")
+    q.awaitTermination()
+    return read_monthly(spark, sink)
