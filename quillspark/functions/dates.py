@@ -36,6 +36,9 @@ DATE_SHAPES = [
     r"^\d{1,2}-\d{1,2}-\d{4}$",
 ]
 
+# Union of the shapes: one test that rejects most non-date text up front.
+ANY_DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}:\d{2})?$"
+
 # The same layouts for DuckDB ``strptime`` (used by the SQL oracle only).
 DUCKDB_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
                   "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y"]
@@ -45,13 +48,32 @@ def _is_native(dtype) -> bool:
     return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def parse_date(c: Column | str, dtype=None) -> Column:
-    """Timestamp parsed by the first matching layout; NULL when none matches."""
+    """Wall-clock ``timestamp_ntz`` parsed by the first matching layout; NULL when none matches.
+
+    Results are zone-free (naive, like pandas), whatever the session time zone.
+    """
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and _is_native(dtype):
-        return col.cast("timestamp")
+        return col.cast("timestamp_ntz")
     s = col.cast("string")
-    return F.coalesce(*[_try(s, i) for i in range(len(DATE_FORMATS))])
+    parsed = F.coalesce(*[_try(s, i) for i in range(len(DATE_FORMATS))])
+    return F.when(s.rlike(ANY_DATE_SHAPE), parsed.cast("timestamp_ntz"))
+
+
+def epoch_micros(c: Column | str) -> Column:
+    """Wall-clock microseconds since 1970-01-01 (zone-free)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_diff("MICROSECOND", _epoch(), col.cast("timestamp_ntz"))
+
+
+def from_epoch_micros(c: Column | str) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_add("MICROSECOND", col, _epoch())
 
 
 def _try(s: Column, i: int) -> Column:
@@ -68,7 +90,7 @@ def format_index(c: Column | str, dtype=None) -> Column:
     for i in reversed(range(len(DATE_FORMATS))):
         hit = _try(s, i).isNotNull()
         expr = F.when(hit, F.lit(i)) if expr is None else F.when(hit, F.lit(i)).otherwise(expr)
-    return expr
+    return F.when(s.rlike(ANY_DATE_SHAPE), expr)
 
 
 def duckdb_parse(col_sql: str) -> str:

@@ -130,11 +130,13 @@ def count_below(data: DataFrame, gid: str, value: str, cuts: dict[int, float]) -
 
 
 def quantiles(data: DataFrame, gid: str, value: str, counts: dict[int, int],
-              probs: list[float]) -> dict[tuple[int, float], float | None]:
+              probs: list[float], extra: list[tuple[int, int]] | None = None):
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     ``counts`` is the non-null count per group (already known by the caller's
-    one-pass aggregate).  Two order statistics per probability.
+    one-pass aggregate).  Two order statistics per probability.  ``extra``
+    (group, k) order statistics are resolved in the same passes; when given,
+    the result is ``(quantiles, {(group, k): value})``.
     """
     want: list[tuple[int, int]] = []
     for g, n in counts.items():
@@ -146,7 +148,7 @@ def quantiles(data: DataFrame, gid: str, value: str, counts: dict[int, int],
             want.append((g, lo))
             if lo + 1 < n:
                 want.append((g, lo + 1))
-    got = select_kth(data, sorted(set(want)), gid=gid, value=value)
+    got = select_kth(data, sorted(set(want) | set(extra or [])), gid=gid, value=value)
     out = {}
     for g, n in counts.items():
         for p in probs:
@@ -162,4 +164,6 @@ def quantiles(data: DataFrame, gid: str, value: str, counts: dict[int, int],
             else:
                 b = got[(g, lo + 1)]
                 out[(g, p)] = a + (b - a) * frac
+    if extra is not None:
+        return out, {k: got[k] for k in extra}
     return out

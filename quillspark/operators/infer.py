@@ -34,24 +34,42 @@ def heuristic_type(name: str, patterns: dict) -> str | None:
     return None
 
 
+# A string can only cast to double if, after leading blanks / control
+# characters, it starts with a sign, a digit, ".digit", "inf" or "nan".
+# Testing that first skips the exception-driven failure path of the cast.
+NUMERIC_PREFIX = r"(?i)^[\x00-\x20]*[+-]?(\d|\.\d|inf|nan)"
+
+
 def _num(c: str, dtype):
     if isinstance(dtype, NUMERIC_TYPES):
         return F.col(c).cast("double")
     if isinstance(dtype, DATE_TYPES):
         return F.lit(None).cast("double")
-    return F.col(c).cast("string").try_cast("double")
+    s = F.col(c).cast("string")
+    return F.when(s.rlike(NUMERIC_PREFIX), s.try_cast("double"))
+
 
+def column_counts(df: DataFrame, needs: dict | None = None) -> dict:
+    """{column: {n, nonnull, num_ok, date_ok}} from a single aggregate.
 
-def column_counts(df: DataFrame) -> dict:
-    """{column: {n, nonnull, num_ok, date_ok}} from a single aggregate."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    ``needs`` maps a column to the parse tests its rule actually uses
+    (``{"num", "date"}``); by default both are counted for every column.
+    """
+    proj, aggs = [], [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(df.schema.fields):
         c = f.name
-        aggs += [F.count(F.col(c)).alias(f"nn{i}"), F.count(_num(c, f.dataType)).alias(f"num{i}"),
-                 F.count(parse_date(c, f.dataType)).alias(f"dt{i}")]
-    r = df.agg(*aggs).collect()[0]
-    return {f.name: {"n": r["__n"], "nonnull": r[f"nn{i}"], "num_ok": r[f"num{i}"], "date_ok": r[f"dt{i}"]}
-            for i, f in enumerate(df.schema.fields)}
+        want = needs.get(c, {"num", "date"}) if needs is not None else {"num", "date"}
+        proj.append(F.col(c).isNotNull().alias(f"nn{i}"))
+        aggs.append(F.count_if(F.col(f"nn{i}")).alias(f"nn{i}"))
+        if "num" in want:
+            proj.append(_num(c, f.dataType).isNotNull().alias(f"num{i}"))
+            aggs.append(F.count_if(F.col(f"num{i}")).alias(f"num{i}"))
+        if "date" in want:
+            proj.append(parse_date(c, f.dataType).isNotNull().alias(f"dt{i}"))
+            aggs.append(F.count_if(F.col(f"dt{i}")).alias(f"dt{i}"))
+    r = df.select(*proj).agg(*aggs).collect()[0].asDict()
+    return {f.name: {"n": r["__n"], "nonnull": r[f"nn{i}"], "num_ok": r.get(f"num{i}", 0),
+                     "date_ok": r.get(f"dt{i}", 0)} for i, f in enumerate(df.schema.fields)}
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict:
@@ -70,12 +88,21 @@ def infer_types(df: DataFrame, config: dict, counts: dict | None = None) -> list
     """``[{column, type}]`` in column order."""
     th = config["coercion_thresholds"]
     heur = config.get("schema_heuristics", {"enabled": False})
-    counts = counts or column_counts(df)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
+    hints = {c: (heuristic_type(c, heur.get("patterns", {})) if heur.get("enabled") else None) for c in df.columns}
+    needs = {}
+    for c in df.columns:
+        if hints[c] == "date":
+            needs[c] = {"date"}
+        elif hints[c] == "string" or isinstance(dtypes[c], DATE_TYPES):
+            needs[c] = set()
+        else:
+            needs[c] = {"num", "date"} if isinstance(dtypes[c], T.StringType) else {"num"}
+    counts = counts or column_counts(df, needs)
     decided, pending = {}, []
     for c in df.columns:
         s = counts[c]
-        h = heuristic_type(c, heur.get("patterns", {})) if heur.get("enabled") else None
+        h = hints[c]
         nn = s["nonnull"]
         if nn == 0:
             decided[c] = "string"

@@ -19,16 +19,26 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(cells).select("cell.gid", "cell.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: float = 3.0,
-                  min_n: int = 4) -> list[dict]:
-    """Per column: n, q1, q3, lower, upper, mean, std_pop, iqr_count, z_count."""
-    if not columns:
-        return []
+def moment_aggs(columns: list[str], prefix: str = "") -> list:
+    """count / mean / population std per column, to fold into a caller's aggregate."""
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    first = df.agg(*aggs).collect()[0]
+        aggs += [F.count(v).alias(f"{prefix}n{i}"), F.avg(v).alias(f"{prefix}m{i}"),
+                 F.stddev_pop(v).alias(f"{prefix}s{i}")]
+    return aggs
+
+
+def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: float = 3.0,
+                  min_n: int = 4, moments: dict | None = None) -> list[dict]:
+    """Per column: n, q1, q3, lower, upper, mean, std_pop, iqr_count, z_count.
+
+    ``moments`` (keys ``n{i}``, ``m{i}``, ``s{i}``) skips the first aggregate
+    when the caller already computed them in its own pass.
+    """
+    if not columns:
+        return []
+    first = moments if moments is not None else df.agg(*moment_aggs(columns)).collect()[0].asDict()
     counts = {i: first[f"n{i}"] for i in range(len(columns)) if first[f"n{i}"] >= min_n}
     qs = quantiles(_values(df, columns), "gid", "v", counts, [0.25, 0.75]) if counts else {}
     out, aggs2 = [], []

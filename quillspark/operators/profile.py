@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import epoch_micros, from_epoch_micros
 from ..functions.selection import quantiles, select_kth
 
 
@@ -32,10 +33,11 @@ def numeric_profiles(df: DataFrame, columns: list[str], config: dict) -> list[di
     vals = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("gid"), F.col(c).cast("double").alias("v"))
                                          for i, c in enumerate(columns)])).alias("x")).select("x.gid", "x.v")
     counts = {i: r[f"n{i}"] for i in range(len(columns)) if r[f"n{i}"]}
-    med = quantiles(vals, "gid", "v", counts, [0.5]) if counts else {}
     pct = config["analysis"]["top_k_contribution_pct"]
     ks = {i: max(1, int(n * pct / 100)) for i, n in counts.items()}
-    kth = select_kth(vals, [(i, counts[i] - ks[i]) for i in counts]) if counts else {}
+    # one selection for the medians and the top-k thresholds of every column
+    extra = [(i, counts[i] - ks[i]) for i in counts]
+    med, kth = quantiles(vals, "gid", "v", counts, [0.5], extra=extra) if counts else ({}, {})
     thr_aggs = []
     for i in counts:
         t = kth[(i, counts[i] - ks[i])]
@@ -138,7 +140,7 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     paired with the last value of the previous non-empty bucket on a frame
     of one row per bucket.
     """
-    us = F.unix_micros(F.col(column).cast("timestamp"))
+    us = epoch_micros(column)
     vals = df.select(us.alias("t")).filter(F.col("t").isNotNull())
     rng = vals.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
     distinct = vals.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
@@ -173,8 +175,8 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
         freq = ("daily" if median_days <= 1 else "weekly" if median_days <= 7 else "monthly"
                 if median_days <= 31 else "quarterly" if median_days <= 92 else "yearly")
     one = rng.select(
-        F.date_format(F.timestamp_micros("lo"), "yyyy-MM-dd").alias("min_date"),
-        F.date_format(F.timestamp_micros("hi"), "yyyy-MM-dd").alias("max_date"),
+        F.date_format(from_epoch_micros("lo"), "yyyy-MM-dd").alias("min_date"),
+        F.date_format(from_epoch_micros("hi"), "yyyy-MM-dd").alias("max_date"),
         F.floor((F.col("hi") - F.col("lo")) / _DAY).cast("long").alias("date_range_days"),
         F.lit(median_days).cast("long").alias("median_gap_days"),
         F.lit(freq).cast("string").alias("estimated_frequency")).filter(F.lit(bool(n)))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import epoch_micros
+from ..session import ensure_checkpoint_dir
 from ..functions.ranking import bucket_of, rank_cuts_many
 
 # Fixed values that must equal the reference: segment descriptions.
@@ -26,7 +28,7 @@ _DAY_MICROS = 86_400_000_000
 
 
 def _micros(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    return epoch_micros(c)
 
 
 def rfm_table(df: DataFrame, date: str, amount: str, customer: str, weight: str | None = None) -> DataFrame:
@@ -50,6 +52,7 @@ def rfm_table(df: DataFrame, date: str, amount: str, customer: str, weight: str
                        "frequency", "monetary"))
     # The per-customer table is scanned once per selection pass: write it to
     # the shared checkpoint folder so passes (and lost executors) reuse it.
+    ensure_checkpoint_dir(per.sparkSession)
     per = per.checkpoint(eager=True)
     n = per.count()
     if n < 2:  # pandas qcut cannot build 4 bins from one rank

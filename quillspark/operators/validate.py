@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_FORMATS, format_index
 from .infer import _num
 from .isoforest import isolation_counts
-from .outliers import outlier_stats
+from .outliers import moment_aggs, outlier_stats
 
 MISSING = "Missing values"
 MIXED = "Mixed date formats"
@@ -25,8 +25,12 @@ COERCION = "Type mismatch - high coercion loss"
 DUPLICATES = "Duplicate records"
 
 
-def column_quality(df: DataFrame, schema: list[dict]) -> dict:
-    """{column: {n, nulls, nonnull, parsed, fmt: [counts per layout]}} in one aggregate."""
+def column_quality(df: DataFrame, schema: list[dict], with_moments: bool = False) -> dict:
+    """{column: {n, nulls, nonnull, parsed, fmt: [counts per layout]}} in one aggregate.
+
+    With ``with_moments`` the numeric columns' count / mean / population std
+    (for the outlier checks) come from the same aggregate, under ``__moments``.
+    """
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     # Parse each cell once in a projection; the aggregate only counts.
     proj = [F.col(s["column"]).isNull().alias(f"isnull{i}") for i, s in enumerate(schema)]
@@ -45,6 +49,9 @@ def column_quality(df: DataFrame, schema: list[dict]) -> dict:
             aggs += [F.count_if(F.col(f"fi{i}") == k).alias(f"f{i}_{k}") for k in range(len(DATE_FORMATS))]
         elif t == "numeric":
             aggs += [F.count(F.col(f"num{i}")).alias(f"ok{i}")]
+    numeric = [i for i, s in enumerate(schema) if s["type"] == "numeric"]
+    if with_moments:
+        aggs += moment_aggs([f"num{i}" for i in numeric], prefix="mom_")
     r = df.select(*proj).agg(*aggs).collect()[0].asDict()
     out = {}
     for i, s in enumerate(schema):
@@ -53,6 +60,8 @@ def column_quality(df: DataFrame, schema: list[dict]) -> dict:
         if s["type"] == "date":
             rec["fmt"] = [r[f"f{i}_{k}"] for k in range(len(DATE_FORMATS))]
         out[s["column"]] = rec
+    if with_moments:
+        out["__moments"] = {k[len("mom_"):]: v for k, v in r.items() if k.startswith("mom_")}
     return out
 
 
@@ -75,10 +84,11 @@ def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: b
     oc = config["outlier"]
     if use_forest is None:
         use_forest = oc.get("isolation_forest", True)
-    q = column_quality(df, schema)
+    q = column_quality(df, schema, with_moments=True)
     numeric = [s["column"] for s in schema if s["type"] == "numeric"]
     typed = df.select(*[_num(c, dict((f.name, f.dataType) for f in df.schema.fields)[c]).alias(c) for c in numeric])
-    ost = {o["column"]: o for o in outlier_stats(typed, numeric, oc["iqr_multiplier"], oc["zscore_threshold"])}
+    ost = {o["column"]: o for o in outlier_stats(typed, numeric, oc["iqr_multiplier"], oc["zscore_threshold"],
+                                                 moments=q["__moments"])}
     iso = isolation_counts(typed, [c for c in numeric if ost[c]["n"] >= oc["isolationforest_min_rows"]],
                            oc["contamination"], oc["isolationforest_min_rows"]) if use_forest else {}
     limit = config["manual_review"]["coercion_loss_threshold"]
