@@ -27,6 +27,22 @@ def median_of(df: DataFrame, column: str) -> float | None:
     return quantiles(v, "gid", "v", {0: n}, [0.5])[(0, 0.5)]
 
 
+def modes_of(df: DataFrame, columns: list[str]) -> dict:
+    """Mode of every column in one job: (column, value) counts, then per column
+    the value with the highest count, smallest on ties (``min_by`` on
+    ``(-count, value)``: an aggregate, no window)."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
+                                for i, c in enumerate(columns)])).alias("x")
+    rows = (df.select(cells).select("x.k", "x.v").filter(F.col("v").isNotNull())
+              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy("k").agg(F.min_by("v", F.struct((-F.col("c")).alias("nc"), F.col("v").alias("vv"))).alias("m"))
+              .collect())
+    got = {r["k"]: r["m"] for r in rows}
+    return {c: got.get(i) for i, c in enumerate(columns)}
+
+
 def mode_of(df: DataFrame, column: str):
     """Most frequent non-null value, smallest among ties (pandas ``mode()[0]``)."""
     r = (df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
@@ -34,8 +50,13 @@ def mode_of(df: DataFrame, column: str):
     return r[0][column] if r else None
 
 
-def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, config: dict):
-    """Returns (cleaned frame, issues with fix_applied / why / impact filled, action log)."""
+def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, config: dict,
+          stats: dict | None = None):
+    """Returns (cleaned frame, issues with fix_applied / why / impact filled, action log).
+
+    ``stats`` may carry medians already found by issue detection.
+    """
+    stats = stats or {}
     types = {s["column"]: s["type"] for s in schema}
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     strategy = config["imputation"]
@@ -54,6 +75,8 @@ def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, conf
         else:
             exprs[c] = F.col(c)
     typed = df.select(*[exprs[c].alias(c) for c in df.columns])
+    need_mode = [d["column"] for d in issues if d["issue"] == MISSING and types.get(d["column"]) == "categorical"]
+    modes = modes_of(df, need_mode) if strategy["categorical"] == "mode" else {}
     drop_dups = False
     for d in issues:
         d = dict(d)
@@ -64,8 +87,10 @@ def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, conf
             if t == "numeric":
                 how = strategy["numeric"]
                 if how in ("median", "mean"):
-                    fill = median_of(typed, c) if how == "median" else \
-                        typed.agg(F.avg(c)).collect()[0][0]
+                    if how == "median":
+                        fill = stats.get(c, {}).get("median") if "median" in stats.get(c, {}) else median_of(typed, c)
+                    else:
+                        fill = typed.agg(F.avg(c)).collect()[0][0]
                     exprs[c] = F.coalesce(exprs[c], F.lit(fill).cast("double"))
                     d.update(fix_applied=f"Filled missing values using {how} ({fill:.2f})" if fill is not None
                              else f"Filled missing values using {how} (nan)",
@@ -79,7 +104,7 @@ def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, conf
                              impact="Missing values set to zero")
                     act.update(method="zero", fill_value="0")
             elif t == "categorical":
-                fill = mode_of(df, c) if strategy["categorical"] == "mode" else None
+                fill = modes.get(c) if strategy["categorical"] == "mode" else None
                 if fill is not None:
                     exprs[c] = F.coalesce(exprs[c], F.lit(fill).cast(dtypes[c]))
                     d.update(fix_applied=f'Filled missing values using mode ("{fill}")',

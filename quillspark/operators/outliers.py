@@ -40,7 +40,7 @@ def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: fl
         return []
     first = moments if moments is not None else df.agg(*moment_aggs(columns)).collect()[0].asDict()
     counts = {i: first[f"n{i}"] for i in range(len(columns)) if first[f"n{i}"] >= min_n}
-    qs = quantiles(_values(df, columns), "gid", "v", counts, [0.25, 0.75]) if counts else {}
+    qs = quantiles(_values(df, columns), "gid", "v", counts, [0.25, 0.5, 0.75]) if counts else {}
     out, aggs2 = [], []
     for i, c in enumerate(columns):
         n = first[f"n{i}"]
@@ -48,7 +48,7 @@ def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: fl
                "lower": None, "upper": None, "iqr_count": 0, "z_count": 0}
         if n >= min_n:
             q1, q3 = qs[(i, 0.25)], qs[(i, 0.75)]
-            rec.update(q1=q1, q3=q3, lower=q1 - iqr_k * (q3 - q1), upper=q3 + iqr_k * (q3 - q1))
+            rec.update(q1=q1, q3=q3, median=qs[(i, 0.5)], lower=q1 - iqr_k * (q3 - q1), upper=q3 + iqr_k * (q3 - q1))
             v = F.col(c).cast("double")
             aggs2.append(F.count_if((v < F.lit(rec["lower"])) | (v > F.lit(rec["upper"]))).alias(f"i{i}"))
             sd = rec["std_pop"]

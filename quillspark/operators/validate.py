@@ -79,8 +79,13 @@ def _issue(col, name, rows, **extra):
     return d
 
 
-def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: bool | None = None) -> list[dict]:
-    """The reference's issue list (plain dicts, a handful of rows)."""
+def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: bool | None = None,
+                  stats: dict | None = None) -> list[dict]:
+    """The reference's issue list (plain dicts, a handful of rows).
+
+    ``stats`` (optional dict) receives per-numeric-column statistics found on
+    the way (``median``), which the cleaning phase reuses.
+    """
     oc = config["outlier"]
     if use_forest is None:
         use_forest = oc.get("isolation_forest", True)
@@ -89,6 +94,10 @@ def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: b
     typed = df.select(*[_num(c, dict((f.name, f.dataType) for f in df.schema.fields)[c]).alias(c) for c in numeric])
     ost = {o["column"]: o for o in outlier_stats(typed, numeric, oc["iqr_multiplier"], oc["zscore_threshold"],
                                                  moments=q["__moments"])}
+    if stats is not None:
+        for c, o in ost.items():
+            if o.get("median") is not None:
+                stats.setdefault(c, {})["median"] = o["median"]
     iso = isolation_counts(typed, [c for c in numeric if ost[c]["n"] >= oc["isolationforest_min_rows"]],
                            oc["contamination"], oc["isolationforest_min_rows"]) if use_forest else {}
     limit = config["manual_review"]["coercion_loss_threshold"]

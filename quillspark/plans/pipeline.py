@@ -65,8 +65,9 @@ def run_validation(spark: SparkSession, source, name: str = "upload.csv", persis
     if rows_before == 0:
         return {"report": error_report(spark, dataset_id, "File contains no data"), "cleaned": None}
     schema = INF.infer_types(std, cfg)
-    issues = VA.detect_issues(std, schema, cfg)
-    cleaned, fixed, actions = CL.clean(std, issues, schema, mode, cfg)
+    stats: dict = {}
+    issues = VA.detect_issues(std, schema, cfg, stats=stats)
+    cleaned, fixed, actions = CL.clean(std, issues, schema, mode, cfg, stats)
     cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
     rows_after = cleaned.count()
     by_type = {t: [s["column"] for s in schema if s["type"] == t] for t in ("numeric", "categorical", "date")}

@@ -282,9 +282,9 @@ issues AS (SELECT row_number() OVER (ORDER BY o) - 1 AS pos, "column", issue, ro
 ISSUES_SQL = _issues_sql()
 
 
-def _issues(spark, sf, forest=False):
+def _issues(spark, sf, forest=False, stats=None):
     cfg, std = _prep(spark, sf, forest)
-    return cfg, std, VA.detect_issues(std, _schema(), cfg, use_forest=forest)
+    return cfg, std, VA.detect_issues(std, _schema(), cfg, use_forest=forest, stats=stats)
 
 
 @register("validate_issues", ISSUES_SQL + "\nSELECT pos, \"column\", issue, rows_affected FROM issues")
@@ -364,8 +364,9 @@ def _clean_sql(distinct: bool = True) -> str:
 
 
 def _cleaned(spark, sf, mode="lenient"):
-    cfg, std, issues = _issues(spark, sf)
-    cleaned, fixed, actions = CL.clean(std, issues, _schema(), mode, cfg)
+    stats = {}
+    cfg, std, issues = _issues(spark, sf, stats=stats)
+    cleaned, fixed, actions = CL.clean(std, issues, _schema(), mode, cfg, stats)
     return cfg, std, cleaned, fixed, actions
 
 

@@ -111,3 +111,12 @@ def test_file_gate(spark):
     assert got["big.csv"] == "File size (21.00 MB) exceeds maximum allowed size (19.07 MB)"
     assert got["empty.csv"] == "File is empty"
     assert got["notes.txt"] == "Unsupported file format '.txt'. Allowed formats: .csv, .xlsx"
+
+
+def test_median_fill_on_short_numeric_column(spark):
+    d = tempfile.mkdtemp(prefix="quill-csv-")
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("sales,name\n1.5,a\n,b\n3.5,c\n")
+    out = run_validation(spark, d, persist=False)
+    assert out["issues"][0]["fix_applied"] == "Filled missing values using median (2.50)"
+    assert sorted(r["sales"] for r in out["cleaned"].collect()) == [1.5, 2.5, 3.5]
