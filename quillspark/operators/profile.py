@@ -85,25 +85,39 @@ def categorical_top(df: DataFrame, column: str, top: int = 10) -> DataFrame:
 
 
 def categorical_profiles(df: DataFrame, columns: list[str], config: dict) -> list[dict]:
-    """Top values, distinct count and notes per categorical column."""
+    """Top values, distinct count and notes per categorical column.
+
+    One ``(column, value)`` count aggregate feeds both the distinct/total
+    counts and the top-N per column.  The top-N uses ``row_number() <= N``,
+    for which Spark plans a partial WindowGroupLimit before the shuffle, so
+    no task ever receives more than N rows per column and map partition.
+    """
+    from pyspark.sql import Window
     out = []
     if not columns:
         return out
-    # distinct and non-null counts for every column in one (column, value) aggregate
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
                                 for i, c in enumerate(columns)])).alias("x")
-    per = (df.select(cells).select("x.k", "x.v").filter(F.col("v").isNotNull())
-             .groupBy("k", "v").count().groupBy("k")
-             .agg(F.count(F.lit(1)).alias("distinct"), F.sum("count").alias("total")).collect())
+    vc = (df.select(cells).select("x.k", "x.v").filter(F.col("v").isNotNull())
+            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("count"))).persist()
+    try:
+        per = vc.groupBy("k").agg(F.count(F.lit(1)).alias("distinct"), F.sum("count").alias("total")).collect()
+        top_n = config["analysis"]["top_values_count"]
+        w = Window.partitionBy("k").orderBy(F.col("count").desc(), F.col("v"))
+        tops = (vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+                  .select("k", "rank", "v", "count").collect())
+    finally:
+        vc.unpersist()
     stats = {r["k"]: r for r in per}
-    top_n = config["analysis"]["top_values_count"]
+    by_k: dict[int, list] = {}
+    for r in sorted(tops, key=lambda r: (r["k"], r["rank"])):
+        by_k.setdefault(r["k"], []).append((r["v"], r["count"]))
     for i, c in enumerate(columns):
         if i not in stats:
             continue
-        tops = [(r["value"], r["count"]) for r in categorical_top(df, c, top_n).collect()]
         d, total = stats[i]["distinct"], stats[i]["total"]
-        out.append({"column": c, "top_values": tops, "unique_count": d,
-                    "notes": categorical_notes(tops, d, total)})
+        t = by_k.get(i, [])
+        out.append({"column": c, "top_values": t, "unique_count": d, "notes": categorical_notes(t, d, total)})
     return out
 
 

@@ -367,7 +367,8 @@ def _cleaned(spark, sf, mode="lenient"):
     stats = {}
     cfg, std, issues = _issues(spark, sf, stats=stats)
     cleaned, fixed, actions = CL.clean(std, issues, _schema(), mode, cfg, stats)
-    return cfg, std, cleaned, fixed, actions
+    # several phases scan the cleaned table (as in the pipeline): keep it once
+    return cfg, std, cleaned.persist(StorageLevel.MEMORY_AND_DISK), fixed, actions
 
 
 def _present(df):
