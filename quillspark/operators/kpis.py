@@ -86,7 +86,7 @@ def revenue_over_time(df: DataFrame, date: str, amount: str, min_months: int = 2
 
 
 def top_groups(df: DataFrame, key: str, value: str | None, n: int | None,
-               agg: str = "sum", pie_max: int | None = None) -> DataFrame:
+               agg: str = "sum", pie_max: int | None = None, weight: str | None = None) -> DataFrame:
     """``(id, value)`` per key, descending, first ``n``.
 
     With ``pie_max`` a ``chart`` column says pie when the total number of
@@ -96,7 +96,7 @@ def top_groups(df: DataFrame, key: str, value: str | None, n: int | None,
     """
     from pyspark.sql import Window
     if agg == "count":
-        vexpr = F.count(F.lit(1)).alias("value")
+        vexpr = (F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias("value")
     else:
         vexpr = F.round(F.sum(value), 2).alias("value")
     grouped = df.groupBy(F.col(key).cast("string").alias("id")).agg(vexpr)
@@ -119,10 +119,11 @@ def sales_by_category(df, category, amount):
     return top_groups(df, category, amount, 9, pie_max=12)
 
 
-def count_by_category(df, category, max_distinct: int = 12):
+def count_by_category(df, category, max_distinct: int = 12, weight: str | None = None):
     """Counts per category, top 9, only when the category has <= 12 values."""
     from pyspark.sql import Window
-    grouped = df.groupBy(F.col(category).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("value"))
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    grouped = df.groupBy(F.col(category).cast("string").alias("id")).agg(n.alias("value"))
     order = [F.col("value").desc(), F.col("id").asc_nulls_last()]
     head = grouped.orderBy(*order).limit(max_distinct + 1)
     return (head.withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
@@ -135,17 +136,18 @@ def sales_by_region(df, country, amount):
     return top_groups(df, country, amount, 10)
 
 
-def orders_by_status(df, status):
-    return top_groups(df, status, None, None, agg="count")
+def orders_by_status(df, status, weight: str | None = None):
+    return top_groups(df, status, None, None, agg="count", weight=weight)
 
 
 def qty_by_category(df, category, quantity):
     return top_groups(df, category, quantity, 8)
 
 
-def industry_context(df, target):
+def industry_context(df, target, weight: str | None = None):
     """Top 3 values of the product/category column by row count."""
-    return (df.groupBy(F.col(target).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("cnt"))
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    return (df.groupBy(F.col(target).cast("string").alias("id")).agg(n.alias("cnt"))
               .orderBy(F.col("cnt").desc(), F.col("id")).limit(3))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kpis as K
-from ..sources.tables import order_sales, sales_view, sales_view_sql
+from ..sources.tables import customer_sales, order_sales, part_sales, sales_view, sales_view_sql
 from .registry import register
 
 S = sales_view_sql
@@ -51,7 +51,7 @@ SELECT id, value, CASE WHEN (SELECT count(*) FROM g) <= 12 THEN 'pie_chart' ELSE
 FROM g ORDER BY value DESC, id LIMIT 9
 """)
 def q_sales_by_category(spark, sf):
-    return K.sales_by_category(sales_view(spark, sf, ["category", "amount"]), "category", "amount")
+    return K.sales_by_category(part_sales(spark, sf, ["category"]), "category", "amount")
 
 
 @register("count_by_category", f"""
@@ -59,7 +59,7 @@ WITH g AS (SELECT CAST(category AS VARCHAR) AS id, count(*) AS value FROM {S(['c
 SELECT id, value FROM g WHERE (SELECT count(*) FROM g) <= 12 ORDER BY value DESC, id LIMIT 9
 """)
 def q_count_by_category(spark, sf):
-    return K.count_by_category(sales_view(spark, sf, ["category"]), "category")
+    return K.count_by_category(part_sales(spark, sf, ["category"]), "category", weight="lines")
 
 
 @register("sales_by_region", f"""
@@ -67,14 +67,14 @@ SELECT CAST(country AS VARCHAR) AS id, round(sum(amount), 2) AS value
 FROM {S(['country', 'amount'])} GROUP BY 1 ORDER BY value DESC, id LIMIT 10
 """)
 def q_sales_by_region(spark, sf):
-    return K.sales_by_region(sales_view(spark, sf, ["country", "amount"]), "country", "amount")
+    return K.sales_by_region(customer_sales(spark, sf), "country", "amount")
 
 
 @register("orders_by_status", f"""
 SELECT CAST(status AS VARCHAR) AS id, count(*) AS value FROM {S(['status'])} GROUP BY 1
 """)
 def q_orders_by_status(spark, sf):
-    return K.orders_by_status(sales_view(spark, sf, ["status"]), "status")
+    return K.orders_by_status(order_sales(spark, sf, ["status"]), "status", weight="lines")
 
 
 @register("qty_by_category", f"""
@@ -82,7 +82,7 @@ SELECT CAST(category AS VARCHAR) AS id, round(sum(quantity), 2) AS value
 FROM {S(['category', 'quantity'])} GROUP BY 1 ORDER BY value DESC, id LIMIT 8
 """)
 def q_qty_by_category(spark, sf):
-    return K.qty_by_category(sales_view(spark, sf, ["category", "quantity"]), "category", "quantity")
+    return K.qty_by_category(part_sales(spark, sf, ["category"]), "category", "quantity")
 
 
 @register("industry_context", f"""
@@ -90,7 +90,7 @@ SELECT CAST(product AS VARCHAR) AS id, count(*) AS cnt FROM {S(['product'])}
 GROUP BY 1 ORDER BY cnt DESC, id LIMIT 3
 """)
 def q_industry_context(spark, sf):
-    return K.industry_context(sales_view(spark, sf, ["product"]), "product")
+    return K.industry_context(part_sales(spark, sf, ["product"]), "product", weight="lines")
 
 
 @register("period_total", f"""
@@ -123,5 +123,5 @@ t AS (SELECT id, value, CASE WHEN (SELECT count(*) FROM g) <= 12 THEN 'pie_chart
 SELECT id, value, chart, round(coalesce(value * 100.0 / nullif((SELECT sum(value) FROM t), 0), 0), 1) AS share_pct FROM t
 """)
 def q_share_of_total(spark, sf):
-    chart = K.sales_by_category(sales_view(spark, sf, ["category", "amount"]), "category", "amount")
+    chart = K.sales_by_category(part_sales(spark, sf, ["category"]), "category", "amount")
     return K.share_of_total(chart)

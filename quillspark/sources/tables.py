@@ -103,3 +103,32 @@ def order_sales(spark: SparkSession, sf_dir: str, roles: list[str]) -> DataFrame
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "inner")
     return joined.select(F.col("l_orderkey").alias("order_id"), *[F.col(SALES_ROLES[r][1]).alias(r) for r in o_roles],
                          "amount", "quantity", "lines")
+
+
+def part_sales(spark: SparkSession, sf_dir: str, roles: list[str]) -> DataFrame:
+    """Line sums per part joined to ``part``: roll-ups by product / category.
+
+    The join then sees one row per part instead of one per line.  Columns:
+    the part roles requested plus ``amount``, ``quantity`` and ``lines``.
+    """
+    lines = (table(spark, sf_dir, "lineitem").groupBy("l_partkey")
+             .agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
+                  F.count(F.lit(1)).alias("lines")))
+    p_roles = [r for r in roles if SALES_ROLES[r][0] == "part"]
+    part = table(spark, sf_dir, "part").select("p_partkey", *[SALES_ROLES[r][1] for r in p_roles])
+    return (lines.join(part, lines.l_partkey == part.p_partkey, "inner")
+                 .select(*[F.col(SALES_ROLES[r][1]).alias(r) for r in p_roles], "amount", "quantity", "lines"))
+
+
+def customer_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order sums rolled up per customer, joined to customer and nation:
+    roll-ups by country.  Columns: ``country``, ``amount``, ``quantity``, ``lines``."""
+    per_order = order_sales(spark, sf_dir, ["customer_id"])
+    per_cust = (per_order.groupBy("customer_id")
+                .agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"),
+                     F.sum("lines").alias("lines")))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (per_cust.join(cust, per_cust.customer_id == cust.c_custkey, "inner")
+                    .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "inner")
+                    .select(F.col("n_name").alias("country"), "amount", "quantity", "lines"))

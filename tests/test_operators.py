@@ -202,3 +202,14 @@ def test_config_checks():
         load_config({"health_weights": {"completeness": 0.9}})
     with pytest.raises(ValueError):
         load_config({"outlier": {"contamination": 0.6}})
+
+
+def test_isolation_forest_flags_about_contamination(spark):
+    from quillspark.operators.isoforest import isolation_counts
+    rng = np.random.default_rng(2)
+    vals = list(rng.normal(100, 5, 2000)) + [1000.0, -900.0]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = isolation_counts(df, ["x"], contamination=0.05)["x"]
+    assert 0.03 * len(vals) <= got <= 0.07 * len(vals)
+    small = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    assert isolation_counts(small, ["x"])["x"] == 0
