@@ -213,3 +213,11 @@ def test_isolation_forest_flags_about_contamination(spark):
     assert 0.03 * len(vals) <= got <= 0.07 * len(vals)
     small = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     assert isolation_counts(small, ["x"])["x"] == 0
+
+
+def test_chart_shaping(spark):
+    from quillspark.operators.shape import chart_rows, infer_xy_keys
+    assert infer_xy_keys(["month", "revenue"]) == ("month", "revenue")
+    assert infer_xy_keys(["a", "b"]) == ("a", "b")
+    df = spark.createDataFrame([("x", 3), (None, None)], "category string, count long")
+    assert [tuple(r) for r in chart_rows(df).collect()] == [("x", 3.0), ("Unknown", 0.0)]
