@@ -144,38 +144,52 @@ def categorical_notes(tops: list[tuple], distinct: int, total: int) -> str:
 _DAY = 86_400_000_000
 
 
+def _gap_buckets(distinct: DataFrame, n_distinct: int, per_bucket: int = 1_000_000) -> DataFrame:
+    """Add ``bk``: count-balanced range buckets of ``t`` (approximate quantile
+    boundaries, assigned by Bucketizer's binary search).  Boundaries only
+    decide task sizes; the pairing below is exact for any boundaries."""
+    from pyspark.ml.feature import Bucketizer
+    b = max(1, min(100_000, -(-n_distinct // per_bucket)))
+    x = distinct.withColumn("_td", F.col("t").cast("double"))
+    if b == 1:
+        return x.withColumn("bk", F.lit(0.0))
+    probs = [i / b for i in range(1, b)]
+    cuts = x.agg(F.percentile_approx("_td", probs, 10_000).alias("q")).first()["q"] or []
+    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+    return Bucketizer(splits=splits, inputCol="_td", outputCol="bk").transform(x)
+
+
 def date_profile(df: DataFrame, column: str) -> DataFrame:
     """One row: min_date, max_date, date_range_days, median_gap_days, estimated_frequency, notes.
 
     The gaps of the sorted dates are: one gap between consecutive distinct
     values (weight 1) plus a zero gap for every repeat (weight count - 1).
-    Consecutive distinct values are paired inside range buckets of the value
-    (a deterministic expression), and the first value of each bucket is
-    paired with the last value of the previous non-empty bucket on a frame
-    of one row per bucket.
+    Consecutive distinct values are paired inside count-balanced range
+    buckets, and the first value of each bucket is paired with the last
+    value of the previous bucket on a frame of one row per bucket.
     """
+    from pyspark import StorageLevel
     us = epoch_micros(column)
     vals = df.select(us.alias("t")).filter(F.col("t").isNotNull())
     rng = vals.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
-    distinct = vals.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / 4096))
-    b = distinct.crossJoin(F.broadcast(rng)).withColumn("bk", F.floor((F.col("t") - F.col("lo")) / width))
-    w = Window.partitionBy("bk").orderBy("t")
-    inner = b.withColumn("prev", F.lag("t").over(w))
-    edges = inner.groupBy("bk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    ew = Window.orderBy("bk")  # one row per bucket (<= 4097 rows)
-    cross = edges.withColumn("prev_last", F.lag("last").over(ew)).select("bk", "first", "prev_last")
-    gaps_pos = (inner.join(F.broadcast(cross), "bk")
-                     .select(F.when(F.col("prev").isNotNull(), F.col("t") - F.col("prev"))
-                              .otherwise(F.col("t") - F.col("prev_last")).alias("g"))
-                     .filter(F.col("g").isNotNull()).withColumn("w", F.lit(1)))
-    gaps_zero = distinct.filter(F.col("c") > 1).select(F.lit(0).cast("long").alias("g"),
-                                                       (F.col("c") - 1).alias("w"))
-    gaps = gaps_pos.unionByName(gaps_zero).select(F.lit(0).alias("gid"), "g", "w")
+    distinct = vals.groupBy("t").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
     rr = rng.collect()[0]
     n = rr["n"]
     median_days = None
     if n and n > 1:
+        b = _gap_buckets(distinct, distinct.count())
+        w = Window.partitionBy("bk").orderBy("t")
+        inner = b.withColumn("prev", F.lag("t").over(w))
+        edges = inner.groupBy("bk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        ew = Window.orderBy("bk")  # one row per bucket
+        cross = edges.withColumn("prev_last", F.lag("last").over(ew)).select("bk", "prev_last")
+        gaps_pos = (inner.join(F.broadcast(cross), "bk")
+                         .select(F.when(F.col("prev").isNotNull(), F.col("t") - F.col("prev"))
+                                  .otherwise(F.col("t") - F.col("prev_last")).alias("g"))
+                         .filter(F.col("g").isNotNull()).withColumn("w", F.lit(1)))
+        gaps_zero = distinct.filter(F.col("c") > 1).select(F.lit(0).cast("long").alias("g"),
+                                                           (F.col("c") - 1).alias("w"))
+        gaps = gaps_pos.unionByName(gaps_zero).select(F.lit(0).alias("gid"), "g", "w")
         m = n - 1
         h = (m - 1) * 0.5
         lo = int(h)
@@ -184,6 +198,7 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
         a, bb = got[(0, ks[0])], got[(0, ks[-1])]
         med = a + (bb - a) * (h - lo)
         median_days = int(med // _DAY)
+    distinct.unpersist()
     freq = None
     if median_days is not None:
         freq = ("daily" if median_days <= 1 else "weekly" if median_days <= 7 else "monthly"

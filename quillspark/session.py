@@ -37,6 +37,11 @@ def get_spark(master: str | None = None, app: str = "quillspark",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not shuffle_partitions and "spark.sql.shuffle.partitions" not in (extra or {}):
+        # Start shuffles wide (4 per core of the cluster) and let AQE coalesce
+        # them to the advisory size: the static default of 200 cannot grow.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                       str(max(200, 4 * spark.sparkContext.defaultParallelism)))
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -221,3 +221,20 @@ def test_chart_shaping(spark):
     assert infer_xy_keys(["a", "b"]) == ("a", "b")
     df = spark.createDataFrame([("x", 3), (None, None)], "category string, count long")
     assert [tuple(r) for r in chart_rows(df).collect()] == [("x", 3.0), ("Unknown", 0.0)]
+
+
+def test_date_profile_gap_median_across_buckets(spark, monkeypatch):
+    from datetime import timedelta
+    from quillspark.operators import profile as PR
+    rng = np.random.default_rng(0)
+    base = datetime(2010, 1, 1)
+    ts = [base + timedelta(days=int(x), seconds=int(y)) for x, y in
+          zip(rng.integers(0, 3650, 400), rng.integers(0, 86400, 400))] + [base] * 3
+    df = spark.createDataFrame([(t,) for t in ts], "d timestamp_ntz")
+    orig = PR._gap_buckets
+    monkeypatch.setattr(PR, "_gap_buckets", lambda d, n, per_bucket=1_000_000: orig(d, n, per_bucket=37))
+    r = PR.date_profile(df, "d").first()
+    gaps = pd.Series(sorted(ts)).diff().dropna()
+    assert r["median_gap_days"] == gaps.median().days
+    assert r["estimated_frequency"] == "weekly"
+    assert r["date_range_days"] == (max(ts) - min(ts)).days
