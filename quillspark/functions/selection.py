@@ -117,6 +117,8 @@ def _select(base: DataFrame, targets, gids, buckets, small, max_passes):
                         t.value, t.done = v, True
                         break
                     acc += c
+    if any(not t.done for t in ts):
+        raise RuntimeError("select_kth did not converge; raise max_passes")
     return {(t.gid, targets[t.tid][1]): t.value for t in ts}
 
 

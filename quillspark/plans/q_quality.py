@@ -604,7 +604,7 @@ comp AS (SELECT
    coalesce(sum(rows_affected) FILTER (WHERE issue IN ('Mixed date formats', 'Type mismatch - high coercion loss')), 0) AS consist,
    coalesce(sum(rows_affected) FILTER (WHERE issue = 'Extreme outliers detected'), 0) AS outl FROM issues),
 sc AS (SELECT greatest(0.0, 1 - missing / (r * c)) AS completeness, greatest(0.0, 1 - dups / r) AS uniqueness,
-              greatest(0.0, 1 - consist / (r * c)) AS consistency, 1.0 AS validity,
+              greatest(0.0, 1 - consist / (r * c)) AS consistency, 1.0::DOUBLE AS validity,
               least(1.0, outl / r) AS outlier_penalty FROM comp, shape),
 hs AS (SELECT *, round(greatest(0.0, least(1.0, completeness * 0.35 + uniqueness * 0.2 + consistency * 0.2
                   + validity * 0.15 - outlier_penalty * 0.1)), 2) AS health_score FROM sc)"""
