@@ -17,6 +17,42 @@ from ..functions.selection import quantiles
 from .infer import _num
 from .validate import COERCION, DUPLICATES, MISSING, MIXED, OUTLIERS
 
+# Fixed values that must equal the reference: (fix_applied, why, impact) per fix.
+# "{fill}" and "{rows}" are filled in at run time.
+FIX_TEXTS = {
+    "median": ("Filled missing values using median ({fill})", "Median preserves distribution and avoids outlier bias",
+               "Minor numerical approximation"),
+    "mean": ("Filled missing values using mean ({fill})", "Mean provides average value for missing data",
+             "Minor numerical approximation"),
+    "zero": ("Filled missing values with 0", "Zero is a safe default for numeric data", "Missing values set to zero"),
+    "mode": ('Filled missing values using mode ("{fill}")', "Mode is the most frequent value in the category",
+             "Mode value used for {rows} rows"),
+    "unknown_no_mode": ('Filled missing values with "Unknown"', "No mode available, using placeholder",
+                        "Missing values marked as Unknown"),
+    "unknown": ('Filled missing values with "Unknown"', "Explicit placeholder for missing categorical data",
+                "Missing values marked as Unknown"),
+    "keep_nat": ("Missing dates kept as NaT (Not a Time)", "Date imputation could introduce misleading temporal data",
+                 "No data loss, missing dates remain null"),
+    "empty_string": ("Filled missing values with empty string", "Empty string is appropriate for text data",
+                     "Missing text values set to empty"),
+    "dates": ("Converted all values to YYYY-MM-DD format",
+              "Consistent date formats are required for time-based analysis", "No data loss"),
+    "flag_only": ("Duplicates flagged for manual review", "Strict mode requires manual review of duplicates",
+                  "No rows removed"),
+    "remove_keep_first": ("Removed duplicate rows, keeping first occurrence",
+                          "Duplicates would inflate metrics and analysis results", "{rows} rows removed"),
+    "outliers": ("Outliers flagged but not removed", "Outliers may represent valid extreme values", "No data removed"),
+    "coercion_lenient": ("Column kept as string type due to high coercion loss", "Preserves all data without loss",
+                         "Column treated as text instead of numeric/date"),
+    "coercion_strict": (None, "Manual review required in strict mode", "No automatic fix applied"),
+}
+
+
+def _texts(key: str, fill=None, rows=None) -> dict:
+    f, w, i = FIX_TEXTS[key]
+    fmt = (lambda t: None if t is None else t.format(fill=fill, rows=rows))
+    return {"fix_applied": fmt(f), "why": fmt(w), "impact": fmt(i)}
+
 
 def median_of(df: DataFrame, column: str) -> float | None:
     v = df.select(F.lit(0).alias("gid"), F.col(column).cast("double").alias("v")).filter(
@@ -92,72 +128,49 @@ def clean(df: DataFrame, issues: list[dict], schema: list[dict], mode: str, conf
                     else:
                         fill = typed.agg(F.avg(c)).collect()[0][0]
                     exprs[c] = F.coalesce(exprs[c], F.lit(fill).cast("double"))
-                    d.update(fix_applied=f"Filled missing values using {how} ({fill:.2f})" if fill is not None
-                             else f"Filled missing values using {how} (nan)",
-                             why=("Median preserves distribution and avoids outlier bias" if how == "median"
-                                  else "Mean provides average value for missing data"),
-                             impact="Minor numerical approximation")
+                    d.update(_texts(how, fill=f"{fill:.2f}" if fill is not None else "nan"))
                     act.update(method=how, fill_value=None if fill is None else str(float(fill)))
                 else:
                     exprs[c] = F.coalesce(exprs[c], F.lit(0.0))
-                    d.update(fix_applied="Filled missing values with 0", why="Zero is a safe default for numeric data",
-                             impact="Missing values set to zero")
+                    d.update(_texts("zero"))
                     act.update(method="zero", fill_value="0")
             elif t == "categorical":
                 fill = modes.get(c) if strategy["categorical"] == "mode" else None
                 if fill is not None:
                     exprs[c] = F.coalesce(exprs[c], F.lit(fill).cast(dtypes[c]))
-                    d.update(fix_applied=f'Filled missing values using mode ("{fill}")',
-                             why="Mode is the most frequent value in the category",
-                             impact=f"Mode value used for {d['rows_affected']} rows")
+                    d.update(_texts("mode", fill=fill, rows=d["rows_affected"]))
                     act.update(method="mode", fill_value=str(fill))
                 else:
                     exprs[c] = F.coalesce(exprs[c].cast("string"), F.lit("Unknown"))
-                    d.update(fix_applied='Filled missing values with "Unknown"',
-                             why=("No mode available, using placeholder" if strategy["categorical"] == "mode"
-                                  else "Explicit placeholder for missing categorical data"),
-                             impact="Missing values marked as Unknown")
+                    d.update(_texts("unknown_no_mode" if strategy["categorical"] == "mode" else "unknown"))
                     act.update(method="unknown", fill_value="Unknown")
             elif t == "date":
-                d.update(fix_applied="Missing dates kept as NaT (Not a Time)",
-                         why="Date imputation could introduce misleading temporal data",
-                         impact="No data loss, missing dates remain null")
+                d.update(_texts("keep_nat"))
                 act.update(method="keep_nat", fill_value=None)
             else:
                 exprs[c] = F.coalesce(exprs[c].cast("string"), F.lit(""))
-                d.update(fix_applied="Filled missing values with empty string",
-                         why="Empty string is appropriate for text data", impact="Missing text values set to empty")
+                d.update(_texts("empty_string"))
                 act.update(method="empty_string", fill_value="")
             actions.append(act)
         elif kind == MIXED:
             # exprs[c] already parses the column (date columns are always typed).
-            d.update(fix_applied="Converted all values to YYYY-MM-DD format",
-                     why="Consistent date formats are required for time-based analysis", impact="No data loss")
+            d.update(_texts("dates"))
             actions.append({"column": c, "action": "standardize_dates", "rows_affected": d["rows_affected"],
                             "method": "to_datetime", "fill_value": None})
         elif kind == DUPLICATES:
             act = {"column": None, "action": "handle_duplicates", "rows_affected": d["rows_affected"]}
             if mode == "strict":
-                d.update(fix_applied="Duplicates flagged for manual review",
-                         why="Strict mode requires manual review of duplicates", impact="No rows removed")
+                d.update(_texts("flag_only"))
                 act.update(method="flag_only", fill_value=None)
             else:
                 drop_dups = True
-                d.update(fix_applied="Removed duplicate rows, keeping first occurrence",
-                         why="Duplicates would inflate metrics and analysis results",
-                         impact=f"{d['rows_affected']} rows removed")
+                d.update(_texts("remove_keep_first", rows=d["rows_affected"]))
                 act.update(method="remove_keep_first", fill_value=None)
             actions.append(act)
         elif kind == OUTLIERS:
-            d.update(fix_applied="Outliers flagged but not removed", why="Outliers may represent valid extreme values",
-                     impact="No data removed")
+            d.update(_texts("outliers"))
         elif kind == COERCION:
-            if mode == "lenient":
-                d.update(fix_applied="Column kept as string type due to high coercion loss",
-                         why="Preserves all data without loss", impact="Column treated as text instead of numeric/date")
-            else:
-                d.update(fix_applied=None, why="Manual review required in strict mode",
-                         impact="No automatic fix applied")
+            d.update(_texts("coercion_lenient" if mode == "lenient" else "coercion_strict"))
         out_issues.append(d)
     cleaned = df.select(*[exprs[c].alias(c) for c in df.columns])
     if drop_dups:

@@ -15,6 +15,22 @@ from ..functions.dates import epoch_micros, from_epoch_micros
 from ..functions.selection import quantiles, select_kth
 
 
+# Fixed values that must equal the reference: profile note templates.
+NOTE_SKEW = "{title} is {side}-skewed"
+NOTE_TOPK = "top {pct}% contribute ~{share:.0f}% of total"
+NOTE_HIGH_OUTLIERS = "distribution has high-value outliers"
+NOTE_LOW_OUTLIERS = "distribution has low-value outliers"
+NOTE_RANGE = "Values range from {lo:.2f} to {hi:.2f}"
+NOTE_MAJORITY = "Majority ({pct:.0f}%) are '{value}'"
+NOTE_TOP2 = "Majority come from '{a}' and '{b}'"
+NOTE_DIVERSE = "High diversity in values"
+NOTE_LIMITED = "Limited to {n} distinct values"
+NOTE_UNIQUE = "{n} unique values"
+DATE_NOTES = ["Covers less than a week", "Covers approximately one month", "Covers {n} months", "Covers {n} years",
+              "appears to be {freq} data"]
+FREQUENCIES = [(1, "daily"), (7, "weekly"), (31, "monthly"), (92, "quarterly")]  # else "yearly"
+
+
 def _title(name: str) -> str:
     return name.replace("_", " ").title()
 
@@ -65,15 +81,14 @@ def numeric_notes(p: dict, config: dict) -> str:
     notes = []
     sk = p.get("skewness")
     if sk is not None and sk == sk and abs(sk) > config["analysis"]["skewness_threshold"]:
-        notes.append(f"{_title(p['column'])} is {'right' if sk > 0 else 'left'}-skewed")
+        notes.append(NOTE_SKEW.format(title=_title(p["column"]), side="right" if sk > 0 else "left"))
     share = p.get("topk_share")
     if share is not None and share > 50:
-        notes.append(f"top {config['analysis']['top_k_contribution_pct']}% contribute ~{share:.0f}% of total")
+        notes.append(NOTE_TOPK.format(pct=config["analysis"]["top_k_contribution_pct"], share=share))
     if abs(p["median"] - p["mean"]) / (abs(p["mean"]) + 1e-10) > 0.2:
-        notes.append("distribution has high-value outliers" if p["median"] < p["mean"]
-                     else "distribution has low-value outliers")
+        notes.append(NOTE_HIGH_OUTLIERS if p["median"] < p["mean"] else NOTE_LOW_OUTLIERS)
     if not notes:
-        notes.append(f"Values range from {p['min']:.2f} to {p['max']:.2f}")
+        notes.append(NOTE_RANGE.format(lo=p["min"], hi=p["max"]))
     return "; ".join(notes)
 
 
@@ -126,18 +141,18 @@ def categorical_notes(tops: list[tuple], distinct: int, total: int) -> str:
     if tops:
         top_pct = tops[0][1] / total * 100
         if top_pct > 50:
-            notes.append(f"Majority ({top_pct:.0f}%) are '{tops[0][0]}'")
+            notes.append(NOTE_MAJORITY.format(pct=top_pct, value=tops[0][0]))
         elif distinct >= 2:
             top2 = (tops[0][1] + tops[1][1]) / total * 100
             if top2 > 70:
-                notes.append(f"Majority come from '{tops[0][0]}' and '{tops[1][0]}'")
+                notes.append(NOTE_TOP2.format(a=tops[0][0], b=tops[1][0]))
     ratio = distinct / total
     if ratio > 0.8:
-        notes.append("High diversity in values")
+        notes.append(NOTE_DIVERSE)
     elif ratio < 0.1:
-        notes.append(f"Limited to {distinct} distinct values")
+        notes.append(NOTE_LIMITED.format(n=distinct))
     if not notes:
-        notes.append(f"{distinct} unique values")
+        notes.append(NOTE_UNIQUE.format(n=distinct))
     return "; ".join(notes)
 
 
@@ -201,8 +216,7 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     distinct.unpersist()
     freq = None
     if median_days is not None:
-        freq = ("daily" if median_days <= 1 else "weekly" if median_days <= 7 else "monthly"
-                if median_days <= 31 else "quarterly" if median_days <= 92 else "yearly")
+        freq = next((name for bound, name in FREQUENCIES if median_days <= bound), "yearly")
     one = rng.select(
         F.date_format(from_epoch_micros("lo"), "yyyy-MM-dd").alias("min_date"),
         F.date_format(from_epoch_micros("hi"), "yyyy-MM-dd").alias("max_date"),
@@ -210,13 +224,16 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
         F.lit(median_days).cast("long").alias("median_gap_days"),
         F.lit(freq).cast("string").alias("estimated_frequency")).filter(F.lit(bool(n)))
     days = F.col("date_range_days")
-    span = (F.when(days < 7, F.lit("Covers less than a week"))
-             .when(days < 31, F.lit("Covers approximately one month"))
-             .when(days < 365, F.concat(F.lit("Covers "), (days / 30).cast("long").cast("string"), F.lit(" months")))
-             .otherwise(F.concat(F.lit("Covers "), (days / 365).cast("long").cast("string"), F.lit(" years"))))
+    def fill(template: str, value):
+        head, tail = template.split("{", 1)[0], template.split("}", 1)[1]
+        return F.concat(F.lit(head), value.cast("string"), F.lit(tail))
+
+    span = (F.when(days < 7, F.lit(DATE_NOTES[0]))
+             .when(days < 31, F.lit(DATE_NOTES[1]))
+             .when(days < 365, fill(DATE_NOTES[2], (days / 30).cast("long")))
+             .otherwise(fill(DATE_NOTES[3], (days / 365).cast("long"))))
     note = F.concat_ws("; ", span, F.when(F.col("estimated_frequency").isNotNull(),
-                                          F.concat(F.lit("appears to be "), F.col("estimated_frequency"),
-                                                   F.lit(" data"))))
+                                          fill(DATE_NOTES[4], F.col("estimated_frequency"))))
     return one.withColumn("column", F.lit(column)).withColumn("notes", note)
 
 

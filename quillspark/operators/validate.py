@@ -18,6 +18,7 @@ from .infer import _num
 from .isoforest import isolation_counts
 from .outliers import moment_aggs, outlier_stats
 
+# Fixed values that must equal the reference: issue names.
 MISSING = "Missing values"
 MIXED = "Mixed date formats"
 OUTLIERS = "Extreme outliers detected"

@@ -14,6 +14,7 @@ ROLE_KEYWORDS = {
     "country": ["country", "region", "territory", "city", "location"],
     "status": ["status", "state", "stage", "phase"],
 }
+# Fixed values that must equal the reference: diagnosis exclusions and priorities, status names.
 DIAG_EXCLUDED = ["date", "time", "id", "amount", "sales", "revenue", "price", "quantity", "cost", "total", "profit"]
 DIAG_PRIORITY = ["region", "country", "city", "state", "category", "segment", "gender", "source", "channel", "status"]
 STATUS_NAMES = ["status", "order_status", "state"]
