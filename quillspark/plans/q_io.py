@@ -88,11 +88,20 @@ def q_list_datasets(spark, sf):
     return SK.list_datasets(spark)
 
 
-@register("sample_rows")
+@register("sample_rows", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate
+FROM orders ORDER BY sha256('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10""")
 def q_sample_rows(spark, sf, n: int = 10, seed: int = 42):
-    """Repeatable sample of n rows: smallest seeded hashes of the key (TakeOrderedAndProject)."""
+    """Repeatable sample of n rows: the n smallest seeded SHA-256 digests of the key.
+
+    ``orderBy(...).limit(n)`` plans a TakeOrderedAndProject (n rows per task);
+    the digest is engine-independent, so the sample can be checked.
+    """
     o = table(spark, sf, "orders")
-    return o.orderBy(F.xxhash64(F.lit(seed), F.col("o_orderkey")), "o_orderkey").limit(n)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("o_orderkey").cast("string")), 256)
+    return (o.orderBy(digest, "o_orderkey").limit(n)
+             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")))
 
 
 def _pipeline(spark, sf):
