@@ -52,7 +52,22 @@ def error_report(spark: SparkSession, dataset_id: str | None, message: str) -> D
 
 def run_validation(spark: SparkSession, source, name: str = "upload.csv", persist: bool = True,
                    mode: str | None = "lenient", config: dict | None = None) -> dict:
-    """Runs the nine phases; returns a dict with ``report`` (1-row frame), ``cleaned`` and the parts."""
+    """Runs the nine phases; returns a dict with ``report`` (1-row frame), ``cleaned`` and the parts.
+
+    Any failure becomes an error report, as in the reference.
+    """
+    try:
+        mode = normalize_mode(mode)
+    except ValueError as e:
+        return {"report": error_report(spark, None, str(e)), "cleaned": None, "error": str(e)}
+    try:
+        return _run_validation(spark, source, name, persist, mode, config)
+    except Exception as e:  # noqa: BLE001 - reported, not swallowed
+        return {"report": error_report(spark, None, f"Validation failed: {e}"), "cleaned": None,
+                "error": str(e)}
+
+
+def _run_validation(spark, source, name, persist, mode, config) -> dict:
     cfg = load_config(config)
     mode = normalize_mode(mode)
     if isinstance(source, str):

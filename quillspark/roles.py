@@ -50,3 +50,20 @@ def forecast_columns(columns: list[str]) -> tuple[str | None, str | None]:
     val_col = next((c for c in columns if any(k in c.lower() for k in ("sales", "amount", "revenue", "total", "price"))),
                    None)
     return date_col, val_col
+
+
+# Fixed values that must equal the reference: what-if column keywords.
+WHATIF_SALES = ["sales", "amount"]
+WHATIF_PRICE = ["price", "msrp", "unit_cost"]
+WHATIF_QTY = ["qty", "quantity", "units", "count"]
+
+
+def whatif_columns(columns: list[str], target: str) -> dict:
+    """Resolve the what-if target (exact case-insensitive, then substring) and
+    the sales / price / quantity columns (column order, any keyword)."""
+    def first(words):
+        return next((c for c in columns if any(w in c.lower() for w in words)), None)
+    tgt = next((c for c in columns if c.upper() == target.upper()), None)
+    if tgt is None:
+        tgt = next((c for c in columns if target.lower() in c.lower()), None)
+    return {"target": tgt, "sales": first(WHATIF_SALES), "price": first(WHATIF_PRICE), "quantity": first(WHATIF_QTY)}

@@ -238,3 +238,17 @@ def test_date_profile_gap_median_across_buckets(spark, monkeypatch):
     assert r["median_gap_days"] == gaps.median().days
     assert r["estimated_frequency"] == "weekly"
     assert r["date_range_days"] == (max(ts) - min(ts)).days
+
+
+def test_whatif_columns_and_pipeline_errors(spark):
+    from quillspark.plans.pipeline import run_validation
+    from quillspark.roles import detect_roles, whatif_columns
+    cols = ["Order_Date", "Unit_Price", "Qty_Sold", "Sales_Total", "Region"]
+    assert whatif_columns(cols, "price") == {"target": "Unit_Price", "sales": "Sales_Total", "price": "Unit_Price",
+                                             "quantity": "Qty_Sold"}
+    assert whatif_columns(cols, "unit_price")["target"] == "Unit_Price"
+    r = detect_roles(cols)
+    assert r["date"] == "Order_Date" and r["amount"] == "Sales_Total" and r["country"] == "Region"
+    out = run_validation(spark, spark.range(3), mode="sideways")
+    rep = out["report"].first()
+    assert rep["status"] == "ERROR" and "Invalid validation mode" in rep["error"]
