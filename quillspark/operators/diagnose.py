@@ -26,15 +26,20 @@ def diagnose(df: DataFrame, date: str, metric: str, dims: list[str], start: str,
     cur, prev = _between(date, start, end), _between(date, compare_start, compare_end)
     base = df.select(date, metric, *dims).filter(cur | prev)
     m = F.col(metric).cast("double")
-    totals = base.agg(F.coalesce(F.sum(F.when(cur, m)), F.lit(0.0)).alias("total_current"),
-                      F.coalesce(F.sum(F.when(prev, m)), F.lit(0.0)).alias("total_previous"))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("dim_pos"), F.lit(d).alias("dimension"),
                                          F.col(d).cast("string").alias("segment")) for i, d in enumerate(dims)]))
-    per = (base.select(cells.alias("c"), cur.alias("_cur"), prev.alias("_prev"), m.alias("_m"))
-               .groupBy("c.dim_pos", "c.dimension", "c.segment")
-               .agg(F.sum(F.when(F.col("_cur"), F.col("_m")).otherwise(0.0)).alias("current"),
-                    F.sum(F.when(F.col("_prev"), F.col("_m")).otherwise(0.0)).alias("previous"))
-               .filter((F.col("previous") > 0) | (F.col("current") > 0)))
+    per_all = (base.select(cells.alias("c"), cur.alias("_cur"), prev.alias("_prev"), m.alias("_m"))
+                   .groupBy("c.dim_pos", "c.dimension", "c.segment")
+                   .agg(F.sum(F.when(F.col("_cur"), F.col("_m")).otherwise(0.0)).alias("current"),
+                        F.sum(F.when(F.col("_prev"), F.col("_m")).otherwise(0.0)).alias("previous"),
+                        F.count(F.when(F.col("_cur"), F.col("_m"))).alias("n_cur"),
+                        F.count(F.when(F.col("_prev"), F.col("_m"))).alias("n_prev")))
+    # Every row has exactly one segment of the first dimension, so the period
+    # totals are sums over that dimension's segments: same exchange, no re-scan.
+    totals = (per_all.filter(F.col("dim_pos") == 0)
+                     .agg(F.when(F.sum("n_cur") > 0, F.sum("current")).otherwise(0.0).alias("total_current"),
+                          F.when(F.sum("n_prev") > 0, F.sum("previous")).otherwise(0.0).alias("total_previous")))
+    per = per_all.filter((F.col("previous") > 0) | (F.col("current") > 0))
     rec = F.struct("segment", "current", "previous")
     order_key = F.struct((-F.abs(F.col("current") - F.col("previous"))).alias("a"), F.col("segment").alias("s"))
     best = (per.groupBy("dim_pos", "dimension").agg(F.min_by(rec, order_key).alias("b"))

@@ -17,26 +17,32 @@ from pyspark.sql import functions as F
 
 
 def monthly_series(df: DataFrame, date: str, value: str, null_as_zero: bool = False) -> DataFrame:
-    """``(month, y, x)`` with x = 0..n-1 over the months present."""
+    """``(month, y, x, n, last_month)`` with x = 0..n-1 over the months present.
+
+    One row per month, so the unpartitioned windows see a few hundred rows;
+    n and the last month ride along instead of a second aggregate (which
+    would evaluate the whole upstream plan again).
+    """
     v = F.col(value).cast("double")
     if null_as_zero:
         v = F.coalesce(v, F.lit(0.0))
     monthly = (df.select(F.col(date).alias("_d"), v.alias("_y")).filter(F.col("_d").isNotNull())
                  .groupBy(F.date_format("_d", "yyyy-MM").alias("month"))
                  .agg(F.coalesce(F.sum("_y"), F.lit(0.0)).alias("y")))
-    # One row per month: the unpartitioned window sees a few hundred rows.
-    return monthly.withColumn("x", (F.row_number().over(Window.orderBy("month")) - 1).cast("long"))
+    everything = Window.partitionBy()
+    return (monthly.withColumn("x", (F.row_number().over(Window.orderBy("month")) - 1).cast("long"))
+                   .withColumn("n", F.count(F.lit(1)).over(everything))
+                   .withColumn("last_month", F.max("month").over(everything)))
 
 
 def fit(series: DataFrame, degree: int = 2) -> DataFrame:
-    """One row: n, last month and the coefficients in the centred index."""
-    n = F.count(F.lit(1))
-    agg = series.agg(n.alias("n"), F.max("month").alias("last_month"), F.avg("x").alias("xm"))
-    u = F.col("x") - F.col("xm")
-    s = (series.crossJoin(F.broadcast(agg))
-               .groupBy("n", "last_month", "xm")
+    """One row: n, last month and the coefficients in the centred index u = x - (n-1)/2."""
+    xm = (F.col("n") - 1) / 2.0
+    u = F.col("x") - xm
+    s = (series.groupBy("n", "last_month")
                .agg(F.sum(u * u).alias("S2"), F.sum(u * u * u * u).alias("S4"), F.sum("y").alias("T0"),
-                    F.sum(u * F.col("y")).alias("T1"), F.sum(u * u * F.col("y")).alias("T2")))
+                    F.sum(u * F.col("y")).alias("T1"), F.sum(u * u * F.col("y")).alias("T2"))
+               .withColumn("xm", xm))
     S0, S2, S4, T0, T1, T2 = (F.col(c) for c in ("n", "S2", "S4", "T0", "T1", "T2"))
     if degree == 2:
         a = F.try_divide(S0 * T2 - S2 * T0, S0 * S4 - S2 * S2)
@@ -69,8 +75,8 @@ def forecast_horizon(df: DataFrame, date: str, value: str, horizon: int = 12) ->
     """Forecast tool: ``(month, forecast_value, total_predicted)``; needs >= 3 months."""
     p = predict(fit(monthly_series(df, date, value, null_as_zero=True), 2), horizon)
     p = p.select("month", F.round("value", 2).alias("forecast_value"))
-    total = p.agg(F.round(F.sum("forecast_value"), 2).alias("total_predicted"))  # one row
-    return p.crossJoin(F.broadcast(total))
+    # ``horizon`` rows: a window total instead of a second pass over the data
+    return p.withColumn("total_predicted", F.round(F.sum("forecast_value").over(Window.partitionBy()), 2))
 
 
 def forecast_linear(df: DataFrame, date: str, amount: str, steps: int = 3) -> DataFrame:

@@ -253,20 +253,40 @@ def correlations(df: DataFrame, columns: list[str], threshold: float = 0.7, top:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins ``(bin, lower, upper, count)``; last bin closed, empty bins kept."""
-    v = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    mm = v.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    lo = F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
-    hi = F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))
-    edges = mm.select(lo.alias("lo"), hi.alias("hi")).filter(F.col("lo").isNotNull())
+    """Equal-width bins ``(column, bin, lower, upper, count)``; last bin closed, empty bins kept."""
+    return histograms(df, [column], bins)
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """Histograms of several columns in two passes: one aggregate for every
+    column's range (two numbers each, read back as literals), one aggregate
+    of (column, bin) counts.  Empty bins come from a small range frame."""
+    spark = df.sparkSession
+    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(columns)],
+                *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(columns)]).first()
+    edges = []
+    for i, c in enumerate(columns):
+        lo, hi = mm[f"mn{i}"], mm[f"mx{i}"]
+        if lo is None:
+            continue
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        edges.append((i, c, float(lo), float(hi)))
+    if not edges:
+        return spark.createDataFrame([], "column string, bin long, lower double, upper double, count long")
+    cells = []
+    for i, c, lo, hi in edges:
+        v = F.col(c).cast("double")
+        w = (hi - lo) / bins
+        b = F.least(F.floor((v - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("long")
+        cells.append(F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.lit(i).alias("k"), b.alias("bin"))))
+    counted = (df.select(F.explode(F.array(*cells)).alias("x")).filter(F.col("x").isNotNull())
+                 .groupBy("x.k", "x.bin").agg(F.count(F.lit(1)).alias("count")))
+    frame = spark.createDataFrame([(i, c, lo, hi, j) for i, c, lo, hi in edges for j in range(bins)],
+                                  "k int, column string, lo double, hi double, bin long")
     w = (F.col("hi") - F.col("lo")) / bins
-    counted = (v.crossJoin(F.broadcast(edges))
-                .select(F.least(F.floor((F.col("v") - F.col("lo")) / w), F.lit(bins - 1)).cast("long").alias("bin"))
-                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    frame = df.sparkSession.range(bins).select(F.col("id").alias("bin")).crossJoin(F.broadcast(edges))
-    return (frame.join(counted, "bin", "left")
-                 .select(F.lit(column).alias("column"), "bin",
-                         F.round(F.col("lo") + F.col("bin") * w, 2).alias("lower"),
+    return (frame.join(counted, ["k", "bin"], "left")
+                 .select("column", "bin", F.round(F.col("lo") + F.col("bin") * w, 2).alias("lower"),
                          F.round(F.col("lo") + (F.col("bin") + 1) * w, 2).alias("upper"),
                          F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 

@@ -52,12 +52,7 @@ FROM (SELECT range AS bin FROM range(10)) r, e{c}""")
 
 @register("histogram", _hist_sql())
 def q_histogram(spark, sf):
-    p = table(spark, sf, "part")
-    out = None
-    for c in PART_NUM:
-        h = PR.histogram(p, c)
-        out = h if out is None else out.unionByName(h)
-    return out
+    return PR.histograms(table(spark, sf, "part"), PART_NUM)
 
 
 @register("distribution", " UNION ALL ".join(
