@@ -35,12 +35,17 @@ def diagnose(df: DataFrame, date: str, metric: str, dims: list[str], start: str,
                         F.count(F.when(F.col("_cur"), F.col("_m"))).alias("n_cur"),
                         F.count(F.when(F.col("_prev"), F.col("_m"))).alias("n_prev")))
     # Every row has exactly one segment of the first dimension, so the period
-    # totals are sums over that dimension's segments: same exchange, no re-scan.
-    totals = (per_all.filter(F.col("dim_pos") == 0)
-                     .agg(F.when(F.sum("n_cur") > 0, F.sum("current")).otherwise(0.0).alias("total_current"),
-                          F.when(F.sum("n_prev") > 0, F.sum("previous")).otherwise(0.0).alias("total_previous")))
+    # totals are sums over that dimension's segments.  Conditional sums (no
+    # filter to push down) and the same aggregate columns in both branches keep
+    # the two subtrees identical, so Spark reuses one exchange: a single scan.
+    first = F.col("dim_pos") == 0
+    totals = per_all.agg(
+        F.when(F.sum(F.when(first, F.col("n_cur"))) > 0, F.sum(F.when(first, F.col("current")))).otherwise(0.0)
+         .alias("total_current"),
+        F.when(F.sum(F.when(first, F.col("n_prev"))) > 0, F.sum(F.when(first, F.col("previous")))).otherwise(0.0)
+         .alias("total_previous"))
     per = per_all.filter((F.col("previous") > 0) | (F.col("current") > 0))
-    rec = F.struct("segment", "current", "previous")
+    rec = F.struct("segment", "current", "previous", "n_cur", "n_prev")
     order_key = F.struct((-F.abs(F.col("current") - F.col("previous"))).alias("a"), F.col("segment").alias("s"))
     best = (per.groupBy("dim_pos", "dimension").agg(F.min_by(rec, order_key).alias("b"))
                .select("dim_pos", "dimension", "b.segment", "b.current", "b.previous"))
