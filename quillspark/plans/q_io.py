@@ -19,7 +19,7 @@ from ..sources.tables import sales_view, table
 from ..sources.upload import RAW_UPLOAD_SQL, UPLOAD_COLUMNS, raw_upload
 from ..session import scratch_path
 from . import pipeline as PL
-from .q_quality import _cleaned, _issues, _clean_sql, FIXED_SQL
+from .q_quality import FIXED_SQL, _clean_sql, _cleaned
 from .registry import register
 
 
