@@ -131,15 +131,39 @@ def count_below(data: DataFrame, gid: str, value: str, cuts: dict[int, float]) -
     return {r[gid]: r["n"] for r in out}
 
 
+def approx_quantiles(data: DataFrame, gid: str, value: str, probs: list[float],
+                     accuracy: int = 10_000) -> dict[tuple[int, float], float | None]:
+    """One-pass ``percentile_approx`` per group (the ``exact=False`` path).
+
+    Rank error is at most n / accuracy; values are actual data points, not
+    interpolated.
+    """
+    rows = (data.groupBy(F.col(gid).alias("_g"))
+                .agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("q")).collect())
+    out = {}
+    for r in rows:
+        for p, q in zip(probs, r["q"] or [None] * len(probs)):
+            out[(r["_g"], p)] = q
+    return out
+
+
 def quantiles(data: DataFrame, gid: str, value: str, counts: dict[int, int],
-              probs: list[float], extra: list[tuple[int, int]] | None = None):
+              probs: list[float], extra: list[tuple[int, int]] | None = None, exact: bool = True):
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     ``counts`` is the non-null count per group (already known by the caller's
     one-pass aggregate).  Two order statistics per probability.  ``extra``
     (group, k) order statistics are resolved in the same passes; when given,
-    the result is ``(quantiles, {(group, k): value})``.
+    the result is ``(quantiles, {(group, k): value})``.  ``exact=False``
+    answers the probabilities with one ``percentile_approx`` pass instead
+    (extra order statistics are still exact).
     """
+    if not exact:
+        approx = approx_quantiles(data, gid, value, probs)
+        out = {(g, p): approx.get((g, p)) for g in counts for p in probs}
+        if extra is not None:
+            return out, select_kth(data, sorted(set(extra)), gid=gid, value=value) if extra else {}
+        return out
     want: list[tuple[int, int]] = []
     for g, n in counts.items():
         if not n:

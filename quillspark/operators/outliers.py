@@ -30,7 +30,7 @@ def moment_aggs(columns: list[str], prefix: str = "") -> list:
 
 
 def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: float = 3.0,
-                  min_n: int = 4, moments: dict | None = None) -> list[dict]:
+                  min_n: int = 4, moments: dict | None = None, exact: bool = True) -> list[dict]:
     """Per column: n, q1, q3, lower, upper, mean, std_pop, iqr_count, z_count.
 
     ``moments`` (keys ``n{i}``, ``m{i}``, ``s{i}``) skips the first aggregate
@@ -40,7 +40,7 @@ def outlier_stats(df: DataFrame, columns: list[str], iqr_k: float = 1.5, z_t: fl
         return []
     first = moments if moments is not None else df.agg(*moment_aggs(columns)).collect()[0].asDict()
     counts = {i: first[f"n{i}"] for i in range(len(columns)) if first[f"n{i}"] >= min_n}
-    qs = quantiles(_values(df, columns), "gid", "v", counts, [0.25, 0.5, 0.75]) if counts else {}
+    qs = quantiles(_values(df, columns), "gid", "v", counts, [0.25, 0.5, 0.75], exact=exact) if counts else {}
     out, aggs2 = [], []
     for i, c in enumerate(columns):
         n = first[f"n{i}"]

@@ -53,7 +53,8 @@ def numeric_profiles(df: DataFrame, columns: list[str], config: dict) -> list[di
     ks = {i: max(1, int(n * pct / 100)) for i, n in counts.items()}
     # one selection for the medians and the top-k thresholds of every column
     extra = [(i, counts[i] - ks[i]) for i in counts]
-    med, kth = quantiles(vals, "gid", "v", counts, [0.5], extra=extra) if counts else ({}, {})
+    exact = config["analysis"].get("exact_quantiles", True)
+    med, kth = quantiles(vals, "gid", "v", counts, [0.5], extra=extra, exact=exact) if counts else ({}, {})
     thr_aggs = []
     for i in counts:
         t = kth[(i, counts[i] - ks[i])]

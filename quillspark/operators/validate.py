@@ -93,8 +93,9 @@ def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: b
     q = column_quality(df, schema, with_moments=True)
     numeric = [s["column"] for s in schema if s["type"] == "numeric"]
     typed = df.select(*[_num(c, dict((f.name, f.dataType) for f in df.schema.fields)[c]).alias(c) for c in numeric])
+    exact = config["analysis"].get("exact_quantiles", True)
     ost = {o["column"]: o for o in outlier_stats(typed, numeric, oc["iqr_multiplier"], oc["zscore_threshold"],
-                                                 moments=q["__moments"])}
+                                                 moments=q["__moments"], exact=exact)}
     if stats is not None:
         for c, o in ost.items():
             if o.get("median") is not None:

@@ -47,3 +47,12 @@ def test_qcut_of_first_rank(spark, n):
     cuts = rank_cuts_many(df, ["v"], "k", n)["v"]
     got = df.select("k", bucket_of("v", "k", cuts).alias("q")).toPandas().sort_values("k")
     assert list(got["q"]) == list(expected)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rng = np.random.default_rng(4)
+    vals = rng.normal(50, 10, 5000)
+    df = spark.createDataFrame([(0, float(v)) for v in vals], "gid long, v double")
+    q = quantiles(df, "gid", "v", {0: len(vals)}, [0.25, 0.5, 0.75], exact=False)
+    for p in (0.25, 0.5, 0.75):
+        assert abs(q[(0, p)] - float(np.quantile(vals, p))) < 0.5
