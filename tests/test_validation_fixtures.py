@@ -120,3 +120,18 @@ def test_median_fill_on_short_numeric_column(spark):
     out = run_validation(spark, d, persist=False)
     assert out["issues"][0]["fix_applied"] == "Filled missing values using median (2.50)"
     assert sorted(r["sales"] for r in out["cleaned"].collect()) == [1.5, 2.5, 3.5]
+
+
+def test_report_shape_and_json(spark, fixture_path):
+    import json
+    from quillspark.sources import sinks as SK
+    out, rep = _run(spark, fixture_path("sample_missing_values.csv"))
+    assert set(out["report"].columns) >= {"dataset_id", "status", "analytics_ready", "summary", "schema", "issues",
+                                           "column_profile", "clean_data_ref"}
+    assert rep["dataset_id"].startswith("ds_") and rep["clean_data_ref"] == f"sql:{rep['dataset_id']}_cleaned"
+    assert set(rep["summary"].asDict()) == {"health_score", "rows_before", "rows_after", "message"}
+    profiles = {p["column"]: p for p in rep["column_profile"]}
+    assert profiles["sales"]["median"] == pytest.approx(212.5)
+    assert profiles["order_date"]["min_date"] == "2024-01-15"
+    doc = json.loads(SK.report_json(out["report"]).first()["report_json"])
+    assert doc["summary"]["rows_before"] == 10 and len(doc["issues"]) == 3
