@@ -74,9 +74,9 @@ def _run_validation(spark, source, name, persist, mode, config) -> dict:
         df, _ = read_csv(spark, source)
     else:
         df = source.toDF(*unique_names(source.columns))
-    dataset_id = FI.table_id(df).first()["dataset_id"]
+    fp = FI.table_id(df).first()  # the fingerprint pass also counts the rows
+    dataset_id, rows_before = fp["dataset_id"], fp["rows"]
     std = ST.standardize(df).persist(StorageLevel.MEMORY_AND_DISK)
-    rows_before = df.count()
     if rows_before == 0:
         return {"report": error_report(spark, dataset_id, "File contains no data"), "cleaned": None}
     schema = INF.infer_types(std, cfg)
