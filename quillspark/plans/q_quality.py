@@ -50,11 +50,28 @@ rep AS (SELECT {_rep} FROM raw),
 std AS (SELECT * FROM rep WHERE NOT ({_allnull}))"""
 
 
+_KEPT: list = []
+_KEEP = 4
+
+
+def _keep(df):
+    """Persist ``df`` and release the oldest kept frames beyond ``_KEEP``.
+
+    Released frames stay correct (they recompute from lineage); this only
+    bounds the cache a long session accumulates.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    while len(_KEPT) > _KEEP:
+        _KEPT.pop(0).unpersist()
+    return df
+
+
 def _prep(spark, sf, forest: bool = False):
     """Config and the standardised upload, persisted: every phase scans it
     (the reference pipeline also keeps it in memory between phases)."""
     cfg = load_config({"outlier": {"isolation_forest": forest}})
-    std = ST.standardize(raw_upload(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    std = _keep(ST.standardize(raw_upload(spark, sf)))
     return cfg, std
 
 
@@ -368,7 +385,7 @@ def _cleaned(spark, sf, mode="lenient"):
     cfg, std, issues = _issues(spark, sf, stats=stats)
     cleaned, fixed, actions = CL.clean(std, issues, _schema(), mode, cfg, stats)
     # several phases scan the cleaned table (as in the pipeline): keep it once
-    return cfg, std, cleaned.persist(StorageLevel.MEMORY_AND_DISK), fixed, actions
+    return cfg, std, _keep(cleaned), fixed, actions
 
 
 def _present(df):
