@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Preferred key and value column names, in order.
 ID_KEYS = ["id", "name", "label", "category"]
 VALUE_KEYS = ["value", "count", "total"]
+# Fixed values that must equal the reference: rows shown by the table, anomaly and recommendation widgets.
+DISPLAY_CAPS = {"table": 10, "anomalies": 8, "recommendations": 6}
 X_CANDIDATES = ["id", "month", "date", "year", "label", "category", "name", "x", "status", "region"]
 Y_CANDIDATES = ["value", "count", "total", "amount", "revenue", "y", "sales"]
 
@@ -29,3 +31,10 @@ def chart_rows(df: DataFrame) -> DataFrame:
     idc = F.coalesce(*[F.col(c).cast("string") for c in ids], F.lit("Unknown"))
     valc = F.coalesce(*[F.col(c).cast("double") for c in vals], F.lit(0.0))
     return df.select(idc.alias("name"), valc.alias("value"))
+
+
+def display_rows(df: DataFrame, widget: str, order: list | None = None) -> DataFrame:
+    """The first rows a widget shows: an ordered ``limit``, which
+    plans as a bounded TakeOrderedAndProject (or CollectLimit without order)."""
+    out = df.orderBy(*order) if order else df
+    return out.limit(DISPLAY_CAPS[widget])

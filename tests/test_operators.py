@@ -252,3 +252,11 @@ def test_whatif_columns_and_pipeline_errors(spark):
     out = run_validation(spark, spark.range(3), mode="sideways")
     rep = out["report"].first()
     assert rep["status"] == "ERROR" and "Invalid validation mode" in rep["error"]
+
+
+def test_display_caps(spark):
+    from quillspark.operators.shape import display_rows
+    df = spark.range(50)
+    assert [r.id for r in display_rows(df, "anomalies", [F.col("id").desc()]).collect()] == list(range(49, 41, -1))
+    assert display_rows(df, "table", ["id"]).count() == 10
+    assert display_rows(df, "recommendations").count() == 6
