@@ -19,15 +19,14 @@ block's patterns are broadcast and run past all documents.
 Null texts and texts without words have no words and no hits.  An item without
 words has no window; an item without id counts under the name "null".  Repeated
 rows are kept, repeated items count once.  Empty tables are fine on either side.
-Documents keep their own columns only through ``doc_id``; others are ignored.
+Documents keep all their columns beside the added one (``found``).
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,65 +134,58 @@ def _covered(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-FOUND = "n_words long, spans array<int>, items array<string>"
+FOUND = "struct<n_words:long,spans:array<int>,items:array<string>>"
 
 
-def find_windows(docs: DataFrame, tables, keys: list[str]) -> DataFrame:
-    """``keys`` of every row of ``docs`` plus n_words, merged hit spans (in words) and item ids."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select(*keys).schema}
+def window_finder(tables):
+    """A column function: n_words, merged hit spans (in words) and sorted item ids of a text."""
 
-    def search(batches):
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = tables.value
         for batch in batches:
             rows = []
-            for text in batch.column(len(keys)).to_pylist():
+            for text in batch.tolist():
                 words = words_of(text)
                 spans, items = machine.search(words) if words else ((), ())
                 rows.append((len(words), _covered(spans), sorted(items)))
-            n, spans, items = map(list, zip(*rows)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keys)], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
-                 pa.array(items, pa.list_(pa.string()))], [*keys, "n_words", "spans", "items"])
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(
-        search, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", " + FOUND)
+    return F.pandas_udf(search, FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, spans (merged, word positions) and items (sorted as strings)."""
+    """``docs`` (with a column text) plus ``found``: n_words, spans (merged, word positions) and items (sorted as strings)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id"), F.col("text"))
-    found = None
     machines = [WuManber(p) for p in benchmark_blocks(benchmark, window)] or [WuManber({})]
-    if len(machines) == 1:
-        return find_windows(docs, spark.sparkContext.broadcast(machines[0]), ["doc_id"])
-    # Several blocks: one pass of the documents per block, merged by a row number that a written table fixes.
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
-    for machine in machines:
-        part = find_windows(rows, spark.sparkContext.broadcast(machine), ["doc_id", "row"])
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def unite(batches):
-        for batch in batches:
-            spans = [_covered([p for part in parts for p in zip(part[::2], part[1::2])]) for parts in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.list_(pa.int32())), batch.column(3)],
-                                             ["doc_id", "n_words", "spans", "items"])
-
-    return merged.select("doc_id", "n_words", "spans", "items").mapInArrow(
-        unite, f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    finders = [window_finder(spark.sparkContext.broadcast(m)) for m in machines]
+    if len(finders) == 1:
+        return docs.withColumn("found", finders[0](text))
+    # Several blocks: one pass of the texts per block; narrow results meet by a row number that a written table fixes.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
+    parts = None
+    for finder in finders:
+        part = rows.select("__row", finder(text).alias("found")).select("__row", "found.*")
+        parts = part if parts is None else parts.unionByName(part)
+
+    @F.pandas_udf("array<int>")
+    def unite(column: pd.Series) -> pd.Series:
+        return pd.Series([_covered([p for part in parts for p in zip(part[::2], part[1::2])]) for parts in column])
+
+    merged = parts.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"),
+                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.select("__row", F.struct("n_words", unite("spans").alias("spans"), "items").alias("found"))
+    return rows.join(merged, "__row").drop("__row")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of contamination() rows."""
-    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")),
+    n_hit = F.aggregate("found.spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")),
                         lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")),
                         lambda s: s["sum"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.size("spans") > 0).alias("contaminated"))
+    return found.select("doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+                        (F.size("found.spans") > 0).alias("contaminated"))
 
 
 ORACLE = r"""
@@ -220,4 +212,5 @@ FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 
 @register("op3_benchmark_decontamination", ORACLE)
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_digest(contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(contamination(docs, read_table(spark, sf_dir, "benchmark")))

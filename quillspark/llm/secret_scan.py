@@ -182,6 +182,24 @@ def redact(content: Column, findings: Column, mask: str = "[REDACTED]") -> Colum
                        lambda s: F.concat(s["out"], F.substring(content, s["at"] + 1, F.char_length(content))))
 
 
+#: Most blobs with findings that are broadcast to their texts; beyond, the texts are shuffled to them.
+BROADCAST_BLOBS = 50_000
+
+
+def redact_documents(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with every found span masked; n_chars, where there is one, follows the text."""
+    versions = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    scan_unseen(versions, stored(versions.select("path", blob_id(F.col("content")).alias("blob")), "blobs"), ledger_path, rules)
+    found = blob_findings(docs.sparkSession, ledger_path, rules).withColumnsRenamed({"blob": "__blob", "findings": "__findings"})
+    found = F.broadcast(found) if found.count() <= BROADCAST_BLOBS else found.hint("shuffle_hash")
+    marked = docs.withColumn("__blob", blob_id(F.col("text"))).join(found, "__blob", "left")
+    hit = F.col("__findings").isNotNull()
+    out = marked.withColumn("text", F.when(hit, redact(F.col("text"), F.col("__findings"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 # RE2 knows no code-point-safe case folding switch for ASCII alone, so letters are spelled out.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
