@@ -78,7 +78,7 @@ class Page:
     """One parse: containers (parent, path, tag, bonus) and blocks (container, text, link characters, heading)."""
 
     def __init__(self, source: str):
-        self.parents, self.paths, self.weights = [-1], [""], [0.0]
+        self.parents, self.paths, self.weights = [-1], [""], [0.6]  # container 0: the page itself
         self.blocks: list[tuple[int, str, int, bool]] = []
         # An open element: tag, container below it, text is left out, text counts as header only.
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
@@ -200,7 +200,7 @@ class Page:
         for container, text, links, _ in self.blocks:
             value = float(max(0, len(text) - 2 * links))
             depth = 1
-            while container > 0:
+            while container >= 0:
                 out[container] += value / depth * self.weights[container]
                 container, depth = self.parents[container], depth + 1
         return out
@@ -229,10 +229,8 @@ def page_text(source: str, path: str | None) -> str:
     """Text of the page's best container on ``path``, or of its best container at all."""
     page = Page(source)
     scores = page.scores()
-    on_path = [k for k, p in enumerate(page.paths) if k and p == path and scores[k] > 0]
-    among = on_path or [k for k in range(1, len(scores)) if scores[k] > 0]
-    if not among:
-        return "\n".join(text for _, text, _, _ in page.blocks)
+    on_path = [k for k, p in enumerate(page.paths) if p == path and scores[k] > 0]
+    among = on_path or [k for k in range(len(scores)) if scores[k] > 0] or [0]
     return page.text_below(max(among, key=lambda k: (scores[k], -k)))
 
 
