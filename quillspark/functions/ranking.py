@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .selection import select_kth
+from .selection import select_kth, select_kth_any
 
 
 def rank_cuts_many(df: DataFrame, values: list[str], key: str, n: int, q: int = 4) -> dict[str, list[tuple]]:
@@ -29,11 +29,11 @@ def rank_cuts_many(df: DataFrame, values: list[str], key: str, n: int, q: int =
     targets = [(i, j, vals[(i, r - 1)]) for i in range(len(values)) for j, r in enumerate(ranks)]
     below = df.agg(*[F.count_if(F.col(values[i]) < F.lit(cv)).alias(f"b{i}_{j}") for i, j, cv in targets]).first()
     tie_cells = F.explode(F.array(*[
-        F.when(F.col(values[i]) == F.lit(cv), F.struct(F.lit(t).alias("gid"), F.col(key).cast("double").alias("v")))
+        F.when(F.col(values[i]) == F.lit(cv), F.struct(F.lit(t).alias("gid"), F.col(key).alias("v")))
         for t, (i, j, cv) in enumerate(targets)])).alias("x")
     ties = df.select(tie_cells).filter(F.col("x").isNotNull()).select("x.gid", "x.v")
     want = [(t, ranks[j] - 1 - below[f"b{i}_{j}"]) for t, (i, j, cv) in enumerate(targets)]
-    keys = select_kth(ties, want)
+    keys = select_kth_any(ties, want)
     out: dict[str, list[tuple]] = {v: [] for v in values}
     for t, (i, j, cv) in enumerate(targets):
         out[values[i]].append((cv, keys[want[t]]))
@@ -49,7 +49,7 @@ def bucket_of(value: str, key: str, cuts: list[tuple]) -> Column:
     expr = F.lit(1)
     for cv, ck in cuts:
         v = F.col(value).cast("double")
-        after = (v > F.lit(cv)) | ((v == F.lit(cv)) & (F.col(key).cast("double") > F.lit(ck)))
+        after = (v > F.lit(cv)) | ((v == F.lit(cv)) & (F.col(key) > F.lit(ck)))
         expr = expr + F.when(after, 1).otherwise(0)
     return expr.cast("long")
 

@@ -2,133 +2,171 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges it
 in one task, so on a global column it funnels every distinct value through a
-single task.  ``select_kth`` instead narrows a value bracket per target by
-repeated bucket counting: each pass is one scan + one small aggregate of at
-most ``buckets`` rows per target, so the driver only ever sees bucket counts.
-
-Buckets are ``floor((v - lo) / (hi - lo) * B)``; the map is monotone in ``v``,
-so the rows of one bucket are exactly the rows with ``min_b <= v <= max_b``.
-When a bracket holds at most ``small`` rows the remaining values are counted
-per distinct value and resolved directly.
+single task.  ``select_kth`` instead narrows a bracket per target by repeated
+bucket counting.  Values are compared by an order-preserving 64-bit integer
+(the bit pattern of a double, an integer itself, seven bytes of a string), so a
+bracket is a range of integers: every pass divides it by ``BUCKETS``, whatever
+the values, infinite ones included, and six passes resolve any column.
+
+A pass is one scan and one aggregate of at most ``BUCKETS`` rows per target;
+the bucket that holds the target's rank is chosen inside Spark, so the driver
+gets one row per target and pass.
 """
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+BUCKETS = 2048
+_TOP = 1 << 63
 
 
 @dataclass
 class _Target:
     tid: int
     gid: int
-    k: int            # 0-based rank within the group (weighted)
-    lo: float = 0.0
-    hi: float = 0.0
-    below: float = 0.0  # weight of the group's values < lo
-    value: float | None = None
-    done: bool = False
+    k: float          # 0-based rank within the group (weighted)
+    lo: int = 0
+    hi: int = 0
+    below: float = 0.0  # weight of the group's keys < lo
+    found: bool = False
+
+    @property
+    def open(self) -> bool:
+        return self.found and self.lo < self.hi
+
+
+def double_key(v: Column) -> Column:
+    """Order-preserving long of a double (both zeros alike)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.when(v == 0, F.lit(0.0)).otherwise(v)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_TOP - 1))).otherwise(bits)
+
+
+def key_double(key: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", key ^ (_TOP - 1) if key < 0 else key))[0]
 
 
 def select_kth(data: DataFrame, targets: list[tuple[int, int]], *, gid: str = "gid", value: str = "v",
-               weight: str | None = None, buckets: int = 2048, small: int = 4096,
-               max_passes: int = 64) -> dict[tuple[int, int], float | None]:
+               weight: str | None = None) -> dict[tuple[int, int], float | None]:
     """Exact k-th smallest ``value`` per group for each ``(group id, k)``.
 
     ``data`` has an integer group column ``gid``, a numeric ``value`` column
-    (nulls ignored) and optionally a non-negative ``weight`` (default 1).
+    (nulls and NaN ignored) and optionally a non-negative ``weight`` (default 1).
     Returns ``{(gid, k): value}``; ``None`` when the group has < k+1 weight.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    base = (data.select(F.col(gid).cast("long").alias("_g"), F.col(value).cast("double").alias("_v"),
-                        w.alias("_w"))
-                .filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_w") > 0)))
+    v = F.col(value).cast("double")
+    keyed = data.filter(v.isNotNull() & ~F.isnan(v)).select(
+        F.col(gid).alias("_g"), double_key(v).alias("_k"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
+    got = select_keys(keyed, targets)
+    return {t: None if k is None else key_double(k) for t, k in got.items()}
+
+
+def select_keys(data: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], int | None]:
+    """The k-th smallest long ``_k`` (weights ``_w``) of group ``_g`` for each ``(group, k)``."""
     gids = sorted({g for g, _ in targets})
-    # Every pass scans the same narrow (group, value, weight) rows: materialise
-    # them once so the passes never recompute the caller's upstream plan.
-    base = base.filter(F.col("_g").isin(gids)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = data.select(F.col("_g").cast("long").alias("_g"), F.col("_k").cast("long").alias("_k"),
+                       F.col("_w").cast("double").alias("_w"))
+    # Every pass scans the same narrow rows: materialise them once so that the
+    # passes never recompute the caller's upstream plan.
+    base = base.filter(F.col("_g").isin(gids) & F.col("_k").isNotNull() & (F.col("_w") > 0)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _select(base, targets, gids, buckets, small, max_passes)
+        return _narrow(base, targets)
     finally:
         base.unpersist()
 
 
-def _select(base: DataFrame, targets, gids, buckets, small, max_passes):
-    stats = {r["_g"]: r for r in base.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+_FRAME = T.StructType([T.StructField(n, t) for n, t in (
+    ("_tid", T.LongType()), ("_tg", T.LongType()), ("_lo", T.LongType()), ("_hi", T.LongType()), ("_width", T.LongType()),
+    ("_wide", T.BooleanType()), ("_rank", T.DoubleType()))])
+
+
+def _narrow(base: DataFrame, targets) -> dict[tuple[int, int], int | None]:
+    stats = {r["_g"]: r for r in base.groupBy("_g").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"),
                                                          F.sum("_w").alias("n")).collect()}
-    ts: list[_Target] = []
+    ts = []
     for i, (g, k) in enumerate(targets):
-        t = _Target(i, g, int(k))
         s = stats.get(g)
-        if s is None or k < 0 or k >= s["n"]:
-            t.done = True
-        else:
-            t.lo, t.hi = s["lo"], s["hi"]
-            if t.lo == t.hi:
-                t.value, t.done = t.lo, True
-        ts.append(t)
-    spark = base.sparkSession
-    schema = T.StructType([T.StructField("_tid", T.LongType()), T.StructField("_tg", T.LongType()),
-                           T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
-    for _ in range(max_passes):
-        active = [t for t in ts if not t.done]
-        if not active:
-            break
+        ts.append(_Target(i, g, k, s["lo"], s["hi"], found=True) if s is not None and 0 <= k < s["n"] else _Target(i, g, k))
+    while active := [t for t in ts if t.open]:
         # Small, proven-size frame: one row per open target.
-        tf = spark.createDataFrame([(t.tid, t.gid, float(t.lo), float(t.hi)) for t in active], schema)
-        joined = base.join(F.broadcast(tf), (F.col("_g") == F.col("_tg"))
-                           & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                    F.lit(buckets - 1)).cast("long")
-        rows = (joined.groupBy("_tid", b.alias("_b"))
-                      .agg(F.sum("_w").alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-                      .collect())
-        per: dict[int, list] = {}
-        for r in rows:
-            per.setdefault(r["_tid"], []).append(r)
-        small_ids = []
-        for t in active:
-            acc = t.below
-            for r in sorted(per.get(t.tid, []), key=lambda r: r["_b"]):
-                if acc + r["c"] > t.k:
-                    t.lo, t.hi, t.below = r["mn"], r["mx"], acc
-                    if t.lo == t.hi:
-                        t.value, t.done = t.lo, True
-                    elif r["c"] <= small:
-                        small_ids.append((t, r["c"]))
-                    break
-                acc += r["c"]
-        if small_ids:
-            tf = spark.createDataFrame([(t.tid, t.gid, float(t.lo), float(t.hi)) for t, _ in small_ids], schema)
-            vals = (base.join(F.broadcast(tf), (F.col("_g") == F.col("_tg"))
-                              & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                        .groupBy("_tid", "_v").agg(F.sum("_w").alias("c")).collect())
-            byt: dict[int, list] = {}
-            for r in vals:
-                byt.setdefault(r["_tid"], []).append((r["_v"], r["c"]))
-            for t, _ in small_ids:
-                acc = t.below
-                for v, c in sorted(byt.get(t.tid, [])):
-                    if acc + c > t.k:
-                        t.value, t.done = v, True
-                        break
-                    acc += c
-    if any(not t.done for t in ts):
-        raise RuntimeError("select_kth did not converge; raise max_passes")
-    return {(t.gid, targets[t.tid][1]): t.value for t in ts}
-
-
-def count_below(data: DataFrame, gid: str, value: str, cuts: dict[int, float]) -> dict[int, int]:
-    """Number of rows with ``value < cut`` per group (one aggregate)."""
-    conds = F.create_map(*[x for g, c in cuts.items() for x in (F.lit(g), F.lit(float(c)))])
-    out = (data.filter(F.col(gid).isin(list(cuts)))
-               .groupBy(gid).agg(F.count_if(F.col(value) < F.element_at(conds, F.col(gid))).alias("n"))
-               .collect())
-    return {r[gid]: r["n"] for r in out}
+        frame = base.sparkSession.createDataFrame(
+            [(t.tid, t.gid, t.lo, t.hi, -(-(t.hi - t.lo + 1) // BUCKETS), t.hi - t.lo >= _TOP, float(t.k - t.below)) for t in active],
+            _FRAME)
+        hit = base.join(F.broadcast(frame), (F.col("_g") == F.col("_tg")) & F.col("_k").between(F.col("_lo"), F.col("_hi")))
+        # A range wider than a long is cut by its top bits instead of its distance from the lower end.
+        bucket = F.when(F.col("_wide"), F.shiftright("_k", 53)).otherwise(F.expr("(_k - _lo) div _width"))
+        counts = (hit.groupBy("_tid", "_rank", bucket.alias("_b"))
+                  .agg(F.sum("_w").alias("c"), F.min("_k").alias("lo"), F.max("_k").alias("hi")))
+        upto = F.sum("c").over(Window.partitionBy("_tid").orderBy("_b"))  # at most BUCKETS rows per target
+        chosen = counts.withColumn("upto", upto).filter("upto > _rank AND upto - c <= _rank")
+        for r in chosen.select("_tid", "lo", "hi", (F.col("upto") - F.col("c")).alias("before")).collect():
+            t = ts[r["_tid"]]
+            t.lo, t.hi, t.below = r["lo"], r["hi"], t.below + r["before"]
+    return {(t.gid, t.k): t.lo if t.found else None for t in ts}
+
+
+_BYTES = 7  # a string's bytes by sevens are non-negative longs
+
+
+def select_kth_any(data: DataFrame, targets: list[tuple[int, int]], *, gid: str = "gid", value: str = "v") -> dict[tuple[int, int], object]:
+    """``select_kth`` for any orderable column; values come back in the column's own type.
+
+    Integers, dates and timestamps compare as longs, floating values by their bits, strings by
+    their bytes, seven at a time, each round among the rows tied so far.
+    """
+    kind = data.schema[value].dataType
+    v = F.col(value)
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return select_kth(data, targets, gid=gid, value=value)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return select_keys(data.select(F.col(gid).alias("_g"), v.cast("long").alias("_k"), F.lit(1.0).alias("_w")), targets)
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"no selection order for {kind.simpleString()}")
+    # One row per target and tied value; a target keeps the rank that is left among its ties.
+    open_ = data.select(F.col(gid).cast("long").alias("_g"), v.alias("_s")).filter(F.col("_s").isNotNull())
+    ranks = {t: (t[0], t[1], b"") for t in targets}
+    out: dict[tuple[int, int], object] = {}
+    at = 1
+    while ranks:
+        rows, wanted = None, []
+        for number, (t, (g, k, prefix)) in enumerate(ranks.items()):
+            part = open_.filter((F.col("_g") == g) & (F.substring(F.col("_s").cast("binary"), 1, at - 1) == F.lit(bytearray(prefix))))
+            part = part.select(F.lit(number).alias("_g"), "_s")
+            rows = part if rows is None else rows.unionByName(part)
+            wanted.append((number, k))
+        piece = F.substring(F.col("_s").cast("binary"), at, _BYTES)
+        padded = F.rpad(F.hex(piece), 2 * _BYTES, "0")
+        keyed = rows.select("_g", F.conv(padded, 16, 10).cast("long").alias("_k"), F.octet_length("_s").alias("_n"), F.lit(1.0).alias("_w")).persist()
+        try:
+            found = select_keys(keyed, wanted)
+            keys = {n: found[(n, k)] for n, k in wanted}
+            conds = F.create_map(*[x for n, key in keys.items() if key is not None for x in (F.lit(n), F.lit(key))]) if any(
+                key is not None for key in keys.values()) else None
+            below = {} if conds is None else {r["_g"]: (r["b"], r["longest"]) for r in keyed.groupBy("_g").agg(
+                F.count_if(F.col("_k") < conds[F.col("_g")]).alias("b"),
+                F.max(F.when(F.col("_k") == conds[F.col("_g")], F.col("_n"))).alias("longest")).collect()}
+        finally:
+            keyed.unpersist()
+        left = {}
+        for number, (t, (g, k, prefix)) in enumerate(list(ranks.items())):
+            if keys[number] is None:
+                out[t] = None
+                continue
+            whole = prefix + keys[number].to_bytes(_BYTES, "big")
+            before, longest = below[number]
+            if longest <= at + _BYTES - 1:
+                out[t] = whole.rstrip(b"\0").decode()
+            else:
+                left[t] = (g, k - before, whole)
+        ranks, at = left, at + _BYTES
+    return out
 
 
 def approx_quantiles(data: DataFrame, gid: str, value: str, probs: list[float],

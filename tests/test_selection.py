@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from quillspark.functions.ranking import bucket_of, rank_cuts_many
-from quillspark.functions.selection import quantiles, select_kth
+from quillspark.functions.selection import quantiles, select_kth, select_kth_any
 
 
 def test_select_kth_matches_sort(spark):
@@ -16,7 +16,7 @@ def test_select_kth_matches_sort(spark):
     df = spark.createDataFrame(rows, "gid long, v double")
     sa, sb = np.sort(a), np.sort(b)
     ks = [(0, 0), (0, 2999), (0, 5999), (0, 3500), (1, 0), (1, 150), (1, 299), (1, 300)]
-    got = select_kth(df, ks, buckets=64, small=50)
+    got = select_kth(df, ks)
     for g, k in ks:
         ref = sa if g == 0 else sb
         assert got[(g, k)] == (ref[k] if k < len(ref) else None)
@@ -56,3 +56,39 @@ def test_approx_quantiles_close_to_exact(spark):
     q = quantiles(df, "gid", "v", {0: len(vals)}, [0.25, 0.5, 0.75], exact=False)
     for p in (0.25, 0.5, 0.75):
         assert abs(q[(0, p)] - float(np.quantile(vals, p))) < 0.5
+
+
+def test_select_kth_with_infinite_and_extreme_values(spark):
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.normal(0, 1, 6000), [np.inf, np.inf, -np.inf, 1.7e308, -1.7e308, 5e-324, 0.0, -0.0]])
+    df = spark.createDataFrame([(0, float(x)) for x in a] + [(0, float("nan")), (0, None)], "gid long, v double")
+    s = np.sort(a)
+    ks = [0, 1, 2, 3000, 4321, len(a) - 3, len(a) - 1, len(a)]
+    got = select_kth(df, [(0, k) for k in ks])
+    assert [got[(0, k)] for k in ks] == [*(s[k] for k in ks[:-1]), None]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_select_kth_of_other_types(spark, kind):
+    rng = np.random.default_rng(9)
+    if kind == "string":
+        vals = [f"customer number {x}" for x in rng.integers(0, 40, 120)] + ["", "a", "ab", "é", "customer number 10", "c"]
+        order = sorted(vals, key=str.encode)
+    else:
+        vals = [int(x) for x in rng.integers(-2**62, 2**62, 80)] + [2**53, 2**53 + 1, 2**53 + 2, -2**63, 2**63 - 1]
+        order = sorted(vals)
+    df = spark.createDataFrame([(0, v) for v in vals] + [(0, None)], f"gid long, v {kind}")
+    ks = [0, 1, 2, 40, len(vals) - 1, len(vals)]
+    got = select_kth_any(df, [(0, k) for k in ks])
+    assert [got[(0, k)] for k in ks] == [*(order[k] for k in ks[:-1]), None]
+
+
+def test_ranks_with_text_keys(spark):
+    vals = [1.0, 1.0, 1.0, 1.0, 2.0, 1.0, 1.0, 3.0, 1.0]
+    keys = [f"c{k}@mail.example" for k in (9, 10, 8, 7, 6, 5, 4, 3, 20)]
+    pdf = pd.DataFrame({"k": keys, "v": vals}).sort_values("k")
+    expected = pd.qcut(pdf["v"].rank(method="first"), 4, labels=[1, 2, 3, 4]).astype(int)
+    df = spark.createDataFrame(pdf)
+    cuts = rank_cuts_many(df, ["v"], "k", len(vals))["v"]
+    got = df.select("k", bucket_of("v", "k", cuts).alias("q")).toPandas().sort_values("k")
+    assert list(got["q"]) == list(expected)
