@@ -1,9 +1,13 @@
-"""Ordered multi-format date parsing.
+"""Multi-layout date parsing.
 
-A value belongs to the first format of ``DATE_FORMATS`` that parses it.
-Single-letter fields take one or two digits.  Month-first beats day-first
-for ambiguous values, as with ``dateutil``'s default.  Everything is a
-``coalesce`` of ``try_to_timestamp`` calls: JVM-side, no Python per row.
+The parts of a date are taken out by regular expressions and put together by
+``try_make_timestamp_ntz``, which answers NULL for an impossible date (a parser
+would throw inside the JVM for every cell that is not a date).  Month-first
+beats day-first for ambiguous values, as with ``dateutil``'s default.  Results
+are wall-clock times: a zone behind the time of day is dropped.
+
+A value's layout is a number, ``4 * date kind + time kind`` (four time kinds), of the two lists
+below.  The same layouts as DuckDB formats serve the SQL oracle.
 """
 
 from __future__ import annotations
@@ -12,36 +16,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accepted date layouts, in priority order.
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:mm:ss",
-    "yyyy-M-d'T'H:mm:ss",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-]
-
-# Shape of each layout.  A parse is only attempted when the text has the
-# layout's shape: failing parses are exception-driven inside the JVM and
-# cost far more than a regex test.
-DATE_SHAPES = [
-    r"^\d{4}-\d{1,2}-\d{1,2}$",
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
-    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
-    r"^\d{1,2}/\d{1,2}/\d{4}$",
-    r"^\d{1,2}/\d{1,2}/\d{4}$",
-    r"^\d{1,2}-\d{1,2}-\d{4}$",
-    r"^\d{1,2}-\d{1,2}-\d{4}$",
-]
-
-# Union of the shapes: one test that rejects most non-date text up front.
-ANY_DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}:\d{2})?$"
-
-# The same layouts for DuckDB ``strptime`` (used by the SQL oracle only).
-DUCKDB_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
-                  "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y"]
+# Date kinds in priority order (DuckDB formats of each), and time kinds.
+DATE_KINDS = [["%Y-%m-%d"], ["%m/%d/%Y"], ["%d/%m/%Y"], ["%m-%d-%Y"], ["%d-%m-%Y"], ["%Y/%m/%d"], ["%d %b %Y", "%d %B %Y"],
+              ["%b %d, %Y", "%B %d, %Y"]]
+TIME_KINDS = [[""], [" %H:%M"], [" %H:%M:%S", " %H:%M:%S.%f"], ["T%H:%M", "T%H:%M:%S", "T%H:%M:%S.%f"]]
+
+LAYOUTS = len(DATE_KINDS) * len(TIME_KINDS)
+
+_TIME = r"(?:([ T])(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$"
+YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})([-/])(\d{1,2})" + _TIME
+YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})([-/])(\d{4})" + _TIME
+DAY_NAME = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})" + _TIME
+NAME_DAY = r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})" + _TIME
+ANY_DATE = r"^(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{1,2} [A-Za-z]{3,9} \d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})" + _TIME
+
+# English month names, in full or by their first three letters.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+# Zone behind a time of day, and what stays of it (SQL oracle).
+ZONE = r"(:\d{2}(\.\d{1,6})?) ?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def _is_native(dtype) -> bool:
@@ -52,8 +45,48 @@ def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
+def _month(name: Column) -> Column:
+    number = F.create_map(*[x for k, m in enumerate(MONTHS) for n in dict.fromkeys((m, m[:3])) for x in (F.lit(n), F.lit(k + 1))])
+    return number[F.lower(name)]
+
+
+def _dated(s: Column) -> Column:
+    """Struct of parts of a date text: year, two numbers (month first if ``kind`` 1 or 3), date kind, time parts."""
+
+    def parts(shape, year, first, second, kind, time):
+        g = lambda k: F.regexp_extract(s, shape, k)
+        number = lambda c: F.when(c == "", F.lit(0)).otherwise(c).cast("int")
+        mark = g(time)
+        return F.struct(g(year).cast("int").alias("y"), first(g).alias("a"), second(g).alias("b"), kind(g).alias("kind"),
+                        number(g(time + 1)).alias("h"), number(g(time + 2)).alias("mi"),
+                        F.when(g(time + 3) == "", F.lit("0")).otherwise(g(time + 3)).cast("decimal(16,6)").alias("s"),
+                        F.when(mark == "T", 3).when(mark == "", 0).when(g(time + 3) == "", 1).otherwise(2).alias("time"))
+
+    def int_of(k):
+        return lambda g: g(k).cast("int")
+
+    def same(dash, slash):
+        return lambda g: F.when(g(2) == g(4), F.when(g(2) == "-", dash).otherwise(slash))
+
+    return (F.when(s.rlike(YEAR_FIRST), parts(YEAR_FIRST, 1, int_of(3), int_of(5), same(0, 5), 6))
+            .when(s.rlike(YEAR_LAST), parts(YEAR_LAST, 5, int_of(1), int_of(3), same(3, 1), 6))
+            .when(s.rlike(DAY_NAME), parts(DAY_NAME, 3, lambda g: _month(g(2)), int_of(1), lambda g: F.lit(6), 4))
+            .when(s.rlike(NAME_DAY), parts(NAME_DAY, 3, lambda g: _month(g(1)), int_of(2), lambda g: F.lit(7), 4)))
+
+
+def _made(d: Column, month: str, day: str) -> Column:
+    """The date of month and day, where the parts make one."""
+    fits = (d["kind"].isNotNull() & d["y"].between(1, 9999) & d[month].between(1, 12) & d[day].between(1, 31)
+            & (d["h"] < 24) & (d["mi"] < 60) & (d["s"] < 60))
+    return F.when(fits, F.try_make_timestamp_ntz(d["y"], d[month], d[day], d["h"], d["mi"], d["s"]))
+
+
+def _day_first(d: Column) -> Column:
+    return d["kind"].isin(1, 3)
+
+
 def parse_date(c: Column | str, dtype=None) -> Column:
-    """Wall-clock ``timestamp_ntz`` parsed by the first matching layout; NULL when none matches.
+    """Wall-clock ``timestamp_ntz`` of a text cell by the first layout that fits; NULL when none does.
 
     Results are zone-free (naive, like pandas), whatever the session time zone.
     """
@@ -61,8 +94,12 @@ def parse_date(c: Column | str, dtype=None) -> Column:
     if dtype is not None and _is_native(dtype):
         return col.cast("timestamp_ntz")
     s = col.cast("string")
-    parsed = F.coalesce(*[_try(s, i) for i in range(len(DATE_FORMATS))])
-    return F.when(s.rlike(ANY_DATE_SHAPE), parsed.cast("timestamp_ntz"))
+    return F.when(s.rlike(ANY_DATE), _with_parts(s, lambda d: F.coalesce(_made(d, "a", "b"), F.when(_day_first(d), _made(d, "b", "a")))))
+
+
+def _with_parts(s: Column, of) -> Column:
+    """``of`` the parts of ``s``, which are taken out once."""
+    return F.transform(F.array(_dated(s)), of)[0]
 
 
 def epoch_micros(c: Column | str) -> Column:
@@ -76,28 +113,31 @@ def from_epoch_micros(c: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", col, _epoch())
 
 
-def _try(s: Column, i: int) -> Column:
-    return F.when(s.rlike(DATE_SHAPES[i]), F.try_to_timestamp(s, F.lit(DATE_FORMATS[i])))
-
-
 def format_index(c: Column | str, dtype=None) -> Column:
-    """Index of the first layout that parses the value (NULL if none)."""
+    """Number of the first layout that parses the value (NULL if none)."""
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and _is_native(dtype):
         return F.when(col.isNotNull(), F.lit(0))
     s = col.cast("string")
-    expr = None
-    for i in reversed(range(len(DATE_FORMATS))):
-        hit = _try(s, i).isNotNull()
-        expr = F.when(hit, F.lit(i)) if expr is None else F.when(hit, F.lit(i)).otherwise(expr)
-    return F.when(s.rlike(ANY_DATE_SHAPE), expr)
+
+    def layout(d):
+        kind = (F.when(_made(d, "a", "b").isNotNull(), d["kind"])
+                .when(_day_first(d) & _made(d, "b", "a").isNotNull(), d["kind"] + 1))
+        return kind * len(TIME_KINDS) + d["time"]
+
+    return F.when(s.rlike(ANY_DATE), _with_parts(s, layout))
+
+
+def _duckdb_tries(col_sql: str) -> list[tuple[int, str]]:
+    """(layout number, parse expression), first layout first."""
+    local = f"regexp_replace({col_sql}, '{ZONE}', '\\1')"
+    return [(len(TIME_KINDS) * k + t, "coalesce(" + ", ".join(f"try_strptime({local}, '{d}{m}')" for d in dates for m in times) + ")")
+            for k, dates in enumerate(DATE_KINDS) for t, times in enumerate(TIME_KINDS)]
 
 
 def duckdb_parse(col_sql: str) -> str:
-    return "coalesce(" + ", ".join(f"try_strptime({col_sql}, '{f}')" for f in DUCKDB_FORMATS) + ")"
+    return "coalesce(" + ", ".join(e for _, e in _duckdb_tries(col_sql)) + ")"
 
 
 def duckdb_format_index(col_sql: str) -> str:
-    arms = " ".join(f"WHEN try_strptime({col_sql}, '{f}') IS NOT NULL THEN {i}"
-                    for i, f in enumerate(DUCKDB_FORMATS))
-    return f"(CASE {arms} END)"
+    return "(CASE " + " ".join(f"WHEN {e} IS NOT NULL THEN {k}" for k, e in _duckdb_tries(col_sql)) + " END)"

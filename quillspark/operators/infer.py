@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_date
+from ..functions.numbers import parse_number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType, T.BooleanType)
@@ -34,19 +35,12 @@ def heuristic_type(name: str, patterns: dict) -> str | None:
     return None
 
 
-# A string can only cast to double if, after leading blanks / control
-# characters, it starts with a sign, a digit, ".digit", "inf" or "nan".
-# Testing that first skips the exception-driven failure path of the cast.
-NUMERIC_PREFIX = r"(?i)^[\x00-\x20]*[+-]?(\d|\.\d|inf|nan)"
-
-
 def _num(c: str, dtype):
     if isinstance(dtype, NUMERIC_TYPES):
-        return F.col(c).cast("double")
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, DATE_TYPES):
         return F.lit(None).cast("double")
-    s = F.col(c).cast("string")
-    return F.when(s.rlike(NUMERIC_PREFIX), s.try_cast("double"))
+    return parse_number(c)
 
 
 def column_counts(df: DataFrame, needs: dict | None = None) -> dict:

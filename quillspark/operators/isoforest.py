@@ -76,8 +76,12 @@ def isolation_counts(df: DataFrame, columns: list[str], contamination: float = 0
             out[c] = 0
             continue
         want = n_trees * max_samples
-        frac = min(1.0, 1.2 * want / n)
-        sample = np.array([r["v"] for r in v.sample(fraction=frac, seed=seed).limit(2 * want).collect()])
+        # The fit draw: the ``want`` values with the smallest seeded hashes of (value, occurrence).  It is the
+        # same for any partitioning; values that repeat more often than the draw is large need no more copies.
+        copies = v.groupBy("v").agg(F.least(F.count(F.lit(1)), F.lit(want)).alias("c"))
+        drawn = (copies.select("v", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
+                 .orderBy(F.xxhash64("v", "k", F.lit(seed)), "v", "k").limit(want))
+        sample = np.array([r["v"] for r in drawn.collect()])
         trees, norm = build_forest(sample, n_trees, max_samples, seed)
         score = F.pandas_udf(_scorer(trees, norm), "double")
         scored = v.select(score("v").alias("s")).persist(StorageLevel.MEMORY_AND_DISK)

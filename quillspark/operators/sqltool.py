@@ -1,53 +1,117 @@
 """Guarded ad-hoc SQL over one dataset.
 
-The guard is the reference's: SELECT only, whole-word block list, a LIMIT
-clause whose number (if any) is at most 100.  The dataset is bound as a
-DataFrame argument of ``spark.sql`` (no global temp view), and the result is
-capped at 100 rows as well.
+The dataset is bound as a DataFrame argument of ``spark.sql`` under the names
+``data`` and ``dataset``.  A statement is judged by its plan, not by its text:
+
+* the parsed plan must be a query (no command, no write) whose outermost step is
+  a LIMIT of at most ``MAX_ROWS``;
+* files cannot be named as relations while it is analysed;
+* every leaf of the analysed plan, subqueries and common table expressions
+  included, must be a leaf of the dataset itself.
 """
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference: blocked statement words.
+# Fixed values that must equal the reference: words that no statement may hold.
 BLOCKED = ["drop", "delete", "insert", "update", "alter", "create", "truncate", "exec", "execute"]
 MAX_ROWS = 100
 
-
-def validate_query(query: str) -> tuple[bool, str]:
-    q = query.lower().strip()
-    if not q.startswith("select"):
-        return False, "Only SELECT queries are allowed"
-    for word in BLOCKED:
-        if re.search(rf"\b{word}\b", q):
-            return False, f"Dangerous keyword '{word}' not allowed"
-    if "limit" not in q:
-        return False, f"Query must include a LIMIT clause (max {MAX_ROWS})"
-    m = re.search(r"limit\s+(\d+)", q)
-    if m and int(m.group(1)) > MAX_ROWS:
-        return False, f"LIMIT cannot exceed {MAX_ROWS} rows"
-    return True, ""
+_CATALYST = "org.apache.spark.sql.catalyst.plans.logical."
+_HARMLESS = {"OneRowRelation", "CTERelationRef"}
+_DATA = re.compile(r'\b(from|join)\s+"?(data|dataset)"?(?=[\s,;)]|$)', re.IGNORECASE)
+_STRFTIME = re.compile(r"strftime\(\s*'%Y-%m'\s*,\s*([A-Za-z_][A-Za-z0-9_]*)\s*\)", re.IGNORECASE)
 
 
-_TABLE = re.compile(r'\bfrom\s+"?(data|dataset)"?(?=\s|$|\))', re.IGNORECASE)
-_STRFTIME = re.compile(r"strftime\(\s*'%Y-%m'\s*,\s*([A-Za-z_][A-Za-z0-9_]*)\s*\)", re.IGNORECASE)
+class NotAllowed(ValueError):
+    """The statement is not one that may run on the dataset."""
 
 
 def bind(query: str) -> str:
-    """Escape braces, point ``FROM data`` / ``FROM dataset`` at the bound frame,
+    """Escape braces, point ``data`` / ``dataset`` at the bound frame,
     and map the one DuckDB date function the generated SQL uses."""
     q = query.replace("{", "{{").replace("}", "}}")
-    q = _TABLE.sub("FROM {data}", q)
+    q = _DATA.sub(r"\1 {data}", q)
     return _STRFTIME.sub(r"date_format(\1, 'yyyy-MM')", q)
 
 
+def _seq(scala) -> list:
+    return [scala.apply(i) for i in range(scala.size())]
+
+
+def _leaves(plan) -> list:
+    plans = [plan, *_seq(plan.subqueriesAll())]
+    return [leaf for p in plans for leaf in _seq(p.collectLeaves())]
+
+
+def check_parsed(spark: SparkSession, query: str) -> None:
+    """The statement is one query with a bounded outermost LIMIT."""
+    text = _STRFTIME.sub("1", query)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    kinds = [spark._jvm.java.lang.Class.forName(_CATALYST + k) for k in ("Command", "ParsedStatement")]
+    if any(k.isInstance(plan) for k in kinds):
+        raise NotAllowed(f"only a query is allowed, not {plan.nodeName()}")
+    while plan.nodeName() in ("UnresolvedWith", "WithCTE") and plan.children().size():
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "GlobalLimit":
+        raise NotAllowed(f"the query must end in LIMIT (at most {MAX_ROWS})")
+    limit = plan.limitExpr().toString()
+    if not limit.isdigit() or int(limit) > MAX_ROWS:
+        raise NotAllowed(f"LIMIT {limit} is over {MAX_ROWS}")
+    for word in BLOCKED:
+        if re.search(rf"\b{word}\b", query, re.IGNORECASE):
+            raise NotAllowed(f"the word '{word}' is not allowed")
+
+
+def _analysed(spark: SparkSession, df: DataFrame, query: str) -> DataFrame:
+    """Analyse with file relations switched off, and hold every leaf against the dataset's own."""
+    files = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(files)
+    spark.conf.set(files, "false")
+    try:
+        out = spark.sql(bind(query), data=df)
+    except PySparkException as e:
+        if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+            raise NotAllowed("relation not allowed: " + e.getMessageParameters()["relationName"].replace("`", "")) from None
+        raise
+    finally:
+        spark.conf.set(files, before)
+    own = [leaf.canonicalized() for leaf in _leaves(df._jdf.queryExecution().analyzed())]
+    for leaf in _leaves(out._jdf.queryExecution().analyzed()):
+        if leaf.nodeName() not in _HARMLESS and not any(leaf.canonicalized().equals(x) for x in own):
+            raise NotAllowed(f"relation not allowed: {leaf.nodeName()}")
+    return out
+
+
 def run_guarded(spark: SparkSession, df: DataFrame, query: str, bypass: bool = False) -> DataFrame:
-    if not bypass:
-        ok, err = validate_query(query)
-        if not ok:
-            raise ValueError(f"Query validation failed: {err}")
-    out = spark.sql(bind(query), data=df)
-    return out if bypass else out.limit(MAX_ROWS)
+    """Rows of the query; raises ``NotAllowed`` (``bypass``: a stored statement, without the limit rules)."""
+    if bypass:
+        return _analysed(spark, df, query)
+    check_parsed(spark, query)
+    return _analysed(spark, df, query).limit(MAX_ROWS)
+
+
+_ANSWER = "ok boolean, error string, columns string, row_count long, rows string"
+
+
+def answer(spark: SparkSession, df: DataFrame, query: str) -> DataFrame:
+    """One row: the result (columns, row count, rows as JSON), or why there is none."""
+    try:
+        out = run_guarded(spark, df, query)
+    except (NotAllowed, PySparkException) as e:
+        text = str(e) if isinstance(e, NotAllowed) else f"{e.getCondition()}"
+        return spark.createDataFrame([(False, text, None, 0, None)], _ANSWER)
+    packed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("r")).agg(  # at most MAX_ROWS rows
+        F.count(F.lit(1)).alias("row_count"), F.to_json(F.collect_list("r")).alias("rows"))
+    return packed.select(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"),
+                         F.lit(",".join(out.columns)).alias("columns"), "row_count", "rows")
+
+
+def answer_all(spark: SparkSession, df: DataFrame, queries: list[str]) -> list[DataFrame]:
+    """Answers of stored statements; one that fails does not stop the others."""
+    return [answer(spark, df, q) for q in queries]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DATE_FORMATS, format_index
+from ..functions.dates import LAYOUTS, format_index
 from .infer import _num
 from .isoforest import isolation_counts
 from .outliers import moment_aggs, outlier_stats
@@ -47,7 +47,7 @@ def column_quality(df: DataFrame, schema: list[dict], with_moments: bool = False
         aggs += [F.count_if(F.col(f"isnull{i}")).alias(f"null{i}")]
         if t == "date":
             aggs += [F.count(F.col(f"fi{i}")).alias(f"ok{i}")]
-            aggs += [F.count_if(F.col(f"fi{i}") == k).alias(f"f{i}_{k}") for k in range(len(DATE_FORMATS))]
+            aggs += [F.count_if(F.col(f"fi{i}") == k).alias(f"f{i}_{k}") for k in range(LAYOUTS)]
         elif t == "numeric":
             aggs += [F.count(F.col(f"num{i}")).alias(f"ok{i}")]
     numeric = [i for i, s in enumerate(schema) if s["type"] == "numeric"]
@@ -59,7 +59,7 @@ def column_quality(df: DataFrame, schema: list[dict], with_moments: bool = False
         rec = {"n": r["__n"], "nulls": r[f"null{i}"], "nonnull": r["__n"] - r[f"null{i}"],
                "parsed": r.get(f"ok{i}")}
         if s["type"] == "date":
-            rec["fmt"] = [r[f"f{i}_{k}"] for k in range(len(DATE_FORMATS))]
+            rec["fmt"] = [r[f"f{i}_{k}"] for k in range(LAYOUTS)]
         out[s["column"]] = rec
     if with_moments:
         out["__moments"] = {k[len("mom_"):]: v for k, v in r.items() if k.startswith("mom_")}

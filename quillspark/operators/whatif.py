@@ -8,9 +8,12 @@ and after totals are one more aggregate with the elasticity joined in as a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..roles import whatif_columns
+
 PRICE_WORDS = ["price", "msrp", "cost"]
 
 
@@ -30,6 +33,28 @@ def elasticity(df: DataFrame, price: str, qty: str) -> DataFrame:
                     F.col("n").cast("long").alias("n"), desc.alias("description"))
 
 
+ERROR_COLUMNS = "scenario string, error string"
+
+
+def what_if_by_name(df: DataFrame, target: str, operation: str, value: float, condition: str | None = None) -> DataFrame:
+    """``what_if`` with the columns taken from their names; an error row where the scenario cannot be computed."""
+    found = whatif_columns(df.columns, target)
+    scenario = f"{operation} {target} by {value}"
+
+    def error(text: str) -> DataFrame:
+        return df.sparkSession.createDataFrame([(scenario, text)], ERROR_COLUMNS)
+
+    if found["target"] is None:
+        return error(f"no column matches '{target}'")
+    if operation not in ("increase", "decrease", "set"):
+        return error(f"unknown operation '{operation}'")
+    try:
+        out = what_if(df, found["target"], operation, value, condition, found["price"], found["quantity"], found["sales"])
+    except (AnalysisException, ParseException) as e:
+        return error(f"the filter cannot be read: {e.getCondition()}")
+    return out
+
+
 def what_if(df: DataFrame, target: str, operation: str, value: float, condition: str | None,
             price: str | None, qty: str | None, sales: str | None) -> DataFrame:
     """One summary row: before, after, difference, percent_change, rows_affected, assumptions."""
@@ -51,7 +76,9 @@ def what_if(df: DataFrame, target: str, operation: str, value: float, condition:
     cols = {target: new_t}
     if use_el:
         cols[qty] = F.col(qty).cast("double") * (1 + pct * F.col("elasticity"))
-    if sales and price and qty:
+    if sales and sales in cols:  # the scenario changes the measure itself
+        new_sales = cols[sales]
+    elif sales and price and qty:
         p_new = cols.get(price, F.col(price).cast("double"))
         q_new = cols.get(qty, F.col(qty).cast("double"))
         new_sales = q_new * p_new

@@ -25,7 +25,7 @@ from .registry import register
 
 def _upload_csv(spark, sf) -> str:
     path = scratch_path(spark, f"uploads/{uuid.uuid4().hex}")
-    (raw_upload(spark, sf).write.mode("overwrite").option("header", True)
+    (raw_upload(spark, sf).write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..config import NULL_PLACEHOLDERS, load_config
-from ..functions.dates import DATE_FORMATS, duckdb_format_index, duckdb_parse, format_index, parse_date
+from ..functions.numbers import duckdb_number, parse_number
+from ..functions.dates import duckdb_format_index, duckdb_parse, format_index, parse_date
 from ..operators import clean as CL
 from ..operators import infer as INF
 from ..operators import isoforest as ISO
@@ -81,10 +82,10 @@ def q_standardize_log(spark, sf):
     return ST.standardize_log(raw_upload(spark, sf))
 
 
-@register("coerce_numeric", BASE + "\nSELECT order_id, total, try_cast(total AS DOUBLE) AS total_num FROM std")
+@register("coerce_numeric", BASE + "\nSELECT order_id, total, " + duckdb_number("total") + " AS total_num FROM std")
 def q_coerce_numeric(spark, sf):
     _, std = _prep(spark, sf)
-    return std.select("order_id", "total", F.col("total").try_cast("double").alias("total_num"))
+    return std.select("order_id", "total", parse_number("total").alias("total_num"))
 
 
 @register("coerce_date", BASE + f"""
@@ -105,7 +106,7 @@ def _infer_sql() -> str:
     pats = cfg["schema_heuristics"]["patterns"]
     th = cfg["coercion_thresholds"]
     stats = ", ".join(
-        f"count({c}) AS nn_{c}, count(try_cast({c} AS DOUBLE)) AS num_{c}, count({duckdb_parse(c)}) AS dt_{c}, "
+        f"count({c}) AS nn_{c}, count({duckdb_number(c)}) AS num_{c}, count({duckdb_parse(c)}) AS dt_{c}, "
         f"count(DISTINCT {c}) AS d_{c}" for c in UPLOAD_COLUMNS)
     arms = []
     for i, c in enumerate(UPLOAD_COLUMNS):
@@ -172,7 +173,7 @@ def q_mixed_dates(spark, sf):
 def _num_stats_sql():
     parts = []
     for c in NUMERIC:
-        v = f"try_cast({c} AS DOUBLE)"
+        v = duckdb_number(c)
         parts.append(f"""SELECT '{c}' AS "column", count({v}) AS n, quantile_cont({v}, 0.25) AS q1,
             quantile_cont({v}, 0.75) AS q3, avg({v}) AS m, stddev_pop({v}) AS sd FROM std""")
     return BASE + f",\nst AS ({' UNION ALL '.join(parts)})"
@@ -181,12 +182,12 @@ def _num_stats_sql():
 @register("iqr_outliers", _num_stats_sql() + "\n" + " UNION ALL ".join(
     f"""SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower,
         round(q3 + 1.5 * (q3 - q1), 4) AS upper,
-        (SELECT count(*) FROM std WHERE try_cast({c} AS DOUBLE) < q1 - 1.5 * (q3 - q1)
-                                     OR try_cast({c} AS DOUBLE) > q3 + 1.5 * (q3 - q1)) AS iqr_count
+        (SELECT count(*) FROM std WHERE {duckdb_number(c)} < q1 - 1.5 * (q3 - q1)
+                                     OR {duckdb_number(c)} > q3 + 1.5 * (q3 - q1)) AS iqr_count
         FROM st WHERE "column" = '{c}' AND n >= 4""" for c in NUMERIC))
 def q_iqr_outliers(spark, sf):
     _, std = _prep(spark, sf)
-    typed = std.select(*[F.col(c).try_cast("double").alias(c) for c in NUMERIC])
+    typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     rows = [(o["column"], round(o["q1"], 4), round(o["q3"], 4), round(o["lower"], 4), round(o["upper"], 4),
              o["iqr_count"]) for o in OUT.outlier_stats(typed, NUMERIC) if o["n"] >= 4]
     return spark.createDataFrame(rows, "column string, q1 double, q3 double, lower double, upper double, "
@@ -195,12 +196,12 @@ def q_iqr_outliers(spark, sf):
 
 @register("zscore_outliers", _num_stats_sql() + "\n" + " UNION ALL ".join(
     f"""SELECT "column", round(m, 4) AS mean, round(sd, 4) AS std_pop,
-        CASE WHEN sd > 0 THEN (SELECT count(*) FROM std WHERE abs((try_cast({c} AS DOUBLE) - m) / sd) > 3)
+        CASE WHEN sd > 0 THEN (SELECT count(*) FROM std WHERE abs(({duckdb_number(c)} - m) / sd) > 3)
              ELSE 0 END AS z_count
         FROM st WHERE "column" = '{c}' AND n >= 4""" for c in NUMERIC))
 def q_zscore_outliers(spark, sf):
     _, std = _prep(spark, sf)
-    typed = std.select(*[F.col(c).try_cast("double").alias(c) for c in NUMERIC])
+    typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     rows = [(o["column"], round(o["mean"], 4), round(o["std_pop"], 4), o["z_count"])
             for o in OUT.outlier_stats(typed, NUMERIC) if o["n"] >= 4]
     return spark.createDataFrame(rows, "column string, mean double, std_pop double, z_count long")
@@ -209,7 +210,7 @@ def q_zscore_outliers(spark, sf):
 @register("isolation_forest")
 def q_isolation_forest(spark, sf):
     cfg, std = _prep(spark, sf, forest=True)
-    typed = std.select(*[F.col(c).try_cast("double").alias(c) for c in NUMERIC])
+    typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     oc = cfg["outlier"]
     got = ISO.isolation_counts(typed, NUMERIC, oc["contamination"], oc["isolationforest_min_rows"])
     return spark.createDataFrame([(c, got[c]) for c in NUMERIC], "column string, forest_count long")
@@ -218,7 +219,7 @@ def q_isolation_forest(spark, sf):
 def _coercion_sql():
     parts = []
     for c in NUMERIC + DATES:
-        parsed = f"try_cast({c} AS DOUBLE)" if c in NUMERIC else duckdb_parse(c)
+        parsed = duckdb_number(c) if c in NUMERIC else duckdb_parse(c)
         parts.append(f"SELECT '{c}' AS \"column\", count({c}) AS nonnull, count({c}) - count({parsed}) AS lost FROM std")
     return BASE + f"""
 SELECT "column", nonnull, lost, round(lost / nonnull, 4) AS loss_ratio, lost / nonnull > 0.2 AS flagged
@@ -262,12 +263,12 @@ def _issues_sql() -> str:
         if c in NUMERIC:
             arms.append(f"""SELECT {i * 10 + 1}, '{c}', 'Extreme outliers detected',
                 CASE WHEN n >= 4 THEN greatest(
-                    (SELECT count(*) FROM std WHERE try_cast({c} AS DOUBLE) < q1 - 1.5 * (q3 - q1)
-                                                 OR try_cast({c} AS DOUBLE) > q3 + 1.5 * (q3 - q1)),
-                    CASE WHEN sd > 0 THEN (SELECT count(*) FROM std WHERE abs((try_cast({c} AS DOUBLE) - m) / sd) > 3)
+                    (SELECT count(*) FROM std WHERE {duckdb_number(c)} < q1 - 1.5 * (q3 - q1)
+                                                 OR {duckdb_number(c)} > q3 + 1.5 * (q3 - q1)),
+                    CASE WHEN sd > 0 THEN (SELECT count(*) FROM std WHERE abs(({duckdb_number(c)} - m) / sd) > 3)
                          ELSE 0 END) ELSE 0 END FROM st WHERE "column" = '{c}'""")
         if c in NUMERIC or c in DATES:
-            parsed = f"try_cast({c} AS DOUBLE)" if c in NUMERIC else duckdb_parse(c)
+            parsed = duckdb_number(c) if c in NUMERIC else duckdb_parse(c)
             arms.append(f"""SELECT {i * 10 + 2}, '{c}', 'Type mismatch - high coercion loss',
                 CASE WHEN count({c}) > 0 AND (count({c}) - count({parsed})) / count({c}) > 0.2
                      THEN count({c}) - count({parsed}) ELSE 0 END FROM std""")
@@ -294,7 +295,7 @@ def q_validate_issues(spark, sf):
 
 
 def _fix_sql() -> str:
-    med = {c: f"(SELECT quantile_cont(try_cast({c} AS DOUBLE), 0.5) FROM std)" for c in NUMERIC}
+    med = {c: f"(SELECT quantile_cont({duckdb_number(c)}, 0.5) FROM std)" for c in NUMERIC}
     mode = {c: f"(SELECT {c} FROM std WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
             for c in CATEG}
     arms = []
@@ -351,7 +352,7 @@ def _clean_sql(distinct: bool = True) -> str:
     for c in UPLOAD_COLUMNS:
         t = TYPES[c]
         if t == "numeric":
-            sel.append(f"coalesce(try_cast({c} AS DOUBLE), (SELECT quantile_cont(try_cast({c} AS DOUBLE), 0.5) "
+            sel.append(f"coalesce({duckdb_number(c)}, (SELECT quantile_cont({duckdb_number(c)}, 0.5) "
                        f"FROM std)) AS {c}")
         elif t == "date":
             sel.append(f"strftime({duckdb_parse(c)}, '%Y-%m-%d %H:%M:%S') AS {c}")
@@ -389,11 +390,11 @@ def q_clean(spark, sf):
 
 
 @register("impute_numeric", BASE + "\n" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", round(quantile_cont(try_cast({c} AS DOUBLE), 0.5), 4) AS fill_value,
-        count(*) - count(try_cast({c} AS DOUBLE)) AS filled FROM std""" for c in NUMERIC))
+    f"""SELECT '{c}' AS "column", round(quantile_cont({duckdb_number(c)}, 0.5), 4) AS fill_value,
+        count(*) - count({duckdb_number(c)}) AS filled FROM std""" for c in NUMERIC))
 def q_impute_numeric(spark, sf):
     _, std = _prep(spark, sf)
-    typed = std.select(*[F.col(c).try_cast("double").alias(c) for c in NUMERIC])
+    typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     rows = []
     for c in NUMERIC:
         med = CL.median_of(typed, c)
@@ -459,7 +460,7 @@ def q_dedupe_strict(spark, sf):
 # ---------------------------------------------------------------- profiles
 
 @register("numeric_profile", _clean_sql() + "\n" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", round(min(try_cast({c} AS DOUBLE)), 4) AS min, round(max({c}), 4) AS max,
+    f"""SELECT '{c}' AS "column", round(min({duckdb_number(c)}), 4) AS min, round(max({c}), 4) AS max,
         round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std,
         round(avg(power(({c} - (SELECT avg({c}) FROM cleaned)) / (SELECT stddev_pop({c}) FROM cleaned), 3)), 4)
           AS skewness FROM cleaned""" for c in NUMERIC))
@@ -641,4 +642,3 @@ def q_health_message(spark, sf):
                            "READY", cfg["manual_review"]["health_threshold"])
 
 
-DATE_LAYOUTS = DATE_FORMATS  # re-exported for tests

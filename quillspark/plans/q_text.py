@@ -48,19 +48,19 @@ def q_extract_action(spark, sf):
 
 @register("last_turns", """
 SELECT conv_id, turn, role, text FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5
+ORDER BY conv_id, turn""")
 def q_last_turns(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return TX.last_turns(c, "conv_id", "turn", 5)
+    return TX.last_turns(c, "conv_id", "turn", 5).orderBy("conv_id", "turn")
 
 
 @register("conversation_log", """
-SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE role IN ('user', 'assistant')
+SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations
 ORDER BY conv_id, turn""")
 def q_conversation_log(spark, sf):
     c = table(spark, sf, "conversations")
-    return (c.filter(F.col("role").isin("user", "assistant"))
-             .select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+    return (c.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
              .orderBy("conv_id", "turn"))
 
 

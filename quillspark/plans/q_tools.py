@@ -95,6 +95,27 @@ def q_what_if(spark, sf):
                       price="unit_price", qty="quantity", sales="sales")
 
 
+def _scenario_sql(hit: str, name: str, label: str, new: str, note: str) -> str:
+    return f"""
+WITH d AS ({_ITEMS_SQL}),
+agg AS (SELECT sum(sales) AS before, sum(CASE WHEN {hit} THEN {new} ELSE sales END) AS after, count(*) FILTER (WHERE {hit}) AS rows_affected FROM d)
+SELECT '{name}' AS scenario, '{label}' AS filter, 'Total Sales' AS impact_metric,
+       round(before, 2) AS before, round(after, 2) AS after, round(after - before, 2) AS difference,
+       round(CASE WHEN before <> 0 THEN (after - before) / before * 100 ELSE 0 END, 4) AS percent_change,
+       rows_affected, CAST(NULL AS DOUBLE) AS elasticity, '{note}' AS assumptions
+FROM agg WHERE rows_affected > 0"""
+
+
+@register("what_if_sales", _scenario_sql("returnflag = 'A'", "increase sales by 10.0", "returnflag = ''A''", "sales * 1.1", ""))
+def q_what_if_sales(spark, sf):
+    return WI.what_if_by_name(_items(spark, sf), "SALES", "increase", 10.0, "returnflag = 'A'")
+
+
+@register("what_if_set", _scenario_sql("TRUE", "set unit_price by 1000.0", "All Data", "quantity * 1000.0", ""))
+def q_what_if_set(spark, sf):
+    return WI.what_if_by_name(_items(spark, sf), "unit_price", "set", 1000.0)
+
+
 GUARDED = ("SELECT status, COUNT(*) AS n, ROUND(SUM(amount), 2) AS revenue FROM data "
            "GROUP BY status ORDER BY n DESC LIMIT 10")
 
@@ -104,6 +125,27 @@ def q_guarded_sql(spark, sf):
     return SQ.run_guarded(spark, sales_view(spark, sf, ["status", "amount"]), GUARDED)
 
 
+JOINED = ("SELECT a.status, COUNT(*) AS n FROM (SELECT DISTINCT status, category FROM data) a "
+          "JOIN (SELECT DISTINCT category, country FROM data) b ON a.category = b.category GROUP BY a.status ORDER BY n DESC, a.status LIMIT 10")
+
+
+@register("guarded_sql_join", JOINED.replace("FROM data", "FROM " + S(["status", "category", "country"])))
+def q_guarded_sql_join(spark, sf):
+    return SQ.run_guarded(spark, sales_view(spark, sf, ["status", "category", "country"]), JOINED)
+
+
+@register("guarded_sql_answer", f"""
+WITH r AS ({GUARDED.replace("FROM data", "FROM " + S(["status", "amount"]))})
+SELECT true AS ok, CAST(NULL AS VARCHAR) AS error, 'status,n,revenue' AS columns, count(*) AS row_count FROM r
+UNION ALL SELECT false, 'only a query is allowed, not DropTable', NULL, 0
+UNION ALL SELECT false, 'relation not allowed: orders', NULL, 0""")
+def q_guarded_sql_answer(spark, sf):
+    df = sales_view(spark, sf, ["status", "amount"])
+    asked = [GUARDED, "DROP TABLE data", "SELECT * FROM orders LIMIT 5"]
+    answers = [SQ.answer(spark, df, q).select("ok", "error", "columns", "row_count") for q in asked]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+
+
 DATASET_SQL = "SELECT strftime('%Y-%m', order_date) as x, COUNT(*) as y FROM dataset GROUP BY x ORDER BY x"
 
 

@@ -50,7 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared folder and is respected as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    Only in local mode (tests) a fresh scratch folder is created when it is unset;
+    on a cluster a missing setting is an error.
     """
     current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if spark.sparkContext.master.partition("[")[0] != "local":  # local-cluster has executors of its own
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="quill-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -9,9 +9,6 @@ unless some line is not valid UTF-8, then Latin-1 (which never fails).
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +27,21 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if ok in (True, None) else "ISO-8859-1"
 
 
+def _reader(spark: SparkSession, encoding: str):
+    """RFC 4180: quotes are doubled inside quotes, backslashes are plain, quoted line ends belong to the field.
+
+    A record may span lines, so a file is one split; large data come as many files.
+    """
+    return (spark.read.option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE"))
+
+
 def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """Raw header field names from the first line (one line through the driver)."""
-    first = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).first()
+    """Raw header field names: the first record, by the same parser (one row through the driver)."""
+    first = _reader(spark, encoding).option("header", False).csv(path).first()
     if first is None:
         raise ValueError("File contains no data")
-    line = first["value"].lstrip("﻿").rstrip("\r")
-    return next(csv.reader(io.StringIO(line), skipinitialspace=True))
+    return [(x or "").lstrip("\ufeff") for x in first]
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, dict]:
@@ -46,9 +51,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> tup
     names = unique_names(raw_names)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
                           + [T.StructField(OVERFLOW, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("encoding", enc)
-               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", False)
-               .option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path))
+    df = _reader(spark, enc).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
     df = df.filter(F.col(OVERFLOW).isNull())
     cols = [F.when(F.col(f"_c{i}").isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"_c{i}")).alias(n)
             for i, n in enumerate(names)]

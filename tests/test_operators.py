@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.config import load_config
+from quillspark.config import load_config, setting
 from quillspark.functions.dates import format_index, parse_date
 from quillspark.functions.names import sanitize_column_name, unique_names
 from quillspark.operators import anomalies as AN
@@ -38,7 +38,26 @@ def test_date_layouts(spark):
     assert [r["d"] for r in got] == ["2024-01-15 00:00:00", "2024-01-02 00:00:00", "2024-02-13 00:00:00",
                                      "2024-02-13 00:00:00", "2024-12-25 00:00:00", "2024-01-15 07:05:09",
                                      "2024-01-05 10:00:00", None, None, None]
-    assert [r["i"] for r in got] == [0, 3, 4, 5, 6, 1, 2, None, None, None]
+    assert [r["i"] for r in got] == [0, 4, 8, 12, 16, 2, 3, None, None, None]
+
+
+def test_ordinary_date_texts(spark):
+    cases = {"2/24/2003 0:00": "2003-02-24 00:00:00.000000", "2024/01/05": "2024-01-05 00:00:00.000000",
+             "2024-01-05T10:00:00Z": "2024-01-05 10:00:00.000000", "2024-01-05T10:00:00+02:00": "2024-01-05 10:00:00.000000",
+             "5 Jan 2024": "2024-01-05 00:00:00.000000", "January 5, 2024": "2024-01-05 00:00:00.000000", "2024-01-05 10:00": "2024-01-05 10:00:00.000000",
+             "2024-01-05 10:00:00.125": "2024-01-05 10:00:00.125000", "30/2/2024": None, "2024-02-30": None, "5 Foo 2024": None, "25:00": None,
+             "2024-01-05 25:00": None, "1/2-2024": None, "0/0/2024": None}
+    df = spark.createDataFrame([(v,) for v in cases], "s string")
+    got = {r["s"]: r["d"] for r in df.select("s", F.date_format(parse_date("s"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("d")).collect()}
+    assert got == cases
+
+
+def test_strict_numbers(spark):
+    from quillspark.functions.numbers import parse_number
+    cases = {"1": 1.0, " -2.50 ": -2.5, "1e3": 1000.0, ".5": 0.5, "3.": 3.0, "inf": float("inf"), "-Infinity": float("-inf"), "NAN": None, "nan": None,
+             "12D": None, "7f": None, "0x1p3": None, "1,000": None, "": None, "1 2": None}
+    df = spark.createDataFrame([(v,) for v in cases], "s string")
+    assert {r["s"]: r["n"] for r in df.select("s", parse_number("s").alias("n")).collect()} == cases
 
 
 def test_standardize(spark):
@@ -158,16 +177,33 @@ def test_what_if_against_pandas(spark):
     assert r["rows_affected"] == 100
 
 
-def test_sql_guard(spark):
-    assert SQ.validate_query("SELECT * FROM data LIMIT 10") == (True, "")
-    assert SQ.validate_query("DELETE FROM data")[0] is False
-    assert SQ.validate_query("select * from data; drop table x limit 1")[1] == "Dangerous keyword 'drop' not allowed"
-    assert SQ.validate_query("SELECT * FROM data")[1] == "Query must include a LIMIT clause (max 100)"
-    assert SQ.validate_query("SELECT * FROM data LIMIT 500")[1] == "LIMIT cannot exceed 100 rows"
+def test_sql_guard(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("hidden")
     df = spark.range(500).withColumnRenamed("id", "x")
+    spark.range(3).createOrReplaceTempView("elsewhere")
     assert SQ.run_guarded(spark, df, "SELECT x FROM data WHERE x % 2 = 0 LIMIT 100").count() == 100
-    with pytest.raises(ValueError):
-        SQ.run_guarded(spark, df, "UPDATE data SET x = 1")
+    assert SQ.run_guarded(spark, df, "WITH t AS (SELECT x FROM dataset) SELECT a.x FROM t a JOIN data b ON a.x = b.x + 1 ORDER BY 1 LIMIT 7").count() == 7
+    assert SQ.run_guarded(spark, df, "SELECT x FROM data WHERE x IN (SELECT max(x) FROM data) LIMIT 1").first()[0] == 499
+    for bad in ("UPDATE data SET x = 1", "DELETE FROM data", "DROP TABLE elsewhere", "INSERT INTO elsewhere SELECT x FROM data LIMIT 1",
+                "SELECT * FROM data", "SELECT * FROM data LIMIT 500", "SELECT * FROM (SELECT * FROM data LIMIT 5)", "SELECT * FROM elsewhere LIMIT 5",
+                f"SELECT * FROM text.`{tmp_path}` LIMIT 5", f"SELECT x FROM data WHERE EXISTS (SELECT 1 FROM text.`{tmp_path}/secret.txt`) LIMIT 5",
+                "SELECT x FROM data WHERE x IN (SELECT id FROM elsewhere) LIMIT 5", "SELECT * FROM range(5) LIMIT 5", "SELECT create FROM data LIMIT 5"):
+        with pytest.raises((SQ.NotAllowed, SQ.PySparkException)):
+            SQ.run_guarded(spark, df, bad)
+        r = SQ.answer(spark, df, bad).first()
+        assert r["ok"] is False and r["error"] and r["rows"] is None
+    assert spark.table("elsewhere").count() == 3
+    good, bad = SQ.answer_all(spark, df, ["SELECT x, x + 1 AS y FROM data ORDER BY x LIMIT 2", "SELECT nope FROM data LIMIT 2"])
+    assert tuple(good.first()) == (True, None, "x,y", 2, '[{"x":0,"y":1},{"x":1,"y":2}]') and bad.first()["ok"] is False
+
+
+def test_what_if_by_name(spark):
+    df = spark.createDataFrame([(100.0, 2.0, "A"), (50.0, 1.0, "B")], "Sales double, qty double, region string")
+    r = WI.what_if_by_name(df, "sales", "increase", 10.0).first()
+    assert (r["before"], r["after"], r["difference"], r["rows_affected"]) == (150.0, 165.0, 15.0, 2)
+    assert WI.what_if_by_name(df, "SALES", "set", 7.0, "region = 'A'").first()["after"] == 57.0
+    for target, operation, condition in (("nope", "increase", None), ("sales", "double", None), ("sales", "increase", "region ==== 'A'"), ("sales", "increase", "nope = 1")):
+        assert WI.what_if_by_name(df, target, operation, 1.0, condition).first()["error"]
 
 
 def test_mask_pii(spark):
@@ -202,6 +238,13 @@ def test_config_checks():
         load_config({"health_weights": {"completeness": 0.9}})
     with pytest.raises(ValueError):
         load_config({"outlier": {"contamination": 0.6}})
+    with pytest.raises(ValueError):
+        load_config({"outlier": {"no_such": 1}})
+    with pytest.raises(ValueError):
+        load_config({"imputation": {"numeric": "guess"}})
+    cfg = load_config({"imputation": {"numeric": "mean"}, "upload": {"max_bytes": 5}})
+    assert setting(cfg, "imputation.numeric") == "mean" and setting(cfg, "upload.max_bytes") == 5
+    assert setting(cfg, "schema_heuristics.patterns.ids")[0] == "id$" and setting(cfg, "a.b", 3) == 3
 
 
 def test_isolation_forest_flags_about_contamination(spark):
