@@ -3,124 +3,67 @@
 A basket qualifies when it has >= 2 raw rows; its items are then made
 unique.  Pair support = number of qualifying baskets holding both items.
 
-No per-basket pair rows are ever produced.  Pair counts come from
-``X^T X`` of the basket x item incidence matrix, computed per Arrow batch in
-``mapInPandas`` (a partial aggregate: one row per distinct pair per batch)
-and summed with a ``groupBy``.  Only candidate items are indexed: the top M
-items by support.  Any pair with an item outside the candidates has support
-<= t (the best excluded item's support), so the top-k pairs are exact once
-the k-th candidate pair beats t; otherwise M grows (exact, no cap).
-The basket frame is persisted for the passes; it is released with the
-session (the returned frame still reads it).
+Items and pairs stay DataFrames.  A pair's support is at most that of its
+rarer item, so with t the top-k-th support among the pairs of some items, every
+top-k pair consists of items with support >= t: one exact step, whatever the
+number of items.  Pairs come from an equi-join on (basket, block); the blocks
+of a basket's items are as many as its size asks for, so that one basket with
+all items is spread over many tasks, and counts are summed map-side first.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = 1024
+from ..session import ensure_checkpoint_dir
 
+#: Items whose pairs give the first bound t, and items per block of a basket.
+FIRST_ITEMS, BLOCK_ITEMS = 64, 256
 
-def _pair_counts(n_items: int):
-    def run(batches):
-        for pdf in batches:
-            lists = pdf["items"].tolist()
-            if not lists:
-                continue
-            lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-            rows = np.repeat(np.arange(len(lists)), lens)
-            cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if lens.sum() else \
-                np.zeros(0, dtype=np.int64)
-            out_a, out_b, out_c = [], [], []
-            for a0 in range(0, n_items, _BLOCK):
-                a1 = min(n_items, a0 + _BLOCK)
-                xa = np.zeros((len(lists), a1 - a0), dtype=np.float32)
-                sel = (cols >= a0) & (cols < a1)
-                xa[rows[sel], cols[sel] - a0] = 1.0
-                for b0 in range(a0, n_items, _BLOCK):
-                    b1 = min(n_items, b0 + _BLOCK)
-                    if b0 == a0:
-                        xb = xa
-                    else:
-                        xb = np.zeros((len(lists), b1 - b0), dtype=np.float32)
-                        selb = (cols >= b0) & (cols < b1)
-                        xb[rows[selb], cols[selb] - b0] = 1.0
-                    c = np.rint(xa.T @ xb).astype(np.int64)   # counts < 2^24 per batch: exact
-                    ia, ib = np.nonzero(c)
-                    ga, gb = ia + a0, ib + b0
-                    keep = ga < gb
-                    out_a.append(ga[keep]); out_b.append(gb[keep]); out_c.append(c[ia[keep], ib[keep]])
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b),
-                                    "cnt": np.concatenate(out_c)})
-    return run
 
-
-def baskets(df: DataFrame, order: str, item: str) -> DataFrame:
-    """Qualifying baskets ``(o, items)``: >= 2 raw rows, items made unique.
-
-    (order, item) multiplicities first (map-side combine collapses repeats),
-    then one ``groupBy(order)``: a basket's list is bounded by the number of
-    distinct items it holds, never by its raw row count.
-    """
+def basket_items(df: DataFrame, order: str, item: str) -> DataFrame:
+    """``(o, i)``: the distinct items of every qualifying basket (>= 2 raw rows)."""
     t = (df.select(F.col(order).alias("o"), F.col(item).cast("string").alias("i"))
            .filter(F.col("o").isNotNull() & F.col("i").isNotNull()))
-    return (t.groupBy("o", "i").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("o").agg(F.sum("c").alias("n_raw"), F.collect_list("i").alias("items"))
-             .filter(F.col("n_raw") >= 2).select("o", "items"))
+    counted = t.groupBy("o", "i").agg(F.count(F.lit(1)).alias("c"))  # repeats collapse map-side
+    large = counted.groupBy("o").agg(F.sum("c").alias("raw")).filter("raw >= 2").select("o")
+    return counted.select("o", "i").join(large, "o", "left_semi")
+
+
+def pair_supports(posts: DataFrame) -> DataFrame:
+    """``(A, B, support)`` with A < B for the pairs that share a basket of ``posts`` (o, i)."""
+    sizes = posts.groupBy("o").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).alias("blocks")).filter("blocks > 0")
+    sized = posts.join(sizes, "o")
+    left = sized.select("o", F.col("i").alias("A"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+    right = sized.select("o", F.col("i").alias("B"), F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("block"))
+    return left.join(right, ["o", "block"]).filter("A < B").groupBy("A", "B").agg(F.count(F.lit(1)).alias("support"))
 
 
 def basket_rules(df: DataFrame, order: str, item: str, top: int = 15, min_baskets: int = 10,
-                 first_candidates: int = 256) -> DataFrame:
+                 first_items: int = FIRST_ITEMS) -> DataFrame:
     """``(antecedent, consequent, support, confidence, lift)`` for the top pairs with lift > 1."""
     spark = df.sparkSession
-    bk = baskets(df, order, item).persist(StorageLevel.MEMORY_AND_DISK)
-    n_baskets = bk.count()
-    empty = spark.createDataFrame([], "antecedent string, consequent string, support long, "
-                                      "confidence double, lift double")
+    ensure_checkpoint_dir(spark)
+    posts = basket_items(df, order, item).checkpoint()  # scanned several times
+    n_baskets = posts.select("o").distinct().count()
     if n_baskets < min_baskets:
-        bk.unpersist()
-        return empty
-    items = bk.select(F.explode("items").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
-    m = first_candidates
-    while True:
-        head = items.orderBy(F.col("supp").desc(), F.col("i")).limit(m + 1).collect()
-        cut = head[m]["supp"] if len(head) > m else -1
-        cand_rows = head[:m]
-        names = [r["i"] for r in cand_rows]
-        cand = spark.createDataFrame([(j, r["i"], r["supp"]) for j, r in enumerate(cand_rows)],
-                                     "idx long, i string, supp long")
-        # candidate index = position in a literal array (no join); others dropped
-        lit_names = F.array(*[F.lit(x) for x in names])
-        idx = F.filter(F.transform("items", lambda x: F.array_position(lit_names, x) - 1), lambda j: j >= 0)
-        pairs = (bk.select(idx.alias("items")).filter(F.size("items") >= 2)
-                   .mapInPandas(_pair_counts(len(cand_rows)), "a long, b long, cnt long")
-                   .groupBy("a", "b").agg(F.sum("cnt").alias("support")))
-        ca = cand.select(F.col("idx").alias("a"), F.col("i").alias("ia"), F.col("supp").alias("sa"))
-        cb = cand.select(F.col("idx").alias("b"), F.col("i").alias("ib"), F.col("supp").alias("sb"))
-        named = (pairs.join(F.broadcast(ca), "a").join(F.broadcast(cb), "b")
-                      .select(F.when(F.col("ia") < F.col("ib"), F.col("ia")).otherwise(F.col("ib")).alias("A"),
-                              F.when(F.col("ia") < F.col("ib"), F.col("ib")).otherwise(F.col("ia")).alias("B"),
-                              F.when(F.col("ia") < F.col("ib"), F.col("sa")).otherwise(F.col("sb")).alias("supp_a"),
-                              F.when(F.col("ia") < F.col("ib"), F.col("sb")).otherwise(F.col("sa")).alias("supp_b"),
-                              "support"))
-        best = named.orderBy(F.col("support").desc(), "A", "B").limit(top)
-        if cut < 0:
-            break
-        got = best.select("support").collect()
-        if len(got) == top and got[-1]["support"] > cut:
-            break
-        m *= 4
+        return spark.createDataFrame([], "antecedent string, consequent string, support long, confidence double, lift double")
+    items = posts.groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
+    head = F.broadcast(items.orderBy(F.col("supp").desc(), "i").limit(first_items).select("i"))  # at most first_items rows
+    first = pair_supports(posts.join(head, "i", "left_semi")).orderBy(F.col("support").desc()).limit(top)
+    bound = first.agg(F.when(F.count(F.lit(1)) == top, F.min("support")).alias("t")).first()["t"] or 1
+    frequent = items.filter(F.col("supp") >= bound).select("i")
+    best = pair_supports(posts.join(frequent, "i", "left_semi")).orderBy(F.col("support").desc(), "A", "B").limit(top)
+    best = F.broadcast(best)  # at most ``top`` rows
+    named = items.join(best, items["i"] == best["A"]).select("A", "B", "support", F.col("supp").alias("supp_a"))
+    named = items.join(F.broadcast(named), items["i"] == named["B"]).select("A", "B", "support", "supp_a", F.col("supp").alias("supp_b"))
     conf = F.col("support") / F.col("supp_a")
     lift = conf / (F.col("supp_b") / F.lit(float(n_baskets)))
-    return (best.filter(lift > 1.0)
-                .select(F.col("A").alias("antecedent"), F.col("B").alias("consequent"),
-                        F.col("support").cast("long").alias("support"),
-                        F.round(conf, 2).alias("confidence"), F.round(lift, 2).alias("lift")))
+    return (named.filter(lift > 1.0)
+                 .select(F.col("A").alias("antecedent"), F.col("B").alias("consequent"),
+                         F.col("support").cast("long").alias("support"),
+                         F.round(conf, 2).alias("confidence"), F.round(lift, 2).alias("lift")))
 
 
 def basket_bands(rules: DataFrame) -> DataFrame:

@@ -68,6 +68,15 @@ def run_validation(spark: SparkSession, source, name: str = "upload.csv", persis
 
 
 def _run_validation(spark, source, name, persist, mode, config) -> dict:
+    held: list[DataFrame] = []
+    try:
+        return _phases(spark, source, persist, mode, config, held)
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+def _phases(spark, source, persist, mode, config, held: list[DataFrame]) -> dict:
     cfg = load_config(config)
     mode = normalize_mode(mode)
     if isinstance(source, str):
@@ -77,6 +86,7 @@ def _run_validation(spark, source, name, persist, mode, config) -> dict:
     fp = FI.table_id(df).first()  # the fingerprint pass also counts the rows
     dataset_id, rows_before = fp["dataset_id"], fp["rows"]
     std = ST.standardize(df).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(std)
     if rows_before == 0:
         return {"report": error_report(spark, dataset_id, "File contains no data"), "cleaned": None}
     schema = INF.infer_types(std, cfg)
@@ -84,6 +94,7 @@ def _run_validation(spark, source, name, persist, mode, config) -> dict:
     issues = VA.detect_issues(std, schema, cfg, stats=stats)
     cleaned, fixed, actions = CL.clean(std, issues, schema, mode, cfg, stats)
     cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(cleaned)
     rows_after = cleaned.count()
     by_type = {t: [s["column"] for s in schema if s["type"] == t] for t in ("numeric", "categorical", "date")}
     profiles = []
@@ -118,7 +129,8 @@ def _run_validation(spark, source, name, persist, mode, config) -> dict:
         [(d["column"], d["issue"], d["rows_affected"], d["fix_applied"], d["why"], d["impact"]) for d in fixed],
         [tuple(p.get(k) for k in keys) for p in profiles],
         ref, None)], REPORT_SCHEMA)
-    std.unpersist()
+    if ref:
+        cleaned = SK.read_dataset(spark, ref)  # the written table instead of the released frame
     return {"report": report, "cleaned": cleaned, "schema": schema, "issues": fixed, "actions": actions,
             "dataset_id": dataset_id, "health_score": scored["health_score"]}
 

@@ -155,9 +155,10 @@ def q_risk_analysis(spark, sf):
     return RK.risk_analysis(table(spark, sf, "orders"), "o_orderstatus", ["P"])
 
 
-_BASKET = f"""
-WITH t AS (SELECT order_id AS o, CAST(product AS VARCHAR) AS i FROM {S(['order_id', 'product'])}
-           WHERE order_id IS NOT NULL AND product IS NOT NULL),
+def _basket_sql(item: str) -> str:
+    return f"""
+WITH t AS (SELECT order_id AS o, CAST({item} AS VARCHAR) AS i FROM {S(['order_id', item])}
+           WHERE order_id IS NOT NULL AND {item} IS NOT NULL),
 q AS (SELECT o FROM t GROUP BY o HAVING count(*) >= 2),
 bi AS (SELECT DISTINCT o, i FROM t WHERE o IN (SELECT o FROM q)),
 nb AS (SELECT count(*) AS n FROM q),
@@ -171,11 +172,19 @@ rules AS (SELECT A AS antecedent, B AS consequent, support, round(support / sa,
 """
 
 
+_BASKET = _basket_sql("product")
+
+
 @register("basket_rules", _BASKET + "SELECT * FROM rules")
 def q_basket_rules(spark, sf):
     return BK.basket_rules(sales_view(spark, sf, ["order_id", "product"]), "order_id", "product")
 
 
+@register("basket_rules_by_name", _basket_sql("product_name") + "SELECT * FROM rules")
+def q_basket_rules_by_name(spark, sf):
+    return BK.basket_rules(sales_view(spark, sf, ["order_id", "product_name"]), "order_id", "product_name")
+
+
 @register("basket_bands", _BASKET + """
 SELECT antecedent, consequent,
        CASE WHEN lift >= 2.5 THEN 'strong' WHEN lift >= 1.5 THEN 'moderate' ELSE 'weak' END AS lift_band,

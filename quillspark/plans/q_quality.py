@@ -51,12 +51,27 @@ rep AS (SELECT {_rep} FROM raw),
 std AS (SELECT * FROM rep WHERE NOT ({_allnull}))"""
 
 
+_HELD: list = []
+
+
+def _held(df):
+    """Persist a frame that several phases of one query scan."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def _release():
+    """Drop what earlier queries held; a result of theirs that is still read recomputes it."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def _prep(spark, sf, forest: bool = False):
-    """Config and the standardised upload, persisted: every phase scans it
+    """Config and the standardised upload, held while the query's phases scan it
     (the reference pipeline also keeps it in memory between phases)."""
+    _release()
     cfg = load_config({"outlier": {"isolation_forest": forest}})
-    std = ST.standardize(raw_upload(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
-    return cfg, std
+    return cfg, _held(ST.standardize(raw_upload(spark, sf)))
 
 
 def _schema():
@@ -84,7 +99,7 @@ def q_standardize_log(spark, sf):
 
 @register("coerce_numeric", BASE + "\nSELECT order_id, total, " + duckdb_number("total") + " AS total_num FROM std")
 def q_coerce_numeric(spark, sf):
-    _, std = _prep(spark, sf)
+    std = ST.standardize(raw_upload(spark, sf))  # one pass: nothing to hold
     return std.select("order_id", "total", parse_number("total").alias("total_num"))
 
 
@@ -93,7 +108,7 @@ SELECT order_id, order_date, strftime({duckdb_parse('order_date')}, '%Y-%m-%d %H
        CAST({duckdb_format_index('order_date')} AS BIGINT) AS layout
 FROM std""")
 def q_coerce_date(spark, sf):
-    _, std = _prep(spark, sf)
+    std = ST.standardize(raw_upload(spark, sf))  # one pass: nothing to hold
     return std.select("order_id", "order_date",
                       F.date_format(parse_date("order_date"), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
                       format_index("order_date").cast("long").alias("layout"))
@@ -369,7 +384,7 @@ def _cleaned(spark, sf, mode="lenient"):
     cfg, std, issues = _issues(spark, sf, stats=stats)
     cleaned, fixed, actions = CL.clean(std, issues, _schema(), mode, cfg, stats)
     # several phases scan the cleaned table (as in the pipeline): keep it once
-    return cfg, std, cleaned.persist(StorageLevel.MEMORY_AND_DISK), fixed, actions
+    return cfg, std, _held(cleaned), fixed, actions
 
 
 def _present(df):

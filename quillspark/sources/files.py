@@ -17,23 +17,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
     Spark's file sources skip empty files, so the listing goes through the
     Hadoop FileSystem of the session (metadata only, as Spark's own file
-    index does).  Without a JVM gateway (Spark Connect) it falls back to the
-    ``binaryFile`` source, which misses empty files.
+    index does).  Any failure of the listing is raised.
     """
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(conf)
-        it = fs.listFiles(root, True)
-        rows = []
-        while it.hasNext():
-            st = it.next()
-            name = st.getPath().getName()
-            if not name.startswith((".", "_")):
-                rows.append((st.getPath().toString(), int(st.getLen())))
-        return spark.createDataFrame(rows, "path string, length long")
-    except Exception:  # pragma: no cover - Spark Connect
-        return spark.read.format("binaryFile").load(path).select("path", "length")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    it = root.getFileSystem(conf).listFiles(root, True)
+    rows = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith((".", "_")):
+            rows.append((st.getPath().toString(), int(st.getLen())))
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def file_gate(spark: SparkSession, path: str, allowed: list[str], max_bytes: int) -> DataFrame:

@@ -31,6 +31,7 @@ SALES_ROLES = {
     "status": ("orders", "o_orderstatus"),
     "priority": ("orders", "o_orderpriority"),
     "product": ("part", "p_brand"),
+    "product_name": ("part", "p_name"),
     "category": ("part", "p_type"),
     "country": ("nation", "n_name"),
 }
@@ -64,7 +65,8 @@ def sales_view(spark: SparkSession, sf_dir: str, roles: list[str]) -> DataFrame:
         df = (df.join(cust, df.o_custkey == cust.c_custkey, "inner")
                 .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
     if "part" in need:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+        p_cols = {SALES_ROLES[r][1] for r in roles if SALES_ROLES[r][0] == "part"}
+        part = table(spark, sf_dir, "part").select("p_partkey", *sorted(p_cols))
         df = df.join(part, df.l_partkey == part.p_partkey, "inner")
     return df.select(*[F.col(SALES_ROLES[r][1]).alias(r) for r in roles])
 

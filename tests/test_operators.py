@@ -121,7 +121,7 @@ def test_basket_matches_brute_force(spark):
         rows += [(o, f"item{int(i):02d}") for i in items]
     rows += [(999, "item00")] * 5 + [(999, "item01")]  # repeats count toward the 2-row rule
     df = spark.createDataFrame(rows, "o long, item string")
-    got = [tuple(r) for r in BK.basket_rules(df, "o", "item", first_candidates=4).collect()]
+    got = [tuple(r) for r in BK.basket_rules(df, "o", "item", first_items=4).collect()]
     exp = _brute_basket(rows)
     # Python rounds half-even on the binary value, Spark / DuckDB half-up: allow one cent.
     assert [g[:3] for g in sorted(got)] == [e[:3] for e in sorted(exp)]
