@@ -260,7 +260,10 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "star")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        if edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        # Done when every node has one parent and no parent has one itself.
+        torn = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).filter("v < w").select("u")
+        deep = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        if torn.unionByName(deep).isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
