@@ -17,10 +17,12 @@ from ..sources import sinks as SK
 from ..sources.csv import NA_TOKENS, ingest_metadata, read_csv
 from ..sources.tables import sales_view, table
 from ..sources.upload import RAW_UPLOAD_SQL, UPLOAD_COLUMNS, raw_upload
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from . import pipeline as PL
+from . import q_insights as _q_insights  # noqa: F401  (their SQL is part of the insight check)
+from . import q_rollups as _q_rollups  # noqa: F401
 from .q_quality import FIXED_SQL, _clean_sql, _cleaned
-from .registry import register
+from .registry import ORACLE, register
 
 
 def _upload_csv(spark, sf) -> str:
@@ -126,15 +128,42 @@ def q_pipeline_summary(spark, sf):
                     F.size("column_profile").cast("long").alias("n_profiles"), "clean_data_ref")
 
 
-@register("insights")
+#: Insight section -> (the single query with the same rows, key columns, measures).
+INSIGHTS = {
+    "forecasts": ("forecast_3m", ["series", "period", "step"], ["value"]),
+    "orders_over_time": ("orders_over_time", ["x"], ["y"]),
+    "revenue_over_time": ("revenue_over_time", ["x"], ["y"]),
+    "sales_by_category": ("sales_by_category", ["id", "chart"], ["value"]),
+    "sales_by_region": ("sales_by_region", ["id"], ["value"]),
+    "orders_by_status": ("orders_by_status", ["id"], ["value"]),
+    "qty_by_category": ("qty_by_category", ["id"], ["value"]),
+    "rfm_analysis": ("rfm_segments", ["segment", "description"], ["count", "avg_monetary"]),
+    "basket_analysis": ("basket_rules", ["antecedent", "consequent"], ["support", "confidence", "lift"]),
+    "kpis": ("kpis", ["id", "label"], ["value"]),
+}
+# Sections without a hit in the sales view (no status of risk, no value beyond two deviations) give no rows.
+EMPTY_INSIGHTS = {"risk_analysis": (["risk_level", "reason"], ["risk_score"]), "anomalies": (["column", "row_id"], ["value", "z_score"])}
+
+
+def _insight_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{section}' AS section, concat_ws('|', {', '.join(keys)}) AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value
+FROM ({ORACLE[query]})""" for section, (query, keys, measures) in INSIGHTS.items() for m in measures)
+
+
+@register("insights", _insight_sql())
 def q_insights(spark, sf):
-    df = sales_view(spark, sf, ["order_id", "order_date", "amount", "quantity", "customer_id", "product",
-                                "category", "country", "status"])
-    parts = PL.run_insights(df)
+    """Every value of the insight pass as (section, key, measure, value)."""
+    ensure_checkpoint_dir(spark)
+    view = sales_view(spark, sf, ["order_id", "order_date", "amount", "quantity", "customer_id", "product", "category", "country", "status"])
+    view = view.checkpoint()  # each table is joined in once; the sections scan the joined rows
+    shapes = {s: (keys, measures) for s, (_, keys, measures) in INSIGHTS.items()} | EMPTY_INSIGHTS
     out = None
-    for name, frame in parts.items():
-        one = frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows")
-        out = one if out is None else out.unionByName(one)
+    for section, frame in PL.run_insights(view).items():
+        keys, measures = shapes[section]
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        part = frame.select(F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("key"), cells.alias("cell")).select("section", "key", "cell.*")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
