@@ -43,9 +43,12 @@ def q_csv_scan(spark, sf):
     return df
 
 
-@register("ingest_metadata")
+@register("ingest_metadata", f"""WITH raw AS ({RAW_UPLOAD_SQL})
+SELECT '.csv' AS file_format, count(*) AS rows_before, {len(UPLOAD_COLUMNS)}::BIGINT AS columns_raw,
+       '{", ".join(UPLOAD_COLUMNS)}' AS original_columns, '{", ".join(UPLOAD_COLUMNS)}' AS normalized_columns, 'UTF-8' AS encoding FROM raw""")
 def q_ingest_metadata(spark, sf):
-    return ingest_metadata(spark, _upload_csv(spark, sf))
+    # The number and size of the files follow the partitioning of the run that wrote them.
+    return ingest_metadata(spark, _upload_csv(spark, sf)).drop("n_files", "file_size_bytes")
 
 
 @register("file_gate")
@@ -57,11 +60,15 @@ def q_file_gate(spark, sf):
     return a.unionByName(b)
 
 
-@register("dataset_id")
+@register("dataset_id", f"WITH raw AS ({RAW_UPLOAD_SQL}) SELECT 'upload_table' AS source, ("
+          + FI.table_id_sql("raw", UPLOAD_COLUMNS) + ") AS dataset_id")
 def q_dataset_id(spark, sf):
-    t = FI.table_id(raw_upload(spark, sf)).select(F.lit("upload_table").alias("source"), "dataset_id")
-    f = FI.file_ids(spark, _upload_csv(spark, sf)).select(F.col("file_name").alias("source"), "dataset_id")
-    return t.unionByName(f)
+    return FI.table_id(raw_upload(spark, sf)).select(F.lit("upload_table").alias("source"), "dataset_id")
+
+
+@register("file_ids")
+def q_file_ids(spark, sf):
+    return FI.file_ids(spark, _upload_csv(spark, sf))
 
 
 @register("persist_clean", _clean_sql() + """

@@ -222,13 +222,21 @@ def q_zscore_outliers(spark, sf):
     return spark.createDataFrame(rows, "column string, mean double, std_pop double, z_count long")
 
 
-@register("isolation_forest")
+@register("isolation_forest", BASE + "\n" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({duckdb_number(c)}) AS n, true AS within_contamination, true AS repeatable FROM std"""
+    for c in NUMERIC))
 def q_isolation_forest(spark, sf):
+    """Per column: values, whether at most the contamination share is flagged, and whether a
+    second run on other partitions flags as many (the flagged rows themselves have no SQL form)."""
     cfg, std = _prep(spark, sf, forest=True)
     typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     oc = cfg["outlier"]
-    got = ISO.isolation_counts(typed, NUMERIC, oc["contamination"], oc["isolationforest_min_rows"])
-    return spark.createDataFrame([(c, got[c]) for c in NUMERIC], "column string, forest_count long")
+    first, again = (ISO.isolation_counts(t, NUMERIC, oc["contamination"], oc["isolationforest_min_rows"])
+                    for t in (typed, typed.repartition(7)))
+    n = typed.agg(*[F.count(c).alias(c) for c in NUMERIC]).first()
+    # The cut-off is a quantile of scores that many values share, hence the rounding of a few rows.
+    return spark.createDataFrame([(c, n[c], first[c] <= oc["contamination"] * n[c] + 1, first[c] == again[c]) for c in NUMERIC],
+                                 "column string, n long, within_contamination boolean, repeatable boolean")
 
 
 def _coercion_sql():

@@ -57,14 +57,26 @@ def file_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_id(df: DataFrame) -> DataFrame:
-    """Order-insensitive fingerprint of a table: ``ds_`` + sha256(rows, sum of row hashes)[:8]."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    """Order-insensitive fingerprint of a table: ``ds_`` + sha256(rows, sum of row hashes)[:8].
+
+    A row's hash is the first 60 bits of the SHA-256 of its cells as text, so that
+    any engine can repeat it (``table_id_sql``).
+    """
+    cells = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns])
+    h = F.conv(F.substring(F.sha2(cells, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     agg = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
     return agg.select(F.concat(F.lit("ds_"), F.substring(F.sha2(F.concat_ws(":", F.col("rows").cast("string"),
                                                                               "checksum"), 256), 1, 8))
                        .alias("dataset_id"), "rows", "checksum")
 
 
+def table_id_sql(relation: str, columns: list[str]) -> str:
+    """``dataset_id`` of a relation of text columns, for the oracle."""
+    cells = ", ".join(f"coalesce({c}, chr(0))" for c in columns)
+    return f"""SELECT 'ds_' || substr(sha256(count(*) || ':' || coalesce(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), {cells})), 1, 15)) AS BIGINT)), 0)), 1, 8)
+FROM {relation}"""
+
+
 # ---------------------------------------------------------------- workbooks
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
