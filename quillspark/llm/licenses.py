@@ -78,6 +78,7 @@ class Settings:
     variants: int = 24
     drop_percent: int = 12
     containment: float = 0.75
+    notice: float = 0.3
     least_threshold: float = 0.5
     ridge: float = 0.0005
 
@@ -103,6 +104,11 @@ def pairs(words: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda k: F.array_join(F.slice(words, k, 2), " ")))
 
 
+def _share(templates: Column, own: Column) -> Column:
+    """The largest share of any template's pairs that ``own`` pairs hold."""
+    return F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), paragraph (not blank) of every document."""
     lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split(text_or_empty(), r"\r?\n")).alias("line", "raw"))
@@ -116,8 +122,8 @@ def _template_rows(spark: SparkSession) -> DataFrame:
         "family", "number", paragraph_words(F.col("template")).alias("words"))
 
 
-def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
-    """family, held_out, grams of the training rows, and the feature vocabulary (at most a few per template word)."""
+def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[DataFrame, list[str], list[str]]:
+    """family, held_out, grams of the training rows; the features (a few per template word); the anchors."""
     templates = _template_rows(spark)
     known_words = [r[0] for r in templates.filter(F.col("family") != UNKNOWN).select(F.explode("words")).distinct().collect()]
     # The draw: paragraphs with the smallest hashes; one that holds a licence word may be a notice and teaches nothing.
@@ -125,7 +131,10 @@ def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[D
              .select(F.substring("paragraph", 1, 20_000).alias("paragraph")).withColumn("draw", F.xxhash64("paragraph")).distinct()
              .orderBy("draw", "paragraph").limit(s.ordinary))
     ordinary = drawn.select(F.lit(UNKNOWN).alias("family"), "draw", paragraph_words(F.col("paragraph")).alias("words"))
-    # Rows of 5 to 40 words: what a long ordinary paragraph adds beyond says nothing on notices.
+    # A drawn paragraph that shares much with a template is a notice itself.
+    every = F.array(*[F.array(*map(F.lit, r["pairs"])) for r in templates.filter(F.col("family") != UNKNOWN).select(pairs(F.col("words")).alias("pairs")).collect()])
+    ordinary = ordinary.withColumn("pairs", pairs(F.slice("words", 1, 2000))).filter(_share(every, F.col("pairs")) < s.notice)
+    # The first 40 words: what a long ordinary paragraph adds beyond says nothing on notices.
     ordinary = ordinary.select("family", "draw", F.slice("words", 1, 40).alias("words")).cache()
     try:
         common = [r[0] for r in ordinary.select(F.explode("words").alias("w")).filter(F.col("w").isin(known_words)).distinct().collect()]
@@ -137,7 +146,8 @@ def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[D
         grams = (rows.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("g")).distinct()
                  .filter(F.arrays_overlap(F.split("g", " "), F.array(*map(F.lit, anchors)))) if anchors else rows.select(F.lit("").alias("g")).limit(0))
         vocabulary = sorted(r[0] for r in grams.collect())  # templates are fixed, so this is too
-        return spark.createDataFrame(rows.collect(), rows.schema), vocabulary  # at most variants x templates + ordinary rows
+        # At most variants x templates + ordinary rows.
+        return spark.createDataFrame(rows.collect(), rows.schema), vocabulary, anchors
     finally:
         ordinary.unpersist()
 
@@ -154,7 +164,7 @@ class Classifier:
 def train_classifier(docs: DataFrame, s: Settings = Settings()) -> Classifier | None:
     """None when the table has no paragraph that could teach the unknown class apart from the templates."""
     spark = docs.sparkSession
-    rows, vocabulary = training_table(spark, docs, s)
+    rows, vocabulary, anchors = training_table(spark, docs, s)
     if not vocabulary:
         return None
     families = sorted(TEMPLATES) + [UNKNOWN]
@@ -165,11 +175,6 @@ def train_classifier(docs: DataFrame, s: Settings = Settings()) -> Classifier |
         model = LogisticRegression(family="multinomial", regParam=s.ridge, maxIter=60).fit(data.filter(~F.col("held_out")))
         share = F.array_max(F.slice(vector_to_array(F.col("probability")), 1, len(families) - 1))
         seen = model.transform(data.filter(F.col("held_out") & (F.col("label") == len(families) - 1))).agg(F.max(share)).first()[0]
-        known = {w for g in vocabulary for w in g.split(" ")}
-        common = {r[0] for r in rows.filter((F.col("family") == UNKNOWN)).select(F.explode("grams").alias("g")).filter(F.col("g").isin(sorted(known))).distinct().collect()}
-        grams = [set(g.split(" ")) for g in vocabulary]
-        # Every feature keeps at least one anchor, also where hard cases of the unknown class use the word.
-        anchors = sorted({w for g in grams for w in ((g - common) or g)})
         return Classifier(vectors, model, families, max(s.least_threshold, seen or 0.0), anchors)
     finally:
         data.unpersist()
@@ -194,8 +199,7 @@ def scan_licenses(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         "family", pairs(F.col("words")).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("all")).collect()}
     by_family = F.create_map(*[x for f, ts in sorted(templates.items()) for x in (
         F.lit(f), F.array(*[F.array(*map(F.lit, t)) for t in ts]))])
-    share = F.array_max(F.transform(by_family[F.col("best")], lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    found = found.withColumn("containment", share.cast("double"))
+    found = found.withColumn("containment", _share(by_family[F.col("best")], F.col("pairs")).cast("double"))
     known = F.col("probability") > classifier.threshold
     return found.select("doc_id", "line", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "containment",
                         (known & (F.col("containment") >= s.containment)).alias("confirmed"))
