@@ -65,3 +65,18 @@ def diagnose(df: DataFrame, date: str, metric: str, dims: list[str], start: str,
                            F.round("total_previous", 2).alias("total_previous"),
                            F.round(delta_t / F.col("total_previous") * 100, 2).alias("pct_change"),
                            F.when(delta_t < 0, "dropped").otherwise("increased").alias("direction")))
+
+
+def diagnose_answer(df: DataFrame, date: str, metric: str, dims: list[str], start: str, end: str,
+                    compare_start: str, compare_end: str) -> DataFrame:
+    """The diagnosis tool's rows: the drivers, or one row with the message and the current total
+    where the comparison period totals 0."""
+    drivers = diagnose(df, date, metric, dims, start, end, compare_start, compare_end)
+    rows = drivers.withColumn("analysis", F.lit(None).cast("string"))
+    m = F.col(metric).cast("double")
+    totals = df.agg(F.coalesce(F.sum(F.when(_between(date, start, end), m)), F.lit(0.0)).alias("cur"),
+                    F.coalesce(F.sum(F.when(_between(date, compare_start, compare_end), m)), F.lit(0.0)).alias("prev"))
+    # Fixed value: the tool's message.
+    text = f"Previous period ({compare_start} to {compare_end}) has 0 value. Cannot calculate change."
+    none = totals.filter("prev = 0").select(F.round("cur", 2).alias("total_current"), F.lit(text).alias("analysis"))
+    return rows.unionByName(none, allowMissingColumns=True)

@@ -79,6 +79,18 @@ def forecast_horizon(df: DataFrame, date: str, value: str, horizon: int = 12) ->
     return p.withColumn("total_predicted", F.round(F.sum("forecast_value").over(Window.partitionBy()), 2))
 
 
+def forecast_answer(df: DataFrame, date: str, value: str, horizon: int = 12) -> DataFrame:
+    """The forecast tool's rows ``(month, forecast_value, total_predicted, error)``: the forecast, or
+    one row that says why there is none."""
+    rows = forecast_horizon(df, date, value, horizon).withColumn("error", F.lit(None).cast("string"))
+    months = monthly_series(df, date, value, null_as_zero=True).agg(F.count(F.lit(1)).alias("n"))
+    # Fixed value: the tool's message.
+    text = F.format_string("Not enough monthly data points for forecasting. Found %d months. Need at least 3.", F.col("n"))
+    none = months.filter("n < 3").select(F.lit(None).cast("string").alias("month"), F.lit(None).cast("double").alias("forecast_value"),
+                                         F.lit(None).cast("double").alias("total_predicted"), text.alias("error"))
+    return rows.unionByName(none)
+
+
 def forecast_linear(df: DataFrame, date: str, amount: str, steps: int = 3) -> DataFrame:
     """Older degree-1 variant: ``(step, month, value)``."""
     p = predict(fit(monthly_series(df, date, amount), 1), steps, min_months=2)

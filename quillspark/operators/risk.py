@@ -19,12 +19,11 @@ def risk_analysis(df: DataFrame, status: str, keywords: list[str] | None = None)
     """One row ``(risk_score, risk_level, reason)``; no row when the score is 0."""
     keywords = keywords or BAD_STATUSES
     spark = df.sparkSession
-    from pyspark.sql import Window
-    # One row per distinct status (a status column has a handful of values):
-    # the total is a window over those rows, so the data is scanned once.
-    counts = (df.select(F.col(status).cast("string").alias("status")).filter(F.col("status").isNotNull())
-                .groupBy("status").agg(F.count(F.lit(1)).alias("cnt"))
-                .withColumn("total", F.sum("cnt").over(Window.partitionBy())))
+    # The total is a sum over the same status counts (one row, broadcast): no task
+    # needs all statuses, also where the column is free text.
+    per = (df.select(F.col(status).cast("string").alias("status")).filter(F.col("status").isNotNull())
+             .groupBy("status").agg(F.count(F.lit(1)).alias("cnt")))
+    counts = per.crossJoin(F.broadcast(per.agg(F.sum("cnt").alias("total"))))
     kw = spark.createDataFrame(list(enumerate(keywords)), "kpos int, keyword string")
     m = (counts.join(F.broadcast(kw), F.lower("status").contains(F.lower("keyword")))
                .select("kpos", "status", "cnt", (F.col("cnt") / F.col("total")).alias("share")))

@@ -52,6 +52,8 @@ def what_if_by_name(df: DataFrame, target: str, operation: str, value: float, co
         out = what_if(df, found["target"], operation, value, condition, found["price"], found["quantity"], found["sales"])
     except (AnalysisException, ParseException) as e:
         return error(f"the filter cannot be read: {e.getCondition()}")
+    if out.isEmpty():
+        return error("No rows matched the filter condition.")  # fixed value: the tool's message
     return out
 
 

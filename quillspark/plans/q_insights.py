@@ -9,7 +9,7 @@ from ..operators import basket as BK
 from ..operators import forecast as FC
 from ..operators import rfm as RFM
 from ..operators import risk as RK
-from ..sources.tables import order_sales, sales_view, sales_view_sql, table
+from ..sources.tables import order_sales, period_sales, sales_view, sales_view_sql, table
 from .registry import register
 
 S = sales_view_sql
@@ -47,6 +47,15 @@ def q_forecast_horizon(spark, sf):
     return FC.forecast_horizon(order_sales(spark, sf, ["order_date"]), "order_date", "amount", 12)
 
 
+@register("forecast_too_few", f"""
+SELECT CAST(NULL AS VARCHAR) AS month, CAST(NULL AS DOUBLE) AS forecast_value, CAST(NULL AS DOUBLE) AS total_predicted,
+       printf('Not enough monthly data points for forecasting. Found %d months. Need at least 3.', n) AS error
+FROM (SELECT count(DISTINCT strftime(order_date, '%Y-%m')) AS n FROM {S(['order_date', 'amount'])}
+      WHERE order_date >= TIMESTAMP '1996-01-01' AND order_date <= TIMESTAMP '1996-02-28') WHERE n < 3""")
+def q_forecast_too_few(spark, sf):
+    return FC.forecast_answer(period_sales(spark, sf, "1996-01-01", "1996-02-28"), "order_date", "amount")
+
+
 @register("forecast_linear", _FIT.format(yexpr="sum(amount)", aexpr="0.0", steps=3, min_n=2) + """
 SELECT step, month, round(value, 2) AS value FROM p
 """)

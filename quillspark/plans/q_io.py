@@ -124,7 +124,9 @@ def q_validation_report(spark, sf):
 
 @register("report_json")
 def q_report_json(spark, sf):
-    return SK.report_json(_pipeline(spark, sf)["report"])
+    session = uuid.uuid4().hex
+    SK.store_report(_pipeline(spark, sf)["report"], session)
+    return SK.stored_report(spark, session)
 
 
 @register("pipeline_summary")

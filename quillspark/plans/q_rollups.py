@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kpis as K
-from ..sources.tables import customer_sales, order_sales, part_sales, sales_view, sales_view_sql
+from ..sources.tables import customer_sales, order_sales, period_sales, part_sales, sales_view, sales_view_sql
 from .registry import register
 
 S = sales_view_sql
@@ -98,8 +98,8 @@ SELECT round(coalesce(sum(amount), 0), 2) AS total FROM {S(['order_date', 'amoun
 WHERE order_date >= TIMESTAMP '1996-01-01' AND order_date <= TIMESTAMP '1996-12-31'
 """)
 def q_period_total(spark, sf):
-    return K.period_total(order_sales(spark, sf, ["order_date"]), "order_date", "amount",
-                          "1996-01-01", "1996-12-31")
+    period = ("1996-01-01", "1996-12-31")
+    return K.period_total(period_sales(spark, sf, *period), "order_date", "amount", *period)
 
 
 @register("slope_change", f"""

@@ -50,6 +50,17 @@ def q_diagnose(spark, sf):
     return DG.diagnose(df, date_col, "amount", dims, CUR[0], CUR[1], PREV[0], PREV[1])
 
 
+@register("diagnose_no_previous", f"""
+SELECT CAST(NULL AS VARCHAR) AS dimension, round(coalesce(sum(amount), 0), 2) AS total_current,
+       'Previous period (1970-01-01 to 1970-12-31) has 0 value. Cannot calculate change.' AS analysis
+FROM {S(_DIAG_ROLES)} WHERE order_date >= TIMESTAMP '{CUR[0]}' AND order_date <= TIMESTAMP '{CUR[1]}'""")
+def q_diagnose_no_previous(spark, sf):
+    df = sales_view(spark, sf, _DIAG_ROLES)
+    _, dims = diagnostic_columns(df.columns)
+    return DG.diagnose_answer(df, "order_date", "amount", dims, CUR[0], CUR[1], "1970-01-01", "1970-12-31").select(
+        "dimension", "total_current", "analysis")
+
+
 def _items(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select((F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),

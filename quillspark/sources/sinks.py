@@ -57,3 +57,15 @@ def list_datasets(spark: SparkSession) -> DataFrame:
 def report_json(report: DataFrame) -> DataFrame:
     """One JSON text per report row (the session result store)."""
     return report.select(F.to_json(F.struct(*[F.col(c) for c in report.columns])).alias("report_json"))
+
+
+def store_report(report: DataFrame, session_id: str) -> str:
+    """Append a session's report JSON to the result store; returns the store's folder."""
+    path = scratch_path(report.sparkSession, "session_results")
+    report_json(report).select(F.lit(session_id).alias("session_id"), "report_json").write.mode("append").parquet(path)
+    return path
+
+
+def stored_report(spark: SparkSession, session_id: str) -> DataFrame:
+    """The stored report of one session."""
+    return spark.read.parquet(scratch_path(spark, "session_results")).filter(F.col("session_id") == session_id).select("report_json")

@@ -107,6 +107,20 @@ def order_sales(spark: SparkSession, sf_dir: str, roles: list[str]) -> DataFrame
                          "amount", "quantity", "lines")
 
 
+def period_sales(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
+    """``(order_date, amount)`` of the lines of one period's orders.
+
+    The orders are filtered first (pushed to their scan), so only their lines
+    survive the join and are summed.
+    """
+    day = F.col("o_orderdate")
+    orders = (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+              .filter((day >= F.lit(start).cast("timestamp_ntz")) & (day <= F.lit(end).cast("timestamp_ntz"))))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+                 .select(F.col("o_orderdate").alias("order_date"), F.col("l_extendedprice").alias("amount")))
+
+
 def part_sales(spark: SparkSession, sf_dir: str, roles: list[str]) -> DataFrame:
     """Line sums per part joined to ``part``: roll-ups by product / category.
 
