@@ -12,9 +12,11 @@ documents link when their Jaccard similarity reaches a threshold.  Steps:
    nothing.  The others form groups under the smallest node that they share a
    part with, cut into chunks of bounded token count.
 3. Inside a group all pairs are compared.
-4. Across groups: the token-group matrix.  Two groups meet only if they share a
-   part and are not one component already.  The task holds the token union of a
-   group; a query node whose overlap with that union is below what a link needs
+   (A link leaves more than one part alike where sets are smaller than their
+   class allows; nodes and groups with fewer shared parts are not looked at.)
+4. Across groups: the token-group matrix.  A node meets another group only if it
+   shares enough parts with it and is not one component with it already.  The
+   task holds the token union of the group's members in question; a query node whose overlap with that union is below what a link needs
    is refuted at once, and only for the others the group is opened and its
    members compared.  Tasks emit a spanning set of links, never all pairs.
 5. Components of the links by alternating large and small stars.
@@ -122,8 +124,23 @@ def part_hashes(tokens: np.ndarray, ends: list[int], threshold: int) -> np.ndarr
     return np.concatenate(out)
 
 
+def least_shared(n: int, ends: list[int], threshold: int) -> int:
+    """Parts that a set of ``n`` tokens shares at least with any set it links with.
+
+    Each shingle by which two sets differ spoils one part of the family in which they meet, so a link
+    leaves the parts of the family less the differences that a partner of the largest size may bring.
+    """
+    own = int(np.searchsorted(ends, n))
+    needs = []
+    for family, partner in ((own, min(100 * n // threshold, ends[own])), (own + 1, 100 * n // threshold)):
+        if family == own or (family < len(ends) and partner > ends[own]):
+            parts = 2 * ends[family] * (100 - threshold) // (100 + threshold) + 1
+            needs.append(parts - (100 - threshold) * (n + partner) // (100 + threshold))
+    return max(1, min(needs))
+
+
 def document_sets(docs: DataFrame, threshold: int, words: int) -> DataFrame:
-    """doc_id, n, node (id of the set) and the part hashes of every row."""
+    """doc_id, n, node (id of the set), the parts it must share to link, and the part hashes of every row."""
 
     def sets(batches):
         shingler = Shingler(words)
@@ -137,10 +154,11 @@ def document_sets(docs: DataFrame, threshold: int, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in found], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "n", "node", "parts"])
+                 pa.array([least_shared(len(s), ends, threshold) if len(s) else None for s in found], pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "n", "node", "need", "parts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        sets, "doc_id long, n long, node long, parts array<long>")
+        sets, "doc_id long, n long, node long, need long, parts array<long>")
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
@@ -224,7 +242,7 @@ def links_across(meetings: DataFrame, threshold: int) -> DataFrame:
         sets = _token_lists(table.column("tokens"))
         group = np.flatnonzero(~asks)
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(group):
+        if not len(group) or len(set(labels.tolist())) == 1:
             return none
         union = np.unique(np.concatenate([sets[k] for k in group]))
         least, most = (f(len(sets[k]) for k in group) for f in (min, max))
@@ -296,13 +314,17 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, words: int =
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets = stored(document_sets(docs, threshold, words), "sets")
     named = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("need").alias("need")), "nodes")
     # One row per node and part: the row of the node's smallest id stands for its copies.
-    posted = (named.select("node", "doc_id", "parts").join(nodes.hint("shuffle_hash"), ["node", "doc_id"])
+    posted = (named.select("node", "doc_id", "parts").join(nodes.select("node", "doc_id").hint("shuffle_hash"), ["node", "doc_id"])
               .select("node", F.explode("parts").alias("part")))
     shared = stored(posted.groupBy("part").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
                     .filter("lead < last").select("part", "lead"), "shared-parts")
     hits = stored(posted.join(shared, "part").distinct(), "hits")
+    # A node that shares fewer parts with all others together than a link leaves has no link.
+    able = stored(hits.groupBy("node").agg(F.count(F.lit(1)).alias("parts")).join(nodes, "node").filter("parts >= need")
+                  .select("node", "need"), "able")
+    hits = stored(hits.join(able, "node"), "able-hits")
 
     labels = stored(hits.groupBy("node").agg(F.min("lead").alias("label")), "labels")
     wanted = stored(labels.select("node").join(nodes, "node"), "wanted")
@@ -320,19 +342,19 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, words: int =
     joined = components(inside)
     placed = stored(group.join(joined, "node", "left").select(
         "label", "chunk", "node", F.coalesce("component", "node").alias("component")), "placed")
-    open_parts = (hits.select("part", "node").join(placed, "node").groupBy("part", "label", "chunk")
-                  .agg(F.min("component").alias("low"), F.max("component").alias("high")))
-    open_parts = stored(open_parts, "open-parts")
-    mixed = stored(open_parts.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("groups"))
-                   .filter("low < high AND groups > 1").select("part"), "mixed-parts")
-    rows = open_parts.join(mixed, "part", "left_semi").select("part", "label", "chunk")
-    one, two = (rows.select("part", F.col("label").alias(x), F.col("chunk").alias(f"{x}_chunk")) for x in ("one", "two"))
-    pairs = stored(one.join(two, "part").filter("struct(one, one_chunk) < struct(two, two_chunk)")
-                   .select("one", "one_chunk", "two", "two_chunk").distinct(), "group-pairs")
-    ask = pairs.join(placed.select(F.col("label").alias("one"), F.col("chunk").alias("one_chunk"), "node", "component"), ["one", "one_chunk"])
-    tell = pairs.join(placed.select(F.col("label").alias("two"), F.col("chunk").alias("two_chunk"), "node", "component"), ["two", "two_chunk"])
-    columns = ["one", "one_chunk", "two", "two_chunk", "node", "component"]
-    meet = ask.select(*columns, F.lit(True).alias("query")).unionByName(tell.select(*columns, F.lit(False).alias("query")))
+    at = stored(hits.select("part", "node", "need").join(placed, "node"), "placed-hits")
+    mixed = stored(at.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                          F.min(F.struct("label", "chunk")).alias("first"), F.max(F.struct("label", "chunk")).alias("last"))
+                   .filter("low < high AND first < last").select("part"), "mixed-parts")
+    at = stored(at.join(mixed, "part", "left_semi"), "mixed-hits")
+    # Nodes against other groups: enough shared parts for a link, all of them in parts of several components.
+    groups = at.select("part", F.col("label").alias("to_label"), F.col("chunk").alias("to_chunk")).distinct()
+    own, to = F.struct(F.col("label").alias("l"), F.col("chunk").alias("c")), F.struct(F.col("to_label").alias("l"), F.col("to_chunk").alias("c"))
+    asks = (at.join(groups, "part").filter(own != to).groupBy("node", "need", "component", "label", "chunk", "to_label", "to_chunk")
+            .agg(F.count(F.lit(1)).alias("parts")).filter("parts >= need"))
+    first, second = F.least(own, to), F.greatest(own, to)
+    meet = stored(asks.select(first["l"].alias("one"), first["c"].alias("one_chunk"), second["l"].alias("two"), second["c"].alias("two_chunk"),
+                              "node", "component", (own < to).alias("query")), "meetings")
     across = links_across(meet.join(opened.drop("n"), "node"), threshold)
 
     reached = components(inside.unionByName(stored(across, "links-across")))
