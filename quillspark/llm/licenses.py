@@ -132,8 +132,10 @@ def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[D
              .orderBy("draw", "paragraph").limit(s.ordinary))
     ordinary = drawn.select(F.lit(UNKNOWN).alias("family"), "draw", paragraph_words(F.col("paragraph")).alias("words"))
     # A drawn paragraph that shares much with a template is a notice itself.
-    every = F.array(*[F.array(*map(F.lit, r["pairs"])) for r in templates.filter(F.col("family") != UNKNOWN).select(pairs(F.col("words")).alias("pairs")).collect()])
-    ordinary = ordinary.withColumn("pairs", pairs(F.slice("words", 1, 2000))).filter(_share(every, F.col("pairs")) < s.notice)
+    notices = [r["pairs"] for r in templates.filter(F.col("family") != UNKNOWN).select(pairs(F.col("words")).alias("pairs")).collect()]
+    every = F.array(*map(F.lit, sorted({p for ps in notices for p in ps})))
+    own = F.array_intersect(pairs(F.slice("words", 1, 2000)), every)  # few are left to hold against each template
+    ordinary = ordinary.withColumn("own", own).filter(_share(F.array(*[F.array(*map(F.lit, ps)) for ps in notices]), F.col("own")) < s.notice)
     # The first 40 words: what a long ordinary paragraph adds beyond says nothing on notices.
     ordinary = ordinary.select("family", "draw", F.slice("words", 1, 40).alias("words")).cache()
     try:

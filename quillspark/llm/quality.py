@@ -42,6 +42,7 @@ class Settings:
     sample_docs: int = 4000
     sample_features: int = 400
     epochs: int = 6
+    least_steps: int = 400
     rate: float = 0.25
     batch: int = 16
     seed: int = 11
@@ -131,8 +132,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     out[:] = rng.normal(0, 0.1, out.shape)
     bias = np.zeros(2, np.float32)
     n = len(bags)
-    steps, step = s.epochs * -(-n // s.batch), 0
-    for _ in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps // -(-n // s.batch)))  # a small sample is gone over more often
+    steps, step = epochs * -(-n // s.batch), 0
+    for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, s.batch):
             rows = order[at:at + s.batch]
