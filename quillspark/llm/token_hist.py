@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, stored, text_or_empty
 from .registry import register
 from .tokens import BYTE_VOCABULARY, encoder, vocabulary_path
 
@@ -46,6 +46,7 @@ def length_histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     hist = (token_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
             .withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
+    hist = stored(hist, "histogram")  # read for the block sums and again beside them
     sums = [F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")]
     blocks = hist.groupBy("block").agg(*sums)
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per 1024 lengths
