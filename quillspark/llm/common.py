@@ -28,3 +28,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+#: Rows of an Arrow batch that are taken apart into words at once (memory bound per Python worker).
+SLICE_ROWS = 512
+
+
+def slices(batches):
+    """The batches cut to at most ``SLICE_ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)

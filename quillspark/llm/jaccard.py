@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, slices, stored
 from .registry import register
 
 WORDS, THRESHOLD = 3, 90
@@ -47,7 +47,7 @@ WORDS, THRESHOLD = 3, 90
 GROUP_MEMBERS, GROUP_TOKENS = 256, 2_000_000
 #: Most candidate nodes (16 bytes each) that are broadcast to fetch their texts; beyond, the fetch is shuffled.
 BROADCAST_NODES = 400_000
-WORD_MEMO = 1_000_000
+WORD_MEMO = 500_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -144,7 +144,7 @@ def document_sets(docs: DataFrame, threshold: int, words: int) -> DataFrame:
 
     def sets(batches):
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             found = shingler.sets(batch.column(1).to_pylist())
             # The class after the set's own is needed for its upper end.
             ends = size_classes(3 * max([1, *map(len, found)]))
@@ -297,7 +297,7 @@ def open_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     def tokens(batches):
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sets = batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())
             kept = [(n, s) for n, s in zip(nodes, sets) if len(s) and set_id(s) == n]  # an id may repeat with another text
             offsets = pa.array(np.cumsum([0, *(len(s) for _, s in kept)]).astype(np.int32))

@@ -18,6 +18,7 @@ usable label of one of the classes every score is 0.5.  Extra columns are ignore
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import SLICE_ROWS, read_table, text_or_empty
 from .registry import register
 
 
@@ -81,7 +82,7 @@ class WordTable:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.hashes, self.sums, self.sizes, self.features = [], [], [], []
+        self.hashes, self.sums, self.sizes, self.features = array("Q"), array("d"), array("q"), []
 
     def add(self, word: str) -> int:
         features = word_features(word, self.s)
@@ -100,7 +101,7 @@ class WordTable:
 
     def pairs(self, ids: np.ndarray) -> np.ndarray:
         """Buckets of consecutive words; a word that repeats the one before gives bucket 0."""
-        h = np.array(self.hashes, dtype=np.uint64) if isinstance(self.hashes, list) else self.hashes
+        h = np.frombuffer(self.hashes, dtype=np.uint64)
         a, b = h[ids[:-1]], h[ids[1:]]
         mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
         bucket = (mixed >> np.uint64(29)) % np.uint64(self.s.buckets)
@@ -216,9 +217,12 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
         weights, bias = shared.value
         table = WordTable(s, weights)
         for batch in batches:
-            if len(table.index) > table.LIMIT:
-                table.reset()
-            yield pd.Series(_scores(batch.tolist(), table, weights, bias), dtype="float64")
+            out = [np.zeros(0)]
+            for at in range(0, len(batch), SLICE_ROWS):
+                if len(table.index) > table.LIMIT:
+                    table.reset()
+                out.append(_scores(batch.iloc[at:at + SLICE_ROWS].tolist(), table, weights, bias))
+            yield pd.Series(np.concatenate(out), dtype="float64")
 
     return docs.withColumn(score, F.pandas_udf(probability, "double")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
@@ -228,15 +232,13 @@ def _scores(texts: list[str], table: WordTable, weights: np.ndarray, bias: float
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     ids = table.ids([x for w in words for x in w])
-    sums, count = np.array(table.sums), np.array(table.sizes, dtype=np.int64)
     if not len(ids):
         return np.full(len(texts), 1 / (1 + np.exp(-bias)))
+    sums, count = np.frombuffer(table.sums), np.frombuffer(table.sizes, dtype=np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     total = np.bincount(doc, sums[ids], len(texts))
     number = np.bincount(doc, count[ids], len(texts))
-    table_hashes, table.hashes = table.hashes, np.array(table.hashes, dtype=np.uint64)
     pair = weights[table.pairs(ids)]
-    table.hashes = table_hashes
     inside = doc[:-1] == doc[1:]
     total += np.bincount(doc[1:][inside], pair[inside], len(texts))
     number = number + np.maximum(sizes - 1, 0)
