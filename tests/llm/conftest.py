@@ -1,29 +1,12 @@
-import os
-
 import pytest
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def small():
-    return SMALL
-
-
-@pytest.fixture
-def tables(spark, tmp_path):
-    """Write named rows as a folder of tables and return its path."""
-    def write(**named):
-        for name, (rows, schema) in named.items():
-            spark.createDataFrame(rows, schema).write.parquet(os.path.join(str(tmp_path), f"{name}.parquet"))
-        return str(tmp_path)
-    return write
-
-
-DOCS = "doc_id long, text string, lang string, found string, blob string"
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def docs_schema():
     """documents with extra columns whose names the operators use inside."""
-    return DOCS
+    return "doc_id long, text string, lang string, found string, blob string"
