@@ -75,6 +75,7 @@ class Settings:
     """``ordinary`` bounds the drawn paragraphs, ``variants`` the copies of each template with words left out."""
 
     ordinary: int = 4000
+    oversampling: int = 8
     variants: int = 24
     drop_percent: int = 12
     containment: float = 0.75
@@ -126,18 +127,20 @@ def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[D
     """family, held_out, grams of the training rows; the features (a few per template word); the anchors."""
     templates = _template_rows(spark)
     known_words = [r[0] for r in templates.filter(F.col("family") != UNKNOWN).select(F.explode("words")).distinct().collect()]
+    # Only hashes below a bound that leaves some tens of thousands of paragraphs come near the smallest ones.
+    share = min(1.0, s.oversampling * s.ordinary / max(1, docs.count()))
+    low = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
     # The draw: paragraphs with the smallest hashes; one that holds a licence word may be a notice and teaches nothing.
     drawn = (paragraphs(docs).filter(~F.lower("paragraph").rlike("licen[sc]|copyright|copyleft|spdx|creativecommons"))
-             .select(F.substring("paragraph", 1, 20_000).alias("paragraph")).withColumn("draw", F.xxhash64("paragraph")).distinct()
+             .withColumn("draw", F.xxhash64("paragraph")).filter(F.col("draw") < low).select("paragraph", "draw").distinct()
              .orderBy("draw", "paragraph").limit(s.ordinary))
     ordinary = drawn.select(F.lit(UNKNOWN).alias("family"), "draw", paragraph_words(F.col("paragraph")).alias("words"))
     # A drawn paragraph that shares much with a template is a notice itself.
     notices = [r["pairs"] for r in templates.filter(F.col("family") != UNKNOWN).select(pairs(F.col("words")).alias("pairs")).collect()]
     every = F.array(*map(F.lit, sorted({p for ps in notices for p in ps})))
-    own = F.array_intersect(pairs(F.slice("words", 1, 2000)), every)  # few are left to hold against each template
+    own = F.array_intersect(pairs(F.col("words")), every)  # few are left to hold against each template
     ordinary = ordinary.withColumn("own", own).filter(_share(F.array(*[F.array(*map(F.lit, ps)) for ps in notices]), F.col("own")) < s.notice)
-    # The first 40 words: what a long ordinary paragraph adds beyond says nothing on notices.
-    ordinary = ordinary.select("family", "draw", F.slice("words", 1, 40).alias("words")).cache()
+    ordinary = ordinary.select("family", "draw", "words").cache()
     try:
         common = [r[0] for r in ordinary.select(F.explode("words").alias("w")).filter(F.col("w").isin(known_words)).distinct().collect()]
         anchors = sorted(set(known_words) - set(common))
@@ -148,7 +151,8 @@ def training_table(spark: SparkSession, docs: DataFrame, s: Settings) -> tuple[D
         grams = (rows.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("g")).distinct()
                  .filter(F.arrays_overlap(F.split("g", " "), F.array(*map(F.lit, anchors)))) if anchors else rows.select(F.lit("").alias("g")).limit(0))
         vocabulary = sorted(r[0] for r in grams.collect())  # templates are fixed, so this is too
-        # At most variants x templates + ordinary rows.
+        # At most variants x templates + ordinary rows, with the features they hold.
+        rows = rows.withColumn("grams", F.array_intersect("grams", F.array(*map(F.lit, vocabulary)).cast("array<string>")))
         return spark.createDataFrame(rows.collect(), rows.schema), vocabulary, anchors
     finally:
         ordinary.unpersist()
