@@ -22,7 +22,7 @@ from .registry import register
 from .tokens import BYTE_VOCABULARY, encoder, vocabulary_path
 
 #: Lengths per block of the two-level sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -49,7 +49,7 @@ def length_histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
     hist = stored(hist, "histogram")  # read for the block sums and again beside them
     sums = [F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")]
     blocks = hist.groupBy("block").agg(*sums)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per 1024 lengths
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of lengths
     whole = Window.partitionBy()
     blocks = blocks.select("block",
                            F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs_before"),
