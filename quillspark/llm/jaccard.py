@@ -348,9 +348,12 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, words: int =
                    .filter("low < high AND first < last").select("part"), "mixed-parts")
     at = stored(at.join(mixed, "part", "left_semi"), "mixed-hits")
     # Nodes against other groups: enough shared parts for a link, all of them in parts of several components.
-    groups = at.select("part", F.col("label").alias("to_label"), F.col("chunk").alias("to_chunk")).distinct()
+    # A part in which the other group only has nodes of the node's own component counts for nothing.
+    groups = at.groupBy("part", F.col("label").alias("to_label"), F.col("chunk").alias("to_chunk")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"))
+    other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("component"))
     own, to = F.struct(F.col("label").alias("l"), F.col("chunk").alias("c")), F.struct(F.col("to_label").alias("l"), F.col("to_chunk").alias("c"))
-    asks = (at.join(groups, "part").filter(own != to).groupBy("node", "need", "component", "label", "chunk", "to_label", "to_chunk")
+    asks = (at.join(groups, "part").filter((own != to) & other).groupBy("node", "need", "component", "label", "chunk", "to_label", "to_chunk")
             .agg(F.count(F.lit(1)).alias("parts")).filter("parts >= need"))
     first, second = F.least(own, to), F.greatest(own, to)
     meet = stored(asks.select(first["l"].alias("one"), first["c"].alias("one_chunk"), second["l"].alias("two"), second["c"].alias("two_chunk"),
