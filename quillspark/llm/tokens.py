@@ -5,8 +5,9 @@ such splits: a non-space before a space or line feed, and a letter next to a
 non-letter.  A text is therefore the concatenation of the ids of its pieces,
 and a piece met before needs no second encoding.  The borders are only used
 where they are certain: texts of ASCII and Latin-1 letters without other white
-space, and never behind an apostrophe (contractions); any other text goes to
-the library whole.  ``tests/llm/test_tokens.py`` compares with plain encoding.
+space and without the string of an added token, and never behind an apostrophe
+(contractions); any other text goes to the library whole.
+``tests/llm/test_tokens.py`` compares with plain encoding.
 """
 
 from __future__ import annotations
@@ -50,9 +51,12 @@ class TextEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.folds_case = self.tokenizer.normalizer is not None
+        #: The library cuts added tokens out of a text before any other split.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.added_folded = [t.content.lower() for t in added if t.normalized]
         self.pieces_of = (_WORD_UNITS if self.folds_case else _BYTE_UNITS).findall
         self.symbols = _byte_symbols()
         self.space = "" if self.folds_case else chr(self.symbols[0x20])
@@ -88,8 +92,13 @@ class TextEncoder:
         pieces = self.pieces_of(word if self.folds_case else " " + word)
         return self._keep(self.words, word, b"".join(map(self._piece, pieces)))
 
+    def _holds_added(self, text: str) -> bool:
+        if any(map(text.__contains__, self.added)):
+            return True
+        return bool(self.added_folded) and any(map(text.lower().__contains__, self.added_folded))
+
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if _UNUSUAL.search(text) or self._holds_added(text):
             return self._ids(text)
         known, head = self.words, b""
         if self.folds_case:

@@ -37,6 +37,17 @@ def test_memoised_ids_equal_plain_encoding_of_any_text(text):
         assert np.frombuffer(ENCODERS[path].encode(text), "<u4").tolist() == plain(path, text)
 
 
+@pytest.mark.parametrize("path", PATHS)
+def test_special_token_strings_equal_a_fresh_tokenizer(path):
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|startoftext|>b c", "x y\n<|endoftext|><|endoftext|>  z", "<|ENDOFTEXT|> a", "<|endoftext |> a", *TEXTS]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(ENCODERS[path].encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+    assert 50256 in fresh.encode(texts[0]).ids or 49407 in fresh.encode(texts[0]).ids
+
+
 def rows(spark, schema):
     data = [(k, t, "en", "x", "y") for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], None, None, None), (None, "null id", None, None, None),
                                                                    (99, None, "de", "", ""), (2, "other text, same id", None, None, None)]
