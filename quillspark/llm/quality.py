@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings (operator 5).
 
 Every word gives hashed features: the word, its character n-grams, its shape, and
-the pair with the word before (a repeated word gives one shared feature).  A
-document is the mean of its features' learned vectors; softmax over two classes.
+the pair with the word before (a repeated word gives one shared feature); words
+of any length give all of them.  A document is the mean of its features' learned vectors; softmax over two classes.
 Vectors and output layer are trained together by numpy stochastic gradient
 descent on a bounded sample of labelled rows.
 
@@ -17,6 +17,7 @@ usable label of one of the classes every score is 0.5.  Extra columns are ignore
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,20 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, read_table, text_or_empty
+from .common import SLICE_ROWS, read_table, slices, stored, text_or_empty
 from .registry import register
 
 
 @dataclass(frozen=True)
 class Settings:
     """``sample_docs`` bounds the labelled rows that training sees (half per class where there
-    are enough), ``sample_features`` the distinct features it draws from one whole text."""
+    are enough); each counts with all features of its whole text."""
 
     buckets: int = 1 << 17
     dim: int = 16
     char_grams: tuple[int, ...] = (3, 4)
     sample_docs: int = 4000
-    sample_features: int = 400
     epochs: int = 6
     least_steps: int = 400
     rate: float = 0.25
@@ -63,18 +63,51 @@ def word_shape(word: str) -> str:
     return "".join(out)
 
 
-def word_features(word: str, s: Settings) -> list[int]:
-    """Feature buckets of one word: itself, its shape and its character n-grams."""
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+#: Words up to this length are hashed gram by gram, longer ones by array; the buckets are the same.
+SHORT_WORD = 60
+#: Character n-grams that are hashed at once (memory bound for words of any length).
+GRAM_BLOCK = 1 << 18
+
+
+def long_grams(marked: str, n: int, buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of ``marked``, in blocks: ``_hash`` of each, all of a block at once."""
+    for at in range(0, len(marked) - n + 1, GRAM_BLOCK):
+        data = np.frombuffer(marked[at:at + GRAM_BLOCK + n - 1].encode(), np.uint8)
+        ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # characters start where no UTF-8 byte continues
+        low, high = ends[:-n], ends[n:]
+        crc = np.full(len(low), 0xFFFFFFFF, np.uint32)
+        for k in range(int((high - low).max())):
+            seen = data[np.minimum(low + k, len(data) - 1)]
+            crc = np.where(low + k < high, _CRC[(crc ^ seen) & 0xFF] ^ (crc >> np.uint32(8)), crc)
+        yield ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(buckets)).astype(np.int32)
+
+
+def word_features(word: str, s: Settings) -> Iterator[list[int] | np.ndarray]:
+    """Feature buckets of one word in blocks: itself, its shape and its character n-grams."""
     marked = f"<{word}>"
-    grams = [marked[i:i + n] for n in s.char_grams for i in range(len(marked) - n + 1)] if len(word) <= 60 else []
-    return [_hash("w" + marked) % s.buckets, _hash("s" + word_shape(word[:200])) % s.buckets,
-            *[_hash(g) % s.buckets for g in grams]]
+    own = [_hash("w" + marked) % s.buckets, _hash("s" + word_shape(word)) % s.buckets]
+    if len(word) <= SHORT_WORD:
+        yield own + [_hash(marked[i:i + n]) % s.buckets for n in s.char_grams for i in range(len(marked) - n + 1)]
+        return
+    yield own
+    for n in s.char_grams:
+        yield from long_grams(marked, n, s.buckets)
 
 
 class WordTable:
     """Numbers words as they come, with a hash for pairs; starts anew when it grows too large."""
 
     LIMIT = 400_000
+    #: Most characters of the words of more than SHORT_WORD characters.
+    LONG_CHARS = 8_000_000
 
     def __init__(self, settings: Settings, weights: np.ndarray | None = None):
         self.s, self.weights = settings, weights
@@ -82,19 +115,31 @@ class WordTable:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.long_chars = 0
         self.hashes, self.sums, self.sizes, self.features = array("Q"), array("d"), array("q"), []
 
     def add(self, word: str) -> int:
-        features = word_features(word, self.s)
         self.hashes.append(_hash("p" + word))
         if self.weights is None:
-            self.features.append(features)
+            blocks = list(word_features(word, self.s))
+            self.features.append(blocks[0] if len(blocks) == 1 else np.concatenate(blocks).astype(np.int32))
+            self.sizes.append(len(self.features[-1]))
         else:
-            self.sums.append(float(self.weights[features].sum()))
-        self.sizes.append(len(features))
+            total, size = 0.0, 0
+            for block in word_features(word, self.s):
+                total += float(self.weights[block].sum())
+                size += len(block)
+            self.sums.append(total)
+            self.sizes.append(size)
+        if len(word) > SHORT_WORD:
+            self.long_chars += len(word)
         k = self.index[word] = len(self.index)
         return k
 
+    def make_room(self) -> None:
+        if len(self.index) > self.LIMIT or self.long_chars > self.LONG_CHARS:
+            self.reset()
+
     def ids(self, words: list[str]) -> np.ndarray:
         known, add = self.index, self.add
         return np.array([known[w] if w in known else add(w) for w in words], dtype=np.int64)
@@ -113,12 +158,11 @@ def document_features(text: str, table: WordTable) -> tuple[np.ndarray, np.ndarr
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(table.index) > table.LIMIT:
-        table.reset()
+    table.make_room()
     ids = table.ids(words)
     distinct, times = np.unique(ids, return_counts=True)
     parts = [table.features[k] for k in distinct.tolist()]
-    own = np.concatenate([np.array(p) for p in parts])
+    own = np.concatenate([np.asarray(p, np.int32) for p in parts])
     weight = np.repeat(times, [len(p) for p in parts])
     pairs = table.pairs(ids)
     bags, inverse = np.unique(np.concatenate([own, pairs]), return_inverse=True)
@@ -159,8 +203,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
             out -= rate * hidden.T @ p
             bias -= rate * p.sum(0) * 0.1
             # The mean makes each feature's share tiny; the features' step is scaled by the mean size.
-            scale = np.repeat(np.array(sizes, np.float32), sizes) * share
-            np.subtract.at(vectors, features, rate * np.repeat(to_hidden, sizes, axis=0) * np.minimum(scale, 4.0)[:, None])
+            scale = np.minimum(np.repeat(np.array(sizes, np.float32), sizes) * share, 4.0)
+            for k, (lo, size) in enumerate(zip(starts.tolist(), sizes)):  # a bag's features are distinct
+                vectors[features[lo:lo + size]] -= rate * to_hidden[k] * scale[lo:lo + size, None]
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
@@ -180,25 +225,29 @@ def training_bags(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list
 
     def bags(batches):
         table = WordTable(s)
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                features, times = document_features(text, table)
-                if len(features) > s.sample_features:  # an even draw over the whole text
-                    kept = np.random.default_rng(len(features)).choice(len(features), s.sample_features, replace=False)
-                    features, times = features[kept], times[kept]
-                out.append((features.tolist(), times.tolist()))
-            kind = pa.list_(pa.int64())
+        for batch in slices(batches):
+            found = [document_features(text, table) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f for f, _ in out], kind), pa.array([t for _, t in out], kind)],
-                ["doc_id", "label", "features", "times"])
+                [batch.column(0), batch.column(1), pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()),
+                 pa.array([t.astype("<i4").tobytes() for _, t in found], pa.binary())], ["doc_id", "label", "features", "times"])
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(sample, "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
-    rows = texts.mapInArrow(bags, "doc_id long, label int, features array<long>, times array<long>").collect()
-    rows = sorted((r["doc_id"], r["label"], r["features"], r["times"]) for r in rows)
-    rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]]  # one row per document
-    return ([(np.array(f, np.int64), np.array(t, np.int64)) for _, _, f, t in rows], np.array([r[1] for r in rows], np.int64))
+    rows = stored(texts.mapInArrow(bags, "doc_id long, label int, features binary, times binary"), "quality-bags")
+    # Whole texts may have many features: they go to a file of the driver's, part by part, and are mapped from there.
+    places, at = [], 0
+    with tempfile.TemporaryFile() as file:
+        for r in rows.toLocalIterator():
+            features, times = bytes(r["features"]), bytes(r["times"])
+            file.write(features + times)
+            places.append((r["doc_id"], r["label"], at, len(features) // 4, zlib.crc32(features + times)))
+            at += len(features) + len(times)
+        file.flush()
+        values = np.memmap(file, "<i4", "r") if at else np.zeros(0, "<i4")
+    places.sort(key=lambda x: (x[0], x[1], x[3], x[4]))
+    places = [p for k, p in enumerate(places) if not k or places[k - 1][0] != p[0]]  # one row per document
+    bags_of = [(values[lo // 4:lo // 4 + n], values[lo // 4 + n:lo // 4 + 2 * n]) for _, _, lo, n, _ in places]
+    return bags_of, np.array([p[1] for p in places], np.int64)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
@@ -219,8 +268,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
         for batch in batches:
             out = [np.zeros(0)]
             for at in range(0, len(batch), SLICE_ROWS):
-                if len(table.index) > table.LIMIT:
-                    table.reset()
+                table.make_room()
                 out.append(_scores(batch.iloc[at:at + SLICE_ROWS].tolist(), table, weights, bias))
             yield pd.Series(np.concatenate(out), dtype="float64")
 

@@ -50,3 +50,37 @@ def test_op5_held_out_accuracy(spark):
     held = [r for r in op5_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in quality]
     for label in (0, 1):
         assert np.mean([r.predicted == label for r in held if quality[r.doc_id] == label]) >= 0.9
+
+
+def test_long_words_have_all_grams_and_the_whole_shape():
+    from quillspark.llm import quality
+    s = Settings()
+
+    def buckets(word):
+        return np.concatenate([np.asarray(b) for b in quality.word_features(word, s)]).tolist()
+
+    for word in ("x1ü日😀-" * 40, "a" * 61, "Ab9" * 200):
+        marked = f"<{word}>"
+        grams = [marked[i:i + n] for n in s.char_grams for i in range(len(marked) - n + 1)]
+        want = [quality._hash(g) % s.buckets for g in ["w" + marked, "s" + word_shape(word), *grams]]
+        assert buckets(word) == want
+    assert buckets("a1" * 150 + "!")[1] != buckets("a1" * 150 + "?")[1]
+
+
+def test_gram_blocks_leave_no_gram_out(monkeypatch):
+    from quillspark.llm import quality
+    whole = np.concatenate(list(quality.long_grams("日本x語" * 50, 3, 1 << 17)))
+    monkeypatch.setattr(quality, "GRAM_BLOCK", 7)
+    assert np.concatenate(list(quality.long_grams("日本x語" * 50, 3, 1 << 17))).tolist() == whole.tolist()
+
+
+def test_training_sees_all_features_of_a_row(spark):
+    from quillspark.llm.quality import training_bags
+    text = " ".join(f"word{k}" for k in range(700)) + " " + "長" * 90 + "語" * 90
+    docs = spark.createDataFrame([(0, text), (1, "short text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    bags, y = training_bags(docs, labels, Settings())
+    for (features, times), want in zip(bags, (text, "short text")):
+        f, t = document_features(want, WordTable(Settings()))
+        assert features.tolist() == f.tolist() and times.tolist() == t.tolist()
+    assert y.tolist() == [1, 0]
