@@ -1,7 +1,7 @@
 """Isolation-forest outlier count per numeric column.
 
-Trees are grown on a bounded Spark sample (100 trees x 256 values, pulled
-with ``sample`` so the driver never sees more than ~30k values per column).
+Trees are grown on a bounded Spark sample (100 trees x 256 values, drawn
+evenly over all rows; the driver never sees more than 25,600 values per column).
 A one-dimensional isolation tree splits the line into intervals, so each tree
 is stored as its sorted split points and the path length of every leaf;
 scoring is one ``searchsorted`` per tree inside an Arrow-batched pandas UDF.
@@ -64,6 +64,29 @@ def _scorer(trees, norm):
     return score
 
 
+def fit_draw(v: DataFrame, n: int, want: int, seed: int) -> DataFrame:
+    """``want`` of the ``n`` rows of ``v`` (one double column v), each row as likely as any other.
+
+    Every row is kept with one probability: a value's copies are one binomial draw over its full count, seeded
+    by the value, so a hot value is never spread out.  Of the kept rows (a few more than ``want``) those with the
+    smallest seeded hashes stay.  The draw is the same for any partitioning.
+    """
+    share = min(1.0, (want + 8.0 * math.sqrt(want)) / n)
+
+    @F.pandas_udf("long")
+    def copies(count: pd.Series, key: pd.Series) -> pd.Series:
+        c, k = count.to_numpy(), key.to_numpy().astype(np.int64).view(np.uint64)
+        out = ((k >> np.uint64(11)) * 2.0 ** -53 < share).astype(np.int64)  # of a value's only row
+        for i in np.flatnonzero(c > 1):
+            out[i] = np.random.default_rng(k[i]).binomial(c[i], share)
+        return pd.Series(out)
+
+    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    kept = counts.select("v", copies("c", F.xxhash64("v", F.lit(seed))).alias("k")).filter("k > 0")
+    return (kept.select("v", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"))
+            .orderBy(F.xxhash64("v", "k", F.lit(seed + 1)), "v", "k").limit(want))
+
+
 def isolation_counts(df: DataFrame, columns: list[str], contamination: float = 0.05,
                      min_rows: int = 50, n_trees: int = 100, max_samples: int = 256,
                      seed: int = 42) -> dict[str, int]:
@@ -76,11 +99,7 @@ def isolation_counts(df: DataFrame, columns: list[str], contamination: float = 0
             out[c] = 0
             continue
         want = n_trees * max_samples
-        # The fit draw: the ``want`` values with the smallest seeded hashes of (value, occurrence).  It is the
-        # same for any partitioning; values that repeat more often than the draw is large need no more copies.
-        copies = v.groupBy("v").agg(F.least(F.count(F.lit(1)), F.lit(want)).alias("c"))
-        drawn = (copies.select("v", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
-                 .orderBy(F.xxhash64("v", "k", F.lit(seed)), "v", "k").limit(want))
+        drawn = fit_draw(v, n, want, seed)
         sample = np.array([r["v"] for r in drawn.collect()])
         trees, norm = build_forest(sample, n_trees, max_samples, seed)
         score = F.pandas_udf(_scorer(trees, norm), "double")

@@ -303,3 +303,15 @@ def test_display_caps(spark):
     assert [r.id for r in display_rows(df, "anomalies", [F.col("id").desc()]).collect()] == list(range(49, 41, -1))
     assert display_rows(df, "table", ["id"]).count() == 10
     assert display_rows(df, "recommendations").count() == 6
+
+
+def test_isolation_forest_draws_a_hot_value_by_its_share(spark):
+    from pyspark.sql import functions as F
+    from quillspark.operators.isoforest import fit_draw
+    n, want = 300_000, 2_000
+    v = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    first = sorted(r.v for r in fit_draw(v, n, want, 42).collect())
+    assert len(first) == want and 0.29 < first.count(-1.0) / want < 0.38
+    assert first == sorted(r.v for r in fit_draw(v.repartition(7), n, want, 42).collect())
+    small = v.limit(1_500)
+    assert sorted(r.v for r in fit_draw(small, 1_500, want, 42).collect()) == sorted(r.v for r in small.collect())
