@@ -6,8 +6,9 @@ next one.  ``run`` writes every stage's result as Parquet in the shared folder
 and rereads it, so a lost executor costs at most one stage.
 
 * quality: documents that the classifier predicts as label 0 go.
-* near duplicates: of every component of links one document (the smallest id)
-  stays; of rows that repeat an id one stays.  Documents without id stay.
+* near duplicates: of every component of linked or equal rows one row stays, the
+  first by id and text hash.  Rows that share an id are told apart by their texts.
+  Documents without id stay.
 * decontamination: documents with any benchmark window go.
 * secrets: documents stay, found spans are masked and n_chars follows.
 * packing: the places of all documents' pieces.
@@ -26,7 +27,7 @@ from quillspark.llm.quality import train_quality, with_score
 from quillspark.llm.secret_scan import redact_documents
 from quillspark.llm.tokens import WORD_VOCABULARY, vocabulary_path
 
-#: Most ids (8 bytes each) of documents to drop that are broadcast; beyond, documents are shuffled to them.
+#: Most row keys (8 bytes each) of documents to drop that are broadcast; beyond, documents are shuffled to them.
 BROADCAST_IDS = 500_000
 
 
@@ -36,15 +37,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(similar_documents(docs), "dedup-components")
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # Rows, not ids, are compared: an id may be shared by unrelated texts.  Writing the row key fixes it.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
+    named = rows.filter(F.col("doc_id").isNotNull())
+    found = similar_documents(named.select(F.col("__row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    text = F.xxhash64("text")
+    order = F.struct("doc_id", text.alias("text"), F.xxhash64(*docs.columns).alias("all"), "__row").alias("order")
+    # Texts without words link with nothing: of those only rows equal in id and text are one.
+    wordless = F.col("n_shingles") == 0
+    sized = stored(found.join(named.select("__row", order), "__row").select(
+        "__row", "order", F.when(~wordless, F.col("component_id")).alias("component"),
+        F.when(wordless, F.struct(F.col("order.doc_id").alias("doc_id"), F.col("order.text").alias("text"))).alias("same")),
+        "dedup-components")
+    first = sized.groupBy("component", "same").agg(F.min("order").alias("order")).select("order.__row")
+    dropped = stored(sized.select("__row").join(first, "__row", "left_anti"), "dedup-dropped")
     side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped.hint("shuffle_hash")
-    kept = docs.join(side, "doc_id", "left_anti")
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return rows.join(side, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

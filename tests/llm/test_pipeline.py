@@ -95,3 +95,14 @@ def test_edge_rows_pass_every_stage(spark, tmp_path):
 
 def test_brute_force_helper_agrees():
     assert brute_windows("a b", [(1, "b")])[:3] == (2, 1, 1)
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    other = [f"text {k} has words of its own {k * 7} {k * 11}" for k in range(6)]
+    rows = [(1, t) for t in other] + [(1, other[0]), (2, other[1]), (0, other[2]), (3, ""), (3, ""), (3, None), (4, ""), (None, other[3]), (None, other[3])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], schema)
+    want = Counter([(1, t) for t in other if t != other[2]] + [(0, other[2]), (3, ""), (3, None), (4, ""), (None, other[3]), (None, other[3])])
+    for parts in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()
+        assert Counter((r.doc_id, r.text) for r in got) == want
