@@ -1,6 +1,9 @@
 """License scans by a trained paragraph classifier (operator 10, DataFrame functions only).
 
-Paragraphs are lines.  A multinomial logistic regression over sparse word n-grams
+Paragraphs are lines, and blocks of several lines between blank lines (a wrapped
+notice), joined by spaces without the comment markers at line starts.  A block is
+reported, by its first line, if it is confirmed and no line in it is confirmed for
+the same family alone.  Training draws lines only.  A multinomial logistic regression over sparse word n-grams
 names the licence family of a paragraph or "unknown"; the classifier is trained
 with Spark ML on variants of the templates below and on a bounded draw of
 ordinary paragraphs of the table itself.  A held-out part calibrates the unknown
@@ -116,6 +119,27 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", F.trim("raw").alias("paragraph")).filter(F.length("paragraph") > 0)
 
 
+#: Signs that start a comment line, or frame one: they are no part of a notice.
+MARKERS = r"(?i)^(?:(?:<!--|//++|/\*++|\*++/?|#++|;++|--++|%++|>++|(?:rem|dnl)(?=\s|$))[ \t]*+){1,3}|(?<!\*)\*++/?$|(?<!#)#++$|-->$"
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, line (its first), last, paragraph of every run of two or more lines between blank lines of a document."""
+    lines = F.transform(F.split(text_or_empty(), r"\r?\n"), lambda x, k: F.struct(
+        k.alias("line"), F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s", " ")), MARKERS, "")).alias("words")))
+    # One string per document, lines that follow a blank one start a block; no line holds a line end.
+    numbered = F.array_join(F.transform(lines, lambda x: F.when(x["words"] == "", "").otherwise(
+        F.concat(x["line"].cast("string"), F.lit("\t"), x["words"]))), "\n")
+    found = docs.select("doc_id", F.explode(F.split(numbered, "\n{2,}")).alias("block"))
+    found = found.select("doc_id", F.split(F.regexp_replace("block", r"^\n+|\n+$", ""), "\n").alias("rows")).filter(F.size("rows") > 1)
+
+    def number(row):
+        return F.substring_index(row, "\t", 1).cast("int")
+
+    return found.select("doc_id", number(F.element_at("rows", 1)).alias("line"), number(F.element_at("rows", -1)).alias("last"),
+                        F.array_join(F.transform("rows", lambda r: F.regexp_replace(r, r"^\d+\t", "")), " ").alias("paragraph"))
+
+
 def _template_rows(spark: SparkSession) -> DataFrame:
     rows = [(family, k, t) for family, ts in TEMPLATES.items() for k, t in enumerate(ts)]
     rows += [(UNKNOWN, k, t) for k, t in enumerate(NO_FAMILY)]
@@ -187,37 +211,54 @@ def train_classifier(docs: DataFrame, s: Settings = Settings()) -> Classifier |
 
 
 def scan_licenses(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, line, family, probability, containment, confirmed of every paragraph with a feature of the classifier."""
+    """doc_id, line, last, family, probability, containment, confirmed of every paragraph with a feature of the classifier.
+
+    ``last`` is the last line of a block, null for a line; only blocks that hold enough of a template are scored.
+    """
     classifier = train_classifier(docs, s)
     spark = docs.sparkSession
-    schema = "line int, family string, probability double, containment double, confirmed boolean"
+    schema = "line int, last int, family string, probability double, containment double, confirmed boolean"
     if classifier is None:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
     anchor = "(?<![\\p{L}\\p{N}])(?:" + "|".join(a.replace(".", "\\.") for a in classifier.anchors) + ")(?![\\p{L}\\p{N}])"
-    lines = paragraphs(docs.filter(F.lower("text").rlike(anchor))).filter(F.lower("paragraph").rlike(anchor))
-    scored = classifier.model.transform(classifier.vectors.transform(
-        lines.select("doc_id", "line", paragraph_words(F.col("paragraph")).alias("words")).withColumn("grams", ngrams(F.col("words")))))
-    names = F.array(*map(F.lit, classifier.families[:-1]))
-    found = scored.select("doc_id", "line", "words", F.slice(vector_to_array(F.col("probability")), 1, len(classifier.families) - 1).alias("p"))
-    found = found.select("doc_id", "line", pairs(F.col("words")).alias("pairs"), F.array_max("p").alias("probability"),
-                         F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("best"))
     templates = {r["family"]: r["all"] for r in _template_rows(spark).filter(F.col("family") != UNKNOWN).select(
         "family", pairs(F.col("words")).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("all")).collect()}
     by_family = F.create_map(*[x for f, ts in sorted(templates.items()) for x in (
         F.lit(f), F.array(*[F.array(*map(F.lit, t)) for t in ts]))])
+    every = F.array(*map(F.lit, sorted({p for ts in templates.values() for t in ts for p in t})))
+    notices = F.array(*[F.array(*map(F.lit, t)) for f, ts in sorted(templates.items()) for t in ts])
+    held = docs.filter(F.lower("text").rlike(anchor))
+    lines = paragraphs(held).filter(F.lower("paragraph").rlike(anchor)).select(
+        "doc_id", "line", F.lit(None).cast("int").alias("last"), paragraph_words(F.col("paragraph")).alias("words"))
+    # Only blocks that hold enough of some template can be confirmed.
+    # explode: the filters stay above the words, which are then made once.
+    joined = blocks(held).filter(F.lower("paragraph").rlike(anchor)).select(
+        "doc_id", "line", "last", F.explode(F.array(paragraph_words(F.col("paragraph")))).alias("words"))
+    joined = joined.select("*", F.explode(F.array(F.array_intersect(pairs(F.col("words")), every))).alias("own")).filter(
+        _share(notices, F.col("own")) >= s.containment).drop("own")
+    scored = classifier.model.transform(classifier.vectors.transform(lines.unionByName(joined).withColumn("grams", ngrams(F.col("words")))))
+    names = F.array(*map(F.lit, classifier.families[:-1]))
+    found = scored.select("doc_id", "line", "last", "words", F.slice(vector_to_array(F.col("probability")), 1, len(classifier.families) - 1).alias("p"))
+    found = found.select("doc_id", "line", "last", pairs(F.col("words")).alias("pairs"), F.array_max("p").alias("probability"),
+                         F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("best"))
     found = found.withColumn("containment", _share(by_family[F.col("best")], F.col("pairs")).cast("double"))
     known = F.col("probability") > classifier.threshold
-    return found.select("doc_id", "line", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "containment",
+    return found.select("doc_id", "line", "last", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "containment",
                         (known & (F.col("containment") >= s.containment)).alias("confirmed"))
 
 
 def document_licenses(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_licenses, n_unconfirmed, families and findings ("line:family", in line order) per document."""
-    found = scan_licenses(docs, s).select("doc_id", F.when(F.col("confirmed"), F.struct("line", "family")).alias("hit"),
-                                          ((F.col("family") != UNKNOWN) & ~F.col("confirmed")).cast("long").alias("open"))
-    every = docs.select("doc_id", F.lit(None).cast("struct<line:int,family:string>").alias("hit"), F.lit(0).cast("long").alias("open"))
+    found = scan_licenses(docs, s).select("doc_id", F.when(F.col("confirmed"), F.struct("line", "family", "last")).alias("hit"),
+                                          (F.col("last").isNull() & (F.col("family") != UNKNOWN) & ~F.col("confirmed")).cast("long").alias("open"))
+    every = docs.select("doc_id", F.lit(None).cast("struct<line:int,family:string,last:int>").alias("hit"), F.lit(0).cast("long").alias("open"))
     hits = F.array_sort(F.collect_set("hit"))
-    grouped = every.unionByName(found).groupBy("doc_id").agg(hits.alias("hits"), F.sum("open").alias("n_unconfirmed"))
+    grouped = every.unionByName(found).groupBy("doc_id").agg(hits.alias("every"), F.sum("open").alias("n_unconfirmed"))
+    alone = F.filter("every", lambda h: h["last"].isNull())
+    # A block that one of its own lines stands for says nothing new.
+    new = F.filter("every", lambda h: h["last"].isNull() | ~F.exists(alone, lambda x: (x["family"] == h["family"]) & x["line"].between(h["line"], h["last"])))
+    grouped = grouped.select("doc_id", "n_unconfirmed", F.array_sort(F.array_distinct(F.transform(new, lambda h: F.struct(
+        h["line"].alias("line"), h["family"].alias("family"))))).alias("hits"))
     return grouped.select("doc_id", F.size("hits").cast("long").alias("n_licenses"), "n_unconfirmed",
                           F.array_join(F.array_sort(F.array_distinct(F.col("hits.family"))), ",").alias("families"),
                           F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["line"], h["family"])), ",").alias("findings"))

@@ -45,3 +45,20 @@ def test_op10_finds_the_planted_lines(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in op10_license_scans(spark, small).collect():
         assert r.findings == ",".join(f"{k}:{lines[x.strip()]}" for k, x in enumerate(texts[r.doc_id].split("\n")) if x.strip() in lines)
+
+
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal',
+       "in the Software without restriction, including without limitation the rights"]
+BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+GPL = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+       "the Free Software Foundation, either version 3 of the License, or"]
+ISC = ["Permission to use, copy, modify, and/or distribute this software for any", "purpose with or without fee is hereby granted, provided that the above"]
+
+
+def test_wrapped_notices(spark):
+    rows = [(200, "\n".join(["Copyright 2020", "", *MIT])), (201, "/*\n" + "\n".join(" * " + x for x in BSD) + "\n */\nint x;"),
+            (202, "\n".join("# " + x for x in GPL) + "\n#\n" + "\n".join("# " + x for x in ISC)), (203, "\r\n".join(["Title", "  ", *ISC, "", "Released under the MIT License.", "more"])),
+            (204, "\n\n".join(MIT)), (205, None)]
+    docs = table(spark).filter("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.findings for r in document_licenses(docs).collect() if r.findings}
+    assert got == {200: "2:MIT", 201: "1:BSD", 202: "0:GPL,4:ISC", 203: "2:ISC,5:MIT"}
