@@ -7,6 +7,10 @@
    host; a host with a third of all pages is summed map-side first.
 3. Each page is read again with its host's winning path.  A page without such a
    container falls back on its own best one.
+4. The article may go beyond that container (a title or a second part beside it):
+   the text is that of the outermost article around it, or of a main element or a
+   post's container around that if it holds no other article.  What this adds must
+   not be mostly links.
 
 Text inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments is left out, by tag, role, and class or id words.
@@ -60,6 +64,8 @@ JUNK_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsens
     warning popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended
     recommendations widget widgets pagination pager paging""".split())
 HEADER_WORDS = frozenset("header head heading pageheader siteheader".split())
+#: Words of class and id names of a container that holds one article.
+ARTICLE_WORDS = frozenset("article entry post story".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
@@ -78,7 +84,7 @@ class Page:
     """One parse: containers (parent, path, tag, bonus) and blocks (container, text, link characters, heading)."""
 
     def __init__(self, source: str):
-        self.parents, self.paths, self.weights = [-1], [""], [0.6]  # container 0: the page itself
+        self.parents, self.paths, self.weights, self.kinds = [-1], [""], [0.6], [""]  # container 0: the page itself
         self.blocks: list[tuple[int, str, int, bool]] = []
         # An open element: tag, container below it, text is left out, text counts as header only.
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
@@ -146,6 +152,8 @@ class Page:
                 self.parents.append(container)
                 self.paths.append(path)
                 self.weights.append(bonus)
+                one = tag != "body" and bool(words & ARTICLE_WORDS)
+                self.kinds.append(tag if tag in ("article", "main") else "post" if one else "")
                 container = len(self.paths) - 1
         elif tag == "br":
             self.text.append(" ")
@@ -205,13 +213,37 @@ class Page:
                 container, depth = self.parents[container], depth + 1
         return out
 
+    def inside(self, container: int) -> set[int]:
+        found = {container}
+        for k in range(container + 1, len(self.parents)):
+            if self.parents[k] in found:
+                found.add(k)
+        return found
+
     def text_below(self, container: int) -> str:
         """The blocks inside a container, in page order, one per line."""
-        inside = {container}
-        for k in range(container + 1, len(self.parents)):
-            if self.parents[k] in inside:
-                inside.add(k)
-        return "\n".join(text for c, text, _, _ in self.blocks if c in inside)
+        found = self.inside(container)
+        return "\n".join(text for c, text, _, _ in self.blocks if c in found)
+
+    def article_around(self, container: int) -> int:
+        """The outermost container around this one that still is the same article."""
+        around, k = [container], self.parents[container]
+        while k > 0:
+            around.append(k)
+            k = self.parents[k]
+        best = next((k for k in reversed(around) if self.kinds[k] == "article"), container)
+        for k in around[around.index(best) + 1:]:
+            if self.kinds[k] in ("main", "post"):
+                own = self.inside(best)
+                if any(self.kinds[j] in ("article", "post") and j != k and j not in own and j not in around for j in self.inside(k)):
+                    break  # a list of articles
+                best = k
+        return best
+
+    def article_text(self, container: int) -> str:
+        """The container's blocks and those of its article around it that are not mostly links."""
+        own, whole = self.inside(container), self.inside(self.article_around(container))
+        return "\n".join(text for c, text, links, _ in self.blocks if c in own or (c in whole and 2 * links < len(text)))
 
 
 def page_votes(source: str) -> list[tuple[str, float]]:
@@ -231,7 +263,7 @@ def page_text(source: str, path: str | None) -> str:
     scores = page.scores()
     on_path = [k for k, p in enumerate(page.paths) if p == path and scores[k] > 0]
     among = on_path or [k for k in range(len(scores)) if scores[k] > 0] or [0]
-    return page.text_below(max(among, key=lambda k: (scores[k], -k)))
+    return page.article_text(max(among, key=lambda k: (scores[k], -k)))
 
 
 def host_of(url) -> F.Column:

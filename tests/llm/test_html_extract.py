@@ -54,3 +54,15 @@ def test_op4_equals_the_articles(spark, small):
         article = re.search(r"(?s)<article>(.*)</article>", pages[r.page_id].html)[1]
         lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_title_and_second_part_beside_the_largest_container_stay():
+    teaser = "<div class=more><p><a href=x>Another text of this site</a></p></div>"
+    inner = f"<h1>Title</h1><p>Lead.</p><div class=entry-content>{ARTICLE}</div><div class=part><p>Second part.</p></div>{teaser}"
+    want = "Title\nLead.\n" + BODY + "\nSecond part."
+    for page in (f"<body><article class=post>{inner}</article><div><p>Other.</p></div></body>", f"<body><main>{inner}</main></body>",
+                 f"<body><div class=post>{inner}</div></body>", f"<body><main><h1>Title</h1><article><p>Lead.</p>{inner[inner.index('<div'):]}</article></main></body>"):
+        path = next(p for p in Page(page).paths if p.endswith("entry-content"))
+        assert page_text(page, path) == want and page_text(page, None) == want
+    listed = f"<body><main><article><p>One.</p></article><article><div class=text>{ARTICLE}</div></article></main></body>"
+    assert page_text(listed, None) == BODY
