@@ -43,6 +43,8 @@ from .common import read_table, slices, stored
 from .registry import register
 
 WORDS, THRESHOLD = 3, 90
+#: Below, a linked set may lie beyond the next size class (classes grow by the factor 1.5).
+LEAST_THRESHOLD = 67
 #: Bounds of one group: members, and tokens of all members together.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 2_000_000
 #: Most candidate nodes (16 bytes each) that are broadcast to fetch their texts; beyond, the fetch is shuffled.
@@ -312,6 +314,8 @@ def open_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    if not LEAST_THRESHOLD <= threshold <= 100:
+        raise ValueError(f"threshold {threshold}: the size classes cover {LEAST_THRESHOLD} to 100")
     sets = stored(document_sets(docs, threshold, words), "sets")
     named = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("need").alias("need")), "nodes")

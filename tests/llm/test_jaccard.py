@@ -135,3 +135,10 @@ def test_components_of_links(spark, edges):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert found == label
+
+
+def test_thresholds_beyond_the_size_classes_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for threshold in (50, 66, 101):
+        with pytest.raises(ValueError):
+            similar_documents(docs, threshold)
