@@ -111,7 +111,7 @@ def item_windows(rows: list[tuple], window: int) -> dict[tuple[bytes, ...], set]
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
     """Yield the patterns of one bounded block of benchmark items after the other."""
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()  # a repeated row adds no window
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     if blocks == 1:

@@ -233,6 +233,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(sample, "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
+    # One row per document before anything is collected; an id may hold many rows, so they are reduced map-side.
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("one")).select(
+        "doc_id", "label", F.col("one.text").alias("text"))
     rows = stored(texts.mapInArrow(bags, "doc_id long, label int, features binary, times binary"), "quality-bags")
     # Whole texts may have many features: they go to a file of the driver's, part by part, and are mapped from there.
     places, at = [], 0
@@ -240,13 +243,12 @@ def training_bags(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list
         for r in rows.toLocalIterator():
             features, times = bytes(r["features"]), bytes(r["times"])
             file.write(features + times)
-            places.append((r["doc_id"], r["label"], at, len(features) // 4, zlib.crc32(features + times)))
+            places.append((r["doc_id"], r["label"], at, len(features) // 4))
             at += len(features) + len(times)
         file.flush()
         values = np.memmap(file, "<i4", "r") if at else np.zeros(0, "<i4")
-    places.sort(key=lambda x: (x[0], x[1], x[3], x[4]))
-    places = [p for k, p in enumerate(places) if not k or places[k - 1][0] != p[0]]  # one row per document
-    bags_of = [(values[lo // 4:lo // 4 + n], values[lo // 4 + n:lo // 4 + 2 * n]) for _, _, lo, n, _ in places]
+    places.sort()
+    bags_of = [(values[lo // 4:lo // 4 + n], values[lo // 4 + n:lo // 4 + 2 * n]) for _, _, lo, n in places]
     return bags_of, np.array([p[1] for p in places], np.int64)
 
 

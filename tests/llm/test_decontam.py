@@ -66,3 +66,10 @@ def test_empty_tables_and_repeated_rows(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert [r.n_hit for r in contamination_digest(contamination(docs, bench)).collect()] == [30, 30]
     assert contamination(docs.limit(0), bench).count() == 0
+
+
+def test_repeated_benchmark_rows_count_once_for_the_blocks(spark, monkeypatch):
+    from quillspark.llm import decontam
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
+    items = spark.createDataFrame([(1, "a b c d")] * 300, "item_id long, text string")
+    assert list(decontam.benchmark_blocks(items)) == [{(b"a", b"b", b"c", b"d"): {"1"}}]

@@ -84,3 +84,21 @@ def test_training_sees_all_features_of_a_row(spark):
         f, t = document_features(want, WordTable(Settings()))
         assert features.tolist() == f.tolist() and times.tolist() == t.tolist()
     assert y.tolist() == [1, 0]
+
+
+def test_many_rows_of_one_id_are_reduced_before_they_are_collected(spark, monkeypatch):
+    from quillspark.llm import quality
+    counts, keep = [], quality.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "stored", counted)
+    docs = spark.createDataFrame([(0, f"text {k % 9}") for k in range(500)] + [(1, "other")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    first, y = quality.training_bags(docs, labels, Settings())
+    again, _ = quality.training_bags(docs.repartition(2), labels, Settings())
+    assert counts == [2, 2] and y.tolist() == [1, 0]
+    assert [f.tolist() for f, _ in first] == [f.tolist() for f, _ in again]
