@@ -3,21 +3,21 @@
 A text is the multiset of its paragraphs (lines).  Each paragraph is hashed to a
 wide vector, and a document's fingerprint is the sum of its paragraphs' vectors:
 
-* identity: the SHA-512 of the paragraph as 16 numbers, added modulo 2^32;
-* likeness: 256 signs per sentence of the paragraph, drawn from its 64-bit hash and
-  added modulo 2^16.  Sums of random signs keep inner products, so how much two
-  texts share can be read off their fingerprints.
+* identity: the SHA-512 of the paragraph as 16 numbers (the CRC-32 of each four of its
+  bytes, a one-to-one map), added modulo 2^32;
+* likeness: 128 bits per sentence of the paragraph, drawn from its 64-bit hash and
+  counted modulo 2^32, with the number of sentences.  A bit stands for a sign, and
+  sums of random signs keep inner products, so how much two texts share can be read
+  off their fingerprints.
 
 Addition is commutative and can be undone: texts with the same paragraphs in any
 order have equal fingerprints, inserting or deleting a paragraph adds or subtracts
 its vector (add_vectors, subtract_vectors), no text has to be read again.
 
-likeness() is 2ab / (aa + bb) of the centred likeness vectors: 1 for equal
-fingerprints, about the share of common sentences (counted in both texts)
-otherwise, with a standard error of about 0.06 for unrelated texts, kept between
-0 and 1.  A lane is centred rightly while its sum stays below 32,768, that is always
-for texts of fewer sentences.  The hash is meant for equality and likeness of
-ordinary data, not against texts made to collide.
+likeness() is 2ab / (aa + bb) of the sums of signs: 1 for equal fingerprints, about
+the share of common sentences (counted in both texts) otherwise, with a standard
+error of about 0.09 for unrelated texts, kept between 0 and 1.  The hash is meant
+for equality and likeness of ordinary data, not against texts made to collide.
 
 A null text is empty; an empty text has one empty paragraph.  Very long texts are
 taken whole: their sentences are rows of an aggregate.  Rows stay one by one, so
@@ -42,14 +42,15 @@ from .common import read_table, stored, text_or_empty
 from .registry import register
 
 IDENTITY_LANES = 16
-#: 64-bit hashes per sentence, each giving 64 signs.
-SIGN_HASHES = 4
+#: 64-bit hashes per sentence, each giving 64 bits.
+SIGN_HASHES = 2
 SIGN_LANES = 64 * SIGN_HASHES
 PARAGRAPH_END = "\n"
-#: Ends of sentences and of paragraphs; ideographic marks need no space behind them.
-SENTENCE_END = r"(?<=[.!?])\x20|(?<=[。！？])|\n"
+#: What a sentence ends with, and what stands there instead before the text is split at line ends (ideographic marks need no space).
+SENTENCE_ENDS = [(". ", ".\n"), ("! ", "!\n"), ("? ", "?\n"), ("。", "。\n"), ("！", "！\n"), ("？", "？\n")]
 #: Text bytes of a block, and most blocks (beyond, blocks grow; they may spill).
 BLOCK_BYTES, MOST_BLOCKS = 32 << 20, 100_000
+HALF = (1 << 32) - 1
 #: Both bits of one position in the two halves of a 64-bit hash: counted at once in the halves of a sum.
 PAIR = (1 << 32) + 1
 
@@ -58,25 +59,28 @@ PAIR = (1 << 32) + 1
 
 def text_units(text: Column) -> Column:
     """Array of the hash of every sentence (h) and the digest of every paragraph (d) of a text."""
-    sentences = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.struct(F.xxhash64(s).alias("h"), F.lit(None).cast("string").alias("d")))
-    paragraphs = F.transform(F.split(text, PARAGRAPH_END, -1), lambda p: F.struct(F.lit(None).cast("long").alias("h"), F.sha2(p, 512).alias("d")))
+    ended = text
+    for mark, end in SENTENCE_ENDS:
+        ended = F.replace(ended, F.lit(mark), F.lit(end))
+    sentences = F.transform(F.split(ended, PARAGRAPH_END, -1), lambda s: F.struct(F.xxhash64(s).alias("h"), F.lit(None).cast("binary").alias("d")))
+    paragraphs = F.transform(F.split(text, PARAGRAPH_END, -1), lambda p: F.struct(F.lit(None).cast("long").alias("h"), F.unhex(F.sha2(p, 512)).alias("d")))
     return F.concat(sentences, paragraphs)
 
 
 def unit_vectors(units: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and ``vector`` (identity, signs) summed over the rows of ``units`` (keys, h, d)."""
+    """keys and ``vector`` (n, identity, counts) summed over the rows of ``units`` (keys, h, d).
+
+    Below a hundred columns, so that Spark compiles the aggregate as a whole.
+    """
     hashes = [F.when(F.col("h").isNull(), 0).otherwise(F.xxhash64("h", F.lit(k))).alias(f"__h{k}") for k in range(SIGN_HASHES)]
-    digits = [F.coalesce(F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("long"), F.lit(0)).alias(f"__d{k}") for k in range(IDENTITY_LANES)]
+    lanes = [F.coalesce(F.crc32(F.substring("d", 4 * k + 1, 4)), F.lit(0)).alias(f"__d{k}") for k in range(IDENTITY_LANES)]
     counts = [F.sum(F.shiftrightunsigned(F.col(f"__h{k}"), bit).bitwiseAND(F.lit(PAIR))).alias(f"__c{k}_{bit}")
               for k in range(SIGN_HASHES) for bit in range(32)]
-    sums = units.select(*keys, F.col("h").isNotNull().cast("long").alias("__n"), *hashes, *digits).groupBy(*keys).agg(
+    sums = units.select(*keys, F.col("h").isNotNull().cast("long").alias("__n"), *hashes, *lanes).groupBy(*keys).agg(
         F.sum("__n").alias("__n"), *[F.sum(f"__d{k}").alias(f"__d{k}") for k in range(IDENTITY_LANES)], *counts)
-    halves = F.array(*[c for k in range(SIGN_HASHES) for bit in range(32) for c in (
-        F.col(f"__c{k}_{bit}").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col(f"__c{k}_{bit}"), 32))])
-    # A sign is 1 where the bit is set and -1 elsewhere; 2^16 - 1 as a mask is the modulus also for negative sums.
-    signs = F.transform(halves, lambda c: (2 * c - F.col("__n")).bitwiseAND(0xFFFF))
-    identity = F.array(*[F.col(f"__d{k}").bitwiseAND(0xFFFFFFFF) for k in range(IDENTITY_LANES)])
-    return sums.select(*keys, F.struct(identity.alias("identity"), signs.alias("signs")).alias("vector"))
+    return sums.select(*keys, F.struct(
+        F.col("__n").alias("n"), F.array(*[F.col(f"__d{k}").bitwiseAND(HALF) for k in range(IDENTITY_LANES)]).alias("identity"),
+        F.array(*[F.col(f"__c{k}_{bit}") for k in range(SIGN_HASHES) for bit in range(32)]).alias("counts")).alias("vector"))
 
 
 def text_vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -84,9 +88,15 @@ def text_vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return unit_vectors(rows.select(*keys, F.explode(text_units(text_or_empty(text))).alias("__u")).select(*keys, "__u.h", "__u.d"), keys)
 
 
+def _high(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 32)
+
+
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    lanes = lambda name, mask: F.zip_with(a[name], b[name], lambda x, y: (x + sign * y).bitwiseAND(mask)).alias(name)
-    return F.struct(lanes("identity", 0xFFFFFFFF), lanes("signs", 0xFFFF))
+    low = lambda x, y: (x + sign * y).bitwiseAND(HALF)
+    pair = lambda x, y: F.shiftleft(low(_high(x), _high(y)), 32).bitwiseOR(low(x.bitwiseAND(HALF), y.bitwiseAND(HALF)))
+    return F.struct(low(a["n"], b["n"]).alias("n"), F.zip_with(a["identity"], b["identity"], low).alias("identity"),
+                    F.zip_with(a["counts"], b["counts"], pair).alias("counts"))
 
 
 def add_vectors(a: Column, b: Column) -> Column:
@@ -100,23 +110,23 @@ def subtract_vectors(a: Column, b: Column) -> Column:
 
 
 def fingerprint(vector: Column) -> Column:
-    """The vector as text: base64 of its lanes, most significant byte first."""
-    digits = lambda name, n: F.array_join(F.transform(vector[name], lambda x: F.lpad(F.hex(x), n, "0")), "")
-    return F.base64(F.unhex(F.concat(digits("identity", 8), digits("signs", 4))))
-
-
-def centred(signs: Column) -> Column:
-    return F.transform(signs, lambda x: F.when(x < 0x8000, x).otherwise(x - 0x10000))
+    """The vector as text: base64 of the number of sentences, the identity and the counts, most significant byte first."""
+    digits = lambda numbers, n: F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), n, "0")), "")
+    return F.base64(F.unhex(F.concat(F.lpad(F.hex(vector["n"]), 8, "0"), digits(vector["identity"], 8), digits(vector["counts"], 16))))
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    """Inner product of two vectors' sums of signs (a sign is 1 for a set bit, else -1)."""
+    signs = lambda count, n: (2 * count - n).cast("double")
+    pair = lambda x, y: (signs(x.bitwiseAND(HALF), a["n"]) * signs(y.bitwiseAND(HALF), b["n"])
+                         + signs(_high(x), a["n"]) * signs(_high(y), b["n"]))
+    return F.aggregate(F.zip_with(a["counts"], b["counts"], pair), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
-    """Likeness of two centred sign vectors from 0 to 1 (1: equal); ``norms`` are their dot products with themselves."""
+    """Likeness of two vectors from 0 to 1 (1: equal); ``norms`` are their dot products with themselves."""
     own = norms or (dot(a, a), dot(b, b))
-    total = (own[0] + own[1]).cast("double")
+    total = own[0] + own[1]
     return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * dot(a, b) / total)))
 
 
@@ -201,13 +211,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = F.concat(F.transform(text_units(F.col("text")), lambda u: F.struct(F.lit(0).alias("which"), u["h"].alias("h"), u["d"].alias("d"))),
                     F.when(F.col("copied"), F.array().cast("array<struct<which:int,h:bigint,d:string>>")).otherwise(
                         F.transform(text_units(F.col("edited")), lambda u: F.struct(F.lit(1).alias("which"), u["h"].alias("h"), u["d"].alias("d")))))
+    # Columns beside an explode are computed for every row that it makes: these are computed before.
     units = rows.select(*PLACE, "at", "doc_id", "copied", F.char_length("text").cast("long").alias("n_chars"),
-                        F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.explode(both).alias("u"))
+                        F.sha2(F.col("edited"), 256).alias("edited_sha256"), both.alias("units")).select(*keys, F.explode("units").alias("u"))
     vectors = unit_vectors(units.select(*keys, "u.which", "u.h", "u.d"), [*keys, "which"])
-    vectors = vectors.withColumn("signs", centred(F.col("vector.signs"))).withColumn("norm", dot(F.col("signs"), F.col("signs")))
+    vectors = vectors.withColumn("norm", dot(F.col("vector"), F.col("vector")))
     # Original and edited of one document follow one another, then the original of the next.
     order = Window.partitionBy(*PLACE).orderBy("at", "which")
-    state = F.struct("vector", "signs", "norm")
+    state = F.struct("vector", "norm")
     out = vectors.select(*keys, "which", state.alias("own"), F.lead(state, 1).over(order).alias("edited"), F.lead(state, 2).over(order).alias("next"))
     return out.filter(~F.col("copied") & (F.col("which") == 0)).select("doc_id", "n_chars", "edited_sha256", "own", "edited", "next")
 
@@ -215,6 +226,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 @register("op13_multiset_fingerprints")
 def op13_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = edited_fingerprints(read_table(spark, sf_dir, "documents"))
-    near = lambda other: likeness(F.col("own.signs"), F.col(f"{other}.signs"), (F.col("own.norm"), F.col(f"{other}.norm")))
+    near = lambda other: likeness(F.col("own.vector"), F.col(f"{other}.vector"), (F.col("own.norm"), F.col(f"{other}.norm")))
     return found.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.vector")).alias("fingerprint"),
                         fingerprint(F.col("edited.vector")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
