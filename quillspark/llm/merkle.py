@@ -22,7 +22,7 @@ Ids may repeat: a bitmap then also keeps its repeated ids and their counts.  The
 rows alone are put in order of (leaf, row) by a range partition; rows with equal
 leaves are interchangeable.  A null id comes first in its group, a null group
 first of all.  Null fields are "-"; an empty text is "0:".  A group that holds a
-third of all rows is spread over its chunks and slot arrays.  Very long texts
+third of all rows is spread over the parts of its chunks and over its slot arrays.  Very long texts
 only pass the digest.  An empty table gives no rows and no root.  Other columns
 are ignored.
 """
@@ -46,6 +46,8 @@ ARITY = 3
 #: Levels that one slot array reduces (2,187 slots).
 LEVELS = 7
 CHUNK_BITS = 16
+#: Ids whose rows are asked for in one task: a sixteenth of a chunk.
+PART_BITS = 12
 #: Chunk of the null id: before the chunks of all 64-bit ids.
 NULL_CHUNK = -(1 << (63 - CHUNK_BITS)) - 1
 #: Ids that a task gathers before it emits their bitmaps.
@@ -55,7 +57,7 @@ LISTED_IDS = 4096
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PART = "group string, chunk long, bits binary, repeated binary, extra binary"
-INDEX = "group string, chunk long, rows long, bits binary, directory binary, repeated binary, extra binary"
+INDEX = "group string, chunk long, rows long, parts array<int>, bits binary, directory binary, repeated binary, extra binary"
 NODES = "group string, rank long, total long, digest string"
 PATHS = "group string, rank long, path array<string>, subroot string"
 
@@ -174,10 +176,10 @@ def merge_bitmaps(table: pa.Table) -> pa.Table:
         counts[unpack_bits(bits)] += 1
         counts[np.frombuffer(repeated, dtype="<u2")] += np.frombuffer(extra, dtype="<i8")
     lows, more = np.flatnonzero(counts), np.flatnonzero(counts > 1)
-    row = (table.column("group")[0].as_py(), table.column("chunk")[0].as_py(), int(counts.sum()), pack_bits(lows), directory_of(lows),
-           more.astype("<u2").tobytes(), (counts[more] - 1).astype("<i8").tobytes())
-    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["group", "chunk", "rows", "bits", "directory", "repeated", "extra"]
+    row = (table.column("group")[0].as_py(), table.column("chunk")[0].as_py(), int(counts.sum()),
+           np.unique(lows >> PART_BITS).tolist(), pack_bits(lows), directory_of(lows), more.astype("<u2").tobytes(), (counts[more] - 1).astype("<i8").tobytes())
+    types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["group", "chunk", "rows", "parts", "bits", "directory", "repeated", "extra"]
     return pa.table([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
 
@@ -210,7 +212,7 @@ RANKED = NODES + ", doc_id long, claimed string"
 
 
 def place_leaves(rows: pa.Table, index: pa.Table) -> pa.Table:
-    """Rank queries of one chunk's rows against its bitmap."""
+    """Rank queries of the rows of one part of a chunk against its bitmap."""
     if not rows.num_rows:
         return pa.table({f: pa.array([], t) for f, t in (("group", pa.string()), ("rank", pa.int64()), ("total", pa.int64()),
                                                          ("digest", pa.string()), ("doc_id", pa.int64()), ("claimed", pa.string()))})
@@ -251,8 +253,10 @@ def ranked_leaves(leaves: DataFrame, index: DataFrame) -> DataFrame:
                               [*key, "low"], ["leaf", "row"], F.lit(1).cast("long"), "repeated-rows")
         tied = tied.select("group", (F.col("base") + F.col("before")).alias("rank"), F.col("of_group").alias("total"),
                            F.col("leaf").alias("digest"), "doc_id", "claimed")
-    placed = (single.select(*key, "low", "doc_id", "leaf", "claimed").groupBy(*key)
-              .cogroup(index.drop("rows").groupBy(*key)).applyInArrow(place_leaves, RANKED))
+    part = F.shiftright("low", PART_BITS).alias("part")
+    bitmaps = index.select(*key, "bits", "directory", "repeated", "extra", "before", "total", F.explode("parts").alias("part"))
+    placed = (single.select(*key, part, "low", "doc_id", "leaf", "claimed").groupBy(*key, "part")
+              .cogroup(bitmaps.groupBy(*key, "part")).applyInArrow(place_leaves, RANKED))
     return stored(placed if tied is None else placed.unionByName(tied), "ranked-leaves")
 
 
