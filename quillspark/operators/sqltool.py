@@ -1,13 +1,8 @@
 """Guarded ad-hoc SQL over one dataset.
 
-The dataset is bound as a DataFrame argument of ``spark.sql`` under the names
-``data`` and ``dataset``.  A statement is judged by its plan, not by its text:
-
-* the parsed plan must be a query (no command, no write) whose outermost step is
-  a LIMIT of at most ``MAX_ROWS``;
-* files cannot be named as relations while it is analysed;
-* every leaf of the analysed plan, subqueries and common table expressions
-  included, must be a leaf of the dataset itself.
+The dataset is bound under the names ``data`` and ``dataset`` in a session of its
+own.  A statement is judged by its parsed plan (operators.guard), which must also
+be one query whose outermost step is a LIMIT of at most ``MAX_ROWS``.
 """
 
 from __future__ import annotations
@@ -18,42 +13,25 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .guard import Guard, NotAllowed
+
 # Fixed values that must equal the reference: words that no statement may hold.
 BLOCKED = ["drop", "delete", "insert", "update", "alter", "create", "truncate", "exec", "execute"]
 MAX_ROWS = 100
+NAMES = ("data", "dataset")
 
 _CATALYST = "org.apache.spark.sql.catalyst.plans.logical."
-_HARMLESS = {"OneRowRelation", "CTERelationRef"}
-_DATA = re.compile(r'\b(from|join)\s+"?(data|dataset)"?(?=[\s,;)]|$)', re.IGNORECASE)
 _STRFTIME = re.compile(r"strftime\(\s*'%Y-%m'\s*,\s*([A-Za-z_][A-Za-z0-9_]*)\s*\)", re.IGNORECASE)
 
 
-class NotAllowed(ValueError):
-    """The statement is not one that may run on the dataset."""
-
-
 def bind(query: str) -> str:
-    """Escape braces, point ``data`` / ``dataset`` at the bound frame,
-    and map the one DuckDB date function the generated SQL uses."""
-    q = query.replace("{", "{{").replace("}", "}}")
-    q = _DATA.sub(r"\1 {data}", q)
-    return _STRFTIME.sub(r"date_format(\1, 'yyyy-MM')", q)
-
-
-def _seq(scala) -> list:
-    return [scala.apply(i) for i in range(scala.size())]
+    """Map the one DuckDB date function that the generated SQL uses."""
+    return _STRFTIME.sub(r"date_format(\1, 'yyyy-MM')", query)
 
 
-def _leaves(plan) -> list:
-    plans = [plan, *_seq(plan.subqueriesAll())]
-    return [leaf for p in plans for leaf in _seq(p.collectLeaves())]
-
-
-def check_parsed(spark: SparkSession, query: str) -> None:
+def check_limits(guard: Guard, plan, query: str) -> None:
     """The statement is one query with a bounded outermost LIMIT."""
-    text = _STRFTIME.sub("1", query)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    kinds = [spark._jvm.java.lang.Class.forName(_CATALYST + k) for k in ("Command", "ParsedStatement")]
+    kinds = [guard.spark._jvm.java.lang.Class.forName(_CATALYST + k) for k in ("Command", "ParsedStatement")]
     if any(k.isInstance(plan) for k in kinds):
         raise NotAllowed(f"only a query is allowed, not {plan.nodeName()}")
     while plan.nodeName() in ("UnresolvedWith", "WithCTE") and plan.children().size():
@@ -68,32 +46,15 @@ def check_parsed(spark: SparkSession, query: str) -> None:
             raise NotAllowed(f"the word '{word}' is not allowed")
 
 
-def _analysed(spark: SparkSession, df: DataFrame, query: str) -> DataFrame:
-    """Analyse with file relations switched off, and hold every leaf against the dataset's own."""
-    files = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(files)
-    spark.conf.set(files, "false")
-    try:
-        out = spark.sql(bind(query), data=df)
-    except PySparkException as e:
-        if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
-            raise NotAllowed("relation not allowed: " + e.getMessageParameters()["relationName"].replace("`", "")) from None
-        raise
-    finally:
-        spark.conf.set(files, before)
-    own = [leaf.canonicalized() for leaf in _leaves(df._jdf.queryExecution().analyzed())]
-    for leaf in _leaves(out._jdf.queryExecution().analyzed()):
-        if leaf.nodeName() not in _HARMLESS and not any(leaf.canonicalized().equals(x) for x in own):
-            raise NotAllowed(f"relation not allowed: {leaf.nodeName()}")
-    return out
-
-
 def run_guarded(spark: SparkSession, df: DataFrame, query: str, bypass: bool = False) -> DataFrame:
     """Rows of the query; raises ``NotAllowed`` (``bypass``: a stored statement, without the limit rules)."""
-    if bypass:
-        return _analysed(spark, df, query)
-    check_parsed(spark, query)
-    return _analysed(spark, df, query).limit(MAX_ROWS)
+    guard, text = Guard(spark), bind(query)
+    plan = guard.parsed(text)
+    if not bypass:
+        check_limits(guard, plan, query)
+    guard.check_plan(plan, NAMES)
+    out = guard.analysed(df, text, NAMES)
+    return out if bypass else out.limit(MAX_ROWS)
 
 
 _ANSWER = "ok boolean, error string, columns string, row_count long, rows string"

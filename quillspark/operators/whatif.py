@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import whatif_columns
+from .guard import Guard, NotAllowed
 
 PRICE_WORDS = ["price", "msrp", "cost"]
 
@@ -50,8 +51,10 @@ def what_if_by_name(df: DataFrame, target: str, operation: str, value: float, co
         return error(f"unknown operation '{operation}'")
     try:
         out = what_if(df, found["target"], operation, value, condition, found["price"], found["quantity"], found["sales"])
+    except NotAllowed as e:
+        return error(f"Invalid filter condition: {e}")
     except (AnalysisException, ParseException) as e:
-        return error(f"the filter cannot be read: {e.getCondition()}")
+        return error(f"Invalid filter condition: {e.getCondition()}")
     if out.isEmpty():
         return error("No rows matched the filter condition.")  # fixed value: the tool's message
     return out
@@ -59,9 +62,14 @@ def what_if_by_name(df: DataFrame, target: str, operation: str, value: float, co
 
 def what_if(df: DataFrame, target: str, operation: str, value: float, condition: str | None,
             price: str | None, qty: str | None, sales: str | None) -> DataFrame:
-    """One summary row: before, after, difference, percent_change, rows_affected, assumptions."""
+    """One summary row: before, after, difference, percent_change, rows_affected, assumptions.
+
+    The condition is an expression of allowed functions over the columns (operators.guard); others raise ``NotAllowed``.
+    """
     if operation not in ("increase", "decrease", "set"):
         raise ValueError(f"Unknown operation '{operation}'")
+    if condition:
+        Guard(df.sparkSession).check_filter(condition, df.columns)
     hit = F.expr(condition) if condition else F.lit(True)
     pct = value / 100.0 if operation == "increase" else -(value / 100.0) if operation == "decrease" else 0.0
     is_price = (price is not None and target == price) or any(w in target.lower() for w in PRICE_WORDS)

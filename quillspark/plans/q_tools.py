@@ -127,6 +127,26 @@ def q_what_if_set(spark, sf):
     return WI.what_if_by_name(_items(spark, sf), "unit_price", "set", 1000.0)
 
 
+# Filters of a scenario: one that is computed, and ones that are refused, with the reason.
+FILTERS = [("returnflag = (SELECT max(value) FROM text.`/etc/hostname`)", "Invalid filter condition: a subquery is not allowed here"),
+           ("java_method('java.lang.System', 'getProperty', 'user.home') IS NOT NULL", "Invalid filter condition: function not allowed: java_method"),
+           ("returnflag = 'Q'", "No rows matched the filter condition."), ("returnflag ===== 'R'", "Invalid filter condition: PARSE_SYNTAX_ERROR")]
+
+
+@register("what_if_filters", f"""
+WITH d AS ({_ITEMS_SQL})
+SELECT 'increase sales by 10.0' AS scenario, CAST(NULL AS VARCHAR) AS error, count(*) AS rows_affected FROM d WHERE returnflag = 'R'
+""" + "\n".join(f"UNION ALL SELECT 'increase sales by 10.0', '{why}', NULL" for _, why in FILTERS))
+def q_what_if_filters(spark, sf):
+    items = _items(spark, sf)
+    out = WI.what_if_by_name(items, "sales", "increase", 10.0, "returnflag = 'R'").select(
+        "scenario", F.lit(None).cast("string").alias("error"), "rows_affected")
+    for condition, _ in FILTERS:
+        refused = WI.what_if_by_name(items, "sales", "increase", 10.0, condition)
+        out = out.unionByName(refused.select("scenario", "error", F.lit(None).cast("long").alias("rows_affected")))
+    return out
+
+
 GUARDED = ("SELECT status, COUNT(*) AS n, ROUND(SUM(amount), 2) AS revenue FROM data "
            "GROUP BY status ORDER BY n DESC LIMIT 10")
 
@@ -145,16 +165,28 @@ def q_guarded_sql_join(spark, sf):
     return SQ.run_guarded(spark, sales_view(spark, sf, ["status", "category", "country"]), JOINED)
 
 
+COMMA = "SELECT a.status, COUNT(*) AS n FROM (SELECT DISTINCT status, category FROM data) a, (SELECT DISTINCT category FROM dataset) b WHERE a.category = b.category GROUP BY a.status ORDER BY n DESC, a.status LIMIT 10"
+# Statements that must be refused, and why.
+REFUSED = [("DROP TABLE data", "only a query is allowed, not DropTable"), ("SELECT * FROM orders LIMIT 5", "relation not allowed: orders"),
+           ("SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS v FROM data LIMIT 1", "function not allowed: java_method"),
+           ("SELECT status FROM data WHERE reflect('java.lang.System', 'getProperty', 'user.home') IS NOT NULL LIMIT 1", "function not allowed: reflect"),
+           ("SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS v FROM data LIMIT 1", "relation not allowed: text./etc/hostname"),
+           ("SELECT * FROM data LIMIT 500", "LIMIT 500 is over 100")]
+
+
 @register("guarded_sql_answer", f"""
-WITH r AS ({GUARDED.replace("FROM data", "FROM " + S(["status", "amount"]))})
+WITH r AS ({GUARDED.replace("FROM data", "FROM " + S(["status", "amount", "category"]))}),
+c AS ({COMMA.replace("FROM dataset", "FROM " + S(["category"])).replace("FROM data", "FROM " + S(["status", "category"]))})
 SELECT true AS ok, CAST(NULL AS VARCHAR) AS error, 'status,n,revenue' AS columns, count(*) AS row_count FROM r
-UNION ALL SELECT false, 'only a query is allowed, not DropTable', NULL, 0
-UNION ALL SELECT false, 'relation not allowed: orders', NULL, 0""")
+UNION ALL SELECT true, NULL, 'status,n', count(*) FROM c
+""" + "\n".join(f"UNION ALL SELECT false, '{why}', NULL, 0" for _, why in REFUSED))
 def q_guarded_sql_answer(spark, sf):
-    df = sales_view(spark, sf, ["status", "amount"])
-    asked = [GUARDED, "DROP TABLE data", "SELECT * FROM orders LIMIT 5"]
-    answers = [SQ.answer(spark, df, q).select("ok", "error", "columns", "row_count") for q in asked]
-    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+    df = sales_view(spark, sf, ["status", "amount", "category"])
+    answers = [SQ.answer(spark, df, q).select("ok", "error", "columns", "row_count") for q in (GUARDED, COMMA, *(q for q, _ in REFUSED))]
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 DATASET_SQL = "SELECT strftime('%Y-%m', order_date) as x, COUNT(*) as y FROM dataset GROUP BY x ORDER BY x"
