@@ -2,7 +2,7 @@
 
 The driver tables are clean, so the validation queries read an all-text
 projection of *every* ``orders`` row with deterministic dirt: placeholders,
-padding, eight date layouts, text residue and near-numbers in a numeric column, a date-like
+padding, seventeen date layouts, text residue and near-numbers in a numeric column, a date-like
 column that is mostly text, fully empty rows and repeated rows.  The same
 expressions exist as DuckDB SQL (``RAW_UPLOAD_SQL``) for the oracle.
 """
@@ -34,6 +34,15 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
                             .when(k % 47 == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00Z")))
                             .when(k % 53 == 0, F.date_format(d, "d MMM yyyy"))
                             .when(k % 59 == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:30:05.25")))
+                            .when(k % 73 == 0, F.date_format(d, "M/d/yy"))
+                            .when(k % 79 == 0, F.date_format(d, "dd.MM.yyyy"))
+                            .when(k % 83 == 0, F.date_format(d, "MMM d yyyy"))
+                            .when(k % 89 == 0, F.date_format(d, "yyyyMMdd"))
+                            .when(k % 101 == 0, F.date_format(d, "dd-MMM-yyyy"))
+                            .when(k % 103 == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:00 PM")))
+                            .when(k % 107 == 0, F.date_format(d, "yyyy-MM"))
+                            .when(k % 109 == 0, F.date_format(d, "EEE, d MMM yyyy"))
+                            .when(k % 113 == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:30:05.123456789")))
                             .when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
                             .when(k % 3 == 1, F.date_format(d, "MM/dd/yyyy"))
                             .otherwise(F.date_format(d, "dd-MM-yyyy"))),
@@ -61,6 +70,11 @@ SELECT
        WHEN k % 37 = 0 THEN strftime(d, '%-m/%-d/%Y') || ' 0:00' WHEN k % 43 = 0 THEN strftime(d, '%Y/%m/%d')
        WHEN k % 47 = 0 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00Z' WHEN k % 53 = 0 THEN strftime(d, '%-d %b %Y')
        WHEN k % 59 = 0 THEN strftime(d, '%Y-%m-%d') || ' 10:30:05.25'
+       WHEN k % 73 = 0 THEN strftime(d, '%-m/%-d/%y') WHEN k % 79 = 0 THEN strftime(d, '%d.%m.%Y')
+       WHEN k % 83 = 0 THEN strftime(d, '%b %-d %Y') WHEN k % 89 = 0 THEN strftime(d, '%Y%m%d')
+       WHEN k % 101 = 0 THEN strftime(d, '%d-%b-%Y') WHEN k % 103 = 0 THEN strftime(d, '%Y-%m-%d') || ' 10:00 PM'
+       WHEN k % 107 = 0 THEN strftime(d, '%Y-%m') WHEN k % 109 = 0 THEN strftime(d, '%a, %-d %b %Y')
+       WHEN k % 113 = 0 THEN strftime(d, '%Y-%m-%d') || ' 10:30:05.123456789'
        WHEN k % 3 = 0 THEN strftime(d, '%Y-%m-%d') WHEN k % 3 = 1 THEN strftime(d, '%m/%d/%Y')
        ELSE strftime(d, '%d-%m-%Y') END AS order_date,
   CASE WHEN k % 97 = 0 THEN 'NA' WHEN k % 5 < 3 THEN strftime(d, '%Y-%m-%d') ELSE 'pending' END AS ship_day,
