@@ -11,6 +11,11 @@ the values, infinite ones included, and six passes resolve any column.
 A pass is one scan and one aggregate of at most ``BUCKETS`` rows per target;
 the bucket that holds the target's rank is chosen inside Spark, so the driver
 gets one row per target and pass.
+
+Unweighted values need two scans only: a mergeable quantile sketch of all groups
+gives every target a narrow bracket, and one aggregate counts the values inside
+the brackets one by one and those between them as a whole.  Should a sketch miss,
+its targets are narrowed as above, so the result is exact in any case.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from pyspark.sql.window import Window
 
 BUCKETS = 2048
 _TOP = 1 << 63
+#: Sketch: quantiles read per group, and its accuracy (rank error at most n / ACCURACY).
+GRID, ACCURACY = 1000, 10_000
+#: Most counted values that the last step reads on the driver; more are narrowed in Spark.
+COUNTED = 200_000
 
 
 @dataclass
@@ -62,12 +71,89 @@ def select_kth(data: DataFrame, targets: list[tuple[int, int]], *, gid: str = "g
     Returns ``{(gid, k): value}``; ``None`` when the group has < k+1 weight.
     """
     v = F.col(value).cast("double")
-    keyed = data.filter(v.isNotNull() & ~F.isnan(v)).select(
-        F.col(gid).alias("_g"), double_key(v).alias("_k"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
+    data = data.filter(v.isNotNull() & ~F.isnan(v))
+    if weight is None:
+        base = data.select(F.col(gid).cast("long").alias("_g"), v.alias("_v")).filter(F.col("_g").isin(sorted({g for g, _ in targets})))
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)  # scanned twice
+        try:
+            return _by_brackets(base, targets)
+        finally:
+            base.unpersist()
+    keyed = data.select(F.col(gid).alias("_g"), double_key(v).alias("_k"), F.col(weight).alias("_w"))
     got = select_keys(keyed, targets)
     return {t: None if k is None else key_double(k) for t, k in got.items()}
 
 
+def _grid_brackets(sketch: dict, targets) -> dict[int, list[tuple[float, float]]]:
+    """{group: disjoint intervals of values} that hold the targets if the sketch keeps its promise."""
+    wide: dict[int, list] = {}
+    for g, k in targets:
+        n, grid = sketch.get(g, (0, None))
+        if 0 <= k < n:
+            lo, hi = int((k / n - 2 / ACCURACY) * GRID) - 1, int((k / n + 2 / ACCURACY) * GRID) + 2
+            wide.setdefault(g, []).append((grid[lo] if lo >= 0 else float("-inf"), grid[hi] if hi <= GRID else float("inf")))
+    out: dict[int, list[tuple[float, float]]] = {}
+    for g, spans in wide.items():
+        for lo, hi in sorted(spans):
+            mine = out.setdefault(g, [])
+            if mine and lo <= mine[-1][1]:
+                mine[-1] = mine[-1][0], max(mine[-1][1], hi)
+            else:
+                mine.append((lo, hi))
+    return out
+
+
+def _by_brackets(base: DataFrame, targets) -> dict[tuple[int, int], float | None]:
+    shares = [i / GRID for i in range(GRID + 1)]
+    sketch = {r["_g"]: (r["n"], r["q"]) for r in base.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", shares, ACCURACY).alias("q")).collect()}
+    spans = _grid_brackets(sketch, targets)
+    out: dict[tuple[int, int], float | None] = {t: None for t in targets}
+    if not spans:
+        return out
+    frame = base.sparkSession.createDataFrame(  # one row per group
+        [(g, [float(a) for a, _ in s], [float(b) for _, b in s]) for g, s in spans.items()], "_g long, _lo array<double>, _hi array<double>")
+    below = F.size(F.filter("_hi", lambda x: x < F.col("_v")))
+    zone = F.size(F.filter("_lo", lambda x: x <= F.col("_v"))) + below  # odd inside a bracket, even between two
+    zoned = base.join(F.broadcast(frame), "_g").select("_g", zone.alias("_z"), "_v")
+    counts = zoned.groupBy("_g", "_z", F.when(F.col("_z") % 2 == 1, F.col("_v")).alias("_in")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("_v").alias("top")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = counts.limit(COUNTED + 1).collect()
+        if len(rows) > COUNTED:
+            weighted = counts.select("_g", double_key(F.coalesce("_in", "top")).alias("_k"), F.col("c").cast("double").alias("_w"))
+            got = select_keys(weighted, targets)
+            inside = {t: None if k is None else key_double(k) for t, k in got.items()}
+            inside = {t: v for t, v in inside.items() if v is None or any(a <= v <= b for a, b in spans[t[0]])}
+        else:
+            inside = _at_ranks(rows, targets)
+    finally:
+        counts.unpersist()
+    missed = [t for t in targets if t not in inside and 0 <= t[1] < sketch.get(t[0], (0,))[0]]
+    out |= inside
+    if missed:
+        got = select_keys(base.select("_g", double_key(F.col("_v")).alias("_k"), F.lit(1.0).alias("_w")), missed)
+        out |= {t: None if k is None else key_double(k) for t, k in got.items()}
+    return out
+
+
+def _at_ranks(rows, targets) -> dict[tuple[int, int], float]:
+    """Values at the targets' ranks; a rank that falls between the brackets is left out."""
+    by_group: dict[int, list] = {}
+    for r in rows:
+        by_group.setdefault(r["_g"], []).append((r["_z"], r["_in"] if r["_in"] is not None else float("-inf"), r["_in"], r["c"]))
+    found = {}
+    for g, ordered in by_group.items():
+        wanted, upto, at = sorted(k for gid, k in targets if gid == g), 0, 0
+        for _, _, value, c in sorted(ordered, key=lambda x: x[:2]):
+            upto += c
+            while at < len(wanted) and wanted[at] < upto:
+                if value is not None:
+                    found[(g, wanted[at])] = value
+                at += 1
+    return found
+
+
 def select_keys(data: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], int | None]:
     """The k-th smallest long ``_k`` (weights ``_w``) of group ``_g`` for each ``(group, k)``."""
     gids = sorted({g for g, _ in targets})

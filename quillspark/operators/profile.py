@@ -8,11 +8,15 @@ needs no sort: with t the k-th largest value, the k largest values sum to
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_micros, from_epoch_micros
-from ..functions.selection import quantiles, select_kth
+from ..functions.running import with_previous
+from ..functions.selection import quantiles, select_keys
 
 
 # Fixed values that must equal the reference: profile note templates.
@@ -160,97 +164,115 @@ def categorical_notes(tops: list[tuple], distinct: int, total: int) -> str:
 _DAY = 86_400_000_000
 
 
-def _gap_buckets(distinct: DataFrame, n_distinct: int, per_bucket: int = 1_000_000) -> DataFrame:
-    """Add ``bk``: count-balanced range buckets of ``t`` (approximate quantile
-    boundaries, assigned by Bucketizer's binary search).  Boundaries only
-    decide task sizes; the pairing below is exact for any boundaries."""
-    from pyspark.ml.feature import Bucketizer
-    b = max(1, min(100_000, -(-n_distinct // per_bucket)))
-    x = distinct.withColumn("_td", F.col("t").cast("double"))
-    if b == 1:
-        return x.withColumn("bk", F.lit(0.0))
-    probs = [i / b for i in range(1, b)]
-    cuts = x.agg(F.percentile_approx("_td", probs, 10_000).alias("q")).first()["q"] or []
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    return Bucketizer(splits=splits, inputCol="_td", outputCol="bk").transform(x)
+def date_profile(df: DataFrame, column: str) -> DataFrame:
+    """One row (none without dates): min_date, max_date, date_range_days, median_gap_days, estimated_frequency, column, notes."""
+    return date_profiles(df, [column])
 
 
-def date_profile(df: DataFrame, column: str) -> DataFrame:
-    """One row: min_date, max_date, date_range_days, median_gap_days, estimated_frequency, notes.
+def date_profiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Profiles of all date columns at once.
 
-    The gaps of the sorted dates are: one gap between consecutive distinct
-    values (weight 1) plus a zero gap for every repeat (weight count - 1).
-    Consecutive distinct values are paired inside count-balanced range
-    buckets, and the first value of each bucket is paired with the last
-    value of the previous bucket on a frame of one row per bucket.
+    The gaps of a column's sorted dates are one gap between consecutive distinct
+    values (weight 1) plus a zero gap for every repeat (weight count - 1).  Neighbours
+    are paired within range partitions that carry their last value on.
     """
-    from pyspark import StorageLevel
-    us = epoch_micros(column)
-    vals = df.select(us.alias("t")).filter(F.col("t").isNotNull())
-    rng = vals.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
-    distinct = vals.groupBy("t").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
-    rr = rng.collect()[0]
-    n = rr["n"]
-    median_days = None
-    if n and n > 1:
-        b = _gap_buckets(distinct, distinct.count())
-        w = Window.partitionBy("bk").orderBy("t")
-        inner = b.withColumn("prev", F.lag("t").over(w))
-        edges = inner.groupBy("bk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-        ew = Window.orderBy("bk")  # one row per bucket
-        cross = edges.withColumn("prev_last", F.lag("last").over(ew)).select("bk", "prev_last")
-        gaps_pos = (inner.join(F.broadcast(cross), "bk")
-                         .select(F.when(F.col("prev").isNotNull(), F.col("t") - F.col("prev"))
-                                  .otherwise(F.col("t") - F.col("prev_last")).alias("g"))
-                         .filter(F.col("g").isNotNull()).withColumn("w", F.lit(1)))
-        gaps_zero = distinct.filter(F.col("c") > 1).select(F.lit(0).cast("long").alias("g"),
-                                                           (F.col("c") - 1).alias("w"))
-        gaps = gaps_pos.unionByName(gaps_zero).select(F.lit(0).alias("gid"), "g", "w")
-        m = n - 1
-        h = (m - 1) * 0.5
-        lo = int(h)
-        ks = sorted({lo, min(lo + 1, m - 1)})
-        got = select_kth(gaps, [(0, k) for k in ks], value="g", weight="w")
-        a, bb = got[(0, ks[0])], got[(0, ks[-1])]
-        med = a + (bb - a) * (h - lo)
-        median_days = int(med // _DAY)
-    distinct.unpersist()
-    freq = None
-    if median_days is not None:
-        freq = next((name for bound, name in FREQUENCIES if median_days <= bound), "yearly")
-    one = rng.select(
-        F.date_format(from_epoch_micros("lo"), "yyyy-MM-dd").alias("min_date"),
-        F.date_format(from_epoch_micros("hi"), "yyyy-MM-dd").alias("max_date"),
-        F.floor((F.col("hi") - F.col("lo")) / _DAY).cast("long").alias("date_range_days"),
-        F.lit(median_days).cast("long").alias("median_gap_days"),
-        F.lit(freq).cast("string").alias("estimated_frequency")).filter(F.lit(bool(n)))
-    days = F.col("date_range_days")
-    def fill(template: str, value):
-        head, tail = template.split("{", 1)[0], template.split("}", 1)[1]
-        return F.concat(F.lit(head), value.cast("string"), F.lit(tail))
-
-    span = (F.when(days < 7, F.lit(DATE_NOTES[0]))
-             .when(days < 31, F.lit(DATE_NOTES[1]))
-             .when(days < 365, fill(DATE_NOTES[2], (days / 30).cast("long")))
-             .otherwise(fill(DATE_NOTES[3], (days / 365).cast("long"))))
-    note = F.concat_ws("; ", span, F.when(F.col("estimated_frequency").isNotNull(),
-                                          fill(DATE_NOTES[4], F.col("estimated_frequency"))))
-    return one.withColumn("column", F.lit(column)).withColumn("notes", note)
+    spark = df.sparkSession
+    schema = ("min_date string, max_date string, date_range_days long, median_gap_days long, estimated_frequency string, "
+              "column string, notes string")
+    if not columns:
+        return spark.createDataFrame([], schema)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("g"), epoch_micros(c).alias("t")) for i, c in enumerate(columns)])).alias("x")
+    counts = df.select(cells).select("x.*").filter(F.col("t").isNotNull()).groupBy("g", "t").agg(F.count(F.lit(1)).alias("c"))
+    paired = with_previous(counts, ["g"], "t").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        day = lambda c: F.date_format(from_epoch_micros(c), "yyyy-MM-dd")
+        stats = paired.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("c").alias("n")).select(
+            "g", "lo", "hi", "n", day("lo").alias("first"), day("hi").alias("last")).collect()  # one row per column
+        gaps = paired.select("g", F.explode(F.array(
+            F.struct((F.col("t") - F.col("previous")).alias("gap"), F.lit(1).cast("long").alias("w")),
+            F.struct(F.lit(0).cast("long").alias("gap"), (F.col("c") - 1).alias("w")))).alias("x")).select(
+                F.col("g").alias("_g"), F.col("x.gap").alias("_k"), F.col("x.w").alias("_w"))
+        middle = {r["g"]: (r["n"] - 2) * 0.5 for r in stats if r["n"] > 1}
+        got = select_keys(gaps, [(g, k) for g, h in middle.items() for k in sorted({int(h), min(int(h) + 1, int(2 * h))})]) if middle else {}
+    finally:
+        paired.unpersist()
+    rows = []
+    for r in sorted(stats, key=lambda r: r["g"]):
+        median, frequency = None, None
+        if r["g"] in middle:
+            h = middle[r["g"]]
+            a, b = got[(r["g"], int(h))], got[(r["g"], min(int(h) + 1, int(2 * h)))]
+            median = int((a + (b - a) * (h - int(h))) // _DAY)
+            frequency = next((name for bound, name in FREQUENCIES if median <= bound), "yearly")
+        days = (r["hi"] - r["lo"]) // _DAY
+        rows.append((r["first"], r["last"], days, median, frequency, columns[r["g"]], date_notes(days, frequency)))
+    return spark.createDataFrame(rows, schema)
+
+
+def date_notes(days: int, frequency: str | None) -> str:
+    span = (DATE_NOTES[0] if days < 7 else DATE_NOTES[1] if days < 31
+            else DATE_NOTES[2].format(n=days // 30) if days < 365 else DATE_NOTES[3].format(n=days // 365))
+    return span if frequency is None else f"{span}; {DATE_NOTES[4].format(freq=frequency)}"
+
+
+#: Columns of one block of the co-moment matrix.
+CORR_BLOCK = 512
+_PAIRS = "a int, b int, r double"
+
+
+def _block_pairs(df: DataFrame, left: list[int], right: list[int], columns: list[str], means: list[float]) -> DataFrame:
+    """(a, b, r) of the column pairs a < b of two blocks, over the rows where both values are present.
+
+    A task sums products of its rows in matrices (values less their column's mean); the
+    rows of these matrices are added up per column, so no pair is an aggregate of its own.
+    """
+    every = sorted({*left, *right})
+    at = {c: i for i, c in enumerate(every)}
+    l_at, r_at, shift = [at[c] for c in left], [at[c] for c in right], np.array([means[c] for c in every])
+
+    def moments(batches):
+        sums = None
+        for rows in batches:
+            x = rows.to_numpy(dtype=float) - shift
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            mask, square = m.astype(float), x * x
+            lx, rx, lm, rm = x[:, l_at], x[:, r_at], mask[:, l_at], mask[:, r_at]
+            part = np.stack([lm.T @ rm, lx.T @ rm, lm.T @ rx, square[:, l_at].T @ rm, lm.T @ square[:, r_at], lx.T @ rx])
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pd.DataFrame({"a": left, "sums": [sums[:, i, :].tobytes() for i in range(len(left))]})
+
+    def correlate(parts: pd.DataFrame) -> pd.DataFrame:
+        a = int(parts["a"].iloc[0])
+        n, sx, sy, sxx, syy, sxy = sum(np.frombuffer(b).reshape(6, -1) for b in parts["sums"])
+        with np.errstate(all="ignore"):
+            spread = (sxx - sx * sx / n) * (syy - sy * sy / n)
+            r = np.where(spread > 0, (sxy - sx * sy / n) / np.sqrt(spread), np.nan)
+        pairs = pd.DataFrame({"a": a, "b": right, "r": r})
+        return pairs[(pairs["b"] > a) & pairs["r"].notna()]
+
+    cells = df.select(*[F.col(columns[c]).cast("double").alias(f"c{c}") for c in every])
+    return cells.mapInPandas(moments, "a int, sums binary").groupBy("a").applyInPandas(correlate, _PAIRS)
 
 
 def correlations(df: DataFrame, columns: list[str], threshold: float = 0.7, top: int = 5) -> DataFrame:
     """Pairs with |pearson r| > threshold, strongest 5, strength High (> 0.9) / Medium (older pass)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, correlation double, strength string")
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}")
-                   for k, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                        F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]))
-    return (one.select(rows.alias("p")).select("p.*").filter(F.abs("r") > threshold)
-               .orderBy(F.abs("r").desc(), "col_a", "col_b").limit(top)
-               .select("col_a", "col_b", F.round("r", 2).alias("correlation"),
-                       F.when(F.abs("r") > 0.9, "High").otherwise("Medium").alias("strength")))
+    spark = df.sparkSession
+    if len(columns) < 2:
+        return spark.createDataFrame([], "col_a string, col_b string, correlation double, strength string")
+    means = [m or 0.0 for m in df.agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))) for c in columns]).first()]
+    blocks = [list(range(k, min(k + CORR_BLOCK, len(columns)))) for k in range(0, len(columns), CORR_BLOCK)]
+    pairs = None
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            part = _block_pairs(df, left, right, columns, means)
+            pairs = part if pairs is None else pairs.unionByName(part)
+    names = F.array(*map(F.lit, columns))
+    return (pairs.filter(F.abs("r") > threshold).select(names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"), "r")
+                 .orderBy(F.abs("r").desc(), "col_a", "col_b").limit(top)
+                 .select("col_a", "col_b", F.round("r", 2).alias("correlation"),
+                         F.when(F.abs("r") > 0.9, "High").otherwise("Medium").alias("strength")))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

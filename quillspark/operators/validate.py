@@ -4,8 +4,8 @@ Per column, in column order: missing values; then mixed date formats (date
 columns) or extreme outliers (numeric columns); then high coercion loss.
 The dataset-level duplicate check comes last.  Every per-column count comes
 from one aggregate over all columns; outliers add the quantile passes and
-one more aggregate; duplicates are one ``groupBy`` over all columns (map-side
-partial aggregation collapses a hot repeated row before the shuffle).
+one more aggregate; duplicates are counted by row hash first, whole rows only
+where a hash repeats.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import LAYOUTS, format_index
+from ..functions.dates import format_index
 from .infer import _num
 from .isoforest import isolation_counts
 from .outliers import moment_aggs, outlier_stats
@@ -27,7 +27,7 @@ DUPLICATES = "Duplicate records"
 
 
 def column_quality(df: DataFrame, schema: list[dict], with_moments: bool = False) -> dict:
-    """{column: {n, nulls, nonnull, parsed, fmt: [counts per layout]}} in one aggregate.
+    """{column: {n, nulls, nonnull, parsed, fmt: {layout: count}}} in one aggregate, and one more for the date layouts.
 
     With ``with_moments`` the numeric columns' count / mean / population std
     (for the outlier checks) come from the same aggregate, under ``__moments``.
@@ -37,39 +37,55 @@ def column_quality(df: DataFrame, schema: list[dict], with_moments: bool = False
     proj = [F.col(s["column"]).isNull().alias(f"isnull{i}") for i, s in enumerate(schema)]
     for i, s in enumerate(schema):
         c, t = s["column"], s["type"]
-        if t == "date":
-            proj.append(format_index(c, dtypes[c]).alias(f"fi{i}"))
-        elif t == "numeric":
+        if t == "numeric":
             proj.append(_num(c, dtypes[c]).alias(f"num{i}"))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, s in enumerate(schema):
         t = s["type"]
         aggs += [F.count_if(F.col(f"isnull{i}")).alias(f"null{i}")]
-        if t == "date":
-            aggs += [F.count(F.col(f"fi{i}")).alias(f"ok{i}")]
-            aggs += [F.count_if(F.col(f"fi{i}") == k).alias(f"f{i}_{k}") for k in range(LAYOUTS)]
-        elif t == "numeric":
+        if t == "numeric":
             aggs += [F.count(F.col(f"num{i}")).alias(f"ok{i}")]
     numeric = [i for i, s in enumerate(schema) if s["type"] == "numeric"]
     if with_moments:
         aggs += moment_aggs([f"num{i}" for i in numeric], prefix="mom_")
     r = df.select(*proj).agg(*aggs).collect()[0].asDict()
+    layouts = layout_counts(df, [s["column"] for s in schema if s["type"] == "date"])
     out = {}
     for i, s in enumerate(schema):
         rec = {"n": r["__n"], "nulls": r[f"null{i}"], "nonnull": r["__n"] - r[f"null{i}"],
                "parsed": r.get(f"ok{i}")}
         if s["type"] == "date":
-            rec["fmt"] = [r[f"f{i}_{k}"] for k in range(LAYOUTS)]
+            rec["fmt"] = layouts[s["column"]]
+            rec["parsed"] = sum(rec["fmt"].values())
         out[s["column"]] = rec
     if with_moments:
         out["__moments"] = {k[len("mom_"):]: v for k, v in r.items() if k.startswith("mom_")}
     return out
 
 
+def layout_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[int, int]]:
+    """{column: {layout: rows}} of date columns: one grouped aggregate, at most one row per column and layout."""
+    out: dict[str, dict[int, int]] = {c: {} for c in columns}
+    if columns:
+        dtypes = {f.name: f.dataType for f in df.schema.fields}
+        cells = F.array(*[F.struct(F.lit(i).alias("k"), format_index(c, dtypes[c]).alias("layout")) for i, c in enumerate(columns)])
+        counts = df.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("layout").isNotNull()).groupBy("k", "layout").count()
+        for r in counts.collect():
+            out[columns[r["k"]]][r["layout"]] = r["count"]
+    return out
+
+
 def duplicate_count(df: DataFrame) -> int:
-    """Rows minus first occurrences; NULLs compare equal."""
-    r = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
-           .agg(F.sum(F.col("c") - 1).alias("d")).collect()[0]["d"])
+    """Rows minus first occurrences; NULLs compare equal.
+
+    Rows are counted by a 128-bit hash first, so only rows whose hash repeats are shuffled whole.
+    """
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])  # a hash passes over nulls
+    hashes = [F.xxhash64(F.lit(k), nulls, *df.columns).alias(f"__h{k}") for k in (0, 1)]
+    repeated = df.select(*hashes).groupBy("__h0", "__h1").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__h0", "__h1")
+    whole = df.select("*", *hashes).join(repeated, ["__h0", "__h1"], "left_semi").drop("__h0", "__h1")
+    r = (whole.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
+              .agg(F.sum(F.col("c") - 1).alias("d")).collect()[0]["d"])
     return int(r or 0)
 
 
@@ -109,7 +125,7 @@ def detect_issues(df: DataFrame, schema: list[dict], config: dict, use_forest: b
         if r["nulls"] > 0:
             issues.append(_issue(c, MISSING, r["nulls"]))
         if t == "date" and r["nonnull"] > 0:
-            dominant = max(r["fmt"])
+            dominant = max(r["fmt"].values(), default=0)
             if dominant / r["nonnull"] < 0.95:
                 issues.append(_issue(c, MIXED, r["nonnull"] - dominant))
         elif t == "numeric":

@@ -104,9 +104,8 @@ def _phases(spark, source, persist, mode, config, held: list[DataFrame]) -> dict
     for p in PR.categorical_profiles(cleaned, by_type["categorical"], cfg):
         profiles.append({"column": p["column"], "top_values": [{"value": v, "count": n} for v, n in p["top_values"]],
                          "unique_count": p["unique_count"], "notes": p["notes"]})
-    for c in by_type["date"]:
-        for r in PR.date_profile(cleaned, c).collect():
-            profiles.append({"column": c, "min_date": r["min_date"], "max_date": r["max_date"],
+    for r in PR.date_profiles(cleaned, by_type["date"]).collect():
+            profiles.append({"column": r["column"], "min_date": r["min_date"], "max_date": r["max_date"],
                              "date_range_days": r["date_range_days"], "estimated_frequency": r["estimated_frequency"],
                              "notes": r["notes"]})
     order = {s["column"]: i for i, s in enumerate(schema)}

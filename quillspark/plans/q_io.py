@@ -21,6 +21,7 @@ from ..session import ensure_checkpoint_dir, scratch_path
 from . import pipeline as PL
 from . import q_insights as _q_insights  # noqa: F401  (their SQL is part of the insight check)
 from . import q_rollups as _q_rollups  # noqa: F401
+from .q_quality import DATES as _DATES
 from .q_quality import FIXED_SQL, _clean_sql, _cleaned
 from .registry import ORACLE, register
 
@@ -137,6 +138,48 @@ def q_pipeline_summary(spark, sf):
                     F.size("column_profile").cast("long").alias("n_profiles"), "clean_data_ref")
 
 
+# Every number of the report: (part, name, measure, value), with the forest off (it has a key of its own).
+_MEASURES = {"min": 4, "max": 4, "mean": 4, "median": 4, "std": 4, "skewness": 4}
+
+
+def _report_sql() -> str:
+    def cells(query: str, part: str, name: str, measures: list[str]) -> list[str]:
+        return [f"SELECT '{part}' AS part, {name} AS name, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({query})" for m in measures]
+
+    table, profile = ORACLE["date_profile"].split(",\nd AS (")
+    dates = [table + ",\nd AS (" + profile.replace("order_date", c) for c in _DATES]
+    arms = (cells(ORACLE["validate_issues"], "issue", "concat_ws('|', pos, coalesce(\"column\", ''), issue)", ["rows_affected"])
+            + cells(ORACLE["infer_schema"], "schema", "concat_ws('|', \"column\", type)", ["1"])
+            + cells(ORACLE["numeric_profile"], "numeric", '"column"', list(_MEASURES))
+            + cells(ORACLE["categorical_profile"], "categorical", "concat_ws('|', \"column\", rank, value)", ["count", "unique_count"])
+            + [a for q in dates for a in cells(q, "date", "concat_ws('|', \"column\", min_date, max_date, estimated_frequency, notes)", ["date_range_days"])]
+            + cells(ORACLE["health_score"], "summary", "'report'", ["health_score"])
+            + cells(ORACLE["dedupe_lenient"], "summary", "'report'", ["rows_after"])
+            + cells(f"WITH raw AS ({RAW_UPLOAD_SQL}) SELECT count(*) AS rows_before FROM raw", "summary", "'report'", ["rows_before"]))
+    return "\nUNION ALL\n".join(arms)
+
+
+@register("validation_values", _report_sql())
+def q_validation_values(spark, sf):
+    """Every value of the whole pipeline's report."""
+    out = PL.run_validation(spark, raw_upload(spark, sf), persist=False, config={"outlier": {"isolation_forest": False}})
+    r = out["report"].first()  # one row
+    cells = [("issue", f"{k}|{d['column'] or ''}|{d['issue']}", "rows_affected", d["rows_affected"]) for k, d in enumerate(r["issues"])]
+    cells += [("schema", f"{s['column']}|{s['type']}", "1", 1) for s in r["schema"]]
+    for p in r["column_profile"]:
+        if p["top_values"] is not None:
+            for rank, top in enumerate(p["top_values"], start=1):
+                name = f"{p['column']}|{rank}|{top['value']}"
+                cells += [("categorical", name, "count", top["count"]), ("categorical", name, "unique_count", p["unique_count"])]
+        elif p["min_date"] is not None:
+            name = "|".join((p["column"], p["min_date"], p["max_date"], p["estimated_frequency"], p["notes"]))
+            cells.append(("date", name, "date_range_days", p["date_range_days"]))
+        else:
+            cells += [("numeric", p["column"], m, round(p[m], digits)) for m, digits in _MEASURES.items()]
+    cells += [("summary", "report", m, r["summary"][m]) for m in ("health_score", "rows_after", "rows_before")]
+    return spark.createDataFrame([(a, b, c, float(v)) for a, b, c, v in cells], "part string, name string, measure string, value double")
+
+
 #: Insight section -> (the single query with the same rows, key columns, measures).
 INSIGHTS = {
     "forecasts": ("forecast_3m", ["series", "period", "step"], ["value"]),

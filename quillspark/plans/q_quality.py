@@ -178,7 +178,7 @@ def q_mixed_dates(spark, sf):
     q = VA.column_quality(std, _schema())
     rows = []
     for c in DATES:
-        nn, dom = q[c]["nonnull"], max(q[c]["fmt"])
+        nn, dom = q[c]["nonnull"], max(q[c]["fmt"].values(), default=0)
         if nn and dom / nn < 0.95:
             rows.append((c, nn, dom, round(dom / nn, 4), nn - dom))
     return spark.createDataFrame(rows, "column string, nonnull long, dominant long, dominant_share double, "
@@ -222,21 +222,19 @@ def q_zscore_outliers(spark, sf):
     return spark.createDataFrame(rows, "column string, mean double, std_pop double, z_count long")
 
 
-@register("isolation_forest", BASE + "\n" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({duckdb_number(c)}) AS n, true AS within_contamination, true AS repeatable FROM std"""
-    for c in NUMERIC))
+def _forest_values(c):
+    return f"{BASE} SELECT v FROM (SELECT {duckdb_number(c)} AS v FROM std) WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)"
+
+
+@register("isolation_forest", " UNION ALL ".join(f"""SELECT '{c}' AS "column", n, flagged FROM ({ISO.flagged_sql(_forest_values(c))})""" for c in NUMERIC))
 def q_isolation_forest(spark, sf):
-    """Per column: values, whether at most the contamination share is flagged, and whether a
-    second run on other partitions flags as many (the flagged rows themselves have no SQL form)."""
+    """Per column: values and rows that the forest flags; the SQL grows the same trees."""
     cfg, std = _prep(spark, sf, forest=True)
     typed = std.select(*[parse_number(c).alias(c) for c in NUMERIC])
     oc = cfg["outlier"]
-    first, again = (ISO.isolation_counts(t, NUMERIC, oc["contamination"], oc["isolationforest_min_rows"])
-                    for t in (typed, typed.repartition(7)))
+    flagged = ISO.isolation_counts(typed, NUMERIC, oc["contamination"], oc["isolationforest_min_rows"])
     n = typed.agg(*[F.count(c).alias(c) for c in NUMERIC]).first()
-    # The cut-off is a quantile of scores that many values share, hence the rounding of a few rows.
-    return spark.createDataFrame([(c, n[c], first[c] <= oc["contamination"] * n[c] + 1, first[c] == again[c]) for c in NUMERIC],
-                                 "column string, n long, within_contamination boolean, repeatable boolean")
+    return spark.createDataFrame([(c, n[c], flagged[c]) for c in NUMERIC], "column string, n long, flagged long")
 
 
 def _coercion_sql():
