@@ -5,15 +5,21 @@ like pandas ``on_bad_lines='skip'``: the schema is all strings plus one
 trailing ``__overflow`` column that is only filled by over-long rows.
 (``DROPMALFORMED`` would also drop the short rows.)  The encoding is UTF-8
 unless some line is not valid UTF-8, then Latin-1 (which never fails).
+
+Files are read range by range (sources.csv_split), also where quoted fields
+hold line ends, so one large file is read by many tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.names import unique_names
+from ..session import scratch_path
+from . import csv_split
 
 # pandas' default NA strings plus the reference's extra ones.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -21,24 +27,26 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 OVERFLOW = "__overflow"
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``UTF-8`` when every line is valid UTF-8, else ``ISO-8859-1``."""
-    ok = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    return "UTF-8" if ok in (True, None) else "ISO-8859-1"
+# RFC 4180: quotes are doubled inside quotes, backslashes are plain, quoted line ends belong to the field.
+FORMAT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE"}
 
 
 def _reader(spark: SparkSession, encoding: str):
-    """RFC 4180: quotes are doubled inside quotes, backslashes are plain, quoted line ends belong to the field.
+    return spark.read.options(**FORMAT).option("encoding", encoding)
+
 
-    A record may span lines, so a file is one split; large data come as many files.
-    """
-    return (spark.read.option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE"))
+def scan_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, str, bool]:
+    """Transitions of the files' ranges (written), the encoding, and whether any line ends inside a quoted field."""
+    target = f"{scratch_path(spark, 'csv')}/ranges-{uuid.uuid4().hex}"
+    csv_split.transitions(spark, path).write.parquet(target)
+    states = spark.read.schema(csv_split.STATES).parquet(target)
+    valid, opened = states.agg(F.bool_and("valid"), F.bool_or("opened")).first()
+    return states, "UTF-8" if valid in (True, None) else "ISO-8859-1", bool(opened)
 
 
 def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
     """Raw header field names: the first record, by the same parser (one row through the driver)."""
-    first = _reader(spark, encoding).option("header", False).csv(path).first()
+    first = _reader(spark, encoding).option("multiLine", True).option("header", False).csv(path).first()
     if first is None:
         raise ValueError("File contains no data")
     return [(x or "").lstrip("\ufeff") for x in first]
@@ -46,12 +54,16 @@ def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> lis
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, dict]:
     """(frame of string columns with sanitised unique names, ingest metadata)."""
-    enc = encoding or detect_encoding(spark, path)
+    states, detected, opened = scan_ranges(spark, path)
+    enc = encoding or detected
     raw_names = header_names(spark, path, enc)
     names = unique_names(raw_names)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(OVERFLOW, T.StringType())])
-    df = _reader(spark, enc).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    schema = ", ".join(f"{c} string" for c in (*(f"_c{i}" for i in range(len(names))), OVERFLOW))
+    if opened:
+        found = csv_split.records(spark, path, csv_split.range_starts(states), enc).filter(~F.col("first"))
+        df = found.select(F.from_csv("record", schema, {**FORMAT, "multiLine": "true"}).alias("r")).select("r.*")
+    else:
+        df = _reader(spark, enc).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
     df = df.filter(F.col(OVERFLOW).isNull())
     cols = [F.when(F.col(f"_c{i}").isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"_c{i}")).alias(n)
             for i, n in enumerate(names)]
