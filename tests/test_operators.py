@@ -52,6 +52,37 @@ def test_ordinary_date_texts(spark):
     assert got == cases
 
 
+def test_date_grammar(spark):
+    cases = {"2/24/03": "2003-02-24 00:00:00.000000", "24.02.2003": "2003-02-24 00:00:00.000000", "Feb 24 2003": "2003-02-24 00:00:00.000000",
+             "20030224": "2003-02-24 00:00:00.000000", "24-Feb-2003": "2003-02-24 00:00:00.000000", "2003-02-24 10:00 PM": "2003-02-24 22:00:00.000000",
+             "2003-02": "2003-02-01 00:00:00.000000", "Mon, 24 Feb 2003": "2003-02-24 00:00:00.000000",
+             "2003-02-24 01:02:03.123456789": "2003-02-24 01:02:03.123456", "20030224101112": "2003-02-24 10:11:12.000000",
+             "Monday, February 24th, 2003": "2003-02-24 00:00:00.000000", "24feb2003 12 am": "2003-02-24 00:00:00.000000",
+             "99-02-24": "1999-02-24 00:00:00.000000", "3/4/68": "2068-03-04 00:00:00.000000", "3/4/69": "1969-03-04 00:00:00.000000",
+             "Sept 3 2004, 1:05:06.5 p.m. GMT": "2004-09-03 13:05:06.500000", "Feb 2003": "2003-02-01 00:00:00.000000", "2003/2/3 12:00 PM": "2003-02-03 12:00:00.000000",
+             "2003-02-24 13:00 PM": None, "2003-02-24 10": None, "2003-02-24 10:00:00.1234567891": None, "Feb 24": None, "12345678": None, "123": None,
+             "2003-02-30": None, "24.13.2003": None, "marching 3 2004": None, "ORD20030224": None, "31/31/03": None, "C-24-2003": None, "2003-2-24-1": None}
+    df = spark.createDataFrame([(v,) for v in cases], "s string")
+    got = df.select("s", F.date_format(parse_date("s"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("d"), format_index("s").alias("i")).collect()
+    assert {r["s"]: r["d"] for r in got} == cases
+    assert all((r["d"] is None) == (r["i"] is None) for r in got)
+    assert len({r["i"] for r in got if r["i"] is not None}) > 12
+
+
+def test_date_grammar_equals_its_sql(spark):
+    import duckdb
+    from quillspark.functions.dates import duckdb_format_index, duckdb_parse
+    texts = ["2/24/03", "24.02.2003", "02.03.2003", "Feb 24 2003", "20030224", "24-Feb-2003", "2003-02-24 10:00 PM", "2003-02", "02/2003", "Mon, 24 Feb 2003",
+             "2003-02-24 01:02:03.123456789", "20030224101112", "99-02-24", "13/14/15", "2003-02-24T10:00:00Z", "2/24/2003 0:00", "24 Feb 03", "Feb 2003", "x",
+             "2003-02-24 12:05 AM", "2003-02-24 1:02:03 pm", "12/31/99 23:59", "January 5, 2024", "2024-01-05T10:00:00+02:00", "2003-13", "30.02.2003"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {r["s"]: (r["d"], r["i"]) for r in df.select("s", parse_date("s").alias("d"), format_index("s").alias("i")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(t,) for t in texts])
+    assert {s: (d, i) for s, d, i in con.execute(f"SELECT s, {duckdb_parse('s')}, {duckdb_format_index('s')} FROM t").fetchall()} == got
+
+
 def test_strict_numbers(spark):
     from quillspark.functions.numbers import parse_number
     cases = {"1": 1.0, " -2.50 ": -2.5, "1e3": 1000.0, ".5": 0.5, "3.": 3.0, "inf": float("inf"), "-Infinity": float("-inf"), "NAN": None, "nan": None,
@@ -197,6 +228,62 @@ def test_sql_guard(spark, tmp_path):
     assert tuple(good.first()) == (True, None, "x,y", 2, '[{"x":0,"y":1},{"x":1,"y":2}]') and bad.first()["ok"] is False
 
 
+REACHING_OUT = ["java_method('java.lang.System', 'getProperty', 'user.home')", "reflect('java.lang.System', 'getProperty', 'user.home')",
+                "try_reflect('java.lang.System', 'getProperty', 'user.home')", "current_user()", "CURRENT_USER", "input_file_name()", "raise_error('x')",
+                "version()", "assert_true(true)", "`java_method`('java.lang.System', 'getProperty', 'user.home')",
+                "system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')", "upper(concat('a', java_method('java.lang.System', 'getProperty', 'user.home')))",
+                "transform(array(1), i -> reflect('java.lang.System', 'getProperty', 'user.home'))[0]", "my_function(x)", "explode(array(1, 2))",
+                "CASE WHEN x = 1 THEN reflect('java.lang.System', 'getProperty', 'user.home') END"]
+
+
+@pytest.mark.parametrize("call", REACHING_OUT)
+def test_functions_that_reach_out_are_refused(spark, call):
+    spark.udf.register("my_function", lambda x: x)
+    df = spark.range(5).withColumnRenamed("id", "x").withColumn("sales", F.lit(1.0))
+    shapes = ["SELECT {} AS v FROM data LIMIT 1", "SELECT x FROM data WHERE {} IS NOT NULL LIMIT 1", "SELECT x FROM (SELECT x, {} AS v FROM data) LIMIT 1",
+              "WITH t AS (SELECT {} AS v FROM data) SELECT * FROM t LIMIT 1", "SELECT x FROM data WHERE x IN (SELECT {} FROM data) LIMIT 1",
+              "SELECT x FROM data ORDER BY {} LIMIT 1", "SELECT count(*) FROM data GROUP BY {} LIMIT 1"]
+    for shape in shapes if call in REACHING_OUT[:1] + ["CURRENT_USER"] else shapes[:2]:
+        with pytest.raises(SQ.NotAllowed, match="function not allowed"):
+            SQ.run_guarded(spark, df, shape.format(call))
+    with pytest.raises(SQ.NotAllowed, match="function not allowed"):
+        SQ.run_guarded(spark, df, f"SELECT {call} AS v FROM data", bypass=True)
+    assert "function not allowed" in WI.what_if_by_name(df, "sales", "increase", 1.0, f"{call} IS NOT NULL").first()["error"]
+
+
+def test_guard_allows_ordinary_statements(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("hidden")
+    spark.range(3).createOrReplaceTempView("elsewhere")
+    df = spark.createDataFrame([(k, k % 3, f"2024-01-0{k + 1}", None if k == 2 else 1.5 * k) for k in range(9)], "x long, g long, d string, v double")
+    for text, rows in {"SELECT a.x FROM data a, dataset b WHERE a.x = b.x LIMIT 50": 9, "SELECT a.x FROM dataset AS a CROSS JOIN (SELECT 1 AS one) LIMIT 50": 9,
+                       "select g, round(avg(coalesce(v, 0)), 2) as m from DATA group by g having count(*) > 1 order by m desc limit 2": 2,
+                       "SELECT x, row_number() OVER (PARTITION BY g ORDER BY x) AS r, lag(v) OVER (ORDER BY x) AS p FROM data LIMIT 100": 9,
+                       "SELECT date_trunc('MONTH', CAST(d AS timestamp)) AS m, sum(v), stddev(v), upper(max(d)) FROM data GROUP BY ALL LIMIT 5": 1,
+                       "WITH elsewhere AS (SELECT x FROM data WHERE x > 2) SELECT * FROM elsewhere UNION ALL SELECT x FROM data WHERE x = (SELECT min(x) FROM data) LIMIT 99": 7,
+                       "SELECT DISTINCT CASE WHEN g = 0 THEN 'a' ELSE substring(d, 1, 4) || '!' END AS c FROM data WHERE d LIKE '2024%' AND x BETWEEN 0 AND 7 LIMIT 9": 2,
+                       "SELECT x FROM data EXCEPT SELECT x FROM data WHERE x % 2 = 0 LIMIT 9": 4, "SELECT strftime('%Y-%m', d) AS m, count(*) FROM data GROUP BY 1 LIMIT 3": 1}.items():
+        assert SQ.run_guarded(spark, df, text).count() == rows, text
+    for text, message in {f"SELECT (SELECT max(value) FROM text.`{tmp_path}/secret.txt`) AS v FROM data LIMIT 1": "relation not allowed",
+                          "SELECT x FROM data, elsewhere LIMIT 1": "relation not allowed", "SELECT * FROM spark_catalog.default.data LIMIT 1": "relation not allowed",
+                          "SELECT TRANSFORM(x) USING 'cat' AS (y) FROM data LIMIT 1": "step not allowed", "SELECT * FROM range(5) LIMIT 5": "step not allowed",
+                          "SELECT e FROM data LATERAL VIEW explode(array(1)) t AS e LIMIT 1": "step not allowed", "SHOW TABLES": "only a query"}.items():
+        with pytest.raises(SQ.NotAllowed, match=message):
+            SQ.run_guarded(spark, df, text)
+    view = {t.name for t in spark.catalog.listTables()}
+    assert "data" not in view and "dataset" not in view  # nothing is left in the caller's session
+
+
+def test_filters_are_expressions_of_the_columns(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("A")
+    df = spark.createDataFrame([(100.0, 2.0, "A"), (50.0, 1.0, "B")], "Sales double, qty double, region string")
+    assert WI.what_if_by_name(df, "sales", "increase", 10.0, "upper(region) == 'A' AND qty > 1").first()["rows_affected"] == 1
+    named = df.withColumnRenamed("region", "user")  # a column of that name is a column
+    assert WI.what_if_by_name(named, "sales", "increase", 10.0, "user = 'A'").first()["rows_affected"] == 1
+    assert SQ.run_guarded(spark, named, "SELECT user FROM data WHERE user = 'B' LIMIT 5").first()[0] == "B"
+    for condition in (f"region = (SELECT max(value) FROM text.`{tmp_path}/secret.txt`)", f"EXISTS (SELECT 1 FROM text.`{tmp_path}`)", "qty IN (SELECT 1)"):
+        assert WI.what_if_by_name(df, "sales", "increase", 1.0, condition).first()["error"] == "Invalid filter condition: a subquery is not allowed here"
+
+
 def test_what_if_by_name(spark):
     df = spark.createDataFrame([(100.0, 2.0, "A"), (50.0, 1.0, "B")], "Sales double, qty double, region string")
     r = WI.what_if_by_name(df, "sales", "increase", 10.0).first()
@@ -266,7 +353,7 @@ def test_chart_shaping(spark):
     assert [tuple(r) for r in chart_rows(df).collect()] == [("x", 3.0), ("Unknown", 0.0)]
 
 
-def test_date_profile_gap_median_across_buckets(spark, monkeypatch):
+def test_date_profile_gap_median_across_ranges(spark):
     from datetime import timedelta
     from quillspark.operators import profile as PR
     rng = np.random.default_rng(0)
@@ -274,9 +361,13 @@ def test_date_profile_gap_median_across_buckets(spark, monkeypatch):
     ts = [base + timedelta(days=int(x), seconds=int(y)) for x, y in
           zip(rng.integers(0, 3650, 400), rng.integers(0, 86400, 400))] + [base] * 3
     df = spark.createDataFrame([(t,) for t in ts], "d timestamp_ntz")
-    orig = PR._gap_buckets
-    monkeypatch.setattr(PR, "_gap_buckets", lambda d, n, per_bucket=1_000_000: orig(d, n, per_bucket=37))
-    r = PR.date_profile(df, "d").first()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the dates lie in several ranges
+    try:
+        r, other = PR.date_profiles(df.withColumn("e", F.expr("IF(d < '2015-01-01', d, NULL)")), ["d", "e"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    early = pd.Series(sorted(t for t in ts if t < datetime(2015, 1, 1)))
+    assert other["median_gap_days"] == early.diff().dropna().median().days and other["column"] == "e"
     gaps = pd.Series(sorted(ts)).diff().dropna()
     assert r["median_gap_days"] == gaps.median().days
     assert r["estimated_frequency"] == "weekly"
@@ -306,12 +397,55 @@ def test_display_caps(spark):
 
 
 def test_isolation_forest_draws_a_hot_value_by_its_share(spark):
-    from pyspark.sql import functions as F
-    from quillspark.operators.isoforest import fit_draw
-    n, want = 300_000, 2_000
-    v = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1.0)).otherwise(F.col("id").cast("double")).alias("v"))
-    first = sorted(r.v for r in fit_draw(v, n, want, 42).collect())
-    assert len(first) == want and 0.29 < first.count(-1.0) / want < 0.38
-    assert first == sorted(r.v for r in fit_draw(v.repartition(7), n, want, 42).collect())
-    small = v.limit(1_500)
-    assert sorted(r.v for r in fit_draw(small, 1_500, want, 42).collect()) == sorted(r.v for r in small.collect())
+    from quillspark.operators import isoforest as ISO
+    n = 300_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    values = ISO.column_values(df, ["v"])
+    hot = values.filter("v = -1").first()
+    assert (hot["c"], hot["before"], hot["total"]) == (n // 3, 0, n)
+    ranks = [r for t in range(20) for r in ISO.drawn_ranks(n, t)]
+    assert all(len(set(ISO.drawn_ranks(n, t))) == 256 for t in range(20)) and 0.29 < sum(r < n // 3 for r in ranks) / len(ranks) < 0.38
+    assert ISO.drawn_ranks(100, 3) == list(range(100))
+
+
+def test_isolation_forest_equals_a_plain_forest(spark):
+    from quillspark.operators import isoforest as ISO
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, 900).round(2), rng.normal(0, 30, 30), [np.nan, np.inf, -np.inf], np.full(70, 7.0)])
+    w = np.concatenate([np.full(1000, 5.0), rng.normal(0, 1, 3)])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)], "v double, w double").repartition(5)
+    got = ISO.isolation_counts(df, ["v", "w"], 0.05, 50)
+    for name, x in (("v", v), ("w", w)):
+        x = np.sort(x[np.isfinite(x)])
+        trees = [ISO.grow_tree(x[ISO.drawn_ranks(len(x), t)], t, 8) for t in range(ISO.TREES)]
+        keys = ISO.score_keys(x, trees, 256)
+        assert got[name] == int((keys < np.percentile(keys, 5)).sum()), name
+    assert 0 < got["v"] <= 51 and ISO.isolation_counts(df, ["v"], 0.05, 5000) == {"v": 0}
+    again = ISO.isolation_counts(df.repartition(3), ["w", "v"], 0.05, 50)
+    assert again == {"w": got["w"], "v": got["v"]}
+
+
+def test_correlations_of_many_columns_with_gaps(spark, monkeypatch):
+    from quillspark.operators import profile as PR
+    rng = np.random.default_rng(8)
+    x = rng.normal(1e6, 1, (400, 9))
+    x[:, 4] = -x[:, 1] + rng.normal(0, 0.2, 400)
+    x[:, 7] = x[:, 2] + rng.normal(0, 0.6, 400)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 8] = 3.0
+    names = [f"c{k}" for k in range(9)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    want = pd.DataFrame(x, columns=names).corr().round(2)
+    for block in (512, 4):
+        monkeypatch.setattr(PR, "CORR_BLOCK", block)
+        got = [tuple(r) for r in PR.correlations(df, names).collect()]
+        assert got == [("c1", "c4", want.loc["c1", "c4"], "High"), ("c2", "c7", want.loc["c2", "c7"], "Medium")]
+
+
+def test_duplicates_by_row_hash(spark):
+    from quillspark.operators.validate import duplicate_count
+    rows = [(None, "a"), ("a", None), (None, "a"), ("a", "a"), (None, None), (None, None), (None, None), ("b", "c")]
+    assert duplicate_count(spark.createDataFrame(rows, "x string, y string")) == 3
+    assert duplicate_count(spark.createDataFrame(rows[3:5], "x string, y string")) == 0 and duplicate_count(spark.createDataFrame([], "x string")) == 0
+

@@ -92,3 +92,34 @@ def test_ranks_with_text_keys(spark):
     cuts = rank_cuts_many(df, ["v"], "k", len(vals))["v"]
     got = df.select("k", bucket_of("v", "k", cuts).alias("q")).toPandas().sort_values("k")
     assert list(got["q"]) == list(expected)
+
+
+def test_brackets_of_a_sketch(spark, monkeypatch):
+    from quillspark.functions import selection as SEL
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(0, 1, 5000), 1: np.round(rng.normal(0, 2, 3000)), 2: np.array([float("inf"), float("-inf"), 0.0, -0.0, 5e-324] * 20), 3: np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (1, float("nan"))], "gid int, v double").repartition(4)
+    targets = [(g, k) for g, vs in groups.items() for k in {0, 1, len(vs) // 4, len(vs) // 2, len(vs) - 1, len(vs)}] + [(9, 0)]
+    want = {(g, k): (sorted(groups[g])[k] if g in groups and k < len(groups[g]) else None) for g, k in targets}
+    assert SEL.select_kth(df, targets) == want
+    monkeypatch.setattr(SEL, "COUNTED", 5)  # the last step stays in Spark
+    assert SEL.select_kth(df, targets) == want
+    monkeypatch.setattr(SEL, "_grid_brackets", lambda sketch, ts: {g: [(1e300, 1e301)] for g in sketch})  # a sketch that misses everything
+    assert SEL.select_kth(df, targets) == want
+    monkeypatch.setattr(SEL, "COUNTED", 200_000)
+    assert SEL.select_kth(df, targets) == want
+
+
+def test_running_totals_and_neighbours(spark):
+    from pyspark.sql import functions as F
+    from quillspark.functions.running import running_totals, with_previous
+    rows = [(k % 3, k, k * k) for k in range(100)]
+    df = spark.createDataFrame(rows, "g int, o long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for r in running_totals(df, ["g"], ["o"], F.col("v")).collect():
+            assert r.before == sum(v for g, o, v in rows if g == r.g and o < r.o) and r.total == sum(v for g, _, v in rows if g == r.g)
+        for r in with_previous(df, ["g"], "o").collect():
+            assert r.previous == (None if r.o < 3 else r.o - 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
