@@ -39,3 +39,15 @@ def slices(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
+
+
+#: Rows of one Arrow batch to Python, and bytes of a Parquet row group, of stages that carry whole texts.
+BATCH_ROWS, ROW_GROUP_BYTES = 1000, 16 << 20
+
+
+def bound_buffers(spark: SparkSession) -> None:
+    """Lower the session's buffers of whole texts (per task: batches on their way to Python, open row groups); never raise them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("parquet.block.size", ROW_GROUP_BYTES)):
+        now = int(spark.conf.get(key, "0"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
