@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
 return the columns of ``documents``; what a stage drops or masks is gone for the
 next one.  ``run`` writes every stage's result as Parquet in the shared folder
-and rereads it, so a lost executor costs at most one stage.
+and rereads it, so a lost executor costs at most one stage.  Every stage first bounds
+the session's buffers of whole texts (Arrow batches, Parquet row groups).
 
 * quality: documents that the classifier predicts as label 0 go.
 * near duplicates: of every component of linked or equal rows one row stays, the
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read_table, scratch, stored
+from quillspark.llm.common import bound_buffers, read_table, scratch, stored
 from quillspark.llm.decontam import contamination
 from quillspark.llm.jaccard import similar_documents
 from quillspark.llm.packing import pack_documents
@@ -32,11 +33,13 @@ BROADCAST_IDS = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_buffers(spark)
     model = train_quality(docs, read_table(spark, sf_dir, "labels"))
     return with_score(docs, model, score="__quality").filter(F.col("__quality") >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_buffers(spark)
     # Rows, not ids, are compared: an id may be shared by unrelated texts.  Writing the row key fixes it.
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
     named = rows.filter(F.col("doc_id").isNotNull())
@@ -57,15 +60,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_buffers(spark)
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("found.spans") == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_buffers(spark)
     return redact_documents(docs, scratch(spark, "pipeline-ledger"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_buffers(spark)
     return pack_documents(docs, vocabulary_path(WORD_VOCABULARY))
 
 
