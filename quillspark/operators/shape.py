@@ -10,6 +10,7 @@ ID_KEYS = ["id", "name", "label", "category"]
 VALUE_KEYS = ["value", "count", "total"]
 # Fixed values that must equal the reference: rows shown by the table, anomaly and recommendation widgets.
 DISPLAY_CAPS = {"table": 10, "anomalies": 8, "recommendations": 6}
+# Fixed values that must equal the reference: names of the x and y keys of a result, in order.
 X_CANDIDATES = ["id", "month", "date", "year", "label", "category", "name", "x", "status", "region"]
 Y_CANDIDATES = ["value", "count", "total", "amount", "revenue", "y", "sales"]
 

@@ -22,6 +22,10 @@ CARD_MASK = "****-****-****-****"
 HIGH_WORDS = ["critical", "urgent", "risk", "alert", "immediately", "reduce", "loss"]
 MEDIUM_WORDS = ["improve", "increase", "focus", "optimize", "review", "monitor"]
 
+# Fixed values that must equal the reference: what is cut out of a JSON block, and the lines of an action.
+COMMENT, COMMA_BRACE, COMMA_BRACKET = r"(?d)//.*", r",\s*\}", r",\s*\]"
+ACTION, ACTION_INPUT = r"(?imd)^Action:\s*(.+?)$", r"(?imsd)^Action Input:\s*(.+?)$"
+
 
 def mask_pii(c: Column) -> Column:
     c = F.regexp_replace(c, EMAIL, EMAIL_MASK)
@@ -32,15 +36,15 @@ def mask_pii(c: Column) -> Column:
 def extract_json_text(c: Column) -> Column:
     """Widest ``{...}`` block with ``//`` comments and trailing commas removed."""
     block = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    block = F.regexp_replace(block, r"(?d)//.*", "")
-    block = F.regexp_replace(block, r",\s*\}", "}")
-    block = F.regexp_replace(block, r",\s*\]", "]")
+    block = F.regexp_replace(block, COMMENT, "")
+    block = F.regexp_replace(block, COMMA_BRACE, "}")
+    block = F.regexp_replace(block, COMMA_BRACKET, "]")
     return F.when(block != "", block)
 
 
 def extract_action(c: Column) -> tuple[Column, Column]:
-    action = F.regexp_extract(c, r"(?imd)^Action:\s*(.+?)$", 1)
-    action_input = F.regexp_extract(c, r"(?imsd)^Action Input:\s*(.+?)$", 1)
+    action = F.regexp_extract(c, ACTION, 1)
+    action_input = F.regexp_extract(c, ACTION_INPUT, 1)
     return F.btrim(action), F.btrim(action_input)
 
 

@@ -73,3 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path for a lasting table: under the warehouse folder, as the checkpoint folder may be emptied between runs."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillspark/{name}"

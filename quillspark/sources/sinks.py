@@ -1,8 +1,7 @@
 """Sinks: cleaned table, action log, dataset listing, report JSON.
 
-Tables are parquet folders under the shared folder named by
-``spark.checkpoint.dir`` and registered in the session catalog as external
-tables ``<dataset_id>_cleaned`` / ``<dataset_id>_action_log``.  Writes are
+Tables are parquet folders under the warehouse folder (``spark.sql.warehouse.dir``),
+registered in the session catalog as external tables ``<dataset_id>_cleaned`` / ``<dataset_id>_action_log``.  Writes are
 ``overwrite`` (the reference replaces the table); the written row count comes
 from an ``Observation`` on the write itself, not a second scan.
 """
@@ -12,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import table_path
 
 
 def _write_table(df: DataFrame, name: str) -> tuple[str, int]:
     spark = df.sparkSession
-    path = scratch_path(spark, f"tables/{name}")
+    path = table_path(spark, f"tables/{name}")
     obs = Observation(name)
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
@@ -61,11 +60,13 @@ def report_json(report: DataFrame) -> DataFrame:
 
 def store_report(report: DataFrame, session_id: str) -> str:
     """Append a session's report JSON to the result store; returns the store's folder."""
-    path = scratch_path(report.sparkSession, "session_results")
-    report_json(report).select(F.lit(session_id).alias("session_id"), "report_json").write.mode("append").parquet(path)
+    path = table_path(report.sparkSession, "session_results")
+    rows = report_json(report).select(F.lit(session_id).alias("session_id"), "report_json")
+    rows.write.mode("append").partitionBy("session_id").parquet(path)  # a session's read opens its own folder only
     return path
 
 
 def stored_report(spark: SparkSession, session_id: str) -> DataFrame:
     """The stored report of one session."""
-    return spark.read.parquet(scratch_path(spark, "session_results")).filter(F.col("session_id") == session_id).select("report_json")
+    stored = spark.read.schema("report_json string, session_id string").parquet(table_path(spark, "session_results"))
+    return stored.filter(F.col("session_id") == session_id).select("report_json")

@@ -449,3 +449,14 @@ def test_duplicates_by_row_hash(spark):
     assert duplicate_count(spark.createDataFrame(rows, "x string, y string")) == 3
     assert duplicate_count(spark.createDataFrame(rows[3:5], "x string, y string")) == 0 and duplicate_count(spark.createDataFrame([], "x string")) == 0
 
+
+
+def test_replies_hold_every_arm(spark):
+    from quillspark.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    masked = [r["masked"] for r in QUERIES["mask_pii_replies"](spark, sf).collect()]
+    assert masked and all(m.endswith("call ***-***-****, write ***@***.***, card ****-****-****-****") for m in masked)
+    parsed = QUERIES["extract_json_replies"](spark, sf).collect()
+    assert all(r["second_tag"] == "b" and r["k"] == str(r["turn"]) and int(r["size"]) > 0 for r in parsed)
+    steps = QUERIES["extract_action_replies"](spark, sf).collect()
+    assert all(r["action"] == f"tool_{r['turn']}" and r["has_input"] and r["action_input"].endswith(" rows") for r in steps)
