@@ -4,9 +4,9 @@ A basket qualifies when it has >= 2 raw rows; its items are then made
 unique.  Pair support = number of qualifying baskets holding both items.
 
 Items and pairs stay DataFrames.  A pair's support is at most that of its
-rarer item, so with t the top-k-th support among the pairs of some items, every
-top-k pair consists of items with support >= t: one exact step, whatever the
-number of items.  Pairs come from an equi-join on (basket, block); the blocks
+rarer item, so with t the top-k-th support among the pairs of the most frequent
+items, every top-k pair consists of items with support >= t.  That head of items
+grows until it has k pairs, so items that never meet do not lead to all pairs.  Pairs come from an equi-join on (basket, block); the blocks
 of a basket's items are as many as its size asks for, so that one basket with
 all items is spread over many tasks, and counts are summed map-side first.
 """
@@ -20,6 +20,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Items whose pairs give the first bound t, and items per block of a basket.
 FIRST_ITEMS, BLOCK_ITEMS = 64, 256
+#: Most items of a head that are broadcast.
+BROADCAST_ITEMS = 100_000
 
 
 def basket_items(df: DataFrame, order: str, item: str) -> DataFrame:
@@ -50,9 +52,18 @@ def basket_rules(df: DataFrame, order: str, item: str, top: int = 15, min_basket
     if n_baskets < min_baskets:
         return spark.createDataFrame([], "antecedent string, consequent string, support long, confidence double, lift double")
     items = posts.groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
-    head = F.broadcast(items.orderBy(F.col("supp").desc(), "i").limit(first_items).select("i"))  # at most first_items rows
-    first = pair_supports(posts.join(head, "i", "left_semi")).orderBy(F.col("support").desc()).limit(top)
-    bound = first.agg(F.when(F.count(F.lit(1)) == top, F.min("support")).alias("t")).first()["t"] or 1
+    # Heads of falling support, each four times the last, until one holds enough pairs to bound the rest.
+    n_items, size, bound = items.count(), first_items, None
+    while bound is None:
+        head = items.orderBy(F.col("supp").desc(), "i").limit(size).select("i")
+        head = F.broadcast(head) if size <= BROADCAST_ITEMS else head
+        first = pair_supports(posts.join(head, "i", "left_semi")).orderBy(F.col("support").desc()).limit(top)
+        found = first.agg(F.count(F.lit(1)).alias("n"), F.min("support").alias("t")).first()
+        if found["n"] == top:
+            bound = found["t"]
+        elif size >= n_items:
+            bound = 1  # all items together have fewer pairs
+        size *= 4
     frequent = items.filter(F.col("supp") >= bound).select("i")
     best = pair_supports(posts.join(frequent, "i", "left_semi")).orderBy(F.col("support").desc(), "A", "B").limit(top)
     best = F.broadcast(best)  # at most ``top`` rows

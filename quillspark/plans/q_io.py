@@ -26,8 +26,11 @@ from .q_quality import FIXED_SQL, _clean_sql, _cleaned
 from .registry import ORACLE, register
 
 
+_UPLOAD_NAME = "orders_upload.csv"
+
+
 def _upload_csv(spark, sf) -> str:
-    path = scratch_path(spark, f"uploads/{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"uploads/{uuid.uuid4().hex}/{_UPLOAD_NAME}")
     (raw_upload(spark, sf).write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
@@ -45,7 +48,7 @@ def q_csv_scan(spark, sf):
 
 
 @register("ingest_metadata", f"""WITH raw AS ({RAW_UPLOAD_SQL})
-SELECT '.csv' AS file_format, count(*) AS rows_before, {len(UPLOAD_COLUMNS)}::BIGINT AS columns_raw,
+SELECT '{_UPLOAD_NAME}' AS file_name, '.csv' AS file_format, count(*) AS rows_before, {len(UPLOAD_COLUMNS)}::BIGINT AS columns_raw,
        '{", ".join(UPLOAD_COLUMNS)}' AS original_columns, '{", ".join(UPLOAD_COLUMNS)}' AS normalized_columns, 'UTF-8' AS encoding FROM raw""")
 def q_ingest_metadata(spark, sf):
     # The number and size of the files follow the partitioning of the run that wrote them.

@@ -73,17 +73,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> tup
 
 
 def ingest_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row: format, files, rows, columns, original / normalised names, bytes."""
+    """One row: file name, format, files, rows, columns, original / normalised names, bytes, encoding.
+
+    A file without data rows raises ``ValueError``, as one without a header does.
+    """
     df, meta = read_csv(spark, path)
+    n_rows = df.count()
+    if n_rows == 0:
+        raise ValueError("File contains no data")
     files = (spark.read.format("binaryFile").load(path).select("path", "length")
                   .filter(F.col("path").endswith(".csv")))
     sizes = files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("file_size_bytes"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    return (rows.crossJoin(sizes)
-                .select(F.lit(meta["file_format"]).alias("file_format"), "n_files", "rows_before",
-                        F.lit(meta["columns_raw"]).cast("long").alias("columns_raw"),
-                        F.lit(", ".join(meta["original_columns"])).alias("original_columns"),
-                        F.lit(", ".join(meta["normalized_columns"])).alias("normalized_columns"),
-                        F.col("file_size_bytes").cast("long").alias("file_size_bytes"),
-                        F.lit(meta["encoding"]).alias("encoding"))
-                .filter(F.col("rows_before") > 0))
+    return sizes.select(
+        F.lit(path.rstrip("/").rpartition("/")[2]).alias("file_name"), F.lit(meta["file_format"]).alias("file_format"), "n_files",
+        F.lit(n_rows).cast("long").alias("rows_before"), F.lit(meta["columns_raw"]).cast("long").alias("columns_raw"),
+        F.lit(", ".join(meta["original_columns"])).alias("original_columns"),
+        F.lit(", ".join(meta["normalized_columns"])).alias("normalized_columns"),
+        F.col("file_size_bytes").cast("long").alias("file_size_bytes"), F.lit(meta["encoding"]).alias("encoding"))

@@ -118,3 +118,14 @@ def test_functions_are_composed(spark, functions):
     for k, (a, b) in enumerate(functions):
         assert got[10 * k] == state
         state = b if state else a
+
+
+def test_ingest_metadata(spark, tmp_path):
+    (tmp_path / "up.csv").write_text("Order ID,Note\n1,\"a\nb\"\n2,c\n")
+    r = CSV.ingest_metadata(spark, str(tmp_path / "up.csv")).first().asDict()
+    assert r == {"file_name": "up.csv", "file_format": ".csv", "n_files": 1, "rows_before": 2, "columns_raw": 2, "original_columns": "Order ID, Note",
+                 "normalized_columns": "order_id, note", "file_size_bytes": 26, "encoding": "UTF-8"}
+    for text in ("a,b\n", "a,b\n\n", ""):
+        (tmp_path / "none.csv").write_text(text)
+        with pytest.raises(ValueError, match="no data"):
+            CSV.ingest_metadata(spark, str(tmp_path / "none.csv"))

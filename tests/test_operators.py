@@ -293,6 +293,15 @@ def test_what_if_by_name(spark):
         assert WI.what_if_by_name(df, target, operation, 1.0, condition).first()["error"]
 
 
+def test_baskets_of_items_that_rarely_meet(spark):
+    # The most frequent items stand alone with a filler, so the first head has too few pairs.
+    rows = [(f"s{k}", f"hot{k % 6}") for k in range(120)] + [(f"s{k}", f"filler{k}") for k in range(120)]
+    rows += [(f"p{k}", i) for k in range(30) for i in (f"a{k % 20}", f"b{k % 20}")]
+    df = spark.createDataFrame(rows, "o string, item string")
+    got = [tuple(r) for r in BK.basket_rules(df, "o", "item", first_items=4).collect()]
+    assert sorted(got) == sorted(_brute_basket(rows)) and len(got) == 15
+
+
 def test_mask_pii(spark):
     df = spark.createDataFrame([("mail bob.smith@example.com or call 555-123-4567, card 4111 1111 1111 1111",)],
                                "t string")
