@@ -77,6 +77,7 @@ def numeric_profiles(df: DataFrame, columns: list[str], config: dict) -> list[di
         top_sum = (thr[f"a{i}"] or 0.0) + (ks[i] - thr[f"b{i}"]) * t
         total = r[f"s{i}"]
         p["topk_share"] = top_sum / total * 100 if total and total > 0 else None
+        p.update(topk=ks[i], topk_threshold=t, topk_sum=top_sum)
         p["notes"] = numeric_notes(p, config)
         out.append(p)
     return out

@@ -516,17 +516,8 @@ SELECT "column", k, round(threshold, 4) AS threshold, round(top_sum, 2) AS top_s
        CASE WHEN tot > 0 THEN round(top_sum / tot * 100, 4) END AS share_pct FROM tk""")
 def q_topk_share(spark, sf):
     cfg, _, cleaned, _, _ = _cleaned(spark, sf)
-    from ..functions.selection import select_kth
-    rows = []
-    for c in NUMERIC:
-        v = cleaned.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
-        agg = v.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("tot")).collect()[0]
-        n, tot = agg["n"], agg["tot"]
-        k = max(1, int(n * cfg["analysis"]["top_k_contribution_pct"] / 100))
-        t = select_kth(v.select(F.lit(0).alias("gid"), "v"), [(0, n - k)])[(0, n - k)]
-        above = v.agg(F.sum(F.when(F.col("v") > t, F.col("v"))).alias("s"), F.count_if(F.col("v") > t).alias("c")).collect()[0]
-        top_sum = (above["s"] or 0.0) + (k - above["c"]) * t
-        rows.append((c, k, round(t, 4), round(top_sum, 2), round(top_sum / tot * 100, 4) if tot > 0 else None))
+    rows = [(p["column"], p["topk"], round(p["topk_threshold"], 4), round(p["topk_sum"], 2),
+             None if p["topk_share"] is None else round(p["topk_share"], 4)) for p in PR.numeric_profiles(cleaned.select(*NUMERIC), NUMERIC, cfg)]
     return spark.createDataFrame(rows, "column string, k long, threshold double, top_sum double, share_pct double")
 
 
