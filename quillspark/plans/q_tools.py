@@ -8,10 +8,12 @@ from ..operators import diagnose as DG
 from ..operators import kpis as K
 from ..operators import shape as SH
 from ..operators import sqltool as SQ
+from ..operators import tools as TOOLS
 from ..operators import whatif as WI
 from ..roles import diagnostic_columns
 from ..sources.tables import sales_view, sales_view_sql, table
-from .registry import register
+from . import q_insights as _q_insights  # noqa: F401  (its forecast SQL counts the tool's rows)
+from .registry import ORACLE, register
 
 S = sales_view_sql
 _DIAG_ROLES = ["order_date", "amount", "country", "category", "status", "product"]
@@ -201,3 +203,31 @@ def q_sql_dataset(spark, sf):
 SELECT CAST(status AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM {S(['status'])} GROUP BY 1""")
 def q_chart_rows(spark, sf):
     return SH.chart_rows(K.orders_by_status(sales_view(spark, sf, ["status"]), "status"))
+
+
+# Calls of the data tools that must fail, and their errors.
+TOOL_FAULTS = [("simulate_scenario", {"target": "nothing", "operation": "increase", "value": 5.0}, "no column matches 'nothing'"),
+               ("execute_sql_query", {"query": "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM data LIMIT 1"}, "function not allowed: reflect"),
+               ("generate_forecast", {"horizon": 0}, "the horizon must be 1 to 100 months"), ("search_internet", {"query": "x"}, "unknown tool 'search_internet'")]
+_TOOL_ROLES = ["order_date", "amount", "country", "category", "status", "product"]
+
+
+@register("tool_calls", f"""
+SELECT 'execute_sql_query' AS tool, true AS ok, CAST(NULL AS VARCHAR) AS error, 'status,n,revenue' AS columns, count(*) AS row_count
+FROM ({GUARDED.replace("FROM data", "FROM " + S(_TOOL_ROLES))})
+UNION ALL SELECT 'generate_forecast', true, NULL, 'month,forecast_value,total_predicted', count(*) FROM ({ORACLE["forecast_horizon"]})
+UNION ALL SELECT 'diagnose_change', true, NULL, 'dimension,segment,current,previous,delta,contribution_pct,impact,total_current,total_previous,pct_change,direction,analysis',
+  count(*) FROM ({ORACLE["diagnose"]})
+UNION ALL SELECT 'simulate_scenario', true, NULL,
+  'scenario,filter,impact_metric,before,after,difference,percent_change,rows_affected,elasticity,assumptions', 1
+""" + "\n".join("UNION ALL SELECT '{}', false, '{}', NULL, 0".format(tool, error.replace("'", "''")) for tool, _, error in TOOL_FAULTS))
+def q_tool_calls(spark, sf):
+    df = sales_view(spark, sf, _TOOL_ROLES)
+    calls = [("execute_sql_query", {"query": GUARDED}), ("generate_forecast", {"horizon": 12}),
+             ("diagnose_change", {"metric": "amount", "start": CUR[0], "end": CUR[1], "compare_start": PREV[0], "compare_end": PREV[1]}),
+             ("simulate_scenario", {"target": "amount", "operation": "increase", "value": 10.0, "condition": "status = 'F'"})]
+    out = None
+    for tool, arguments in [*calls, *((t, a) for t, a, _ in TOOL_FAULTS)]:
+        row = TOOLS.call(df, tool, **arguments).drop("rows")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -469,3 +469,24 @@ def test_replies_hold_every_arm(spark):
     assert all(r["second_tag"] == "b" and r["k"] == str(r["turn"]) and int(r["size"]) > 0 for r in parsed)
     steps = QUERIES["extract_action_replies"](spark, sf).collect()
     assert all(r["action"] == f"tool_{r['turn']}" and r["has_input"] and r["action_input"].endswith(" rows") for r in steps)
+
+
+def test_one_contract_for_the_data_tools(spark):
+    import json
+    from quillspark.operators import tools
+    df = spark.createDataFrame([(f"2024-{m:02d}-03", 10.0 * m, "A" if m % 2 else "B") for m in range(1, 8)], "order_date string, amount double, region string")
+    df = df.withColumn("order_date", F.to_timestamp_ntz("order_date"))
+    r = tools.call(df, "execute_sql_query", query="SELECT region, sum(amount) AS s FROM data GROUP BY region ORDER BY region LIMIT 5").first()
+    assert (r["ok"], r["row_count"], json.loads(r["rows"])) == (True, 2, [{"region": "A", "s": 160.0}, {"region": "B", "s": 120.0}])
+    r = tools.call(df, "generate_forecast", horizon=2).first()
+    assert [round(x["forecast_value"]) for x in json.loads(r["rows"])] == [80, 90] and r["columns"] == "month,forecast_value,total_predicted"
+    short = tools.call(df.limit(2), "generate_forecast", horizon=2).first()
+    assert not short["ok"] and short["error"].startswith("Not enough monthly data points") and short["rows"] is None and short["row_count"] == 0
+    r = tools.call(df, "simulate_scenario", target="AMOUNT", operation="increase", value=10.0, condition="region = 'A'").first()
+    assert json.loads(r["rows"])[0]["difference"] == 16.0
+    r = tools.call(df, "diagnose_change", metric="amount", start="2024-04-01", end="2024-06-30", compare_start="2024-01-01", compare_end="2024-03-31").first()
+    assert r["ok"] and json.loads(r["rows"])[0]["dimension"] == "region"
+    for tool, arguments in (("nosuch", {}), ("execute_sql_query", {"question": "x"}), ("execute_sql_query", {"query": "SELECT nope FROM data LIMIT 1"}),
+                            ("generate_forecast", {"horizon": 0}), ("diagnose_change", {"metric": "nope", "start": "", "end": "", "compare_start": "", "compare_end": ""})):
+        r = tools.call(df, tool, **arguments).first()
+        assert (r["ok"], r["row_count"], r["rows"], r["columns"]) == (False, 0, None, None) and r["error"], tool
