@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 #: Items whose pairs give the first bound t, and items per block of a basket.
 FIRST_ITEMS, BLOCK_ITEMS = 64, 256
@@ -46,26 +46,24 @@ def basket_rules(df: DataFrame, order: str, item: str, top: int = 15, min_basket
                  first_items: int = FIRST_ITEMS) -> DataFrame:
     """``(antecedent, consequent, support, confidence, lift)`` for the top pairs with lift > 1."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    posts = basket_items(df, order, item).checkpoint()  # scanned several times
+    posts = written(basket_items(df, order, item), "basket-items")  # scanned several times
     n_baskets = posts.select("o").distinct().count()
     if n_baskets < min_baskets:
         return spark.createDataFrame([], "antecedent string, consequent string, support long, confidence double, lift double")
     items = posts.groupBy("i").agg(F.count(F.lit(1)).alias("supp"))
     # Heads of falling support, each four times the last, until one holds enough pairs to bound the rest.
     n_items, size, bound = items.count(), first_items, None
-    while bound is None:
+    while bound is None and size < n_items:
         head = items.orderBy(F.col("supp").desc(), "i").limit(size).select("i")
         head = F.broadcast(head) if size <= BROADCAST_ITEMS else head
         first = pair_supports(posts.join(head, "i", "left_semi")).orderBy(F.col("support").desc()).limit(top)
         found = first.agg(F.count(F.lit(1)).alias("n"), F.min("support").alias("t")).first()
         if found["n"] == top:
             bound = found["t"]
-        elif size >= n_items:
-            bound = 1  # all items together have fewer pairs
         size *= 4
-    frequent = items.filter(F.col("supp") >= bound).select("i")
-    best = pair_supports(posts.join(frequent, "i", "left_semi")).orderBy(F.col("support").desc(), "A", "B").limit(top)
+    # Without a bound the next head would hold all items: their pairs are counted at once.
+    frequent = posts if bound is None else posts.join(items.filter(F.col("supp") >= bound).select("i"), "i", "left_semi")
+    best = pair_supports(frequent).orderBy(F.col("support").desc(), "A", "B").limit(top)
     best = F.broadcast(best)  # at most ``top`` rows
     named = items.join(best, items["i"] == best["A"]).select("A", "B", "support", F.col("supp").alias("supp_a"))
     named = items.join(F.broadcast(named), items["i"] == named["B"]).select("A", "B", "support", "supp_a", F.col("supp").alias("supp_b"))

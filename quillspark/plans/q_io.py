@@ -17,7 +17,7 @@ from ..sources import sinks as SK
 from ..sources.csv import NA_TOKENS, ingest_metadata, read_csv
 from ..sources.tables import sales_view, table
 from ..sources.upload import RAW_UPLOAD_SQL, UPLOAD_COLUMNS, raw_upload
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import scratch_path, written
 from . import pipeline as PL
 from . import q_insights as _q_insights  # noqa: F401  (their SQL is part of the insight check)
 from . import q_rollups as _q_rollups  # noqa: F401
@@ -209,9 +209,8 @@ FROM ({ORACLE[query]})""" for section, (query, keys, measures) in INSIGHTS.items
 @register("insights", _insight_sql())
 def q_insights(spark, sf):
     """Every value of the insight pass as (section, key, measure, value)."""
-    ensure_checkpoint_dir(spark)
     view = sales_view(spark, sf, ["order_id", "order_date", "amount", "quantity", "customer_id", "product", "category", "country", "status"])
-    view = view.checkpoint()  # each table is joined in once; the sections scan the joined rows
+    view = written(view, "sales-view")  # each table is joined in once; a section scans only its columns of the joined rows
     shapes = {s: (keys, measures) for s, (_, keys, measures) in INSIGHTS.items()} | EMPTY_INSIGHTS
     out = None
     for section, frame in PL.run_insights(view).items():

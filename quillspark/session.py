@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every quillspark job relies on.  AQE re-plans joins and shuffle
 # partition counts from runtime statistics; broadcast joins are only chosen
@@ -75,6 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder: later scans read only their columns."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"written/{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A path for a lasting table: under the warehouse folder, as the checkpoint folder may be emptied between runs."""
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillspark/{name}"
