@@ -14,9 +14,13 @@ documents link when their Jaccard similarity reaches a threshold.  Steps:
 3. Inside a group all pairs are compared.
    (A link leaves more than one part alike where sets are smaller than their
    class allows; nodes and groups with fewer shared parts are not looked at.)
-4. Across groups: the token-group matrix.  A node meets another group only if it
-   shares enough parts with it and is not one component with it already.  The
-   task holds the token union of the group's members in question; a query node whose overlap with that union is below what a link needs
+4. Across groups: the token-group matrix.  Tokens that no other component holds
+   bound the sizes of the partners that a node may still link with; a node without
+   a possible size is done.  Of two nodes the larger must meet a smaller one if it
+   may link with nothing of its own size; otherwise the one of the smaller component
+   asks.  So the members of a large component are asked, they do not ask, and a node
+   asks another group's members of one size class only if it shares enough parts with
+   them.  The task holds the token union of the group's members in question; a query node whose overlap with that union is below what a link needs
    is refuted at once, and only for the others the group is opened and its
    members compared.  Tasks emit a spanning set of links, never all pairs.
 5. Components of the links by alternating large and small stars.
@@ -232,8 +236,51 @@ def links_inside(members: DataFrame, threshold: int) -> DataFrame:
     return members.groupBy("label", "chunk").applyInArrow(compare, LINK)
 
 
+def partner_sizes(nodes: DataFrame, threshold: int) -> DataFrame:
+    """node, n, component, weight, least, most of the ``nodes`` (node, component, n, tokens) that may link with another component.
+
+    Only tokens that a second component holds can be shared with a partner, so they bound its size: from ``least`` to ``most``.
+    ``weight`` puts large components first.
+    """
+    tokens = nodes.select("node", F.explode("tokens").alias("token"), "component")
+    common = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    shared = tokens.join(common, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = nodes.groupBy("component").agg((-F.count(F.lit(1))).alias("rank"))
+    # 100 i >= t (n + m - i) with at most i = shared tokens, and at most i = m.
+    found = nodes.drop("tokens").join(shared, "node").join(sizes, "component")
+    found = found.withColumn("least", F.expr(f"({threshold} * n + 99) div 100")).withColumn("most", F.expr(f"({100 + threshold} * shared) div {threshold} - n"))
+    return found.filter("least <= most").select("node", "n", "component", F.struct("rank", "component").alias("weight"), "least", "most")
+
+
+def meetings(at: DataFrame, sides: DataFrame) -> DataFrame:
+    """label, chunk, size, block, node, component, query: the members of a group's size class and the nodes that ask them.
+
+    ``at`` has a row (part, node, need, label, chunk) per node and part, ``sides`` what ``partner_sizes`` gives.
+    """
+    at = stored(at.join(sides, "node"), "sided-hits")
+    # What may link with its own size can be the smaller one of a link; only that is asked.
+    asked = at.filter("most >= n").withColumn("size", F.floor(F.log("n") * 100).cast("long"))
+    groups = asked.groupBy("part", F.col("label").alias("to_label"), F.col("chunk").alias("to_chunk"), F.col("size").alias("to_size")).agg(
+        F.min("n").alias("smallest"), F.max("n").alias("largest"), F.min("weight").alias("first"),
+        F.min("component").alias("low"), F.max("component").alias("high"))
+    elsewhere = (F.col("label") != F.col("to_label")) | (F.col("chunk") != F.col("to_chunk"))
+    other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("component"))
+    may = (F.col("least") <= F.col("largest")) & (F.col("smallest") <= F.col("most")) & F.when(
+        F.col("most") >= F.col("n"), F.col("first") < F.col("weight")).otherwise(other)
+    target = [F.col("to_" + c).alias(c) for c in ("label", "chunk", "size")]
+    asks = stored(at.join(groups, "part").filter(elsewhere & may).groupBy("node", "n", "need", "component", "to_label", "to_chunk", "to_size")
+                  .agg(F.count(F.lit(1)).alias("parts")).filter("parts >= need").select(*target, "node", "n", "component"), "asks")
+    room = F.greatest(F.lit(8), F.least(F.lit(GROUP_MEMBERS), F.floor(F.lit(GROUP_TOKENS) / F.max("n"))))
+    blocks = stored(asks.groupBy("label", "chunk", "size").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("blocks")), "ask-blocks")
+    members = asked.select("label", "chunk", "size", "node", "component").distinct().join(blocks, ["label", "chunk", "size"])
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = asks.join(blocks, ["label", "chunk", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    columns = ["label", "chunk", "size", "block", "node", "component"]
+    return asks.select(*columns, F.lit(True).alias("query")).unionByName(members.select(*columns, F.lit(False).alias("query")))
+
+
 def links_across(meetings: DataFrame, threshold: int) -> DataFrame:
-    """Spanning links of every pair of groups (pair, query, node, component, tokens).
+    """Spanning links of every block of queries and the group they ask (label, chunk, size, block, query, node, component, tokens).
 
     The group's token union bounds what a query can share with any member.
     """
@@ -266,7 +313,7 @@ def links_across(meetings: DataFrame, threshold: int) -> DataFrame:
         return pa.table({"a": pa.array([int(nodes[i]) for i, _ in found], pa.int64()),
                          "b": pa.array([int(nodes[j]) for _, j in found], pa.int64())})
 
-    return meetings.groupBy("one", "one_chunk", "two", "two_chunk").applyInArrow(compare, LINK)
+    return meetings.groupBy("label", "chunk", "size", "block").applyInArrow(compare, LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,15 +400,8 @@ def similar_documents(docs: DataFrame, threshold: int = THRESHOLD, words: int =
     at = stored(at.join(mixed, "part", "left_semi"), "mixed-hits")
     # Nodes against other groups: enough shared parts for a link, all of them in parts of several components.
     # A part in which the other group only has nodes of the node's own component counts for nothing.
-    groups = at.groupBy("part", F.col("label").alias("to_label"), F.col("chunk").alias("to_chunk")).agg(
-        F.min("component").alias("low"), F.max("component").alias("high"))
-    other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("component"))
-    own, to = F.struct(F.col("label").alias("l"), F.col("chunk").alias("c")), F.struct(F.col("to_label").alias("l"), F.col("to_chunk").alias("c"))
-    asks = (at.join(groups, "part").filter((own != to) & other).groupBy("node", "need", "component", "label", "chunk", "to_label", "to_chunk")
-            .agg(F.count(F.lit(1)).alias("parts")).filter("parts >= need"))
-    first, second = F.least(own, to), F.greatest(own, to)
-    meet = stored(asks.select(first["l"].alias("one"), first["c"].alias("one_chunk"), second["l"].alias("two"), second["c"].alias("two_chunk"),
-                              "node", "component", (own < to).alias("query")), "meetings")
+    sides = stored(partner_sizes(at.select("node", "component").distinct().join(opened, "node"), threshold), "sides")
+    meet = stored(meetings(at.select("part", "node", "need", "label", "chunk"), sides), "meetings")
     across = links_across(meet.join(opened.drop("n"), "node"), threshold)
 
     reached = components(inside.unionByName(stored(across, "links-across")))

@@ -142,3 +142,31 @@ def test_thresholds_beyond_the_size_classes_are_refused(spark):
     for threshold in (50, 66, 101):
         with pytest.raises(ValueError):
             similar_documents(docs, threshold)
+
+
+def test_nodes_meet_few_groups_of_a_large_cluster(spark, monkeypatch):
+    """Edited copies that link with nothing are settled by their own tokens, and a large component does not ask its many groups."""
+    rng = random.Random(8)
+    base = [f"b{j}" for j in range(150)]
+    rows = [(k, edited(rng, base, rng.choice((0, 1, 1, 1, 4, 5, 6)))) for k in range(260)]
+    rows_of, write = {}, jaccard.stored
+
+    def counted(df, label):
+        out = write(df, label)
+        rows_of[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 1200)  # chunks of 8
+    assert got(spark, rows) == brute(rows)
+    assert rows_of["meetings"] <= 8 * len(rows)
+
+
+def test_partner_sizes_keep_every_link(spark):
+    rng = random.Random(9)
+    sets = {k: sorted(rng.sample(range(60), rng.randrange(30, 60))) + [1000 * (k + 1) + j for j in range(rng.randrange(4))] for k in range(60)}
+    nodes = spark.createDataFrame([(k, k % 17, len(s), s) for k, s in sets.items()], "node long, component long, n long, tokens array<long>")
+    sides = {r.node: r for r in jaccard.partner_sizes(nodes, 80).collect()}
+    links = [(a, b) for a in sets for b in sets if a % 17 != b % 17
+             and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
+    assert links and all(sides[a].least <= len(sets[b]) <= sides[a].most for a, b in links)
