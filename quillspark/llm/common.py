@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,21 @@ def bound_buffers(spark: SparkSession) -> None:
         now = int(spark.conf.get(key, "0"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
+
+
+_HELD: dict = {}
+
+
+def release() -> None:
+    """Let go of the large table that this Python worker kept from earlier tasks (workers are reused between stages)."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
+def held(key: str, make):
+    """The one large table that a Python worker keeps between tasks; asking for another one releases it."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]

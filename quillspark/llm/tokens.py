@@ -16,21 +16,23 @@ import os
 import re
 from array import array
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Most entries of a worker's memo table (memory bound; a full table is kept as it is).
-MEMO = 800_000
+MEMO = 400_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNUSUAL = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]")
 _WORD_UNITS = re.compile(f"[{_LETTER}]+(?:'[^ ]*)?|[^ {_LETTER}']+(?:'[^ ]*)?|'[^ ]*")
 _BYTE_WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _BYTE_UNITS = re.compile(f"[ \\n]*(?:[{_LETTER}]+(?:'[^ \\n]*)?|[^ \\n{_LETTER}']+(?:'[^ \\n]*)?|'[^ \\n]*)|[ \\n]+")
-_SPACE_RUN = re.compile(r" [ \n]|\n |^ | $")
-_LOADED: dict = {}
+#: Signs that often end a word: a border with the letters before.
+_MARKS = frozenset('.,;:!?)"')
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,6 +47,21 @@ def _byte_symbols() -> dict[int, int]:
     return {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Encodes a word that it does not hold (``encode`` keeps it where there is room); found words cost one lookup."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encode(word)
+
+
+def has_space_run(text: str) -> bool:
+    """Spaces at an end of the text, side by side or next to a line feed."""
+    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+
+
 class TextEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without the end id."""
 
@@ -61,7 +78,7 @@ class TextEncoder:
         self.symbols = _byte_symbols()
         self.space = "" if self.folds_case else chr(self.symbols[0x20])
         #: Word (byte level: with a space before it) -> ids; pieces of words without that space apart.
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = _Memo(self._word)
         self.inner: dict[str, bytes] = self.words if self.folds_case else {}
 
     def _ids(self, text: str) -> bytes:
@@ -89,6 +106,8 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         if word.isalpha():
             return self._keep(self.words, word, self._merge(word, self.space))
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return self._keep(self.words, word, self.words[word[:-1]] + self._piece(word[-1]))
         pieces = self.pieces_of(word if self.folds_case else " " + word)
         return self._keep(self.words, word, b"".join(map(self._piece, pieces)))
 
@@ -100,19 +119,17 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if _UNUSUAL.search(text) or self._holds_added(text):
             return self._ids(text)
-        known, head = self.words, b""
+        head = b""
         if self.folds_case:
             words = text.lower().replace("\n", " ").split(" ")
-        elif _SPACE_RUN.search(text):  # a run of white space is split by its whole length
+        elif has_space_run(text):  # a run of white space is split by its whole length
             return b"".join([self._piece(p) for w in _BYTE_WORDS.findall(text) for p in self.pieces_of(w)])
         else:
             first, *words = text.split(" ")  # each further word carries the space before it
             head = b"".join(map(self._piece, self.pieces_of(first)))
-        return head + b"".join([known[w] if w in known else self._word(w) for w in words])
+        return head + b"".join(map(self.words.__getitem__, words))
 
 
 def encoder(path: str) -> TextEncoder:
-    """One encoder per Python worker and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = TextEncoder(path)
-    return _LOADED[path]
+    """The Python worker's encoder of a vocabulary file."""
+    return held(path, lambda: TextEncoder(path))

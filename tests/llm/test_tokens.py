@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillspark.llm import tokens
 from quillspark.llm.packing import (best_fit, length_patterns, op2_best_fit_packing, pack_documents, pack_histogram,
                                     plan_slots)
 from quillspark.llm.token_hist import length_histogram, length_quantile, op6_token_counts, truncated_total
@@ -48,6 +49,26 @@ def test_special_token_strings_equal_a_fresh_tokenizer(path):
     assert 50256 in fresh.encode(texts[0]).ids or 49407 in fresh.encode(texts[0]).ids
 
 
+def test_words_are_found_by_one_lookup_and_ends_by_their_letters():
+    enc = TextEncoder(PATHS[1])
+    enc.encode("one two, three. two")
+    assert isinstance(enc.words.get("two"), bytes)
+    misses = []
+    enc.words.encode = misses.append  # every word is known by now: none is encoded again
+    assert np.frombuffer(enc.encode("one two, three. two"), "<u4").tolist() == plain(PATHS[1], "one two, three. two")
+    assert misses == [] and "three" in enc.words
+
+
+def test_a_worker_holds_one_large_table():
+    from quillspark.llm import common
+    first = tokens.encoder(PATHS[0])
+    assert tokens.encoder(PATHS[0]) is first
+    tokens.encoder(PATHS[1])
+    assert list(common._HELD) == [PATHS[1]]
+    common.release()
+    assert not common._HELD and tokens.encoder(PATHS[0]) is not first
+
+
 def rows(spark, schema):
     data = [(k, t, "en", "x", "y") for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], None, None, None), (None, "null id", None, None, None),
                                                                    (99, None, "de", "", ""), (2, "other text, same id", None, None, None)]
