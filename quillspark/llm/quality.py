@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, read_table, slices, stored, text_or_empty
+from .common import SLICE_ROWS, read_table, release, slices, stored, text_or_empty
 from .registry import register
 
 
@@ -116,14 +116,17 @@ class WordTable:
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.long_chars = 0
-        self.hashes, self.sums, self.sizes, self.features = array("Q"), array("d"), array("q"), []
+        self.hashes, self.sums, self.sizes = array("Q"), array("d"), array("q")
+        #: Buckets of all words one after the other, four bytes each, and the place of each word's first.
+        self.features, self.starts = array("i"), array("q")
 
     def add(self, word: str) -> int:
         self.hashes.append(_hash("p" + word))
         if self.weights is None:
-            blocks = list(word_features(word, self.s))
-            self.features.append(blocks[0] if len(blocks) == 1 else np.concatenate(blocks).astype(np.int32))
-            self.sizes.append(len(self.features[-1]))
+            self.starts.append(len(self.features))
+            for block in word_features(word, self.s):
+                self.features.frombytes(np.asarray(block, np.int32).tobytes())
+            self.sizes.append(len(self.features) - self.starts[-1])
         else:
             total, size = 0.0, 0
             for block in word_features(word, self.s):
@@ -161,9 +164,10 @@ def document_features(text: str, table: WordTable) -> tuple[np.ndarray, np.ndarr
     table.make_room()
     ids = table.ids(words)
     distinct, times = np.unique(ids, return_counts=True)
-    parts = [table.features[k] for k in distinct.tolist()]
-    own = np.concatenate([np.asarray(p, np.int32) for p in parts])
-    weight = np.repeat(times, [len(p) for p in parts])
+    starts, sizes = (np.frombuffer(x, np.int64)[distinct] for x in (table.starts, table.sizes))
+    every = np.frombuffer(table.features, np.int32)
+    own = np.concatenate([every[lo:lo + n] for lo, n in zip(starts.tolist(), sizes.tolist())])
+    weight = np.repeat(times, sizes)
     pairs = table.pairs(ids)
     bags, inverse = np.unique(np.concatenate([own, pairs]), return_inverse=True)
     return bags, np.bincount(inverse, np.concatenate([weight, np.ones(len(pairs))])).astype(np.int64)
@@ -224,6 +228,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most sample_docs narrow rows
 
     def bags(batches):
+        release()
         table = WordTable(s)
         for batch in slices(batches):
             found = [document_features(text, table) for text in batch.column(2).to_pylist()]
@@ -265,6 +270,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per feature bucket
 
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         weights, bias = shared.value
         table = WordTable(s, weights)
         for batch in batches:

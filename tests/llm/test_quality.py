@@ -102,3 +102,20 @@ def test_many_rows_of_one_id_are_reduced_before_they_are_collected(spark, monkey
     again, _ = quality.training_bags(docs.repartition(2), labels, Settings())
     assert counts == [2, 2] and y.tolist() == [1, 0]
     assert [f.tolist() for f, _ in first] == [f.tolist() for f, _ in again]
+
+
+def test_training_features_take_four_bytes_each():
+    from quillspark.llm.quality import Settings, WordTable, document_features, word_features
+    s, table = Settings(), WordTable(Settings())
+    text = "one two one " + "x" * 100
+    bags, times = document_features(text, table)
+    want = {}
+    for w in text.split():
+        for block in word_features(w, s):
+            for b in block:
+                want[int(b)] = want.get(int(b), 0) + 1
+    pairs = table.pairs(table.ids(text.split()))
+    for b in pairs.tolist():
+        want[b] = want.get(b, 0) + 1
+    assert dict(zip(bags.tolist(), times.tolist())) == want
+    assert table.features.itemsize == 4 and len(table.features) == sum(table.sizes)
