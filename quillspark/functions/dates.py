@@ -69,6 +69,31 @@ GRAMMAR = ("^(" + "|".join(re.escape(s).replace(r"\ ", " ") for s in sorted({s f
 ANY_DATE = r"^(?=[^0-9]*[0-9])[0-9A-Za-z][0-9A-Za-z ,./:+-]{3,39}$"
 
 
+# The grammar on the text itself, before tokens are marked: looser than it (ordinal endings may stand behind any digit),
+# so that a cell without a date is told by one pattern.
+_DIGIT = "(?:[0-9](?:st|nd|rd|th)?)"
+_LOOSE = {"E": _DIGIT + "{8}", "Y": _DIGIT + "{4}", "N": _DIGIT + "{1,2}", "M": "(?:" + _MONTH.removesuffix("(?![a-z])") + ")", " ": " "}
+
+
+def _loose(piece: str) -> str:
+    return "".join(_LOOSE.get(ch) or re.escape(ch) for ch in piece)
+
+
+def _loose_dates() -> str:
+    """All date pieces, those with the same first token together: a cell is tried once per first token."""
+    pieces = sorted({s for s, _, _ in DATE_KINDS} | {"EYN"})
+    return "|".join(_loose(first) + "(?:" + "|".join(_loose(p[1:]) for p in pieces if p[0] == first) + ")"
+                    for first in sorted({p[0] for p in pieces}))
+
+
+CANDIDATE = ("(?i)^(?:" + _WEEKDAY.removeprefix("^") + ")?(?:" + _loose_dates() + ")(?:(?:t| |, )" + _loose("N") + "(?::" + _loose("N")
+             + "(?::" + _loose("N") + r"(?:\." + _DIGIT + "+)?)?)?"
+             + r" ?(?:[ap]\.?m\.?)?(?: ?(?:z|utc|gmt|[+-]" + _DIGIT + "{1,2}:?" + _DIGIT + "{1,2}))?)?$")
+#: Whole dates of fixed places: pattern, where year and the two other numbers stand, the orders of these.
+FIXED = [(r"^[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}\z", 5, (1, 6, 9), "Y{0}N{0}N", ["ymd"]),
+         (r"^[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}\z", 3, (7, 1, 4), "N{0}N{0}Y", ["mdy", "dmy"])]
+
+
 def _is_native(dtype) -> bool:
     return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
@@ -182,17 +207,38 @@ def _first_made(p: Column) -> Column:
     return _let(_days(p), lambda found: _let(_clock(p, found["used"]), lambda c: with_clock(found, c)))
 
 
-def _parsed(s: Column) -> Column:
-    return F.when(s.rlike(ANY_DATE), _let(F.lower(s), lambda low: _let(signature(low), lambda sig: _let(_read(low, sig), _first_made))))
+def _fixed(s: Column, sign_at: int, places: tuple[int, int, int], piece: str, orders: list[str]) -> tuple[Column, Column]:
+    """Date and layout number of a text that matches a pattern of ``FIXED``: plain substrings, without tokens."""
+    year, *others = (F.substring(s, at, 4 if k == 0 else 2).try_cast("int") for k, at in enumerate(places))
+    zero, made = F.lit(0), []
+    for order in orders:
+        month, day = others if order in ("ymd", "mdy") else reversed(others)
+        fits = (year >= 1) & month.between(1, 12) & day.between(1, 31)
+        made.append(F.when(fits, F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)"))))
+    sign, layout = F.substring(s, sign_at, 1), None
+    for at, order in zip(made, orders):
+        numbers = F.create_map(*[x for c in "-/." for x in (F.lit(c), F.lit(layout_number(
+            next(k for k, (p, o, _) in enumerate(DATE_KINDS) if (p, o) == (piece.format(c), order)), 0)))])
+        layout = F.when(at.isNotNull(), numbers[sign]) if layout is None else layout.when(at.isNotNull(), numbers[sign])
+    return F.coalesce(*made), layout
+
+
+def _parsed(s: Column) -> tuple[Column, Column]:
+    """Date and layout number of a text: fixed places first, then the grammar where the text may hold a date at all."""
+    general = _let(F.lower(s), lambda low: _let(signature(low), lambda sig: _let(_read(low, sig), _first_made)))
+    branches = [(s.rlike(pattern), *_fixed(s, *rest)) for pattern, *rest in FIXED]
+    branches.append((s.rlike(ANY_DATE) & s.rlike(CANDIDATE), general["at"], general["layout"]))
+    out = [functools.reduce(lambda seen, b: seen.when(b[0], b[k]), branches[1:], F.when(branches[0][0], branches[0][k])) for k in (1, 2)]
+    return out[0], out[1]
 
 
 @functools.lru_cache(maxsize=256)
-def _parsed_column(name: str, gateway: int) -> Column:
-    """The expression of a named column, built once: it has some thousand nodes."""
+def _parsed_column(name: str, gateway: int) -> tuple[Column, Column]:
+    """The expressions of a named column, built once: they have some thousand nodes."""
     return _parsed(F.col(name).cast("string"))
 
 
-def _parsed_of(c: Column | str) -> Column:
+def _parsed_of(c: Column | str) -> tuple[Column, Column]:
     return _parsed_column(c, id(SparkContext._gateway)) if isinstance(c, str) else _parsed(c.cast("string"))
 
 
@@ -204,7 +250,7 @@ def parse_date(c: Column | str, dtype=None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and _is_native(dtype):
         return col.cast("timestamp_ntz")
-    return _parsed_of(c)["at"]
+    return _parsed_of(c)[0]
 
 
 def epoch_micros(c: Column | str) -> Column:
@@ -228,7 +274,7 @@ def format_index(c: Column | str, dtype=None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and _is_native(dtype):
         return F.when(col.isNotNull(), F.lit(0))
-    return _parsed_of(c)["layout"]
+    return _parsed_of(c)[1]
 
 
 # ---------------------------------------------------------------- the same for DuckDB

@@ -20,8 +20,11 @@ def whitespace_sql() -> str:
 def _clean_col(name: str, dtype) -> F.Column:
     c = F.col(name)
     if isinstance(dtype, T.StringType):
-        t = F.btrim(c, F.lit(WHITESPACE))
-        return F.when(t.isin(NULL_PLACEHOLDERS), F.lit(None).cast("string")).otherwise(t).alias(name)
+        # Trimming goes through every character: only cells with white space at an end are trimmed.
+        edge = F.substring(c, 1, 1).isin(*WHITESPACE) | F.substring(c, -1, 1).isin(*WHITESPACE)
+        null, trimmed = F.lit(None).cast("string"), F.btrim(c, F.lit(WHITESPACE))
+        return (F.when(edge, F.when(trimmed.isin(NULL_PLACEHOLDERS), null).otherwise(trimmed))
+                .when(c.isin(NULL_PLACEHOLDERS), null).otherwise(c).alias(name))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(F.isnan(c), F.lit(None).cast(dtype)).otherwise(c).alias(name)
     return c.alias(name)
