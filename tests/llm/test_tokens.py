@@ -59,6 +59,44 @@ def test_words_are_found_by_one_lookup_and_ends_by_their_letters():
     assert misses == [] and "three" in enc.words
 
 
+def counted(path):
+    """An encoder and the list of the calls that reach the library."""
+    enc, calls = TextEncoder(path), []
+    merge, ids = enc._merge, enc._ids
+    enc._merge = lambda letters, space: calls.append(letters) or merge(letters, space)
+    enc._ids = lambda text: calls.append(text) or ids(text)
+    return enc, calls
+
+
+def test_words_around_line_feeds_are_known_words():
+    enc, calls = counted(PATHS[1])
+    for t in ("x one two.\nThree four", "x five\n\nSix two.", "x one\n"):
+        enc.encode(t)
+    calls.clear()
+    for t in ("x four\nThree one\nSix two.\nThree", "x five\n\nThree", "x two.\nSix\n\nSix", "x four\n"):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain(PATHS[1], t), t
+    assert calls == []
+    for t in ("x one\n\n", "\n\nThree", "\nThree", "x one\n\n\nThree", " \nThree", "x \nThree\n four"):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain(PATHS[1], t), t
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_words_met_once_leave_room_for_frequent_ones(path, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 60)
+    monkeypatch.setattr(tokens, "MEMO_ANY", 20, raising=False)
+    monkeypatch.setattr(tokens, "RECENT", 10, raising=False)
+    enc, calls = counted(path)
+    letters = "abcdefghijklmnopqrst"
+    rare = [a + b + c for a in letters for b in letters for c in "uvwxyz"]
+    frequent = ["often" + a for a in letters]
+    for k in range(0, len(rare), 20):  # words met once, and among later ones the frequent words
+        text = " ".join(["x", *rare[k:k + 20], *(frequent if k >= 400 else [])])
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain(path, text)
+    calls.clear()
+    assert np.frombuffer(enc.encode(" ".join(["x", *frequent])), "<u4").tolist() == plain(path, " ".join(["x", *frequent]))
+    assert calls == [] and len(enc.words) <= 60
+
+
 def test_a_worker_holds_one_large_table():
     from quillspark.llm import common
     first = tokens.encoder(PATHS[0])
